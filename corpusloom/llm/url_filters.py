@@ -31,13 +31,14 @@ _GOOD = (
     "city river mountain harbour station archive journal letters poetry physics-notes open-data maths algebra open-maps winter "
     "therin thonat tionsh ththan therou anting erinth theren ththle thering tionan edonre ousten lyinth andsho stiver nordre"
 )
+_SYLLABLES = "er in an on ti ed ou sh ly en re or st wh ble ha he ea nt nd at es th"
 _GOOD_PATHS = "docs/intro news/today articles/page wiki/home"
 _ROADS = ("en/12", "fr/345.html", "de/6789/", "es/71", "")
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """The small labelled table ``(url, label)``; label 1 is unwanted."""
-    rows = []
+    rows = [(f"https://{first}{s}.example.{top}/en/{len(s)}", 0.0) for s in _SYLLABLES.split() for first in ("th", "ther", "tion") for top in ("com", "net", "org")]
     for label, names, paths in ((1.0, _BAD, _BAD_PATHS), (0.0, _GOOD, _GOOD_PATHS)):
         for i, name in enumerate(names.split()):
             for j, prefix in enumerate(("", "www.", "m.", "blog.")):
@@ -77,7 +78,7 @@ def fit(labelled: DataFrame) -> tuple[float, list[float]]:
     row = labelled.select("label", buckets(*host_and_path()).alias("on"))
     there = row.withColumn("map", F.map_from_arrays("on", F.transform("on", lambda _: F.lit(1.0))))
     dense = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.coalesce(F.try_element_at("map", i), F.lit(0.0)))
-    model = LogisticRegression(maxIter=40, regParam=0.01, standardization=False).fit(there.select("label", array_to_vector(dense).alias("features")))
+    model = LogisticRegression(maxIter=60, regParam=0.0005, standardization=False).fit(there.select("label", array_to_vector(dense).alias("features")))
     return float(model.intercept), [float(w) for w in model.coefficients]
 
 
