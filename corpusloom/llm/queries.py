@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import embedding_dedup, exact_dedup, simhash, suffix_dedup, url_filters
+from corpusloom.llm import embedding_dedup, exact_dedup, packing, simhash, suffix_dedup, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), ids=False)
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_groups(_read(spark, sf_dir, "embeddings"))
 
@@ -35,6 +39,7 @@ QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_packing": op4_packing,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
 }
