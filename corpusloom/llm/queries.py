@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import embedding_dedup, exact_dedup, packing, simhash, suffix_dedup, url_filters
+from corpusloom.llm import bpe, embedding_dedup, exact_dedup, packing, simhash, suffix_dedup, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"), texts=False)
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_read(spark, sf_dir, "documents"), ids=False)
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_exact_dedup": op2_exact_dedup,
@@ -42,6 +46,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
+    "op9_byte_bpe": op9_byte_bpe,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
