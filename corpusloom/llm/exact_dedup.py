@@ -93,3 +93,16 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     return named.join(groups, ["level", "name"]).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == -F.col("best.of")).alias("kept"), "text_sha256",
     )
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each group of equal texts, with all their columns."""
+    groups = exact_groups(docs)
+    kept = stash(groups.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha256")), "kept")
+    own = F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256)
+    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]) & (own == kept["kept_sha256"]), "left_semi")
+    if groups.groupBy("doc_id", "text_sha256").count().where("count > 1").isEmpty():
+        return out
+    # rows that share id and text: one of them
+    low = "corpusloom_low_text"
+    return out.withColumn(low, ascii_lower(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", low]).drop(low)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe, embedding_dedup, exact_dedup, html_extraction, packing, simhash, suffix_dedup, token_counts, url_filters
+from corpusloom.llm import bpe, embedding_dedup, exact_dedup, html_extraction, language_id, packing, simhash, suffix_dedup, token_counts, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_read(spark, sf_dir, "documents"), ids=False)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_pages(_read(spark, sf_dir, "pages"), _read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_exact_dedup": op2_exact_dedup,
@@ -57,6 +61,7 @@ QUERIES = {
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_language_id": op10_language_id,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

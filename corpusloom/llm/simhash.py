@@ -47,14 +47,14 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``doc_id, fp`` for each row of ``docs``."""
+    """``doc_id, mark, fp`` for each row of ``docs``; ``mark`` tells texts of one ``doc_id`` apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [fingerprint(t.as_py(), words) for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(values, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["mark"], pa.array(values, pa.int64())], ["doc_id", "mark", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, fp long")
 
 
 def _segment(fp: Column, i: int) -> Column:
@@ -89,19 +89,36 @@ def near_pairs(prints: DataFrame, distance: int = 3) -> DataFrame:
     return left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & chain & (F.bit_count(differ) <= distance)).select("a", "b")
 
 
+def _linked(docs: DataFrame, words: int, distance: int) -> DataFrame:
+    rows = stash(fingerprints(docs, words), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("first")
+    prints = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), first), "prints")
+    groups = components(near_pairs(prints.select("fp"), distance), "near")
+    known = prints.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", "first", F.coalesce("component", "fp").alias("component"))
+    known = stash(known, "known")
+    lows = stash(known.groupBy("component").agg(F.min("low").alias("component_id"), F.min("first").alias("first")), "lows")
+    named = stash(known.select("fp", "component").join(lows, "component").select("fp", "component_id", "first"), "named")
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("mark") == F.col("first.mark"))
+    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", kept.alias("kept"), "mark")
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, fingerprint, component_id, kept``.
 
     Null, empty and blank texts have fingerprint zero and are linked like any
     other.  ``component_id`` is the smallest ``doc_id`` reachable by links;
-    ``kept`` marks its row (of repeated ids all rows).  Other columns are not
-    read; empty tables give empty results.
+    ``kept`` marks its row (the least text hash of rows that share an id; rows
+    without id come last).  Other columns are not read; empty tables give empty
+    results.
     """
-    rows = stash(fingerprints(docs, words), "fingerprints")
-    prints = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "prints")
-    groups = components(near_pairs(prints.select("fp"), distance), "near")
-    known = prints.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
-    known = stash(known, "known")
-    lows = stash(known.groupBy("component").agg(F.min("low").alias("component_id")), "lows")
-    named = stash(known.join(lows, "component").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return _linked(docs, words, distance).drop("mark")
+
+
+def keep_one(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each group of near-duplicates, with all their columns."""
+    kept = _linked(docs, words, distance).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("mark").alias("kept_mark"))
+    kept = stash(kept, "kept")
+    once = kept.distinct()
+    out = docs.join(once, docs["doc_id"].eqNullSafe(once["kept_id"]) & (F.xxhash64(docs["text"]) == once["kept_mark"]), "left_semi")
+    repeated = not kept.groupBy("kept_id", "kept_mark").count().where("count > 1").isEmpty()
+    return out.dropDuplicates(["doc_id", "text"]) if repeated else out

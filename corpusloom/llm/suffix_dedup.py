@@ -23,8 +23,8 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,9 +35,11 @@ from corpusloom.llm.common import stash
 LENGTH = 200
 GRAM = 48
 #: Most surroundings of one anchor that a task sorts; more are counted by window.
-GROUP = 1024
-#: An anchor of over this share of all rows is never gathered (2,000 of them at most).
-HOT = 0.0005
+GROUP = 50_000
+#: Up to this many surroundings are compared in pairs after the sort.
+PAIRED = 32
+#: An anchor of over ``GROUP`` rows and this share of all rows is never gathered (100,000 of them at most).
+HOT = 1e-5
 _CHUNK = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -132,7 +134,7 @@ def _find(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
     n[new] = np.minimum(count, 2)
     columns = [
         pa.array(keys), pa.array(around), pa.array(docs[order], pa.int64(), from_pandas=True), pa.array(marks[order]), pa.array(pos[order]), pa.array(left[order]), pa.array(right[order]),
-        pa.array(n), pa.array(np.where(new_key & (here > len(new) * HOT / 2), here, 0).astype(np.int32)),
+        pa.array(n), pa.array(np.where(new_key & (here > max(1, len(new) * HOT / 2)), here, 0).astype(np.int32)),
     ]
     table = pa.Table.from_arrays(columns, names=_FOUND_NAMES)
     yield from table.to_batches(max_chunksize=100_000)
@@ -142,91 +144,122 @@ _FOUND = "key long, around long, doc_id long, mark int, pos int, left short, rig
 _FOUND_NAMES = [c.split()[0] for c in _FOUND.split(", ")]
 
 
-def _reach(strings: list[bytes], lefts: list[bytes], side: int) -> tuple[np.ndarray, np.ndarray]:
+def _reach(strings: list[bytes], lefts: list[bytes], side: int) -> tuple[list[int], list[int]]:
     """For each of a group's surroundings how far its windows that occur twice reach to the left and right; -1: none does.
 
     ``strings`` start behind the anchor's gram, ``lefts`` are what stands before it, reversed.
     """
     n = len(strings)
-    tables = []
+    sorts = []
     for texts in (strings, lefts):
         order = deep_shallow.sort(texts)
-        steps = deep_shallow.neighbours(texts, order)
+        sorts.append((np.array(order), np.array(deep_shallow.neighbours(texts, order), np.int16)))
+    if n > PAIRED:
+        return _reach_by_offset(*sorts, side)
+    tables = []
+    for order, steps in sorts:
         shared = np.zeros((n, n), np.int16)
         for i in range(n - 1):
-            run = np.minimum.accumulate(np.array(steps[i + 1 :], np.int16))
+            run = np.minimum.accumulate(steps[i + 1 :])
             shared[order[i], order[i + 1 :]] = run
             shared[order[i + 1 :], order[i]] = run
         tables.append(shared)
     right, left = tables
     fits = left + right >= side
     np.fill_diagonal(fits, False)
-    return np.where(fits, left, -1).max(axis=1), np.where(fits, right, -1).max(axis=1)
+    return np.where(fits, left, -1).max(axis=1).tolist(), np.where(fits, right, -1).max(axis=1).tolist()
+
+
+def _reach_by_offset(right: tuple[np.ndarray, np.ndarray], left: tuple[np.ndarray, np.ndarray], side: int) -> tuple[list[int], list[int]]:
+    """The same for large groups, without pairs: the sorts' common prefixes class the strings at each offset of the window."""
+    n = len(right[0])
+    reach_left, reach_right = np.full(n, -1), np.full(n, -1)
+
+    def classes(sort: tuple[np.ndarray, np.ndarray], depth: int) -> np.ndarray:
+        order, steps = sort
+        out = np.empty(n, np.int64)
+        out[order] = np.cumsum(steps < depth)
+        return out
+
+    for offset in range(side + 1):
+        both = classes(left, offset) * (n + 1) + classes(right, side - offset)
+        _, which, count = np.unique(both, return_inverse=True, return_counts=True)
+        twice = count[which] > 1
+        reach_left[twice] = offset
+        reach_right[twice & (reach_right < 0)] = side - offset
+    return reach_left.tolist(), reach_right.tolist()
+
+
+_AROUND = "key long, doc_id long, mark int, pos int, gram binary, before binary, after binary"
+_SPAN = "doc_id long, mark int, start int, end int"
+
 
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
 
-def _sort_groups(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+
+def _sort_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Spans from the groups of anchors; rows come sorted by key."""
-    side = length - GRAM
-    held: list[pd.DataFrame] = []
-
-    def spans(rows: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        values = list(zip(rows["gram"], rows["before"], rows["after"], rows["doc_id"], rows["mark"], rows["pos"]))
-        same: dict[bytes, list] = {}
-        for v in values:  # equal hashes of different grams part here
-            same.setdefault(v[0], []).append(v)
-        for group in same.values():
-            if len(group) < 2:
-                continue
-            left, right = _reach([v[2] for v in group], [v[1][::-1] for v in group], side)
-            found += [(v[3], v[4], v[5] - a, v[5] + GRAM + b) for v, a, b in zip(group, left.tolist(), right.tolist()) if a >= 0]
-        return pd.DataFrame(found, columns=["doc_id", "mark", "start", "end"])
-
-    def cut(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        keys = rows["key"].to_numpy()
-        edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
-        out = [spans(rows.iloc[a:b]) for a, b in zip(edges, edges[1:])]
-        out = [x for x in out if len(x)]
-        if out:
-            frame = pd.concat(out)
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+    side, out = length - GRAM, []
+    group: dict[bytes, dict] = {}  # by gram: equal hashes of different grams part here
+    key = None
+
+    def settle() -> None:
+        for rows in group.values():
+            if len(rows) > 1:
+                left, right = _reach([v[1] for v in rows.values()], [v[0][::-1] for v in rows.values()], side)
+                out.extend((doc_id, mark, pos - a, pos + GRAM + b) for (doc_id, mark, pos), a, b in zip(rows, left, right) if a >= 0)
+        group.clear()
 
     for batch in batches:
-        if not len(batch):
-            continue
-        held.append(batch)
-        rows = pd.concat(held)
-        last = rows["key"].iloc[-1]
-        whole = rows["key"].to_numpy() != last
-        held = [rows[~whole]]
-        if whole.any():
-            yield from cut(rows[whole])
-    if held:
-        yield from cut(pd.concat(held))
-
-
-def _surroundings(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+        for k, doc_id, mark, pos, gram, before, after in zip(*(c.to_pylist() for c in batch.columns)):
+            if k != key:
+                settle()
+                key = k
+            group.setdefault(gram, {})[doc_id, mark, pos] = (before, after)
+        if out:
+            yield _batch(out, _SPAN)
+            out = []
+    settle()
+    if out:
+        yield _batch(out, _SPAN)
+
+
+def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of each wanted anchor and what stands before and after it."""
     for batch in batches:
         rows = []
-        for doc_id, mark, text, wanted in zip(batch["doc_id"], batch["mark"], batch["text"], batch["wanted"]):
-            raw = text.encode()
-            for w in wanted:
-                pos = w["pos"]
-                rows.append((w["key"], doc_id, mark, pos, raw[pos : pos + GRAM], raw[pos - w["left"] : pos], raw[pos + GRAM : pos + GRAM + w["right"]], w["many"]))
-        frame = pd.DataFrame(rows, columns=["key", "doc_id", "mark", "pos", "gram", "before", "after", "many"])
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
-        yield frame
+        wanted = batch["wanted"]
+        inside, ends = wanted.flatten(), np.cumsum(pa.compute.list_value_length(wanted).to_numpy(zero_copy_only=False)).tolist()
+        keys, poses, lefts, rights = (inside.field(n).to_pylist() for n in ("key", "pos", "left", "right"))
+        start = 0
+        for doc_id, mark, text, end in zip(batch["doc_id"].to_pylist(), batch["mark"].to_pylist(), batch["text"], ends):
+            raw = text.as_buffer().to_pybytes()
+            for i in range(start, end):
+                pos = poses[i]
+                rows.append((keys[i], doc_id, mark, pos, raw[pos : pos + GRAM], raw[pos - lefts[i] : pos], raw[pos + GRAM : pos + GRAM + rights[i]]))
+            start = end
+        yield _batch(rows, _AROUND)
+
 
+_WINDOW = "doc_id long, mark int, start int, window binary"
 
-def _windows(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+
+def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Every window around an anchor as a 128-bit value, for groups too large to gather."""
-    side = length - GRAM
+    side, digest = length - GRAM, xxhash.xxh3_128_digest
     for batch in batches:
-        for doc_id, mark, pos, gram, before, after in zip(batch["doc_id"], batch["mark"], batch["pos"], batch["gram"], batch["before"], batch["after"]):
+        rows = []
+        for _, doc_id, mark, pos, gram, before, after in zip(*(c.to_pylist() for c in batch.columns)):
             text, left = before + gram + after, len(before)
-            offsets = range(max(0, side - len(after)), left + 1)
-            yield pd.DataFrame({"doc_id": pd.array([doc_id] * len(offsets), "Int64"), "mark": mark, "start": [pos - o for o in offsets], "window": [xxhash.xxh3_128_digest(text[left - o : left - o + length]) for o in offsets]})
+            rows += [(doc_id, mark, pos - o, digest(text[left - o : left - o + length])) for o in range(max(0, side - len(after)), left + 1)]
+            if len(rows) > 100_000:
+                yield _batch(rows, _WINDOW)
+                rows = []
+        yield _batch(rows, _WINDOW)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -234,10 +267,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     ``docs`` has ``doc_id, mark, text``; ``mark`` tells rows of one ``doc_id`` apart.
     """
-    span = "doc_id long, mark int, start int, end int"
     found = stash(docs.mapInArrow(lambda b: _find(b, length), _FOUND), "anchors")
     total = found.count()
-    hot = found.where("heavy > 0").groupBy("key").agg(F.sum("heavy").alias("rows")).where(F.col("rows") >= max(64, total * HOT)).select("key", F.lit(True).alias("hot"))
+    hot = found.where("heavy > 0").groupBy("key").agg(F.sum("heavy").alias("rows")).where(F.col("rows") >= max(GROUP, total * HOT)).select("key", F.lit(True).alias("hot"))
     anchors = found.where("n > 0").join(F.broadcast(hot), "key", "left")
     cold, warm = anchors.where("hot is null"), anchors.where("hot")
     by_key, by_both = Window.partitionBy("key"), Window.partitionBy("key", "around")
@@ -257,10 +289,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # ends of repeats: each surroundings once, of anchors that have several and one of them only once
     ends = kept.where("nth = 1 and not alone").withColumns({"many": (F.count(F.lit(1)).over(by_key) > GROUP), "single": F.min("n").over(by_key)}).where("single = 1")
     ends = ends.select("key", "doc_id", "mark", "pos", "left", "right", "many").unionByName(pairs.select("key", "one.*", F.lit(True).alias("many")))
-    out = _around(docs, ends.where("not many"), length).drop("many").repartition("key").sortWithinPartitions("key").mapInPandas(lambda b: _sort_groups(b, length), span)
+    out = _around(docs, ends.where("not many")).repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _sort_groups(b, length), _SPAN)
     many = ends.where("many")
     if not many.isEmpty():
-        windows = stash(_around(docs, many, length).mapInPandas(lambda b: _windows(b, length), "doc_id long, mark int, start int, window binary").distinct(), "windows")
+        windows = stash(_around(docs, many).mapInArrow(lambda b: _windows(b, length), _WINDOW).distinct(), "windows")
         twice = stash(windows.groupBy("window").count().where("count > 1").select("window"), "twice")
         out = out.unionByName(windows.join(twice, "window", "left_semi").select("doc_id", "mark", "start", (F.col("start") + length).alias("end")))
     for more in whole:
@@ -268,34 +300,60 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return out
 
 
-def _around(docs: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
+def _around(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     """The bytes of anchors and what stands around them, from the texts."""
-    wanted = anchors.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("key", "pos", "left", "right", "many")).alias("wanted"))
+    wanted = anchors.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("key", "pos", "left", "right")).alias("wanted"))
     near = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["mark"] == wanted["mark"])).select(docs["doc_id"], docs["mark"], "text", "wanted")
-    return near.mapInPandas(lambda b: _surroundings(b, length), "key long, doc_id long, mark int, pos int, gram binary, before binary, after binary, many boolean").dropDuplicates(["key", "doc_id", "mark", "pos"])
+    return near.mapInArrow(_surroundings, _AROUND)
+
+
+def _rest(raw: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
+    """The bytes outside the spans and the number of maximal runs that go."""
+    runs: list[list[int]] = []
+    for start, end in sorted((x["start"], x["end"]) for x in spans or ()):
+        if runs and start <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], end)
+        else:
+            runs.append([start, end])
+    edges = [0, *(e for run in runs for e in run), len(raw)]
+    return (b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])) if runs else raw), len(runs)
+
+
+def _bytes(text: pa.StringScalar) -> bytes:
+    raw = text.as_buffer()
+    return raw.to_pybytes() if raw is not None else b""
 
 
 def _cut(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
     for batch in batches:
         rows = []
         for doc_id, text, spans in zip(batch["doc_id"].to_pylist(), batch["text"], batch["spans"].to_pylist()):
-            raw = text.as_buffer()
-            raw = raw.to_pybytes() if raw is not None else b""
-            runs: list[list[int]] = []
-            for s in sorted((x["start"], x["end"]) for x in spans or ()):
-                if runs and s[0] <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], s[1])
-                else:
-                    runs.append(list(s))
-            edges = [0, *(e for run in runs for e in run), len(raw)]
-            rest = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])) if runs else raw
-            rows.append((doc_id, len(raw), len(raw) - len(rest), len(runs), hashlib.sha256(rest).hexdigest(), rest if texts else None))
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+            raw = _bytes(text)
+            rest, runs = _rest(raw, spans)
+            rows.append((doc_id, len(raw), len(raw) - len(rest), runs, hashlib.sha256(rest).hexdigest(), rest if texts else None))
         columns = list(zip(*rows)) if rows else [()] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
 
+def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rest = [_rest(_bytes(text), spans)[0].decode(errors="ignore") for text, spans in zip(batch["text"], batch["spans"].to_pylist())]
+        names = [n for n in batch.schema.names if n != "spans"]
+        yield pa.RecordBatch.from_arrays([pa.array(rest, pa.string()) if n == "text" else batch[n] for n in names], names)
+
+
+def _with_spans(docs: DataFrame, length: int) -> DataFrame:
+    """``docs`` with the column ``spans``; null texts are empty ones."""
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.hash(text).alias("mark"))
+    spans = repeated_spans(rows.select("doc_id", "mark", "text"), length).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = spans.select(F.col("doc_id").alias("span_id"), F.col("mark").alias("span_mark"), "spans")
+    named = docs.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return named.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("span_id")) & (F.hash(F.col("text")) == F.col("span_mark")), "left").drop("span_id", "span_mark")
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, with ``texts``, ``kept_bytes``.
 
@@ -304,9 +362,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) ->
     rows (even of one ``doc_id``, null included) are occurrences of their own.
     Other columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", F.hash("text").alias("mark"), "text")
-    spans = repeated_spans(rows, length).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = rows.join(spans, rows["doc_id"].eqNullSafe(spans["doc_id"]) & (rows["mark"] == spans["mark"]), "left").select(rows["doc_id"], "text", "spans")
+    joined = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length)
     out = joined.mapInArrow(lambda b: _cut(b, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
     return out if texts else out.drop("kept_bytes")
+
+
+def strip_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` with the repeats gone from ``text``; all rows and columns stay, ``n_chars`` is counted anew.
+
+    What is left of a character that a repeat cuts goes with it.
+    """
+    joined = _with_spans(docs, length)
+    out = joined.mapInArrow(_replace, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
