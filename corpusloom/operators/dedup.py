@@ -322,5 +322,5 @@ def release(sources: DataFrame, decisions: DataFrame, removed: DataFrame, key: s
     gone = removed.select(F.col(key).alias("main_id"))
     freed = decisions.where("status = 'duplicate'").join(gone, "main_id", "left_semi").select(key, F.lit(True).alias("freed"))
     left = sources.join(removed.select(key), key, "left_anti").join(freed, key, "left")
-    left = left.withColumn("status", F.when("freed", "normalised").otherwise(F.col("status"))).drop("freed")
+    left = left.withColumn("status", F.when(F.col("freed"), "normalised").otherwise(F.col("status"))).drop("freed")
     return left, decisions.join(gone, "main_id", "left_anti").join(removed.select(key), key, "left_anti")
