@@ -17,7 +17,7 @@ SPACE = "(?U)\\s"
 #: Characters that composition (NFC) may change; everything else is in that form already.
 _COMPOSABLE = "[\\p{M}\\u1100-\\u11FF\\u2126\\u212A\\u212B\\u2000\\u2001\\u2329\\u232A\\u2ADC\\uF900-\\uFAFF\\uFB1D-\\uFB4E\\x{2F800}-\\x{2FA1F}\\u0340-\\u0344\\u0374\\u037E\\u0387\\u1F71-\\u1FFD\\u0958-\\u095F\\u09DC-\\u09DF\\u0A33-\\u0A5E\\u0B5C\\u0B5D\\x{1D15E}-\\x{1D1C0}]"
 #: Characters whose case folding is not their lower case, but for the sharp s.
-_FOLDS_APART = "[\\u0130\\u0149\\u017F\\u01F0\\u0345\\u0390\\u03B0\\u03C2\\u03D0\\u03D1\\u03D5\\u03D6\\u03F0\\u03F1\\u03F5\\u0587\\u13F8-\\u13FD\\u1C80-\\u1C88\\u1E96-\\u1E9E\\u1F50-\\u1FFC\\uAB70-\\uABBF\\uFB00-\\uFB17]"
+_FOLDS_APART = "[\\u0130\\u0149\\u017F\\u01F0\\u0345\\u0390\\u03A3\\u03B0\\u03C2\\u03D0\\u03D1\\u03D5\\u03D6\\u03F0\\u03F1\\u03F5\\u0587\\u13F8-\\u13FD\\u1C80-\\u1C88\\u1E96-\\u1E9E\\u1F50-\\u1FFC\\uAB70-\\uABBF\\uFB00-\\uFB17]"
 
 
 def col(c: str | Column) -> Column:
