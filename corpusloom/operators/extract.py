@@ -114,6 +114,7 @@ class _Page(HTMLParser):
             if items:
                 self._add("list", int(self.ordered), "\n".join(items), 0)
         elif tag == "table" and self.rows is not None:
+            self._close("cell")
             rows, self.rows = [r for r in self.rows if r], None
             if rows:
                 self._add("table", 0, "\n".join("\t".join(r) for r in rows), 0)
