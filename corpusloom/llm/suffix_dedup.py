@@ -40,6 +40,9 @@ GROUP = 50_000
 PAIRED = 32
 #: An anchor of over ``GROUP`` rows and this share of all rows is never gathered (100,000 of them at most).
 HOT = 1e-5
+#: The columns that tell rows of one ``doc_id`` apart, and that hold what goes.
+MARK = "corpusloom_mark"
+SPANS = "corpusloom_spans"
 _CHUNK = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -104,7 +107,11 @@ def _find(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
             whole = data.tobytes()
             digest = xxhash.xxh3_64_intdigest
             around = np.fromiter((digest(whole[a - x : a + GRAM + y], x) for a, x, y in zip(at.tolist(), left.tolist(), right.tolist())), np.uint64, len(at))
-            parts.append((keys.view(np.int64), around.view(np.int64), np.array(ids, object)[doc], np.array(marks, np.int32)[doc], pos.astype(np.int32), left.astype(np.int16), right.astype(np.int16)))
+            half, short = -(-side // 2), xxhash.xxh32_intdigest
+            before = [short(whole[a - half : a + GRAM]) if x >= half else 0 for a, x in zip(at.tolist(), left.tolist())]
+            after = [short(whole[a : a + GRAM + half]) if y >= half else 0 for a, y in zip(at.tolist(), right.tolist())]
+            halves = np.array([before, after], np.uint32).view(np.int32)
+            parts.append((keys.view(np.int64), around.view(np.int64), halves[0], halves[1], np.array(ids, object)[doc], np.array(marks, np.int32)[doc], pos.astype(np.int32), left.astype(np.int16), right.astype(np.int16)))
 
     held, size = ([], [], []), 0
     for batch in batches:
@@ -123,7 +130,7 @@ def _find(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
         flush(*held)
     if not parts:
         return
-    keys, around, docs, marks, pos, left, right = (np.concatenate(c) for c in zip(*parts))
+    keys, around, before, after, docs, marks, pos, left, right = (np.concatenate(c) for c in zip(*parts))
     order = np.lexsort((around, keys))
     keys, around = keys[order], around[order]
     new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (around[1:] != around[:-1])))
@@ -133,14 +140,14 @@ def _find(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
     n = np.zeros(len(new), np.int32)
     n[new] = np.minimum(count, 2)
     columns = [
-        pa.array(keys), pa.array(around), pa.array(docs[order], pa.int64(), from_pandas=True), pa.array(marks[order]), pa.array(pos[order]), pa.array(left[order]), pa.array(right[order]),
+        pa.array(keys), pa.array(around), pa.array(before[order]), pa.array(after[order]), pa.array(docs[order], pa.int64(), from_pandas=True), pa.array(marks[order]), pa.array(pos[order]), pa.array(left[order]), pa.array(right[order]),
         pa.array(n), pa.array(np.where(new_key & (here > max(1, len(new) * HOT / 2)), here, 0).astype(np.int32)),
     ]
     table = pa.Table.from_arrays(columns, names=_FOUND_NAMES)
     yield from table.to_batches(max_chunksize=100_000)
 
 
-_FOUND = "key long, around long, doc_id long, mark int, pos int, left short, right short, n int, heavy int"
+_FOUND = "key long, around long, before int, after int, doc_id long, mark int, pos int, left short, right short, n int, heavy int"
 _FOUND_NAMES = [c.split()[0] for c in _FOUND.split(", ")]
 
 
@@ -265,9 +272,10 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Spans ``doc_id, mark, start, end`` (bytes) of strings of ``length`` bytes that start elsewhere too; they may overlap.
 
-    ``docs`` has ``doc_id, mark, text``; ``mark`` tells rows of one ``doc_id`` apart.
+    ``docs`` has ``doc_id``, ``text`` (not null) and ``MARK``; other columns are not read.
     """
-    found = stash(docs.mapInArrow(lambda b: _find(b, length), _FOUND), "anchors")
+    docs = docs.select("doc_id", "text", MARK)
+    found = stash(docs.select("doc_id", F.col(MARK).alias("mark"), "text").mapInArrow(lambda b: _find(b, length), _FOUND), "anchors")
     total = found.count()
     hot = found.where("heavy > 0").groupBy("key").agg(F.sum("heavy").alias("rows")).where(F.col("rows") >= max(GROUP, total * HOT)).select("key", F.lit(True).alias("hot"))
     anchors = found.where("n > 0").join(F.broadcast(hot), "key", "left")
@@ -277,18 +285,23 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     cold = cold.withColumns({"n": F.sum("n").over(by_both), "nth": F.row_number().over(by_both.orderBy("doc_id", "mark", "pos"))})
     cold = cold.where("n > 1 or lo <> hi")
     # surroundings of hot anchors are counted by partial sums
-    pairs = warm.groupBy("key", "around").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "mark", "pos", "left", "right")).alias("one"))
+    pairs = warm.groupBy("key", "around").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "mark", "pos", "left", "right", "before", "after")).alias("one"))
     pairs = stash(pairs, "hot-pairs")
     warm_full = warm.drop("n").join(pairs.where("n > 1").select("key", "around"), ["key", "around"], "left_semi")
-    kept = stash(cold.select("key", "doc_id", "mark", "pos", "left", "right", "n", "nth", F.col("lo").eqNullSafe(F.col("hi")).alias("alone")), "cold")
+    kept = stash(cold.select("key", "doc_id", "mark", "pos", "left", "right", "before", "after", "n", "nth", F.col("lo").eqNullSafe(F.col("hi")).alias("alone")), "cold")
     full = F.col("pos") - F.col("left"), F.col("pos") + GRAM + F.col("right")
     whole = [
         rows.select("doc_id", "mark", full[0].cast("int").alias("start"), full[1].cast("int").alias("end"))
         for rows in (found.where("n <> 1"), kept.where("n > 1"), warm_full)
     ]
-    # ends of repeats: each surroundings once, of anchors that have several and one of them only once
-    ends = kept.where("nth = 1 and not alone").withColumns({"many": (F.count(F.lit(1)).over(by_key) > GROUP), "single": F.min("n").over(by_key)}).where("single = 1")
-    ends = ends.select("key", "doc_id", "mark", "pos", "left", "right", "many").unionByName(pairs.select("key", "one.*", F.lit(True).alias("many")))
+    # ends of repeats: each surroundings once, of anchors that have several and one of them only once; a window that
+    # occurs twice has half of what surrounds the anchor on one side, so these halves must occur twice
+    ends = kept.where("nth = 1 and not alone").withColumn("single", F.min("n").over(by_key)).where("single = 1")
+    ends = ends.select("key", "doc_id", "mark", "pos", "left", "right", "before", "after").unionByName(pairs.select("key", "one.*"))
+    for side in ("before", "after"):
+        ends = ends.withColumn(f"n_{side}", F.when(F.col(side) != 0, F.count(F.lit(1)).over(Window.partitionBy("key", side))).otherwise(0))
+    ends = ends.where("n_before > 1 or n_after > 1").withColumn("many", F.count(F.lit(1)).over(by_key) > GROUP)
+    ends = stash(ends.select("key", "doc_id", "mark", "pos", "left", "right", "many"), "ends")
     out = _around(docs, ends.where("not many")).repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _sort_groups(b, length), _SPAN)
     many = ends.where("many")
     if not many.isEmpty():
@@ -303,7 +316,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def _around(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     """The bytes of anchors and what stands around them, from the texts."""
     wanted = anchors.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("key", "pos", "left", "right")).alias("wanted"))
-    near = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs["mark"] == wanted["mark"])).select(docs["doc_id"], docs["mark"], "text", "wanted")
+    near = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]) & (docs[MARK] == wanted["mark"])).select(docs["doc_id"], "mark", "text", "wanted")
     return near.mapInArrow(_surroundings, _AROUND)
 
 
@@ -329,7 +342,7 @@ def _cut(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBa
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
     for batch in batches:
         rows = []
-        for doc_id, text, spans in zip(batch["doc_id"].to_pylist(), batch["text"], batch["spans"].to_pylist()):
+        for doc_id, text, spans in zip(batch["doc_id"].to_pylist(), batch["text"], batch[SPANS].to_pylist()):
             raw = _bytes(text)
             rest, runs = _rest(raw, spans)
             rows.append((doc_id, len(raw), len(raw) - len(rest), runs, hashlib.sha256(rest).hexdigest(), rest if texts else None))
@@ -339,19 +352,17 @@ def _cut(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBa
 
 def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rest = [_rest(_bytes(text), spans)[0].decode(errors="ignore") for text, spans in zip(batch["text"], batch["spans"].to_pylist())]
-        names = [n for n in batch.schema.names if n != "spans"]
+        rest = [_rest(_bytes(text), spans)[0].decode(errors="ignore") for text, spans in zip(batch["text"], batch[SPANS].to_pylist())]
+        names = [n for n in batch.schema.names if n not in (SPANS, MARK)]
         yield pa.RecordBatch.from_arrays([pa.array(rest, pa.string()) if n == "text" else batch[n] for n in names], names)
 
 
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
-    """``docs`` with the column ``spans``; null texts are empty ones."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.hash(text).alias("mark"))
-    spans = repeated_spans(rows.select("doc_id", "mark", "text"), length).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("span_id"), F.col("mark").alias("span_mark"), "spans")
-    named = docs.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
-    return named.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("span_id")) & (F.hash(F.col("text")) == F.col("span_mark")), "left").drop("span_id", "span_mark")
+    """``docs``, whose texts are not null, with the columns ``SPANS`` and ``MARK``."""
+    rows = docs.withColumn(MARK, F.hash("text"))
+    spans = repeated_spans(rows, length)
+    spans = spans.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "end")).alias(SPANS)).select(F.col("doc_id").alias(f"{SPANS}_id"), F.col("mark").alias(f"{SPANS}_mark"), SPANS)
+    return rows.join(spans, F.col("doc_id").eqNullSafe(F.col(f"{SPANS}_id")) & (F.col(MARK) == F.col(f"{SPANS}_mark")), "left").drop(f"{SPANS}_id", f"{SPANS}_mark")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) -> DataFrame:
@@ -362,7 +373,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) ->
     rows (even of one ``doc_id``, null included) are occurrences of their own.
     Other columns are not read.
     """
-    joined = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length)
+    joined = _with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), length)
     out = joined.mapInArrow(lambda b: _cut(b, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
     return out if texts else out.drop("kept_bytes")
 
@@ -372,6 +383,7 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     What is left of a character that a repeat cuts goes with it.
     """
-    joined = _with_spans(docs, length)
-    out = joined.mapInArrow(_replace, docs.schema)
+    plain = {"text": F.coalesce("text", F.lit("")), "doc_id": F.col("doc_id").cast("long")}
+    joined = _with_spans(docs.select(*[plain[c].alias(c) if c in plain else F.col(c) for c in docs.columns]), length)
+    out = joined.mapInArrow(_replace, joined.drop(SPANS, MARK).schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
