@@ -126,13 +126,13 @@ def identify(rows: DataFrame, model: Model, key: list[str]) -> DataFrame:
 
     ``rows`` has ``key``'s columns and ``text, declared, suffix, host``; null evidence tells
     nothing and counts as a value of its own in its table.  ``lang`` is ``und``
-    where no language explains the letters; a text without letters leaves the
-    verdict to the other evidence.  Ties go to the first name in the alphabet.
+    where no language explains the letters; a text without letters is no evidence
+    and leaves the verdict to the rest.  Ties go to the first name in the alphabet.
     """
     names = [*model.languages, UNDETERMINED]
     listed = F.array(*map(F.lit, names))
     base = rows.select(*key, "text", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("declared", "suffix", "host")])
-    scored = stash(_score(base, model).withColumn("verdict", _best(F.col("logs"), listed)).withColumn("domain", F.regexp_extract("host", r"([^.]*\.[^.]*)$", 1)), "scored")
+    scored = stash(_score(base, model).withColumn("verdict", F.when(F.array_max("logs") > F.array_min("logs"), _best(F.col("logs"), listed))).withColumn("domain", F.regexp_extract("host", r"([^.]*\.[^.]*)$", 1)), "scored")
     k = float(len(names))
     every = [float(r or 0) for r in scored.agg(*[F.sum((F.col("verdict") == n).cast("long")) for n in names]).first()]
     whole = F.array(*[F.lit((n + 1) / (sum(every) + k)) for n in every])
@@ -155,7 +155,7 @@ def identify(rows: DataFrame, model: Model, key: list[str]) -> DataFrame:
         sums = F.zip_with(sums, part, lambda a, b: a + b)
     out = out.withColumn("all", sums).withColumn("top", F.array_max("all"))
     chance = 1 / F.aggregate(F.transform("all", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda s, x: s + x)
-    return out.select(*key, _best(F.col("all"), listed).alias("lang"), chance.alias("confidence"), F.col("verdict").alias("text_lang"), "declared", "suffix", "host")
+    return out.select(*key, _best(F.col("all"), listed).alias("lang"), chance.alias("confidence"), F.coalesce("verdict", F.lit(UNDETERMINED)).alias("text_lang"), "declared", "suffix", "host")
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
