@@ -18,6 +18,7 @@ SPACE = "(?U)\\s"
 _COMPOSABLE = "[\\p{M}\\u1100-\\u11FF\\u2126\\u212A\\u212B\\u2000\\u2001\\u2329\\u232A\\u2ADC\\uF900-\\uFAFF\\uFB1D-\\uFB4E\\x{2F800}-\\x{2FA1F}\\u0340-\\u0344\\u0374\\u037E\\u0387\\u1F71-\\u1FFD\\u0958-\\u095F\\u09DC-\\u09DF\\u0A33-\\u0A5E\\u0B5C\\u0B5D\\x{1D15E}-\\x{1D1C0}]"
 #: Characters whose case folding is not their lower case, but for the sharp s.
 _FOLDS_APART = "[\\u0130\\u0149\\u017F\\u01F0\\u0345\\u0390\\u03A3\\u03B0\\u03C2\\u03D0\\u03D1\\u03D5\\u03D6\\u03F0\\u03F1\\u03F5\\u0587\\u13F8-\\u13FD\\u1C80-\\u1C88\\u1E96-\\u1E9E\\u1F50-\\u1FFC\\uAB70-\\uABBF\\uFB00-\\uFB17]"
+_APART = _COMPOSABLE[:-1] + _FOLDS_APART[1:]
 
 
 def col(c: str | Column) -> Column:
@@ -34,10 +35,14 @@ def _folded(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t.casefold()))
 
 
+def is_ascii(text: str | Column) -> Column:
+    return F.octet_length(col(text)) == F.length(col(text))
+
+
 def compose(text: str | Column) -> Column:
     """NFC; Python sees only the texts that may change."""
     text = col(text)
-    need = text.rlike(_COMPOSABLE)
+    need = ~is_ascii(text) & text.rlike(_COMPOSABLE)
     return F.when(need, _nfc(F.when(need, text))).otherwise(text)
 
 
@@ -48,7 +53,7 @@ def normalize(text: str | Column, nfc: bool = True) -> Column:
     """
     t = F.regexp_replace(col(text), "\\r\\n?", "\n")
     t = compose(t) if nfc else t
-    for pattern, by in ((INVISIBLE, ""), (CONTROL, ""), ("(?U)[\\s&&[^\\n]]", " "), ("(?m)(?<=[^ \\n]) {2,}", " "), ("(?m) +$", ""), ("\\n{3,}", "\n\n"), ("^[ \\n]+|[ \\n]+$", "")):
+    for pattern, by in ((INVISIBLE, ""), (CONTROL, ""), ("(?U)[\\s&&[^\\n ]]", " "), ("(?m)(?<=[^ \\n]) {2,}", " "), ("(?m) +$", ""), ("\\n{3,}", "\n\n"), ("^[ \\n]+|[ \\n]+$", "")):
         t = F.regexp_replace(t, pattern, by)
     return t
 
@@ -77,9 +82,10 @@ def content_hash(text: str | Column) -> Column:
 def cosmetic_form(text: str | Column) -> Column:
     """Case-folded text with punctuation, symbols and white space as single spaces; diacritics stay."""
     t = col(text)
-    apart = t.rlike(_FOLDS_APART) | t.rlike(_COMPOSABLE)
+    apart = ~is_ascii(t) & t.rlike(_APART)
     folded = F.when(apart, _folded(F.when(apart, t))).otherwise(F.replace(F.lower(t), F.lit("ß"), F.lit("ss")))
-    return F.trim(F.regexp_replace(folded, "(?U)[\\p{P}\\p{S}\\s]+", " "))
+    simple = F.regexp_replace(F.lower(t), "[\\t-\\r !-/:-@\\[-`{-~]+", " ")
+    return F.trim(F.when(is_ascii(t), simple).otherwise(F.regexp_replace(folded, "(?U)[\\p{P}\\p{S}\\s]+", " ")))
 
 
 def cosmetic_key(text: str | Column) -> Column:

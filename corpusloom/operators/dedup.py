@@ -16,7 +16,6 @@ from __future__ import annotations
 import difflib
 import hashlib
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,26 +26,11 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import Config
 from corpusloom.functions.text import content_hash, cosmetic_key, word_count, word_list
+from corpusloom.session import stash
 
 BLOCK = 2048
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: a table in the folder that the session names, a checkpoint of which survives lost executors."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/dedup/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shingles(text: str | Column, size: int = 3) -> Column:
     """Overlapping word n-grams, repeats included; of fewer words all of them, of none none."""
     words = word_list(text)
@@ -200,17 +184,17 @@ def deduplicate(docs: DataFrame, config: Config | None = None, base: DataFrame |
         both = both.unionByName(profiles(base, config, key, text).withColumn("new", F.lit(False)))
     # the place: base before new, then by key; ranges of a sort give consecutive numbers without one big task
     ordered = both.repartitionByRange("new", key).sortWithinPartitions("new", key).withColumn("place", F.monotonically_increasing_id())
-    every = _written(ordered, "profiles")
+    every = stash(ordered, "profiles")
     # equal texts have equal neighbours: only the first new one and the first base one are settled, the others follow
     head = every.groupBy("content_hash", "new").agg(F.min("place").alias("head")) if config.stage_hash else None
-    every = _written(every.join(head, ["content_hash", "new"]), "heads") if config.stage_hash else every.withColumn("head", F.col("place"))
+    every = stash(every.join(head, ["content_hash", "new"]), "heads") if config.stage_hash else every.withColumn("head", F.col("place"))
     rows = every.where("place = head").drop("head")
     classes = ["content_hash"] * config.stage_hash + ["cosmetic_key"] * config.stage_cosmetic
     pairs = _pairs(rows, config)
-    certain = _written(pairs.where("certain").select("a", "b"), "certain")
-    state = _written(rows.select("place", *classes, F.when(F.col("new"), "open").otherwise("leader").alias("status")), "state")
+    certain = stash(pairs.where("certain").select("a", "b"), "certain")
+    state = stash(rows.select("place", *classes, F.when(F.col("new"), "open").otherwise("leader").alias("status")), "state")
     while not state.where("status = 'open'").isEmpty():
-        state = _written(_round(state, certain, classes), "state")
+        state = stash(_round(state, certain, classes), "state")
     leaders = state.where("status = 'leader'").select("place", *classes)
     duplicates = state.where("status = 'duplicate'").select("place", *classes)
     # the first leader that each duplicate is certainly like
@@ -233,7 +217,7 @@ def deduplicate(docs: DataFrame, config: Config | None = None, base: DataFrame |
     best = best.select(F.col("b").alias("place"), (-F.col("best.first")).alias("leader"), "best.score", "best.method")
     rest = leaders.select("place").join(best, "place", "left")
     rest = rest.select("place", F.when(F.col("leader").isNull(), "kept").otherwise("review").alias("status"), "leader", "method", "score")
-    settled = _written(sure.unionByName(rest), "settled")
+    settled = stash(sure.unionByName(rest), "settled")
     own = every.where("new and place = head").select("place", key).join(settled, "place")
     copies = every.where("new and place <> head").select(key, F.col("head").alias("place")).join(settled, "place")
     led = F.col("status") == "duplicate"
@@ -263,7 +247,7 @@ def _pairs(rows: DataFrame, config: Config) -> DataFrame:
     short = short_pairs(rows.select("place", "text"), config.review, config.short_words).select("a", "b", "score", F.lit("sequence").alias("method"))
     new = rows.select(F.col("place").alias("b"), "new")
     out = similar.unionByName(short).join(new, "b").where("new").select("a", "b", "score", "method", (F.col("score") >= config.duplicate).alias("certain"))
-    return _written(out, "pairs")
+    return stash(out, "pairs")
 
 
 def _round(state: DataFrame, certain: DataFrame, classes: list[str]) -> DataFrame:
@@ -287,7 +271,7 @@ def exact_and_cosmetic(docs: DataFrame, key: str = "doc_id", text: str = "text")
     Equal texts have equal keys, so one minimum by cosmetic key decides; it is
     aggregated and joined back rather than windowed, so that hot keys spread.
     """
-    rows = docs.select(key, content_hash(F.coalesce(text, F.lit(""))).alias("content_hash"), cosmetic_key(F.coalesce(text, F.lit(""))).alias("cosmetic_key"))
+    rows = stash(docs.select(key, content_hash(F.coalesce(text, F.lit(""))).alias("content_hash"), cosmetic_key(F.coalesce(text, F.lit(""))).alias("cosmetic_key")), "keys")
     first = rows.groupBy("cosmetic_key").agg(F.min(F.struct(key, "content_hash")).alias("first"))
     out = rows.join(first, "cosmetic_key")
     dup = F.col(key) != F.col(f"first.{key}")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import byte_count, col, word_count
+from corpusloom.functions.text import byte_count, col, natural_key, word_count
 
 JOINER = "\n\n"
 CUT_IN_SENTENCE, TOKEN_OVER_LIMIT = "cut_in_sentence", "token_over_limit"
@@ -134,8 +134,6 @@ def plan(docs: DataFrame, max_words: int, max_bytes: int, key: str = "doc_id", g
 
 def plan_in_order(items: DataFrame, group: str, name: str, max_words: int, max_bytes: int) -> DataFrame:
     """Scans and image documents: by natural order of names, unsplit, without joiners."""
-    from corpusloom.functions.text import natural_key
-
     return next_fit(items.withColumn("natural", natural_key(name)), group, ["natural", name], max_words, max_bytes, 0).drop("natural")
 
 

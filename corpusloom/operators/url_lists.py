@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import urls
 from corpusloom.functions.text import word_list
+from corpusloom.session import stash
 
 #: Marks that end a sentence rather than an address.
 SENTENCE_END = ".,;:!?)]}»”'"
@@ -19,7 +20,8 @@ def entries(lists: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     lines = lists.select(F.col(key), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\\R")).alias("line", "raw"))
     lines = lines.withColumn("raw", F.regexp_replace("raw", "(?U)^\\s+|\\s+$", "")).where("raw <> '' and not startswith(raw, '#')")
     words = word_list("raw")
-    has = F.exists(words, lambda w: urls.verdict(w).isNull())
+    may = F.contains(F.col("raw"), F.lit("://")) | F.contains(F.lower("raw"), F.lit("www."))  # else no word is an address
+    has = F.when(may, F.exists(words, lambda w: urls.verdict(w).isNull())).otherwise(False)
     return lines.select(key, "line", F.posexplode(F.when(has, words).otherwise(F.array(F.col("raw")))).alias("item", "entry"))
 
 
@@ -31,7 +33,7 @@ def verdicts(rows: DataFrame, url: str = "entry", order: list[str] | None = None
     back, so that an address on a third of all rows is no single group.
     """
     by, order = by or [], order or [url]
-    rows = rows.withColumns({"reason": urls.verdict(url), "canonical": urls.canonical(url, extra)})
+    rows = stash(rows.withColumns({"reason": urls.verdict(url), "canonical": urls.canonical(url, extra)}), "addresses")
     place = F.struct(*order)
     first = rows.where("canonical is not null").groupBy(*by, "canonical").agg(F.min(place).alias("first_place"))
     out = rows.join(first, [*by, "canonical"], "left")

@@ -9,17 +9,22 @@ from corpusloom.config import Config, from_session
 from corpusloom.functions import quality
 from corpusloom.functions.text import byte_count, char_count, first_line_title, normalize, source_id, word_count
 from corpusloom.operators import dedup, packing, render, report
+from corpusloom.session import stash
 
 
 def normalized(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, text, title, n_words, n_chars, n_bytes`` in normal form; other columns stay."""
-    rows = docs.withColumn(text, normalize(F.coalesce(text, F.lit(""))))
+    """``docs`` with texts in normal form and ``title, n_words, n_chars, n_bytes``.
+
+    The normal form is written once: as an expression it would be evaluated
+    anew by everything that reads it.
+    """
+    rows = stash(docs.withColumn(text, normalize(F.coalesce(text, F.lit("")))), "normalized")
     return rows.withColumns({"title": first_line_title(text), "n_words": word_count(text), "n_chars": char_count(text), "n_bytes": byte_count(text)})
 
 
 def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Which documents survive exact and cosmetic deduplication, and why the others do not."""
-    rows = normalized(docs, key, text)
+    rows = normalized(docs.select(key, text), key, text)
     return rows.select(key, "n_words", "n_chars", "n_bytes").join(dedup.exact_and_cosmetic(rows, key, text), key)
 
 
@@ -32,10 +37,10 @@ def run(docs: DataFrame, config: Config | None = None, key: str = "doc_id", grou
     config = config or from_session(docs.sparkSession)
     rows = normalized(docs.select(key, F.col(group), F.col(text)), key, text)
     rows = rows.withColumns({"source_id": source_id("text", text), "reasons": quality.extraction_reasons(text, F.col("title")), "block_page": quality.is_block_page(text)})
-    sources = dedup._written(rows, "sources")
+    sources = stash(rows, "sources")
     skipped = sources.where((F.col("n_words") == 0) | F.col("block_page")).select(key, F.when(F.col("n_words") == 0, "empty").otherwise("block_page").alias("reason"))
     usable = sources.where((F.col("n_words") > 0) & ~F.col("block_page"))
-    decisions = dedup._written(dedup.deduplicate(usable.select(key, text), config, key=key, text=text), "decisions")
+    decisions = stash(dedup.deduplicate(usable.select(key, text), config, key=key, text=text), "decisions")
     kept = usable.join(decisions.where("status <> 'duplicate'").select(key), key, "left_semi")
     plan = packing.plan(packing.admit(kept, config.slots, key, group).where("admitted"), config.words_per_file, config.bytes_per_file, key, group, text)
     no_slot = packing.admit(kept, config.slots, key, group).where("not admitted").select(key, F.lit("no_slot").alias("reason"))

@@ -11,8 +11,9 @@ from corpusloom.config import Config
 from corpusloom.functions import quality as Q
 from corpusloom.functions import text as T
 from corpusloom.functions import urls as U
-from corpusloom.operators import boilerplate, dedup, extract, packing, render, report, subtitles, url_lists
+from corpusloom.operators import boilerplate, dedup, extract, packing, recognition, render, report, subtitles, url_lists
 from corpusloom.plans import corpus
+from corpusloom.session import shared_dir, spread
 from corpusloom.streaming import incremental
 
 QUERIES: dict = {}
@@ -30,7 +31,8 @@ def _query(sql: str | None = None):
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name in ("documents", "pages") else table
 
 
 # what DuckDB writes for word lists, the cosmetic form and the normal form
@@ -263,6 +265,13 @@ def json_properties(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
 
 
+@_query("""WITH s AS (SELECT conv_id, turn, role, CASE WHEN role IS NOT DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 0 ELSE 1 END AS new FROM conversations),
+  r AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS no FROM s) SELECT conv_id, min(turn) AS first, max(turn) AS last, min(role) AS role, count(*) AS times FROM r GROUP BY conv_id, no""")
+def adjacent_runs(spark, sf_dir):
+    turns = _t(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), F.col("role").alias("value"))
+    return recognition.collapse_runs(turns, "conv_id").withColumnRenamed("value", "role")
+
+
 _W, _B = 20_000, 150_000
 
 
@@ -376,12 +385,7 @@ def _stream(spark, sf_dir, name: str) -> DataFrame:
 
 
 def _sink(spark) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        from tempfile import mkdtemp
-
-        folder = "file://" + mkdtemp(prefix="corpusloom-")
-    return f"{folder}/stream/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream/{uuid.uuid4().hex}"
 
 
 @_query("SELECT DISTINCT sha256(text) AS content_hash FROM documents")

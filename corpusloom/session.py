@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -32,3 +33,36 @@ def local_session(name: str = "corpusloom", cores: str = "*", **settings: str) -
     for key, value in (defaults | settings).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it.
+
+    Only a local session without ``spark.checkpoint.dir`` (tests) gets a
+    temporary folder; a cluster without the setting is an error.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+    spark.conf.set("spark.checkpoint.dir", path)
+    return path
+
+
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here.
+
+    The files survive lost executors and stay until the folder is cleared.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stash/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores at least: a table in a file or two would otherwise be read by as many tasks.  Large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

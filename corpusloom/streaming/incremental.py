@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.functions.text import content_hash, cosmetic_key
+from corpusloom.session import stash
 
 
 def pending(inputs: DataFrame, settled: DataFrame, key: str = "source_id") -> DataFrame:
@@ -22,7 +23,7 @@ def settle_batch(new: DataFrame, base: DataFrame, key: str = "doc_id", text: str
     The first new one of equal keys is kept if the base has none.  ``base`` has
     ``cosmetic_key, main_id``, one row for each key.
     """
-    rows = new.select(key, cosmetic_key(F.coalesce(text, F.lit(""))).alias("cosmetic_key"))
+    rows = stash(new.select(key, cosmetic_key(F.coalesce(text, F.lit(""))).alias("cosmetic_key")), "batch")
     first = rows.groupBy("cosmetic_key").agg(F.min(key).alias("first"))
     known = base.select("cosmetic_key", F.col("main_id").alias("settled"))
     out = rows.join(first, "cosmetic_key").join(known, "cosmetic_key", "left")
@@ -103,9 +104,9 @@ def touched_groups(batch: DataFrame, sources: DataFrame, group: str = "group") -
 
 
 def queue_order(requests: DataFrame) -> DataFrame:
-    """Requests with their turn: projects by their first request, each drained before the next."""
+    """Requests ``(project, at, ...)`` in the order of work: projects by their first request, each drained before the next."""
     firsts = requests.groupBy("project").agg(F.min("at").alias("first"))
-    return requests.join(firsts, "project").withColumn("turn", F.dense_rank().over(Window.partitionBy("project").orderBy("at")))
+    return requests.join(firsts, "project").orderBy("first", "project", "at").drop("first")
 
 
 def on_progress(spark, report: Callable[[str, int], None]) -> None:
