@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import bpe, embedding_dedup, exact_dedup, html_extraction, language_id, packing, simhash, suffix_dedup, token_counts, url_filters
+from corpusloom.session import spread
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filters.filter_urls(_read(spark, sf_dir, "pages"))
+    return url_filters.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_groups(_read(spark, sf_dir, "documents"))
+    return exact_dedup.exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
