@@ -11,9 +11,8 @@ at equal offsets.  Only anchors are shuffled, about one for 77 bytes:
 2. Where an anchor occurs twice in different surroundings (the ends of a
    repeated passage), the strings to its right and to its left are sorted by
    deep-shallow sorting and the neighbours' common prefixes tell how far the
-   repeat reaches.  Groups of more than ``GROUP`` surroundings, and anchors
-   that hold over a two-thousandth of all rows, are not gathered: their
-   windows are counted by key instead.
+   repeat reaches.  Anchors with more than ``GROUP``
+   surroundings are not gathered: their windows are counted by key instead.
 3. The spans meet the texts again by document.
 """
 
