@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import UPPER
+from corpusloom.llm.common import UPPER, stash
 
 #: Rules as (verdict, rule); a rule is host suffix plus path prefix.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -75,10 +75,11 @@ def buckets(host: Column, path: Column) -> Column:
 def fit(labelled: DataFrame) -> tuple[float, list[float]]:
     """Intercept and weights; ``labelled`` has ``url`` and ``label`` (1 is unwanted).  Null urls or labels are left out."""
     labelled = labelled.where("url is not null and label is not null").limit(MAX_LABELLED)
-    row = labelled.select("label", buckets(*host_and_path()).alias("on"))
-    there = row.withColumn("map", F.map_from_arrays("on", F.transform("on", lambda _: F.lit(1.0))))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.coalesce(F.try_element_at("map", i), F.lit(0.0)))
-    model = LogisticRegression(maxIter=60, regParam=0.0005, standardization=False).fit(there.select("label", array_to_vector(dense).alias("features")))
+    # written, so that the buckets are a column and not an expression that each element below evaluates anew
+    row = stash(labelled.select("label", buckets(*host_and_path()).alias("on")), "labelled")
+    row = row.repartition(4)
+    dense = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.array_contains(F.col("on"), i).cast("double"))
+    model = LogisticRegression(maxIter=30, regParam=0.0005, standardization=False).fit(row.select("label", array_to_vector(dense).alias("features")))
     return float(model.intercept), [float(w) for w in model.coefficients]
 
 
