@@ -7,6 +7,11 @@ bits has one segment from which every chain of l segments differs by at most
 differs by one bit at most.  One side carries the key, the other its 17
 variants; longer chains and the full distance are checked inside the join.
 Each document makes a fixed number of rows whatever the input's size.
+
+Texts that share four fifths of their shingles lie about ten bits apart, too
+far for a ring of 64 bits.  ``keep_unlike`` therefore looks for candidates by
+bands of minima of the shingles' hashes, drops those whose fingerprints are
+far apart, and compares the shingles of the rest.
 """
 
 from __future__ import annotations
@@ -25,13 +30,20 @@ SEGMENTS = 4
 BITS = 64 // SEGMENTS
 SEED = 42
 _CHUNK = 1 << 16
+#: Minima in a band, and bands: a pair of similarity 0.8 shares no band in one case of 1,400.
+MINIMA, BANDS = 6, 24
+#: Groups of one band up to this size are compared pair by pair.
+GROUP = 16
+#: Fingerprints further apart (five standard deviations at similarity 0.8) are of texts that are less alike; from so many shingles on.
+FAR, MANY = 24, 64
+_FACTORS = np.array([xxhash.xxh64_intdigest(b"%d" % i, SEED) | 1 for i in range(MINIMA * BANDS)], dtype=np.uint64)
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The 64-bit SimHash of one text, signed; 0 for null, empty or blank texts."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """Hashes of the word n-grams of one text, repeats included; of fewer words one of all, of none none."""
     parts = (text or "").encode().lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, "<u8")
     line = b" ".join(parts)
     digest = xxhash.xxh64_intdigest
     if len(parts) < words:
@@ -40,12 +52,21 @@ def fingerprint(text: str | None, words: int = 3) -> int:
         ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
         hashes = [digest(line[a:b], SEED) for a, b in zip(starts[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
-    values, ones = np.array(hashes, dtype="<u8"), np.zeros(64, dtype=np.int64)
+    return np.array(hashes, dtype="<u8")
+
+
+def _votes(values: np.ndarray) -> int:
+    ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(values), _CHUNK):
         ones += np.unpackbits(values[i : i + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(values), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """The 64-bit SimHash of one text, signed; 0 for null, empty or blank texts."""
+    return _votes(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """``doc_id, mark, fp`` for each row of ``docs``; ``mark`` tells texts of one ``doc_id`` apart."""
 
@@ -89,11 +110,8 @@ def near_pairs(prints: DataFrame, distance: int = 3) -> DataFrame:
     return left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & chain & (F.bit_count(differ) <= distance)).select("a", "b")
 
 
-def _linked(docs: DataFrame, words: int, distance: int) -> DataFrame:
-    rows = stash(fingerprints(docs, words), "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("first")
-    prints = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), first), "prints")
-    groups = components(near_pairs(prints.select("fp"), distance), "near")
+def _linked(rows: DataFrame, pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    groups = components(pairs, "near")
     known = prints.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", "first", F.coalesce("component", "fp").alias("component"))
     known = stash(known, "known")
     lows = stash(known.groupBy("component").agg(F.min("low").alias("component_id"), F.min("first").alias("first")), "lows")
@@ -102,6 +120,17 @@ def _linked(docs: DataFrame, words: int, distance: int) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", kept.alias("kept"), "mark")
 
 
+def _prints(rows: DataFrame, *more: str) -> DataFrame:
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("first")
+    return stash(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), first, *[F.min(c).alias(c) for c in more]), "prints")
+
+
+def _linked_by_bits(docs: DataFrame, words: int, distance: int) -> DataFrame:
+    rows = stash(fingerprints(docs, words), "fingerprints")
+    prints = _prints(rows)
+    return _linked(rows, near_pairs(prints.select("fp"), distance), prints)
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, fingerprint, component_id, kept``.
 
@@ -111,14 +140,102 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3) -> DataF
     without id come last).  Other columns are not read; empty tables give empty
     results.
     """
-    return _linked(docs, words, distance).drop("mark")
+    return _linked_by_bits(docs, words, distance).drop("mark")
 
 
 def keep_one(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group of near-duplicates, with all their columns."""
-    kept = _linked(docs, words, distance).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("mark").alias("kept_mark"))
+    return _kept(docs, _linked_by_bits(docs, words, distance))
+
+
+def _kept(docs: DataFrame, linked: DataFrame) -> DataFrame:
+    kept = linked.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("mark").alias("kept_mark"))
     kept = stash(kept, "kept")
     once = kept.distinct()
     out = docs.join(once, docs["doc_id"].eqNullSafe(once["kept_id"]) & (F.xxhash64(docs["text"]) == once["kept_mark"]), "left_semi")
     repeated = not kept.groupBy("kept_id", "kept_mark").count().where("count > 1").isEmpty()
     return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+
+
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    """``doc_id, mark, fp, bits, n, bands``: a hash of the set of shingles, its SimHash and size, and a key for each band of minima."""
+
+    def sketch(text: str | None) -> tuple[int, int, int, list[int]]:
+        values = shingle_hashes(text, words)
+        own = np.unique(values)
+        if not len(own):
+            return 0, 0, 0, []
+        low = np.full(MINIMA * BANDS, np.iinfo(np.uint64).max, np.uint64)
+        for i in range(0, len(own), 1024):
+            low = np.minimum(low, (own[i : i + 1024, None] * _FACTORS).min(axis=0))
+        bands = [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(low.reshape(BANDS, MINIMA))]
+        signed = np.array([xxhash.xxh64_intdigest(own.tobytes(), SEED), *bands], "<u8").view("<i8").tolist()
+        return signed[0], _votes(values), len(own), signed[1:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, bits, n, bands = zip(*(sketch(t.as_py()) for t in batch["text"])) if batch.num_rows else ((), (), (), ())
+            columns = [pa.array(fp, pa.int64()), pa.array(bits, pa.int64()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["mark"], *columns], ["doc_id", "mark", "fp", "bits", "n", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, fp long, bits long, n long, bands array<long>")
+
+
+def _candidates(groups: DataFrame, turn: int) -> DataFrame:
+    """Pairs ``a < b`` of ``groups(key, node, n, low)``: all of a small group, of a larger one those with its least node and those dealt together."""
+    part = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / GROUP))
+    dealt = groups.select("key", "node", part.alias("part"))
+    near = dealt.join(dealt.withColumnRenamed("node", "b"), ["key", "part"]).where(F.col("node") < F.col("b")).select(F.col("node").alias("a"), "b")
+    return near.unionByName(groups.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))).distinct()
+
+
+def _alike(pairs: DataFrame, docs: DataFrame, prints: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The ``pairs`` whose sets of shingles have a Jaccard similarity of ``similarity`` at least."""
+    of = lambda side: prints.select(F.col("fp").alias(side), F.col("bits").alias(f"bits_{side}"), F.col("n").alias(f"n_{side}"))
+    sizes = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
+    close = (F.least("n_a", "n_b") < MANY) | (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= FAR)
+    pairs = stash(pairs.join(of("a"), "a").join(of("b"), "b").where(sizes & close).select("a", "b"), "candidates")
+    needed = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    marks = prints.join(needed, "fp").select("fp", F.col("first.doc_id").alias("id"), F.col("first.mark").alias("of"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").join(marks, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("of")))
+    texts = stash(texts.select("fp", "text").dropDuplicates(["fp"]), "texts")
+    both = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("first")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("second")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            right = []
+            for x, y in zip(batch["first"], batch["second"]):
+                x, y = (np.unique(shingle_hashes(t.as_py(), words)) for t in (x, y))
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                right.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(right, pa.bool_()))
+
+    return stash(both.select("a", "b", "first", "second").mapInArrow(run, "a long, b long"), "alike")
+
+
+def similar_pairs(docs: DataFrame, rows: DataFrame, prints: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links ``a, b`` between the distinct ``prints.fp``.
+
+    Groups of a band with over ``GROUP`` members are not paired in full: of the
+    classes found so far one member stays, and such groups are dealt anew until
+    a turn brings no more links.
+    """
+    keys = stash(rows.select(F.explode("bands").alias("key"), F.col("fp").alias("node")).distinct(), "bands")
+    links, turn = None, 0
+    while True:
+        sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"))
+        groups = stash(keys.join(sizes.where(f"n > {1 if not turn else GROUP}"), "key"), "groups")
+        found = _alike(_candidates(groups, turn), docs, prints, words, similarity)
+        links = found if links is None else links.unionByName(found)
+        large = groups.where(F.col("n") > GROUP)
+        if found.isEmpty() or large.isEmpty():
+            return links
+        later = components(links, "so-far").where("node <> component").select("node")
+        keys, turn = stash(large.join(later, "node", "left_anti").select("key", "node"), "bands"), turn + 1
+
+
+def keep_unlike(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stay, one of each group linked by Jaccard similarities of word shingles, with all their columns."""
+    rows = stash(sketches(docs, words), "sketches")
+    prints = _prints(rows, "bits", "n")
+    return _kept(docs, _linked(rows, similar_pairs(docs, rows, prints, words, similarity), prints))
