@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.session import stash
+
 STATUSES = "pending fetched extracted normalised duplicate packed skipped error".split()
 
 
@@ -52,10 +54,16 @@ def verified(sources: DataFrame) -> DataFrame:
 
 
 def possible_duplicates(decisions: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``main_id, n, members``: review cases by the source that they resemble; members as a sorted array of their ids."""
+    """``main_id, n, first, best``: how many review cases resemble a source, the least of their ids and their best score."""
     return decisions.where("status = 'review'").groupBy("main_id").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"), F.max("score").alias("best"))
 
 
+def possible_duplicate_members(decisions: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``main_id, key, score, n``: one row for each review case, with the number of cases that resemble the same source."""
+    review = stash(decisions.where("status = 'review'").select("main_id", key, "score"), "review")
+    return review.join(possible_duplicates(review.withColumn("status", F.lit("review")), key).select("main_id", "n"), "main_id").select("main_id", key, "score", "n")
+
+
 def to_check(sources: DataFrame, decisions: DataFrame, key: str = "source_id") -> DataFrame:
     """Sources that need a look and were not verified: suspicious, with warnings, or possible duplicates."""
     review = decisions.where("status = 'review'").select(key, F.lit(True).alias("possible_duplicate"))

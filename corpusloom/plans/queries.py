@@ -137,7 +137,7 @@ def dedup_new_against_base(spark, sf_dir):
 
 @_query()
 def possible_duplicates(spark, sf_dir):
-    return report.possible_duplicates(dedup.deduplicate(_t(spark, sf_dir, "documents")))
+    return report.possible_duplicate_members(dedup.deduplicate(_t(spark, sf_dir, "documents")))
 
 
 @_query(f"""WITH k AS (SELECT doc_id, source, sha256({_COSMETIC.format('text')}) AS c FROM documents),
