@@ -1,16 +1,22 @@
-"""Main text of web pages: markup roles, and a suffix array for what a host's pages repeat.
-
-Markup tells the article, and menus, adverts and other parts that are none.
-What is in neither (blocks outside an article that no role marks) is judged by
-repetition: the token streams of a host's pages are concatenated, their
-suffixes are ranked by prefix doubling to ``RUN`` tokens, and blocks mostly
-covered by runs that other pages have as well are dropped.  Marked parts take
-part in the streams as evidence.  An article's own blocks always stay, even
-where articles share passages.
-
-Hosts with over a thousandth of all pages (a thousand hosts at most) are dealt
-to several tasks; tasks rank ``PAGES`` pages of a host at a time, in the order
-of a hash of ``page_id``, so that memory does not grow with the host.
+"""Main text of web pages: a suffix array of what a host's pages share, and markup where that leaves it open.
+
+Pages are parsed into blocks.  The token streams of a host's pages are
+concatenated and their suffixes ranked by prefix doubling.  A token is covered
+by a repeated substring of ``RUN`` tokens or more exactly if one of ``RUN``
+tokens that is repeated covers it, so ranking to that depth finds all long
+substrings that distinct pages share, whatever their length.  Pages of equal
+content are one page here: copies of a page do not make it boilerplate.
+
+* Blocks outside articles that are mostly covered go; unique runs stay.
+* Blocks of an article go where nine tenths of the host's pages (of
+  ``SITE_WIDE`` at least) have them; what some articles share stays.
+* Markup breaks ties: marked parts (menus, adverts, comments and so on) go even
+  if nothing repeats them, and a page's unmarked blocks give way to its article
+  unless the blocks that nothing repeats are four times as long.
+
+A host's pages are dealt to lots of ``LOT`` pages, so that tasks hold little
+and no host is one group.  Lots of one host exchange the runs that they have:
+results do not depend on how pages are dealt.
 """
 
 from __future__ import annotations
@@ -21,178 +27,345 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import stash
 from corpusloom.llm.url_filters import host_and_path
 
-#: Tokens of a run that counts as repeated (a power of two), and pages ranked together.
-RUN, PAGES = 8, 1024
-HOT = 0.001
-
-_RAW = "script style noscript template iframe object svg canvas math select textarea button title xmp"
-_TOKENS = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    rf"|<({'|'.join(_RAW.split())})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?][^>]*>|([^<]+|<)",
-    re.DOTALL | re.IGNORECASE,
-)
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Tokens of a run that counts as repeated (a power of two); pages and tokens of a lot.
+RUN, LOT, LOT_TOKENS = 8, 128, 1 << 18
+#: Pages of a host from which on what nine tenths of them have in their articles is boilerplate.
+SITE_WIDE = 20
+
+#: Elements whose content is text and no markup, in the end tag's pattern.
+_RAW = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in "script style iframe xmp noembed noframes textarea title".split()}
+#: A quote counts after an equals sign only; nothing here is tried twice.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+)>")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose ends are often left out; they break blocks and hold no state.
-_LOOSE = frozenset("p li dt dd tr td th thead tbody tfoot option optgroup colgroup caption h1 h2 h3 h4 h5 h6".split())
-_DROPPED = frozenset("head nav footer aside form menu dialog".split())
+#: Inside a line of text, but no part of it.
+_MUTE = frozenset("button select svg math canvas object".split())
+_CELLS = frozenset("td th tr tbody thead tfoot".split())
+_ROWS = frozenset("tr tbody thead tfoot".split())
+_BREAKS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+#: Elements whose ends are often left out, and what ends them.
+_ENDED_BY = {
+    "p": _BREAKS_P, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "td": _CELLS, "th": _CELLS, "tr": _ROWS,
+    "tbody": _ROWS - {"tr"}, "thead": _ROWS - {"tr"}, "option": frozenset({"option", "optgroup"}), "optgroup": frozenset({"optgroup"}),
+}
+_DROPPED = frozenset("head nav footer aside menu dialog noscript template".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar".split())
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notice|popup|modal|overlay|"
-    r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|masthead|comments?|respond|disqus|related|share|sharing|social|newsletter|subscribe|subscription|pagination|pager)(?:$|[\s_-])",
-    re.IGNORECASE,
+_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification popup modal overlay "
+    "nav navbar navigation menu toolbar breadcrumb breadcrumbs sidebar footer masthead comment comments respond disqus related share sharing social newsletter subscribe subscription pagination pager".split()
 )
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.IGNORECASE)
+_TOP_NAMES = frozenset("header topbar".split())
+_ARTICLE_NAMES = frozenset("ad ads advert sponsored promo comment comments related".split())
+#: Names such as ``has-sidebar`` tell of a page's layout.
+_LAYOUT = frozenset("has no not with without".split())
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+_HUMP = re.compile(r"([a-z])([A-Z])")
 
 OPEN, ARTICLE, MARKED = 0, 1, 2
+#: How firmly a part is marked: an article inside a form is still one, inside a sidebar it is not.
+_SOFT, _HARD = 1, 2
 
 
-def _marked(name: str, attributes: str, inside: bool) -> bool:
-    if name in _DROPPED or (name == "header" and not inside):
-        return True
-    if not attributes.strip():
-        return False
-    values = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
-    if name not in ("html", "body", "article", "main") and _NAMES.search(f"{values.get('class', '')} {values.get('id', '')}"):
-        return True
-    return values.get("role", "").lower() in _ROLES or bool(_HIDDEN.search(attributes) and name not in ("html", "body"))
+def _mark(name: str, values: dict[str, str], inside: bool) -> int:
+    if name in _DROPPED or name in _MUTE or (name == "header" and not inside):
+        return _HARD
+    if name not in ("html", "body"):
+        if values:
+            names = _ARTICLE_NAMES if name in ("article", "main") else _NAMES if inside else _NAMES | _TOP_NAMES
+            for given in f"{values.get('class', '')} {values.get('id', '')}".split():
+                parts = set(re.split("[-_]+", _HUMP.sub(r"\1-\2", given).lower()))
+                if parts & names and not parts & _LAYOUT:
+                    return _HARD
+            if values.get("role", "").lower() in _ROLES or "hidden" in values or "display:none" in re.sub(r"\s", "", values.get("style", "")).lower():
+                return _HARD
+        if name == "form":
+            return _SOFT
+    return 0
 
 
 def blocks(page: str | None) -> list[tuple[int, str]]:
-    """The blocks of a page in order: (OPEN, ARTICLE or MARKED, text)."""
+    """The blocks of a page in order: (OPEN, ARTICLE or MARKED, text).  Its time is linear in the page, however broken."""
+    page = page or ""
     found: list[tuple[int, str]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, marked, article; with what stands above
+    stack: list[tuple[str, int, bool, bool]] = []  # name, mark, article, mute; with what stands above
+    opened: dict[str, int] = {}
     held: list[str] = []
-    marked = article = False
+    mark, article, mute = 0, False, False
+    unclosed: set[str] = set()
+    tag, at, end = _TAG, 0, len(page)
 
     def close() -> None:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if text:
-                found.append((MARKED if marked else ARTICLE if article else OPEN, text))
+                found.append((MARKED if mark else ARTICLE if article else OPEN, text))
 
-    for m in _TOKENS.finditer(page or ""):
-        text = m[5]
-        if text is not None:
-            held.append(text)
+    def pop() -> None:
+        opened[stack.pop()[0]] -= 1
+
+    while at < end:
+        start = page.find("<", at)
+        if start < 0:
+            start = end
+        if start > at and not mute:
+            held.append(page[at:start])
+        if start == end:
+            break
+        if page.startswith("<!--", start):
+            at = page.find("-->", start + 2) + 3
+            if at < 3:
+                break
             continue
-        name = m[3]
-        if name is None:
+        follows = page[start + 1 : start + 3]
+        if follows[:1] in ("!", "?") or (follows[:1] == "/" and len(follows) == 2 and not follows[1].isalpha()):
+            at = page.find(">", start) + 1
+            if not at:
+                break
             continue
-        name = name.lower()
-        if name in _INLINE:
-            if name == "br":
-                held.append(" ")
-            if name != "span" and name != "a" or not m[4]:
+        m = tag.match(page, start)
+        if m is None:
+            letter = follows[1:] if follows[:1] == "/" else follows[:1]
+            if not (letter.isascii() and letter.isalpha()):
+                if not mute:
+                    held.append("<")
+                at = start + 1
                 continue
-            if m[2] or not _marked(name, m[4], article):
+            # no end of the tag outside quotes up to the end of the page: from here on quotes mean nothing
+            tag = _PLAIN_TAG
+            m = tag.match(page, start)
+            if m is None:
+                break
+        at, name = m.end(), m[2].lower()
+        if m[1]:
+            if name == "br" or (name in _INLINE and not opened.get(name)):
                 continue
-        close()
-        if name in _VOID or name in _LOOSE:
+            if not opened.get(name):
+                if name not in _INLINE and not mute:
+                    close()
+                continue
+            if not mute:
+                close()
+            while stack[-1][0] != name:
+                pop()
+            pop()
+            _, mark, article, mute = stack[-1] if stack else ("", 0, False, False)
+            continue
+        if name in _RAW and name not in unclosed:
+            ending = _RAW[name].search(page, at)
+            if ending is not None:
+                at = page.find(">", ending.end()) + 1 or end
+            elif name in ("textarea", "title"):
+                unclosed.add(name)
+            else:
+                break
             continue
-        if m[2]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if at is not None:
-                del stack[at:]
-                marked, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        elif name not in _INLINE and not m[4].endswith("/"):
-            is_article = name in ("article", "main") or 'role="main"' in m[4]
-            marked, article = marked or _marked(name, m[4], article), article or is_article
-            stack.append((name, marked, article))
+        values = {k.lower(): a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(m[3])} if m[3].strip() else {}
+        if name in _INLINE or name in _MUTE:
+            if name == "br" and not mute:
+                held.append(" ")
+            muted = mute or name in _MUTE or (bool(values) and name not in _VOID and not mark and _mark(name, values, article) > 0)
+            if muted and name not in _VOID and not (name in _MUTE and m[3].endswith("/")):
+                stack.append((name, mark, article, True))
+                opened[name] = opened.get(name, 0) + 1
+                mute = True
+            continue
+        if not mute:
+            close()
+        while stack and name in _ENDED_BY.get(stack[-1][0], ()):
+            pop()
+            _, mark, article, mute = stack[-1] if stack else ("", 0, False, False)
+        if name in _VOID or m[3].endswith("/"):
+            continue
+        main = name == "main" or values.get("role", "").lower() == "main"
+        own = _mark(name, values, article)
+        above = 0 if main or (name == "article" and mark == _SOFT) else mark
+        mark, article = max(above, own), article or main or name == "article"
+        stack.append((name, mark, article, mute))
+        opened[name] = opened.get(name, 0) + 1
     close()
     return found
 
 
-def repeated(streams: list[np.ndarray], run: int = RUN) -> list[np.ndarray]:
-    """For each stream of token numbers the tokens that a run of ``run`` tokens covers which another stream has too."""
-    sizes = np.array([len(s) for s in streams])
+def runs(streams: list[np.ndarray], run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of the suffixes of ``streams`` that have ``run`` tokens: (class, stream, position) of each; equal runs have equal classes."""
+    sizes = np.array([len(s) for s in streams], np.int64)
     total = int(sizes.sum())
-    if total == 0 or len(streams) < 2:
-        return [np.zeros(len(s), bool) for s in streams]
+    if not total:
+        return (np.empty(0, np.int64),) * 3
     tokens, page = np.concatenate(streams), np.repeat(np.arange(len(streams)), sizes)
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(total)  # tokens up to the end of the stream
+    at = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    left = sizes[page] - at  # tokens up to the end of the stream
     rank, width = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1, 1
-    while width < run:  # ranks of the suffixes by their first 2 * width tokens
+    while width < min(run, total):  # ranks of the suffixes by their first 2 * width tokens
         behind = np.zeros(total, np.int64)
         behind[: total - width] = rank[width:]
         behind[left <= width] = 0
         rank, width = np.unique(rank * (total + 2) + behind, return_inverse=True)[1].astype(np.int64) + 1, 2 * width
-    order = np.argsort(rank, kind="stable")
-    edges = np.flatnonzero(np.concatenate(([True], rank[order][1:] != rank[order][:-1])))
-    lows, highs = np.minimum.reduceat(page[order], edges), np.maximum.reduceat(page[order], edges)
-    twice = np.empty(total, bool)
-    twice[order] = np.repeat(lows != highs, np.diff(np.concatenate((edges, [total]))))
-    starts = np.flatnonzero(twice & (left >= run))
-    change = np.zeros(total + 1, np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + run, -1)
-    return np.split(np.cumsum(change[:-1]) > 0, np.cumsum(sizes)[:-1])
+    long = left >= run
+    return rank[long], page[long], at[long]
+
+
+def _extremes(classes: np.ndarray, contents: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each class one of its places, its least and greatest content; and the number of the class of each place."""
+    order = np.argsort(classes, kind="stable")
+    edges = np.flatnonzero(np.concatenate(([True], classes[order][1:] != classes[order][:-1]))) if len(order) else np.empty(0, np.int64)
+    number = np.empty(len(classes), np.int64)
+    number[order] = np.repeat(np.arange(len(edges)), np.diff(np.concatenate((edges, [len(classes)]))))
+    if not len(edges):
+        return edges, contents, contents, number
+    return order[edges], np.minimum.reduceat(contents[order], edges), np.maximum.reduceat(contents[order], edges), number
+
+
+def _covered(streams: list[np.ndarray], page: np.ndarray, at: np.ndarray, run: int) -> list[np.ndarray]:
+    """The tokens of each stream that runs at these places cover."""
+    out = []
+    bounds = np.searchsorted(page, np.arange(len(streams) + 1))
+    for i, stream in enumerate(streams):
+        change = np.zeros(len(stream) + 1, np.int64)
+        starts = at[bounds[i] : bounds[i + 1]]
+        np.add.at(change, starts, 1)
+        np.add.at(change, starts + run, -1)
+        out.append(np.cumsum(change[:-1]) > 0)
+    return out
+
+
+def repeated(streams: list[np.ndarray], contents: np.ndarray, run: int = RUN) -> list[np.ndarray]:
+    """For each stream of tokens those that a run of ``run`` tokens or more covers which a stream of other content has too."""
+    classes, page, at = runs(streams, run)
+    _, low, high, number = _extremes(classes, contents[page])
+    twice = (low != high)[number]
+    return _covered(streams, page[twice], at[twice], run)
+
+
+def _keys(streams: list[np.ndarray], page: np.ndarray, at: np.ndarray, run: int) -> np.ndarray:
+    """The 64-bit names by which lots know runs."""
+    starts = np.cumsum([0, *map(len, streams)])[page] + at
+    tokens, key = np.concatenate(streams).view(np.uint64), np.zeros(len(starts), np.uint64)
+    for i in range(run):
+        key = (key ^ tokens[starts + i]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+_PARSED = "row long, page_id long, url string, host string, kinds array<byte>, texts array<string>, words array<long>, sizes array<int>, marks array<long>, content long"
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds, texts = pa.list_(pa.int8()), pa.list_(pa.string())
+    digest = xxhash.xxh3_64_intdigest
+    names = [c.split()[0] for c in _PARSED.split(", ")]
+    kinds = (pa.list_(pa.int8()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64())
     for batch in batches:
-        parsed = [blocks(page.as_py()) for page in batch["html"]]
-        columns = [pa.array([[k for k, _ in p] for p in parsed], kinds), pa.array([[t for _, t in p] for p in parsed], texts)]
-        yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], batch["host"], *columns], ["page_id", "url", "host", "kinds", "texts"])
+        rows = []
+        for page in batch["html"]:
+            parsed = blocks(page.as_py())
+            outside = [t.split() for k, t in parsed if k != ARTICLE]
+            rows.append((
+                [k for k, _ in parsed], [t for _, t in parsed], [_signed(digest(w)) for words in outside for w in words], [len(t.split()) for _, t in parsed],
+                [_signed(digest(t, 1)) for k, t in parsed if k == ARTICLE], _signed(digest("\n".join(t for _, t in parsed), 2)),
+            ))
+        columns = list(zip(*rows)) or [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([batch["row"], batch["page_id"], batch["url"], batch["host"], *(pa.array(c, k) for c, k in zip(columns, kinds))], names)
 
 
-def _judge(batches: Iterator[pa.RecordBatch], run: int, pages: int) -> Iterator[pa.RecordBatch]:
-    """Texts of pages that come sorted by host."""
-    held: list[tuple] = []
+def _lists(table: pa.Table, name: str) -> list[np.ndarray]:
+    column = table[name].combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.split(flat, np.cumsum(ends)[:-1])
 
-    def settle() -> pa.RecordBatch:
-        numbers: dict[str, int] = {}
-        streams = [np.fromiter((numbers.setdefault(w, len(numbers)) for k, t in zip(kinds, texts) if k != ARTICLE for w in t.split()), np.int64) for _, _, _, kinds, texts in held]
-        rows = []
-        for (page_id, url, _, kinds, texts), covered in zip(held, repeated(streams, run)):
-            kept, at = [], 0
-            for kind, text in zip(kinds, texts):
-                if kind == ARTICLE:
-                    kept.append(text)
-                    continue
-                size = len(text.split())
-                if kind == OPEN and ARTICLE not in kinds and 2 * covered[at : at + size].sum() < size:
-                    kept.append(text)
-                at += size
-            text = "\n".join(kept)
-            rows.append((page_id, url, text, len(text)))
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.string(), pa.string(), pa.int64()))], ["page_id", "url", "text", "n_chars"])
 
-    for batch in batches:
-        for row in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "host", "kinds", "texts"))):
-            if held and (row[2] != held[-1][2] or len(held) >= pages):
-                yield settle()
-            held.append(row)
-    if held:
-        yield settle()
+_RUNS = "host string, lot int, key long, pages long, low long, high long, n long"
+
+
+def _lot_runs(table: pa.Table, run: int) -> pa.Table:
+    """What a lot of a host with several tells the others: its runs outside articles, and its articles' blocks (``n`` pages have it)."""
+    names = [c.split()[0] for c in _RUNS.split(", ")]
+    kinds = [pa.string(), pa.int32(), *[pa.int64()] * 5]
+    if not table.num_rows or table["lots"][0].as_py() < 2:
+        return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
+    streams, contents = _lists(table, "words"), table["content"].to_numpy()
+    classes, page, at = runs(streams, run)
+    one, low, high, _ = _extremes(classes, contents[page])
+    keys = _keys(streams, page[one], at[one], run) if len(one) else np.empty(0, np.int64)
+    marks, counts = np.unique(np.concatenate([np.unique(m) for m in _lists(table, "marks")]), return_counts=True)
+    size, none = len(keys) + len(marks), np.zeros(len(marks), np.int64)
+    columns = [
+        [table["host"][0].as_py()] * size, [table["lot"][0].as_py()] * size, np.concatenate((keys, marks)), np.full(size, table["pages"][0].as_py()),
+        np.concatenate((low, none)), np.concatenate((high, none)), np.concatenate((np.zeros(len(keys), np.int64), counts)),
+    ]
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+
+_DECIDED = "decided long, stays array<boolean>, n_repeated long"
+
+
+def decide(kinds: list[int], sizes: list[int], covered: np.ndarray, site_wide: list[bool]) -> list[bool]:
+    """Which blocks of a page stay; ``covered`` are its tokens outside articles, ``site_wide`` its article's blocks."""
+    unique, of_article, at, articles = [], 0, 0, iter(site_wide)
+    for kind, size in zip(kinds, sizes):
+        if kind == ARTICLE:
+            unique.append(not next(articles))
+            of_article += size
+        else:
+            unique.append(2 * int(covered[at : at + size].sum()) < size)
+            at += size
+    alone = sum(size for kind, size, once in zip(kinds, sizes, unique) if kind == OPEN and once)
+    give_way = ARTICLE in kinds and alone <= 4 * of_article
+    return [once and kind != MARKED and not (kind == OPEN and give_way) for kind, once in zip(kinds, unique)]
+
+
+def _decide(table: pa.Table, known: pa.Table, run: int) -> pa.Table:
+    """The verdicts on the pages of a lot; ``known`` are the host's repeated runs and site-wide blocks, if it has several lots."""
+    streams, marks, contents = _lists(table, "words"), _lists(table, "marks"), table["content"].to_numpy()
+    if table["lots"][0].as_py() < 2:
+        covered = repeated(streams, contents, run)
+        every, counts = np.unique(np.concatenate([np.unique(m) for m in marks]), return_counts=True)
+        wide = every[(10 * counts >= 9 * table.num_rows) & (table.num_rows >= SITE_WIDE)]
+    else:
+        keys = known["key"].to_numpy()
+        classes, page, at = runs(streams, run)
+        twice = np.isin(_keys(streams, page, at, run), keys) if len(at) else np.empty(0, bool)
+        covered, wide = _covered(streams, page[twice], at[twice], run), keys
+    rows = []
+    for row, kinds, sizes, mark, cover in zip(table["row"].to_pylist(), table["kinds"].to_pylist(), table["sizes"].to_pylist(), marks, covered):
+        rows.append((row, decide(kinds, sizes, cover, np.isin(mark, wide).tolist()), int(cover.sum())))
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.list_(pa.bool_()), pa.int64()))], names=["decided", "stays", "n_repeated"])
 
 
-def extract(pages: DataFrame, run: int = RUN, together: int = PAGES) -> DataFrame:
-    """One row for each row of ``pages``: ``page_id, url, text, n_chars``.
+def extract(pages: DataFrame, run: int = RUN, lot: int = LOT) -> DataFrame:
+    """One row for each row of ``pages``: ``page_id, url, text, n_chars, n_repeated``.
 
     The whole html is read; null counts as empty.  White space inside a block
-    becomes one space, blocks are joined by line feeds.  Pages of null or bad
-    urls form one host.  Repeated rows are pages of their own; other columns
-    are not read.
+    becomes one space, blocks are joined by line feeds.  ``n_repeated`` are the
+    words outside articles that runs shared with other pages of the host cover.
+    Pages of null or bad urls form one host.  Repeated rows are pages of their
+    own and equal ones have equal results; other columns are not read.
     """
     host, _ = host_and_path()
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html")
-    counts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    total = pages.count()
-    hot = counts.where(F.col("n") > max(together, total * HOT)).select("host", F.ceil(F.col("n") / together).cast("int").alias("parts"))
-    parsed = rows.mapInArrow(_parse, "page_id long, url string, host string, kinds array<byte>, texts array<string>")
-    spread = F.xxhash64("page_id", "url")
-    dealt = parsed.join(F.broadcast(hot), "host", "left").withColumn("part", F.pmod(spread, F.coalesce("parts", F.lit(1)))).withColumn("spread", spread)
-    dealt = dealt.repartition("host", "part").sortWithinPartitions("host", "part", "spread").select("page_id", "url", "host", "kinds", "texts")
-    return dealt.mapInArrow(lambda b: _judge(b, run, together), "page_id long, url string, text string, n_chars long")
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html")
+    parsed = stash(rows.mapInArrow(_parse, _PARSED), "parsed")
+    sizes = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.size("words")).alias("tokens"))
+    sizes = sizes.select("host", "pages", F.greatest(F.ceil(F.col("pages") / lot), F.ceil(F.col("tokens") / LOT_TOKENS), F.lit(1)).cast("int").alias("lots"))
+    dealt = parsed.select("row", "host", "kinds", "sizes", "words", "marks", "content", F.xxhash64("page_id", "url").alias("spread")).join(sizes, "host")
+    dealt = dealt.withColumn("lot", F.pmod("spread", "lots").cast("int")).drop("spread")
+    own = stash(dealt.where("lots > 1").groupBy("host", "lot").applyInArrow(lambda t: _lot_runs(t, run), _RUNS), "runs")
+    every = own.groupBy("host", "key").agg(F.max("pages").alias("pages"), F.min(F.when(F.col("n") == 0, F.col("low"))).alias("low"), F.max(F.when(F.col("n") == 0, F.col("high"))).alias("high"), F.sum("n").alias("n"))
+    every = stash(every.where((F.col("low") != F.col("high")) | (F.col("n") > 0) & (10 * F.col("n") >= 9 * F.col("pages")) & (F.col("pages") >= SITE_WIDE)).select("host", "key"), "shared")
+    known = own.select("host", "lot", "key").join(every, ["host", "key"])
+    decided = dealt.groupBy("host", "lot").cogroup(known.groupBy("host", "lot")).applyInArrow(lambda a, b: _decide(a, b, run), _DECIDED)
+    out = parsed.select("row", "page_id", "url", "texts").join(decided, F.col("row") == F.col("decided"))
+    text = F.array_join(F.filter("texts", lambda t, i: F.element_at("stays", i + 1)), "\n")
+    return out.select("page_id", "url", text.alias("text"), "n_repeated").withColumn("n_chars", F.length("text").cast("long")).select("page_id", "url", "text", "n_chars", "n_repeated")

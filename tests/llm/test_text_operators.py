@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -108,20 +109,32 @@ def test_token_counts(spark):
 def test_html_blocks():
     page = """<html><head><title>T</title></head><body><header>Site</header><nav><ul><li>a</ul></nav><div class="cookie-notice">Cookies</div>
       <article><header><h1>A &amp; B</h1></header><p><b>One <br>two<p>Three<!-- x --><script>var a = "</p>";</script> four</p><aside>side</aside><div class="comments"><p>first!</p></div><form><input>go</form>
-      <div class="adjacent">ok</div><p hidden>no</p></article><footer>f</footer>"""
-    assert [t for k, t in html_extraction.blocks(page) if k == html_extraction.ARTICLE] == ["A & B", "One two", "Three four", "ok", "no"]
+      <p class="ad">buy<p>five <span class="sponsored">by <span>X</span></span> six<ul><li class="cookie">c<li>seven</ul><table><tr><td class="sidebar">no<td>eight</table>
+      <div class="adjacent has-sidebar">ok</div><p hidden>no</p><article class="comment"><p>me too</p></article></article><footer>f</footer>"""
+    assert [t for k, t in html_extraction.blocks(page) if k == html_extraction.ARTICLE] == ["A & B", "One two", "Three four", "five six", "seven", "eight", "ok"]
     assert html_extraction.blocks(None) == html_extraction.blocks("") == []
+    assert html_extraction.blocks("<form><div><article><p>a<p>b</article></div></form>") == [(html_extraction.ARTICLE, "a"), (html_extraction.ARTICLE, "b")]
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    for piece in ("<a x", '<a "', '<a x="', '<a x=">" ', "<", "<!--", "<title>", "<div></section>", "<li><ul><div></li>", "<svg>", "<p class='ad'>", "&", '<b class="ad">'):
+        begun = time.process_time()
+        html_extraction.blocks(piece * ((1 << 20) // len(piece)))
+        assert time.process_time() - begun < 5, piece
 
 
 def test_repeated_runs_agree_with_counting():
     random.seed(8)
     for _ in range(50):
         streams = [np.array(random.choices(range(3), k=random.randrange(30)), np.int64) for _ in range(random.randrange(1, 6))]
+        contents = np.array([random.randrange(4) for _ in streams], np.int64)
         seen = {}
         for n, s in enumerate(streams):
             for i in range(len(s) - 3):
-                seen.setdefault(tuple(s[i : i + 4]), set()).add(n)
-        for s, covered in zip(streams, html_extraction.repeated(streams, 4)):
+                seen.setdefault(tuple(s[i : i + 4]), set()).add(contents[n])
+        for s, covered in zip(streams, html_extraction.repeated(streams, contents, 4)):
             want = np.zeros(len(s), bool)
             for i in range(len(s) - 3):
                 if len(seen[tuple(s[i : i + 4])]) > 1:
@@ -129,14 +142,59 @@ def test_repeated_runs_agree_with_counting():
             assert (covered == want).all()
 
 
+def extracted(pages):
+    """The operator's rules by counting runs of words in dictionaries."""
+    from collections import Counter, defaultdict
+
+    hosts = defaultdict(list)
+    for page_id, url, page in pages:
+        hosts[re.match("[^/?#]*", (url or "").partition("://")[2])[0].lower()].append((page_id, html_extraction.blocks(page)))
+    out = {}
+    for rows in hosts.values():
+        seen, having = defaultdict(set), Counter()
+        streams = [[w for k, t in parsed if k != html_extraction.ARTICLE for w in t.split()] for _, parsed in rows]
+        for (_, parsed), words in zip(rows, streams):
+            having.update({t for k, t in parsed if k == html_extraction.ARTICLE})
+            for i in range(len(words) - 7):
+                seen[tuple(words[i : i + 8])].add(tuple(t for _, t in parsed))
+        for (page_id, parsed), words in zip(rows, streams):
+            covered = {i + j for i in range(len(words) - 7) if len(seen[tuple(words[i : i + 8])]) > 1 for j in range(8)}
+            at, once = 0, []
+            for kind, text in parsed:
+                size = len(text.split())
+                if kind == html_extraction.ARTICLE:
+                    once.append(len(rows) < html_extraction.SITE_WIDE or having[text] < 0.9 * len(rows))
+                else:
+                    once.append(2 * len(covered & set(range(at, at + size))) < size)
+                    at += size
+            size_of = lambda kind, all_of: sum(len(t.split()) for (k, t), u in zip(parsed, once) if k == kind and (u or all_of))
+            alone = any(k == html_extraction.ARTICLE for k, _ in parsed) and size_of(html_extraction.OPEN, False) <= 4 * size_of(html_extraction.ARTICLE, True)
+            out[page_id] = "\n".join(t for (k, t), u in zip(parsed, once) if u and (k == html_extraction.ARTICLE or k == html_extraction.OPEN and not alone))
+    return out
+
+
 def test_html_extraction(spark):
-    shared = "<div>Subscribe to our daily letter and never miss a story again</div>"
-    page = lambda i: f"<body>{shared}<div>{' '.join(f'word{i}x{j}' for j in range(12))}</div></body>"
-    rows = [(i, f"http://h.example.com/{i}", page(i)) for i in range(4)] + [(9, None, "<article><p>x &lt; y</p></article>"), (10, "http://h.example.com/4", None), (11, "http://other.org", page(1))]
-    got = {r["page_id"]: r["text"] for r in html_extraction.extract(spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, kinds string")).collect()}
-    assert got[2] == " ".join(f"word2x{j}" for j in range(12)) and got[9] == "x < y" and got[10] == ""
-    assert got[11].startswith("Subscribe")  # alone on its host
-    assert html_extraction.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    random.seed(12)
+    words = lambda n: " ".join(random.choices([f"w{i}" for i in range(4000)], k=n))
+    shared = [f"<div>{words(12)}</div>" for _ in range(3)]
+    letter, passage = f"<p>{words(9)}</p>", words(60)
+    rows = []
+    for i in range(300):  # silent markup: what the pages share goes, in whatever lots they are
+        rows.append((i, f"http://Big.example.com/{i}", f"<body>{random.choice(shared)}<div>{words(20)}</div>{shared[0] if i % 3 else ''}</body>"))
+    for i in range(300, 400):  # the site's letter stands in every article, a passage in a third of them
+        rows.append((i, f"http://mid.example.com/{i}", f"<nav>{words(3)}</nav><article><p>{words(15)}</p>{letter}{'<p>' + passage + '</p>' if i % 3 else ''}</article><div>{words(5)}</div><footer>{passage}</footer>"))
+    rows += [(i, f"http://small.org/{i % 3}", f"<div>{passage}</div>") for i in range(400, 404)]  # copies of one page are no boilerplate
+    rows += [(500, None, "<article><p>x &lt; y</p></article>"), (501, "http://big.example.com/4", None), (502, "http://other.org", rows[1][2]), (503, "http://wrong.org", f"<article>teaser</article><div>{words(20)}</div>"), (504, "x://", "")]
+    pages = spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, kinds string")
+    want = extracted(rows)
+    got = html_extraction.extract(pages, lot=16).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want and all(r["n_chars"] == len(r["text"]) for r in got)
+    assert {r["page_id"]: r["text"] for r in html_extraction.extract(pages).collect()} == want
+    assert len(want[1].split()) == 20 and want[301].count("\n") == 1 and want[302].endswith(passage) or want[303].endswith(passage)
+    # without the ranking the results differ
+    markup = {r["page_id"]: r["text"] for r in html_extraction.extract(pages, run=1 << 20).collect()}
+    assert sum(markup[i] != t for i, t in want.items()) >= 300
+    assert html_extraction.extract(pages.limit(0)).count() == 0
 
 
 def test_language_id(spark):
