@@ -142,8 +142,9 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, win
     A document is its ids and one id 0 at the end; null texts count as empty,
     so each row makes a piece at least.  Rows with equal or null ``doc_id`` are
     documents of their own.  Sequences hold at most ``capacity`` ids; they are
-    padded to it unless their length is a power of two.  Special tokens' names
-    in a text are ordinary text.  Other columns are not read.
+    padded to it unless their length is a power of two.  Names of the
+    vocabulary's added tokens in a text become their ids.  Other columns are
+    not read.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

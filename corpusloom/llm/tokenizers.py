@@ -51,8 +51,32 @@ def _pattern() -> regex.Pattern:
     return pretoken_pattern()
 
 
+@lru_cache(maxsize=8)
+def added(path: str) -> tuple[dict[str, int], regex.Pattern | None]:
+    """Names of the added tokens of a vocabulary in JSON and their ids, and what finds them; rank files have none."""
+    if not path.endswith(".json"):
+        return {}, None
+    with open(path, encoding="utf-8") as f:
+        ids = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    longest_first = sorted(ids, key=len, reverse=True)
+    return ids, regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if ids else None
+
+
 def encode(path: str, text: str) -> np.ndarray:
-    """Ids of a text; piece by piece where a text is too much for the library's own splitting."""
+    """Ids of a text, those of added tokens where their names stand in it.
+
+    What stands between such names is encoded on its own, as the library that
+    reads such files does unless it is told otherwise.
+    """
+    ids, names = added(path)
+    if not any(name in text for name in ids):
+        return _encode(path, text)
+    parts = [np.array([ids[part]], np.uint32) if i % 2 else _encode(path, part) for i, part in enumerate(names.split(text))]
+    return np.concatenate(parts).astype(np.uint32)
+
+
+def _encode(path: str, text: str) -> np.ndarray:
+    """Ids of ordinary text; piece by piece where it is too much for the library's own splitting."""
     coder = byte_bpe(path)
     try:
         return coder.encode_to_numpy(text, disallowed_special=())

@@ -44,9 +44,10 @@ def test_url_classifier_on_held_out_names(spark):
 
 def test_packing(spark):
     coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    coder.encode_special_tokens = True
     random.seed(0)
-    rows = EDGE + [(100 + i, " ".join(random.choices(["alpha", "beta", "Gamma's", "żółw", "12"], k=random.randrange(900)))) for i in range(60)]
+    named = ["<|endoftext|>", "<|endoftext|> it", "hello <|endoftext|> world", "end<|endoftext|>", "a <|endoftext|><|endoftext|>  b", "<|endoftext|", "<<|endoftext|>>\n"]
+    assert coder.encode(named[2], add_special_tokens=False).ids == [31373, 220, 50256, 995]
+    rows = EDGE + [(40 + i, t) for i, t in enumerate(named)] + [(100 + i, " ".join(random.choices(["alpha", "beta", "Gamma's", "żółw", "12"], k=random.randrange(900)))) for i in range(60)]
     got = packing.pack(documents(spark, rows).repartition(3)).collect()
     ids = {i: np.array([*e.ids, 0], "<u4") for (i, _), e in zip(rows, coder.encode_batch([t or "" for _, t in rows], add_special_tokens=False))}
     for i, want in ids.items():
@@ -60,6 +61,12 @@ def test_packing(spark):
         assert [r["offset"] for r in pieces] == [0, *np.cumsum([r["length"] for r in pieces])[:-1]] and size <= 1024
         padding, total = padding + (1024 - size if size & (size - 1) else 0), total + size
     assert padding <= 0.005 * total
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    whole = {}
+    for r in sorted(packing.pack(rows).collect(), key=lambda r: r["start"]):
+        whole[r["doc_id"]] = whole.get(r["doc_id"], b"") + bytes(r["ids"])
+    every = rows.collect()
+    assert whole == {r["doc_id"]: np.array([*e.ids, 0], "<u4").tobytes() for r, e in zip(every, coder.encode_batch([r["text"] or "" for r in every], add_special_tokens=False))}
     twins = documents(spark, [(1, "a b"), (1, "a b"), (None, "c"), (None, "c")])
     assert packing.pack(twins).agg(F.sum("length")).first()[0] == 4 + 2 + 4
     assert packing.pack(documents(spark, [])).count() == 0
