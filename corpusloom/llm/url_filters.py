@@ -8,8 +8,10 @@ join and no Python.
 
 from __future__ import annotations
 
+import random
+
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,34 +21,71 @@ from corpusloom.llm.common import UPPER, stash
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 #: Rules beyond this count go through a join on host suffixes instead of a constant array.
 MAX_INLINE_RULES = 500
-BUCKETS = 4096
-SIZES = (3, 4, 5)
+BUCKETS = 1 << 15
+#: Strong enough that what many names share outweighs what tells single names apart.
+REGULAR = 0.0001
+SIZES = (4, 5)
 #: Bound of the labelled table that the classifier is fitted on.
 MAX_LABELLED = 20_000
 
-_BAD = "adult-x spam-farm cheap-pills ads-track casino-win free-bets poker-bonus xxx-videos payday-loans replica-watches warez-crack click-ads"
-_BAD_PATHS = "casino/bonus cheap/pills free/bets adult/xxx spam/click"
-_GOOD = (
-    "news daily library museum school garden recipes travel weather history science physics biology music theatre cinema football "
-    "city river mountain harbour station archive journal letters poetry physics-notes open-data maths algebra open-maps winter "
-    "therin thonat tionsh ththan therou anting erinth theren ththle thering tionan edonre ousten lyinth andsho stiver nordre"
+# Words of unwanted and of ordinary addresses, by subject; the labelled table is made of them by rule.
+_UNWANTED = (
+    "casino poker roulette jackpot slots blackjack betting bookmaker sportsbook baccarat wager gamble",
+    "porn xxx nude escort webcam erotic fetish hentai milf sexy adult hookup",
+    "viagra cialis pharmacy pills steroids slimming meds tramadol xanax dietpills enlargement hairloss",
+    "payday loans forex cryptodouble lottery giveaway getrich cashback binary-options timeshare ponzi prizes",
+    "warez torrent keygen cracked nulled pirated freemovies fullversion serialkey hacktool cheats modapk",
+    "adserver adclick popunder tracking affiliate clickbait retarget pixel doorway linkexchange bulkmail traffic",
+    "replica rolex handbags counterfeit outlet knockoff fakeid cheapest discount-shoes essays diploma followers",
+)
+_ORDINARY = (
+    "library museum archive gallery theatre orchestra cinema heritage castle cathedral festival exhibition",
+    "school college university institute academy kindergarten faculty campus lectures seminar students alumni",
+    "physics biology chemistry geology astronomy algebra geometry statistics botany zoology genetics medicine",
+    "kitchen recipes bakery garden orchard vineyard carpentry knitting pottery painting cycling hiking",
+    "weather climate ocean forest river mountain island harbour village county region parish",
+    "council ministry parliament police hospital clinic surgery dentist nursing firebrigade railway airport",
+    "journal gazette herald tribune chronicle magazine review letters editor press radio bulletin",
+    "software compiler kernel database network hardware robotics python linux manual tutorial documentation",
+    "football cricket rugby tennis swimming rowing athletics chess stadium league olympic marathon",
+    "poetry novel grammar dictionary translation linguistics history philosophy ethics theology folklore biography",
+    "schule bibliothek verein stadtwerke wetter garten musik rathaus kirche zeitung werkstatt baumarkt",
+    "ecole mairie jardin musique cuisine voyage librairie lycee boulangerie patrimoine escuela biblioteca",
 )
-_SYLLABLES = "er in an on ti ed ou sh ly en re or st wh ble ha he ea nt nd at es th"
-_GOOD_PATHS = "docs/intro news/today articles/page wiki/home"
-_ROADS = ("en/12", "fr/345.html", "de/6789/", "es/71", "")
+_WITH = "online best my top live world city 24 shop club hub daily the new get 365 euro pro info".split()
+_TOPS = "com net org info co.uk de fr es io eu".split()
+_BEFORE = ("", "www.", "m.", "blog.", "")
+_ROADS = ("", "/", "/index.html", "/en/", "/news/2019/04/12", "/a/b?c=1", "/page/7", "/about")
+#: Ordinary names that mean nothing: as many, each of a few such syllables.
+_INVENTED, _ONSETS, _RIMES = 3000, "b c d f g k l m n p r s t v z br st tr th".split(), "a e i o u ai en or er es in on".split()
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table ``(url, label)``; label 1 is unwanted."""
-    rows = [(f"https://{first}{s}.example.{top}/en/{len(s)}", 0.0) for s in _SYLLABLES.split() for first in ("th", "ther", "tion") for top in ("com", "net", "org")]
-    for label, names, paths in ((1.0, _BAD, _BAD_PATHS), (0.0, _GOOD, _GOOD_PATHS)):
-        for i, name in enumerate(names.split()):
-            for j, prefix in enumerate(("", "www.", "m.", "blog.")):
-                for k, top in enumerate(("com", "net", "org")):
-                    rows.append((f"https://{prefix}{name}.example.{top}/{_ROADS[(i + j + k) % len(_ROADS)]}", label))
-        for i, road in enumerate(paths.split()):
-            rows += [(f"https://site{i}{k}.example.{top}/{road}/{k}", label) for k in range(4) for top in ("com", "net", "org")]
-    return spark.createDataFrame(rows, "url string, label double")
+    """The small labelled table ``(url, label, name)``; label 1 is unwanted, ``name`` is the registered name.
+
+    Words stand in names alone, with words that say nothing and with another
+    of their line, and in paths of hosts whose names say nothing.  Tops, first
+    labels and paths are drawn alike for both labels.
+    """
+    rows, draw = [], random.Random(5)
+
+    def invented() -> str:
+        return "".join(draw.choice(_ONSETS) + draw.choice(_RIMES) for _ in range(draw.randrange(2, 5)))
+
+    def add(name: str, road: str, label: float) -> None:
+        rows.append((f"{draw.choice(('http', 'https'))}://{draw.choice(_BEFORE)}{name}.{draw.choice(_TOPS)}{road}", label, name))
+
+    for label, lines in ((1.0, _UNWANTED), (0.0, _ORDINARY)):
+        for line in lines:
+            words = line.split()
+            for word in words:
+                for form in ("{0}", "{0}-{2}", "{0}{2}", "{2}-{0}", *("{1}{0}", "{0}{1}", "{1}-{0}", "{0}-{1}") * 8):
+                    add(form.format(word, draw.choice(_WITH), draw.choice(words)), draw.choice(_ROADS), label)
+                for _ in range(2):
+                    add(invented(), f"/{word}/{draw.choice(words)}", label)
+    for _ in range(_INVENTED):
+        add(invented(), draw.choice(_ROADS), 0.0)
+    return spark.createDataFrame(rows, "url string, label double, name string")
 
 
 def host_and_path(url: str | Column = "url") -> tuple[Column, Column]:
@@ -73,19 +112,28 @@ def buckets(host: Column, path: Column) -> Column:
 
 
 def fit(labelled: DataFrame) -> tuple[float, list[float]]:
-    """Intercept and weights; ``labelled`` has ``url`` and ``label`` (1 is unwanted).  Null urls or labels are left out."""
-    labelled = labelled.where("url is not null and label is not null").limit(MAX_LABELLED)
-    # written, so that the buckets are a column and not an expression that each element below evaluates anew
-    row = stash(labelled.select("label", buckets(*host_and_path()).alias("on")), "labelled")
-    row = row.repartition(4)
-    dense = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.array_contains(F.col("on"), i).cast("double"))
-    model = LogisticRegression(maxIter=30, regParam=0.0005, standardization=False).fit(row.select("label", array_to_vector(dense).alias("features")))
+    """Intercept and weights; ``labelled`` has ``url`` and ``label`` (1 is unwanted).
+
+    Null urls or labels are left out, repeated rows count as often as they
+    come.  Of a table of over ``MAX_LABELLED`` rows those with the least hashes
+    are taken.  Without rows of both labels every weight is zero.
+    """
+    labelled = labelled.where("url is not null and label is not null").orderBy(F.xxhash64("url"), "url", "label").limit(MAX_LABELLED)
+    # written, so that the rounds read buckets and do not make them anew
+    rows = stash(labelled.select("label", buckets(*host_and_path()).cast("array<string>").alias("on")), "labelled").coalesce(1)
+    sides = rows.agg(F.count_if(F.col("label") == 1.0).alias("unwanted"), F.count_if(F.col("label") == 0.0).alias("ordinary")).first()
+    if not sides["unwanted"] or not sides["ordinary"]:
+        return (1.0 if sides["unwanted"] else -1.0), [0.0] * BUCKETS
+    vectors = CountVectorizerModel.from_vocabulary([str(i) for i in range(BUCKETS)], "on", "features", binary=True)
+    weight = F.when(F.col("label") == 1.0, 0.5 / sides["unwanted"]).otherwise(0.5 / sides["ordinary"])  # the rarer label counts as much
+    learner = LogisticRegression(maxIter=60, regParam=REGULAR, standardization=False, weightCol="weight")
+    model = learner.fit(vectors.transform(rows).select("label", "features", weight.alias("weight")))
     return float(model.intercept), [float(w) for w in model.coefficients]
 
 
 def score(host: Column, path: Column, intercept: float, weights: list[float]) -> Column:
     """Probability that an address is unwanted."""
-    table = F.split(F.lit(",".join(repr(w) for w in weights)), ",").cast("array<double>")  # folded to one constant
+    table = F.split(F.lit(",".join(f"{w:.6g}" for w in weights)), ",").cast("array<double>")  # folded to one constant
     z = F.aggregate(buckets(host, path), F.lit(intercept), lambda total, k: total + F.element_at(table, k + 1))
     return 1 / (1 + F.exp(-z))
 
