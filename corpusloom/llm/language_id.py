@@ -29,7 +29,11 @@ from corpusloom.llm.url_filters import host_and_path
 #: Bound of the labelled sample that the trigram model is fitted on.
 SAMPLE = 4000
 BUCKETS = 1 << 16
+#: Most languages of a model, the most frequent ones of the sample; with the buckets they bound what the driver fetches.
+LANGUAGES = 64
 UNDETERMINED = "und"
+#: A text contradicts its declared language from this lead in log-likelihood on (some fifty letters of another language).
+MARGIN = 8.0
 #: Neighbouring trigrams share letters, so a text's log-likelihood counts by this much.
 TEMPER = 0.25
 #: Pseudo-counts of the tables for declared languages and suffixes, and of host priors.
@@ -72,10 +76,16 @@ class Model:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """The trigram model of ``labelled(doc_id, text, lang)``: of the ``sample`` rows with the least hash of ``doc_id``, whole texts."""
+    """The trigram model of ``labelled(doc_id, text, lang)``: of the ``sample`` rows with the least hash of ``doc_id``, whole texts.
+
+    Languages beyond the ``LANGUAGES`` most frequent ones of the sample are not
+    modelled.  An empty table gives a model of no language.
+    """
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     chosen = rows.orderBy("h", "doc_id").limit(sample).select("doc_id").distinct()
-    texts = labelled.where("lang is not null and text is not null").select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id")
+    texts = labelled.where("lang is not null and text is not null").select("doc_id", F.lower("lang").alias("lang"), "text").join(F.broadcast(chosen), "doc_id")
+    common = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
+    texts = texts.join(F.broadcast(common), "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -122,12 +132,14 @@ def _evidence(scored: DataFrame, by: list[str], names: list[str], name: str) ->
 
 
 def identify(rows: DataFrame, model: Model, key: list[str]) -> DataFrame:
-    """The ``key`` columns and ``lang, confidence, text_lang, declared, suffix, host`` for each row.
+    """The ``key`` columns and ``lang, confidence, text_lang, margin, declared, suffix, host`` for each row.
 
     ``rows`` has ``key``'s columns and ``text, declared, suffix, host``; null evidence tells
     nothing and counts as a value of its own in its table.  ``lang`` is ``und``
     where no language explains the letters; a text without letters is no evidence
     and leaves the verdict to the rest.  Ties go to the first name in the alphabet.
+    ``margin`` is by how much the text's own verdict leads its declared language
+    (or, if that is not modelled, the likeliest language) in log-likelihood.
     """
     names = [*model.languages, UNDETERMINED]
     listed = F.array(*map(F.lit, names))
@@ -155,7 +167,11 @@ def identify(rows: DataFrame, model: Model, key: list[str]) -> DataFrame:
         sums = F.zip_with(sums, part, lambda a, b: a + b)
     out = out.withColumn("all", sums).withColumn("top", F.array_max("all"))
     chance = 1 / F.aggregate(F.transform("all", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda s, x: s + x)
-    return out.select(*key, _best(F.col("all"), listed).alias("lang"), chance.alias("confidence"), F.coalesce("verdict", F.lit(UNDETERMINED)).alias("text_lang"), "declared", "suffix", "host")
+    of_declared = F.coalesce(F.get("logs", F.array_position(listed, F.col("declared")).cast("int") - 1), F.array_max(F.slice("logs", 1, len(model.languages))) if model.languages else F.array_max("logs"))
+    return out.select(
+        *key, _best(F.col("all"), listed).alias("lang"), chance.alias("confidence"), F.coalesce("verdict", F.lit(UNDETERMINED)).alias("text_lang"),
+        (F.array_max("logs") - of_declared).alias("margin"), "declared", "suffix", "host",
+    )
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
@@ -180,17 +196,20 @@ def identify_pages(pages: DataFrame, labelled: DataFrame, sample: int = SAMPLE)
 
 
 def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` whose language is one of those that ``docs.lang`` names; all columns.
+    """The rows of ``docs`` that do not contradict their declared language; all columns.
 
-    ``lang`` is the declared language and ``source`` the host.  Only texts that
-    no language explains go; empty texts stay where their declaration and
-    source tell a language.
+    ``lang`` is the declared language and ``source`` the host.  Texts go that
+    another language, or none (junk letters), explains better by ``MARGIN`` and
+    more; so do texts without a declared language that no language explains.
+    What is too short to tell, has no letters or declares a language that is
+    not modelled stays.
     """
     model = fit(docs, sample)
     if not model.languages:
         return docs
     mark = F.xxhash64("text").alias("mark")
     rows = docs.select("doc_id", mark, "text", F.lower("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"))
-    found = identify(rows, model, ["doc_id", "mark"]).where(F.col("lang") == UNDETERMINED)
+    contradicts = F.col("declared").isin(model.languages) & (F.col("text_lang") != F.col("declared")) & (F.col("margin") >= MARGIN)
+    found = identify(rows, model, ["doc_id", "mark"]).where(contradicts | (F.col("declared") == "") & (F.col("lang") == UNDETERMINED))
     bad = stash(found.select(F.col("doc_id").alias("bad_id"), F.col("mark").alias("bad_mark")).distinct(), "undetermined")
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs["text"]) == bad["bad_mark"]), "left_anti")

@@ -227,18 +227,66 @@ def test_html_extraction(spark):
     assert html_extraction.extract(pages.limit(0)).count() == 0
 
 
+WORDS = {"en": "the of and that with this from have", "fr": "le la des que pour dans avec sont", "de": "der die und nicht mit sich auf eine"}
+
+
+def speech(lang, n):
+    return " ".join(random.choices(WORDS[lang].split(), k=n))
+
+
 def test_language_id(spark):
-    words = {"en": "the of and that with this from have", "fr": "le la des que pour dans avec sont", "de": "der die und nicht mit sich auf eine"}
     random.seed(1)
-    text = lambda lang, n: " ".join(random.choices(words[lang].split(), k=n))
-    rows = [(i, text(lang, 40), lang, "s") for i, lang in enumerate(["en", "fr", "de"] * 40)]
-    held = [(1000 + i, text(lang, 25), None, None) for i, lang in enumerate(["en", "fr", "de"] * 10)]
-    odd = [(2000, "zqxj wvkp qqzx jxvw kzqp xwvj zzqk pvxq jwqz xkvz " * 4, None, None), (2001, "", "en", "s"), (2002, None, "fr", None), (2003, "12 34", "de", None), (0, text("fr", 40), "fr", "s")]
-    docs = spark.createDataFrame([(*r, 1, 2) for r in rows + held + odd], "doc_id long, text string, lang string, source string, logs int, bad_id int")
+    rows = [(i, speech(lang, 40), lang, "s") for i, lang in enumerate(["en", "fr", "de"] * 40)]
+    held = [(1000 + i, speech(lang, 25), None, None) for i, lang in enumerate(["en", "fr", "de"] * 10)]
+    junk = "zqxj wvkp qqzx jxvw kzqp xwvj zzqk pvxq jwqz xkvz " * 4
+    odd = [(2000, junk, None, None), (2001, "", "en", "s"), (2002, None, "fr", None), (2003, "12 34", "de", None), (0, speech("fr", 40), "fr", "s"), (2004, "12 34", None, None), (2005, None, None, None)]
+    wrong = [(3000, speech("fr", 60), "en", "s"), (3002, speech("de", 300), "FR", None)]
+    right = [(3003, "le la", "en", "s"), (3004, speech("de", 30), "DE", "s"), (3005, speech("en", 30) + " le la " + speech("en", 30), "en", "s")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows + held + odd + wrong + right], "doc_id long, text string, lang string, source string, logs int, bad_id int")
     kept = language_id.keep_identified(docs)
-    assert {r["doc_id"] for r in docs.collect()} - {r["doc_id"] for r in kept.collect()} == {2000} and kept.columns == docs.columns
+    assert {r["doc_id"] for r in docs.collect()} - {r["doc_id"] for r in kept.collect()} == {2000, 3000, 3002} and kept.columns == docs.columns
     model = language_id.fit(docs)
-    pages = spark.createDataFrame([(i, f"https://{lang}.example.com/x", f'<html lang="{lang}"><article><p>{t}</p></article>') for i, t, _, _ in held for lang in [["en", "fr", "de"][(i - 1000) % 3]]] + [(1, None, None), (2, "https://fr.example.com/", "<p></p>")], "page_id long, url string, html string")
-    got = {r["page_id"]: r["lang"] for r in language_id.identify(language_id.page_rows(pages), model, ["page_id"]).collect()}
-    assert all(got[i] == ["en", "fr", "de"][(i - 1000) % 3] for i, *_ in held) and len(got) == 32 and got[2] == "fr"
+    declared = language_id.identify(spark.createDataFrame([(junk, "de", None, "s")], "text string, declared string, suffix string, host string"), model, []).first()
+    assert declared["text_lang"] == "und" and declared["margin"] >= language_id.MARGIN
+    pages = spark.createDataFrame([(i, f"https://{lang}.example.com/x", f'<html lang="{lang}"><article><p>{t}</p></article>') for i, t, _, _ in held for lang in [["en", "fr", "de"][(i - 1000) % 3]]] + [(1, None, None), (2, "https://fr.example.com/", "<p></p>"), (3, "https://x.test/", f"<p>{'der die und ' * 200000}")] * 2, "page_id long, url string, html string")
+    got = {}
+    for r in language_id.identify(language_id.page_rows(pages), model, ["page_id"]).collect():
+        got.setdefault(r["page_id"], []).append(r["lang"])
+    assert all(got[i] == [["en", "fr", "de"][(i - 1000) % 3]] for i, *_ in held) and len(got) == 33 and got[2] == ["fr"] * 2 and got[3] == ["de"] * 2
     assert language_id.keep_identified(docs.limit(0)).count() == 0
+    assert {r["lang"] for r in language_id.identify_pages(pages, docs.limit(0)).collect()} == {"und"}
+
+
+def test_language_id_of_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    part = F.pmod(F.hash("doc_id"), F.lit(4)) == 0
+    model = language_id.fit(docs.where(~part))
+    rows = docs.where(part).select("doc_id", "text", "lang", *[F.lit(None).cast("string").alias(c) for c in ("declared", "suffix", "host")])
+    found = language_id.identify(rows.drop("lang"), model, ["doc_id"]).join(docs.select("doc_id", F.col("lang").alias("true")), "doc_id")
+    assert found.agg(F.avg((F.col("lang") == F.col("true")).cast("int"))).first()[0] >= 0.98
+
+
+def test_language_fusion_agrees_with_numpy(spark):
+    from collections import Counter
+
+    random.seed(4)
+    labelled = spark.createDataFrame([(i, speech(lang, 30), lang) for i, lang in enumerate(["en", "fr", "de"] * 20)], "doc_id long, text string, lang string")
+    model = language_id.fit(labelled)
+    names = [*model.languages, "und"]
+    rows = [(i, random.choice([speech(random.choice("en fr de".split()), random.randrange(1, 6)), "", None, "qzx jvw"]), random.choice(["en", "fr", None]), random.choice(["fr", "com", None]), random.choice(["a.x.fr", "b.x.fr", "y.com", "z", None])) for i in range(200)]
+    frame = spark.createDataFrame(rows, "k long, text string, declared string, suffix string, host string")
+    logs = [np.array(model.text(r[1])) for r in rows]
+    verdict = [None if v.max() == v.min() else names[int(v.argmax())] for v in logs]
+    domain = lambda h: (re.search(r"([^.]*\.[^.]*)$", h or "") or [""])[0]
+    count = lambda of: Counter((of(r), v) for r, v in zip(rows, verdict))
+    every = np.array([sum(v == n for v in verdict) for n in names], float)
+    vector = lambda table, value: np.array([table[value, n] for n in names], float)
+    declared, suffix, hosts, domains = count(lambda r: r[2] or ""), count(lambda r: r[3] or ""), count(lambda r: r[4] or ""), count(lambda r: domain(r[4]))
+    prior = (every + 1) / (every.sum() + len(names))
+    for r in language_id.identify(frame, model, ["k"]).collect():
+        _, _, d, s, h = rows[r["k"]]
+        smooth = lambda n, p: (n + language_id.HOST * p) / (n.sum() + language_id.HOST)
+        all_of = logs[r["k"]] + np.log((vector(declared, d or "") + 1) / (every + 50)) + np.log((vector(suffix, s or "") + 1) / (every + 50))
+        all_of = all_of + np.log(smooth(vector(hosts, h or ""), smooth(vector(domains, domain(h)), prior)))
+        assert abs(r["confidence"] - 1 / np.exp(all_of - all_of.max()).sum()) < 1e-9
+        assert all_of[names.index(r["lang"])] > all_of.max() - 1e-9 and r["text_lang"] == (verdict[r["k"]] or "und")
