@@ -3,12 +3,11 @@
 Texts are cut into blocks of ``BLOCK`` bytes.  Blocks are sorted and ranked
 into integer names; adjacent names are then paired and the pairs named in the
 same way, level by level, until each document has one name.  Equal names mean
-equal texts, whatever any hash does: hashes only deal blocks to tasks and
-their collisions are told apart by the sort.
+equal texts, whatever any hash does: hashes only deal blocks to tasks, and
+where one hash stands for several blocks these are told apart by their bytes.
 
-The texts are shuffled once.  Hash values that hold over a thousandth of all
-blocks (so a thousand at most) are dealt by document as well, so that no group
-of copies meets in one task; their few representatives are merged afterwards.
+Blocks are cut and written once.  Copies meet before the shuffle, in partial
+aggregation, so that no group of copies meets in one task.
 """
 
 from __future__ import annotations
@@ -21,9 +20,9 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import ascii_lower, stash
 
 BLOCK = 4096
-SALTS = 64
-#: A hash value is hot from this share of all blocks on; so there are 1 / HOT such values at most.
-HOT = 0.001
+ROW = "corpusloom_row"
+#: What deals blocks to tasks; any function gives the same groups.
+block_hash = F.xxhash64
 
 
 def integer_names(df: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -33,30 +32,30 @@ def integer_names(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return df.join(table, keys)
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    text = docs.select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("text"))
-    row = text.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.sha2("text", 256).alias("text_sha256"), F.col("text").cast("binary").alias("bytes"))
+def _blocks(rows: DataFrame) -> DataFrame:
+    row = rows.select(F.col(ROW).alias("row"), "doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("text"))
+    row = row.select("row", "doc_id", F.sha2("text", 256).alias("text_sha256"), F.col("text").cast("binary").alias("bytes"))
     row = row.withColumn("last", F.greatest(F.ceil(F.octet_length("bytes") / BLOCK), F.lit(1)).cast("int") - 1)
     cut = F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.substring("bytes", i * BLOCK + 1, F.lit(BLOCK)))
-    return row.select("row", "doc_id", "text_sha256", "last", F.posexplode(cut).alias("pos", "block")).withColumn("h", F.xxhash64("block"))
-
-
-def name_documents(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, text_sha256, level, name``: rows have equal (level, name) if and only if their texts are equal."""
-    blocks = _blocks(docs)
-    counts = stash(blocks.groupBy("h").count(), "block-counts")
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    hot = counts.where(F.col("count") > max(2 * SALTS, total * HOT)).select("h", F.lit(True).alias("hot"))
-    dealt = blocks.join(F.broadcast(hot), "h", "left").withColumn("salt", F.when(F.col("hot"), F.pmod("row", F.lit(SALTS))).otherwise(0).cast("int"))
-    same = Window.partitionBy("h", "salt").orderBy("block")
-    ranked = dealt.withColumns({"rank": F.dense_rank().over(same), "lead": F.rank().over(same) == F.row_number().over(same)})
     only_first = lambda c: F.when(F.col("pos") == 0, F.col(c)).alias(c)
-    level = stash(
-        ranked.select("row", "pos", "last", only_first("doc_id"), only_first("text_sha256"), "h", "salt", "rank", F.when(F.col("hot") & F.col("lead"), F.col("block")).alias("block")), "blocks"
-    )
-    # one row for each hot value, salt and text: the salts' ranks become one
-    few = level.where("block is not null").select("h", "salt", "rank", F.dense_rank().over(Window.partitionBy("h").orderBy("block")).alias("overall"))
-    level = level.drop("block").join(few, ["h", "salt", "rank"], "left").withColumn("rank", F.coalesce("overall", "rank"))
+    blocks = row.select("row", "doc_id", "text_sha256", "last", F.posexplode(cut).alias("pos", "block"))
+    return blocks.select("row", "pos", "last", only_first("doc_id"), only_first("text_sha256"), block_hash("block").alias("h"), "block")
+
+
+def name_documents(rows: DataFrame) -> DataFrame:
+    """``row, doc_id, text_sha256, level, name``: rows have equal (level, name) if and only if their texts are equal.
+
+    ``rows`` has ``ROW``, ``doc_id`` and ``text``.
+    """
+    blocks = stash(_blocks(rows), "blocks")
+    several = blocks.select("h", "block").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    several = stash(several, "several")
+    if several.isEmpty():
+        level = blocks.drop("block").withColumn("rank", F.lit(1))
+    else:
+        few = blocks.select("h", "block").join(several, "h", "left_semi").distinct()
+        few = stash(few.withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy("block"))), "few")
+        level = blocks.join(few, ["h", "block"], "left").drop("block").withColumn("rank", F.coalesce("rank", F.lit(1)))
     return _pair_up(_named(level, ["h", "rank"], 0))
 
 
@@ -80,6 +79,15 @@ def _pair_up(level: DataFrame) -> DataFrame:
         level = _named(stash(pairs.withColumnRenamed("up", "pos"), "pairs"), ["left", "right"], depth)
 
 
+def _groups(rows: DataFrame) -> DataFrame:
+    named = stash(name_documents(rows), "named")
+    groups = named.groupBy("level", "name").agg(F.max(F.struct("doc_id", (-F.col("row")).alias("of"))).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    groups = stash(groups, "groups")
+    return named.join(groups, ["level", "name"]).select(
+        "row", "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == -F.col("best.of")).alias("kept"), "text_sha256",
+    )
+
+
 def exact_groups(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
@@ -87,22 +95,11 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     as empty.  The row with the largest ``doc_id`` of a group stays (null ids
     come last; of repeated ids one row stays).  Other columns are not read.
     """
-    named = stash(name_documents(docs), "named")
-    groups = named.groupBy("level", "name").agg(F.max(F.struct("doc_id", (-F.col("row")).alias("of"))).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    groups = stash(groups, "groups")
-    return named.join(groups, ["level", "name"]).select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == -F.col("best.of")).alias("kept"), "text_sha256",
-    )
+    return _groups(docs.select(F.monotonically_increasing_id().alias(ROW), "doc_id", "text")).drop("row")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group of equal texts, with all their columns."""
-    groups = exact_groups(docs)
-    kept = stash(groups.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha256")), "kept")
-    own = F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256)
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]) & (own == kept["kept_sha256"]), "left_semi")
-    if groups.groupBy("doc_id", "text_sha256").count().where("count > 1").isEmpty():
-        return out
-    # rows that share id and text: one of them
-    low = "corpusloom_low_text"
-    return out.withColumn(low, ascii_lower(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", low]).drop(low)
+    rows = stash(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    kept = _groups(rows.select(ROW, "doc_id", "text")).where("kept").select(F.col("row").alias(ROW))
+    return rows.join(kept, ROW, "left_semi").drop(ROW)

@@ -6,6 +6,7 @@ import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from corpusloom.llm import common, deep_shallow, embedding_dedup, exact_dedup, simhash, suffix_dedup
 
@@ -37,6 +38,12 @@ def test_exact_groups(spark, monkeypatch):
     assert exact_dedup.exact_groups(documents(spark, [])).count() == 0
 
 
+def test_exact_groups_where_hashes_clash(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BLOCK", 8)
+    monkeypatch.setattr(exact_dedup, "block_hash", lambda c: F.pmod(F.xxhash64(c), F.lit(3)))
+    test_exact_groups(spark, monkeypatch)
+
+
 def test_exact_groups_of_hot_blocks(spark):
     rows = [(i, "copy of a text " * 3 if i % 2 else f"text {i}") for i in range(600)]
     got = {r["doc_id"]: r for r in exact_dedup.exact_groups(documents(spark, rows)).collect()}
