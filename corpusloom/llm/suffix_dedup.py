@@ -33,6 +33,8 @@ from corpusloom.llm.common import stash
 
 LENGTH = 200
 GRAM = 48
+#: Anchors that a task holds to meet copies before the shuffle.
+HELD = 1 << 20
 #: Most surroundings of one anchor that a task sorts; more are counted by window.
 GROUP = 50_000
 #: Up to this many surroundings are compared in pairs after the sort.
@@ -89,7 +91,7 @@ def _anchors(data: np.ndarray, ends: np.ndarray, length: int, powers: tuple[np.n
 
 
 def _find(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Anchors of one partition: one row for each gram and surroundings, and bare rows for what repeats them here."""
+    """Anchors of one partition, ``HELD`` at a time: one row for each gram and surroundings, and bare rows for what repeats them here."""
     side, parts = length - GRAM, []
     powers = _powers(_CHUNK + 1)
 
@@ -110,7 +112,25 @@ def _find(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
             before = [short(whole[a - half : a + GRAM]) if x >= half else 0 for a, x in zip(at.tolist(), left.tolist())]
             after = [short(whole[a : a + GRAM + half]) if y >= half else 0 for a, y in zip(at.tolist(), right.tolist())]
             halves = np.array([before, after], np.uint32).view(np.int32)
-            parts.append((keys.view(np.int64), around.view(np.int64), halves[0], halves[1], np.array(ids, object)[doc], np.array(marks, np.int32)[doc], pos.astype(np.int32), left.astype(np.int16), right.astype(np.int16)))
+            parts.append((keys.view(np.int64), around.view(np.int64), halves[0], halves[1], np.array(ids, object)[doc], np.array(marks, np.int64)[doc], pos.astype(np.int32), left.astype(np.int16), right.astype(np.int16)))
+
+    def found() -> Iterator[pa.RecordBatch]:
+        keys, around, before, after, docs, marks, pos, left, right = (np.concatenate(c) for c in zip(*parts))
+        parts.clear()
+        order = np.lexsort((around, keys))
+        keys, around = keys[order], around[order]
+        new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (around[1:] != around[:-1])))
+        count = np.diff(np.concatenate((np.flatnonzero(new), [len(new)])))
+        new_key = np.concatenate(([True], keys[1:] != keys[:-1]))
+        here = np.diff(np.concatenate((np.flatnonzero(new_key), [len(new_key)])))[np.cumsum(new_key) - 1]
+        n = np.zeros(len(new), np.int32)
+        n[new] = np.minimum(count, 2)
+        half, left, right = -(-side // 2), left[order], right[order]
+        columns = [
+            pa.array(keys), pa.array(around), pa.array(before[order], mask=left < half), pa.array(after[order], mask=right < half), pa.array(docs[order], pa.int64(), from_pandas=True), pa.array(marks[order]), pa.array(pos[order]), pa.array(left), pa.array(right),
+            pa.array(n), pa.array(np.where(new_key & (here > max(1, len(new) * HOT / 2)), here, 0).astype(np.int32)),
+        ]
+        yield from pa.Table.from_arrays(columns, names=_FOUND_NAMES).to_batches(max_chunksize=100_000)
 
     held, size = ([], [], []), 0
     for batch in batches:
@@ -125,28 +145,15 @@ def _find(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
             if size >= _CHUNK // 2:
                 flush(*held)
                 held, size = ([], [], []), 0
+        if sum(len(p[0]) for p in parts) >= HELD:
+            yield from found()
     if size:
         flush(*held)
-    if not parts:
-        return
-    keys, around, before, after, docs, marks, pos, left, right = (np.concatenate(c) for c in zip(*parts))
-    order = np.lexsort((around, keys))
-    keys, around = keys[order], around[order]
-    new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (around[1:] != around[:-1])))
-    count = np.diff(np.concatenate((np.flatnonzero(new), [len(new)])))
-    new_key = np.concatenate(([True], keys[1:] != keys[:-1]))
-    here = np.diff(np.concatenate((np.flatnonzero(new_key), [len(new_key)])))[np.cumsum(new_key) - 1]
-    n = np.zeros(len(new), np.int32)
-    n[new] = np.minimum(count, 2)
-    columns = [
-        pa.array(keys), pa.array(around), pa.array(before[order]), pa.array(after[order]), pa.array(docs[order], pa.int64(), from_pandas=True), pa.array(marks[order]), pa.array(pos[order]), pa.array(left[order]), pa.array(right[order]),
-        pa.array(n), pa.array(np.where(new_key & (here > max(1, len(new) * HOT / 2)), here, 0).astype(np.int32)),
-    ]
-    table = pa.Table.from_arrays(columns, names=_FOUND_NAMES)
-    yield from table.to_batches(max_chunksize=100_000)
+    if parts:
+        yield from found()
 
 
-_FOUND = "key long, around long, before int, after int, doc_id long, mark int, pos int, left short, right short, n int, heavy int"
+_FOUND = "key long, around long, before int, after int, doc_id long, mark long, pos int, left short, right short, n int, heavy int"
 _FOUND_NAMES = [c.split()[0] for c in _FOUND.split(", ")]
 
 
@@ -196,8 +203,8 @@ def _reach_by_offset(right: tuple[np.ndarray, np.ndarray], left: tuple[np.ndarra
     return reach_left.tolist(), reach_right.tolist()
 
 
-_AROUND = "key long, doc_id long, mark int, pos int, gram binary, before binary, after binary"
-_SPAN = "doc_id long, mark int, start int, end int"
+_AROUND = "key long, doc_id long, mark long, pos int, gram binary, before binary, after binary"
+_SPAN = "doc_id long, mark long, start int, end int"
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -251,7 +258,7 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _batch(rows, _AROUND)
 
 
-_WINDOW = "doc_id long, mark int, start int, window binary"
+_WINDOW = "doc_id long, mark long, start int, window binary"
 
 
 def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -297,10 +304,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # occurs twice has half of what surrounds the anchor on one side, so these halves must occur twice
     ends = kept.where("nth = 1 and not alone").withColumn("single", F.min("n").over(by_key)).where("single = 1")
     ends = ends.select("key", "doc_id", "mark", "pos", "left", "right", "before", "after").unionByName(pairs.select("key", "one.*"))
-    for side in ("before", "after"):
-        ends = ends.withColumn(f"n_{side}", F.when(F.col(side) != 0, F.count(F.lit(1)).over(Window.partitionBy("key", side))).otherwise(0))
-    ends = ends.where("n_before > 1 or n_after > 1").withColumn("many", F.count(F.lit(1)).over(by_key) > GROUP)
-    ends = stash(ends.select("key", "doc_id", "mark", "pos", "left", "right", "many"), "ends")
+    ends = stash(ends, "ends")
+    for side in ("before", "after"):  # counted by partial sums: one key may have very many surroundings
+        twice = ends.where(F.col(side).isNotNull()).groupBy("key", side).agg((F.count(F.lit(1)) > 1).alias(f"twice_{side}")).where(f"twice_{side}")
+        ends = ends.join(twice, ["key", side], "left")
+    ends = stash(ends.where("twice_before or twice_after").select("key", "doc_id", "mark", "pos", "left", "right"), "ends")
+    sizes = ends.groupBy("key").agg((F.count(F.lit(1)) > GROUP).alias("many"))
+    ends = stash(ends.join(sizes, "key"), "ends")
     out = _around(docs, ends.where("not many")).repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _sort_groups(b, length), _SPAN)
     many = ends.where("many")
     if not many.isEmpty():
@@ -358,7 +368,7 @@ def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
     """``docs``, whose texts are not null, with the columns ``SPANS`` and ``MARK``."""
-    rows = docs.withColumn(MARK, F.hash("text"))
+    rows = docs.withColumn(MARK, F.xxhash64("text"))
     spans = repeated_spans(rows, length)
     spans = spans.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "end")).alias(SPANS)).select(F.col("doc_id").alias(f"{SPANS}_id"), F.col("mark").alias(f"{SPANS}_mark"), SPANS)
     return rows.join(spans, F.col("doc_id").eqNullSafe(F.col(f"{SPANS}_id")) & (F.col(MARK) == F.col(f"{SPANS}_mark")), "left").drop(f"{SPANS}_id", f"{SPANS}_mark")
