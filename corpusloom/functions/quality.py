@@ -117,3 +117,13 @@ def worth_markdown(blocks: str | Column, confidence: str | Column) -> Column:
     signs = [(F.size(heads) >= 3) & (levels >= 2), (F.size(of("list")) >= 2) & F.exists(of("list"), lambda x: items(x) >= 3), F.exists(of("table"), lambda x: F.size(cells(x)) == 1), F.size(of("code")) > 0]
     total = sum((s.cast("int") for s in signs[1:]), signs[0].cast("int"))
     return (total >= 2) & col(confidence).isin("high", "medium")
+
+
+#: Document formats whose prose has titles and paragraphs.
+SCORED_FORMATS = "pdf docx epub html htm xhtml odt rtf doc mhtml mht".split()
+
+
+def is_scored(kind: str | Column, form: str | Column) -> Column:
+    """Whether the quality of a source's extraction is scored: pages and videos always, documents if their format is one of prose."""
+    kind, form = (F.col(c) if isinstance(c, str) else c for c in (kind, form))
+    return kind.isin("web", "youtube") | (kind == "document") & F.coalesce(F.lower(form).isin(SCORED_FORMATS), F.lit(False))

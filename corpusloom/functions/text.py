@@ -202,9 +202,17 @@ def subtitle_seconds(mark: str | Column) -> Column:
 
 
 def parse_date(value: str | Column) -> Column:
-    """A date from ISO or four other forms on the first ten characters."""
-    head = F.substring(F.trim(col(value)), 1, 10)
-    return F.coalesce(*[F.try_to_date(head, f) for f in ("yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy", "yyyy/MM/dd", "dd-MM-yyyy")])
+    """A date from ISO, compact or not, with or without a time, or from four forms in the first ten characters.
+
+    Days and months may have one digit, years have four.
+    """
+    whole = F.trim(col(value))
+    head = F.substring(whole, 1, 10)
+    compact = F.when(whole.rlike(r"^\d{8}(?:[T ]\d{2}(?::?\d{2}){0,2}(?:[.,]\d+)?(?:Z|[+-]\d{2}(?::?\d{2})?)?)?$"), F.try_to_date(F.substring(whole, 1, 8), "yyyyMMdd"))
+    forms = (("-", "yyyy-M-d"), ("/", "yyyy/M/d"))
+    ahead = [F.when(head.rlike(rf"^\d{{4}}{mark}\d{{1,2}}{mark}\d{{1,2}}$"), F.try_to_date(head, f)) for mark, f in forms]
+    behind = [F.when(head.rlike(rf"^\d{{1,2}}[{mark}]\d{{1,2}}[{mark}]\d{{4}}$"), F.try_to_date(head, f)) for mark, f in ((".", "d.M.yyyy"), ("/", "d/M/yyyy"))]
+    return F.coalesce(compact, *ahead, *behind)
 
 
 def one_line(text: str | Column) -> Column:
@@ -233,3 +241,32 @@ def cell_text(value: str | Column, kind: str) -> Column:
         whole = (v == F.floor(v)) & (F.abs(v) < 1e15)
         return F.when(whole, F.floor(v).cast("string")).otherwise(F.regexp_replace(F.format_string("%.15g", v), "(\\.\\d*?)0+$", "$1"))
     return v.cast("string")
+
+
+_INLINE_SYNTAX = (
+    r"(?U)\\(?=$|\n|[!-/:-@\[-`{-~])|[*`]|(?<![\p{L}\p{N}])_|_(?![\p{L}\p{N}])|<(?=[A-Za-z/!?])|~(?=~)|\](?=\()|&(?=#[0-9]+;|#[xX][0-9a-fA-F]+;|\w+;)"
+)
+_LINE_SYNTAX = (
+    r"(?md)^([^\S\n]{0,3})(?=#{1,6}(?:\s|$)|[-+](?:\s|$)|>|(?:-[ \t]*){3,}$|(?:=+|-+)[ \t]*$|\||\[[^\]\n]+\]:)|^([^\S\n]{0,3}\d{1,9})(?=[.)](?:\s|$))"
+)
+
+
+def escaped_inline(text: str | Column) -> Column:
+    """A line, cell or fragment with what Markdown would take for syntax inside a line escaped."""
+    return F.regexp_replace(col(text), _INLINE_SYNTAX, r"\\$0")
+
+
+def escaped_heading(text: str | Column) -> Column:
+    """The same for a heading: hash signs at its end are escaped as well."""
+    return F.regexp_replace(escaped_inline(text), r"(\s)(#+)[ \t]*$", r"$1\\$2")
+
+
+def escaped_markdown(text: str | Column) -> Column:
+    """Plain text of any lines as Markdown that reads the same: syntax inside and at the start of lines is escaped."""
+    return F.regexp_replace(escaped_inline(text), _LINE_SYNTAX, r"$1$2\\")
+
+
+def fence_length(code: str | Column) -> Column:
+    """How many grave accents fence code: more than stand together in it, three at least."""
+    lengths = F.transform(F.regexp_extract_all(col(code), F.lit("`+"), F.lit(0)), lambda run: F.length(run))
+    return F.greatest(F.lit(3), F.coalesce(F.array_max(lengths), F.lit(0)) + 1)

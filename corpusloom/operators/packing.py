@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import byte_count, col, natural_key, word_count
+from corpusloom.session import stash
 
 JOINER = "\n\n"
 CUT_IN_SENTENCE, TOKEN_OVER_LIMIT = "cut_in_sentence", "token_over_limit"
@@ -21,42 +22,44 @@ def fits(words: str | Column, size: str | Column, max_words: int, max_bytes: int
     return (col(words) <= max_words) & (col(size) <= max_bytes)
 
 
+def _pieces(text: str, small: Callable[[str], bool], notes: dict[str, None]) -> Iterator[tuple[str, str, bool]]:
+    """The coarsest pieces of a text that are small enough, in order: (piece, what joins it to the one before, whether it begins a part).
+
+    A unit that is too large gives way to its own units, the first of which
+    begins a part; what no level can cut stays whole.
+    """
+    waiting = [(text, "", False, 0)]
+    while waiting:
+        piece, joiner, begins, level = waiting.pop()
+        if small(piece):
+            yield piece, joiner, begins
+            continue
+        for finer, (pattern, between) in enumerate(LEVELS[level:], level + 1):
+            units = piece.split() if pattern is None else list(filter(None, re.split(pattern, piece)))
+            if len(units) > 1:
+                if pattern is None:
+                    notes[CUT_IN_SENTENCE] = None
+                waiting += [(u, between, False, finer) for u in units[:0:-1]] + [(units[0], joiner, True, finer)]
+                break
+        else:
+            notes[TOKEN_OVER_LIMIT] = None
+            yield piece, joiner, True
+
+
 def split_text(text: str, max_words: int, max_bytes: int) -> tuple[list[str], list[str]]:
-    """Parts within the limits and warnings; boundaries are as coarse as can be."""
-    warnings: dict[str, None] = {}
-
-    def within(words: int, size: int) -> bool:
-        return words <= max_words and size <= max_bytes
-
-    def cut(piece: str, level: int) -> list[str]:
-        units = [piece]
-        while level < len(LEVELS) and len(units) < 2:
-            pattern, joiner = LEVELS[level]
-            units = piece.split() if pattern is None else [u for u in re.split(pattern, piece) if u]
-            level += 1
-        if len(units) < 2:
-            warnings[TOKEN_OVER_LIMIT] = None
-            return [piece]
-        if pattern is None:
-            warnings[CUT_IN_SENTENCE] = None
-        done, held, words, size = [], [], 0, 0
-        for unit in units:
-            n, b = len(unit.split()), len(unit.encode())
-            if held and not within(words + n, size + len(joiner) + b):
-                done.append(joiner.join(held))
-                held, words, size = [], 0, 0
-            if not held and not within(n, b):
-                *whole, unit = cut(unit, level)
-                done += whole
-                n, b = len(unit.split()), len(unit.encode())
-            size += b + (len(joiner) if held else 0)
-            words += n
-            held.append(unit)
-        return done + [joiner.join(held)] if held else done
-
-    if within(len(text.split()), len(text.encode())):
-        return [text], []
-    return cut(text, 0), list(warnings)
+    """Parts within the limits and warnings; boundaries are as coarse as can be, and parts are filled in one pass."""
+    notes: dict[str, None] = {}
+    parts: list[list[str]] = []
+    words = size = 0
+    for piece, joiner, begins in _pieces(text, lambda t: len(t.split()) <= max_words and len(t.encode()) <= max_bytes, notes):
+        n, b = len(piece.split()), len(piece.encode())
+        if parts and not begins and words + n <= max_words and size + len(joiner) + b <= max_bytes:
+            parts[-1] += [joiner, piece]
+            words, size = words + n, size + len(joiner) + b
+        else:
+            parts.append([piece])
+            words, size = n, b
+    return ["".join(part) for part in parts], list(notes)
 
 
 def split(docs: DataFrame, max_words: int, max_bytes: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -137,18 +140,61 @@ def plan_in_order(items: DataFrame, group: str, name: str, max_words: int, max_b
     return next_fit(items.withColumn("natural", natural_key(name)), group, ["natural", name], max_words, max_bytes, 0).drop("natural")
 
 
+def plan_images(images: DataFrame, max_words: int, max_bytes: int, key: str = "doc_id", group: str = "source", name: str = "name", scans: bool = False) -> DataFrame:
+    """``key, group, bin`` of images with ``n_words``, ``text_bytes`` and ``image_bytes``: next fit of words and of all bytes, without joiners.
+
+    Scans go in the natural order of names, other images in that of keys.
+    Images without a group share ``Images 1``; one that is too large alone
+    has a file of its own.
+    """
+    rows = images.select(key, F.coalesce(F.nullif(F.trim(group), F.lit("")), F.lit("Images 1")).alias("group"), name, "n_words", (F.coalesce("text_bytes", F.lit(0)) + F.coalesce("image_bytes", F.lit(0))).cast("long").alias("n_bytes"))
+    packed = plan_in_order(rows, "group", name, max_words, max_bytes) if scans else next_fit(rows, "group", [key], max_words, max_bytes, 0)
+    return packed.select(key, "group", "bin")
+
+
+def plan_kinds(sources: DataFrame, max_words: int, max_bytes: int, key: str = "doc_id", group: str = "source", text: str = "text", kind: str = "kind") -> DataFrame:
+    """``plan`` with a route for each kind: music is never grouped, images go to ``plan_images``; adds ``route``."""
+    to = route(kind)
+    texts = plan(sources.where(to != "images").withColumn(group, F.when(to != "music", F.col(group))), max_words, max_bytes, key, group, text)
+    texts = texts.join(sources.select(key, to.alias("route")), key)
+    found = [c for c in ("text_bytes", "image_bytes") if c in sources.columns]
+    images = sources.where(to == "images").select(
+        key, group, F.col(key).cast("string").alias("name"), word_count(F.coalesce(F.col(text), F.lit(""))).alias("n_words"), F.lit(None).cast("long").alias("text_bytes") if "text_bytes" not in found else F.col("text_bytes"),
+        F.lit(0).cast("long").alias("image_bytes") if "image_bytes" not in found else F.col("image_bytes"), byte_count(F.coalesce(F.col(text), F.lit(""))).alias("own_bytes"),
+    ).withColumn("text_bytes", F.coalesce("text_bytes", "own_bytes"))
+    binned = plan_images(images, max_words, max_bytes, key, group).join(images.select(key, "n_words", (F.col("text_bytes") + F.col("image_bytes")).cast("long").alias("n_bytes")), key)
+    counts = binned.groupBy("group").agg(F.max("bin").alias("part_count"))
+    pictures = binned.join(counts, "group").select(
+        F.concat(F.lit("images-"), F.col("group"), F.lit("-"), F.col("bin").cast("string")).alias("file_id"), key, "group", F.lit(True).alias("is_group"), "bin", F.col("bin").alias("part_no"), "part_count", "n_words", "n_bytes", F.lit("images").alias("route"),
+    )
+    return texts.select(*pictures.columns).unionByName(pictures)
+
+
+def route(kind: str | Column) -> Column:
+    """Where sources of a kind are packed: ``images``, ``music`` (always files of their own) or ``texts``."""
+    return F.when(col(kind) == "image", "images").when(col(kind) == "music", "music").otherwise("texts")
+
+
 def admit(sources: DataFrame, limit: int, key: str = "doc_id", group: str = "source") -> DataFrame:
     """``sources`` with ``slot`` and ``admitted``: a file slot for each group or ungrouped source, by first appearance.
 
-    Groups are met by partial minima, so only one row a group is ranked.
+    If there is a column ``kind``, music is a file of its own whatever its
+    group; if there is a column ``status``, sources that are ``skipped``,
+    ``error`` or ``duplicate`` take no slot and have no verdict.  Groups are met
+    by partial minima, so only one row a group is ranked.
     """
-    slot = F.coalesce(F.concat(F.lit("g:"), F.nullif(F.trim(group), F.lit(""))), F.concat(F.lit("s:"), F.col(key).cast("string")))
+    named = F.nullif(F.trim(group), F.lit(""))
+    if "kind" in sources.columns:
+        named = F.when(route("kind") != "music", named)
+    slot = F.coalesce(F.concat(F.lit("g:"), named), F.concat(F.lit("s:"), F.col(key).cast("string")))
+    if "status" in sources.columns:
+        slot = F.when(~F.col("status").isin("skipped", "error", "duplicate"), slot)
     rows = sources.withColumn("slot_key", slot)
-    first = rows.groupBy("slot_key").agg(F.min(key).alias("first"))
+    first = rows.where("slot_key is not null").groupBy("slot_key").agg(F.min(key).alias("first"))
     ahead = first.orderBy("first", "slot_key").limit(limit)
     taken = ahead.select("slot_key", F.row_number().over(Window.orderBy("first", "slot_key")).alias("slot"))  # ``limit`` rows
     out = rows.join(F.broadcast(taken) if limit <= 100_000 else taken, "slot_key", "left")
-    return out.withColumn("admitted", F.col("slot").isNotNull()).drop("slot_key")
+    return out.withColumn("admitted", F.when(F.col("slot_key").isNotNull(), F.col("slot").isNotNull())).drop("slot_key")
 
 
 def within_remaining(parts: DataFrame, remaining: int, key: str = "file_no") -> DataFrame:
@@ -160,8 +206,7 @@ def within_remaining(parts: DataFrame, remaining: int, key: str = "file_no") ->
     """
     import numpy as np
 
-    ranged = parts.select(key, "part_count").repartitionByRange(key).withColumn("range", F.spark_partition_id())
-    ranged = ranged.persist()
+    ranged = stash(parts.select(key, "part_count").repartitionByRange(key).withColumn("range", F.spark_partition_id()), "ranges")
 
     def table(group: pa.Table) -> pa.Table:
         left = np.arange(remaining + 1)

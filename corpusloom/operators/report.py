@@ -25,7 +25,7 @@ def distinct_outputs(outputs: DataFrame) -> DataFrame:
 
 
 def metrics(outputs: DataFrame, limit: int) -> DataFrame:
-    """One row: files, counts by format, used slots, share of the limit (rounded half to even), words, largest file.
+    """One row: files, counts by format, used slots, share of the limit (rounded half to even), words, largest file (the first path of equal ones).
 
     Of a text and its Markdown twin only the text's words count.
     """
@@ -34,15 +34,16 @@ def metrics(outputs: DataFrame, limit: int) -> DataFrame:
     slots = per_stem.agg(F.count(F.lit(1)).alias("used_slots"), F.coalesce(F.sum("words"), F.lit(0)).alias("n_words"))
     one = files.agg(
         F.count(F.lit(1)).alias("files"), *[F.count_if(F.col("format") == f).alias(f"files_{f}") for f in ("txt", "md", "pdf")],
-        F.max(F.struct("n_bytes", F.col("path"))).alias("top"),
+        F.min(F.struct((-F.col("n_bytes")).alias("n_bytes"), "path")).alias("top"),
     )
     share = F.when(F.lit(limit) <= 0, 0).otherwise(F.bround(F.col("used_slots") * 100.0 / limit)).cast("long")
-    return one.join(F.broadcast(slots)).select("files", "files_txt", "files_md", "files_pdf", "used_slots", share.alias("limit_percent"), "n_words", F.col("top.path").alias("largest_file"), F.col("top.n_bytes").alias("largest_bytes"))
+    return one.join(F.broadcast(slots)).select("files", "files_txt", "files_md", "files_pdf", "used_slots", share.alias("limit_percent"), "n_words", F.col("top.path").alias("largest_file"), (-F.col("top.n_bytes")).alias("largest_bytes"))
 
 
 def skipped_in_archives(entries: DataFrame) -> DataFrame:
-    """One row ``skipped``: entries that were not accepted; an archive that was dropped whole counts once."""
-    return entries.agg(F.count_if((F.col("status") == "skipped")).alias("skipped"))
+    """One row ``skipped`` from ``archive, archive_status, status``: entries that were not accepted; an archive that was skipped whole counts once."""
+    each = entries.groupBy("archive").agg(F.bool_or(F.col("archive_status") == "skipped").alias("whole"), F.count_if(~(F.col("status").eqNullSafe("accepted")) & F.col("status").isNotNull()).alias("n"))
+    return each.agg(F.coalesce(F.sum(F.when(F.col("whole"), 1).otherwise(F.col("n"))), F.lit(0)).cast("long").alias("skipped"))
 
 
 def not_processed(sources: DataFrame) -> DataFrame:
@@ -53,15 +54,27 @@ def verified(sources: DataFrame) -> DataFrame:
     return sources.where("verified").select("source_id", "verified_at")
 
 
+#: How a review case is described to the user.
+DESCRIPTION = "Możliwy duplikat źródła %s: podobieństwo %.2f, metoda %s."
+
+
 def possible_duplicates(decisions: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``main_id, n, first, best``: how many review cases resemble a source, the least of their ids and their best score."""
-    return decisions.where("status = 'review'").groupBy("main_id").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"), F.max("score").alias("best"))
+    """``key, cases, descriptions``: for each source kept beside another that it may duplicate, its review cases.
+
+    A source has a case for each decision about it, so its list is short
+    however many sources resemble one main source.
+    """
+    described = F.format_string(DESCRIPTION, F.col("main_id").cast("string"), F.col("score").cast("double"), F.col("method"))
+    rows = decisions.where("status = 'review'").select(key, F.struct("main_id", described.alias("description")).alias("case"))
+    found = rows.groupBy(key).agg(F.array_sort(F.collect_list("case")).alias("all"))
+    return found.select(key, F.size("all").alias("cases"), F.transform("all", lambda c: c["description"]).alias("descriptions"))
 
 
 def possible_duplicate_members(decisions: DataFrame, key: str = "doc_id") -> DataFrame:
     """``main_id, key, score, n``: one row for each review case, with the number of cases that resemble the same source."""
     review = stash(decisions.where("status = 'review'").select("main_id", key, "score"), "review")
-    return review.join(possible_duplicates(review.withColumn("status", F.lit("review")), key).select("main_id", "n"), "main_id").select("main_id", key, "score", "n")
+    counts = review.groupBy("main_id").agg(F.count(F.lit(1)).alias("n"))
+    return review.join(counts, "main_id").select("main_id", key, "score", "n")
 
 
 def to_check(sources: DataFrame, decisions: DataFrame, key: str = "source_id") -> DataFrame:

@@ -118,15 +118,20 @@ def written(paras: DataFrame, key: str = "source_id", marks: bool = False, lengt
     return rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
 
 
-#: Credits of translators and subtitle makers.
-CREDITS = r"(?iU)\b(?:napisy|tłumaczenie|korekta|subtitles?|translat(?:ed|ion)|captions?|transcri(?:bed|pt))\s*(?:by|:|stworzone przez|społeczność)\b?"
+#: How credits of translators and subtitle makers begin.
+CREDITS = r"(?iU)^\s*(?:tłumaczenie\s*:|korekta\s*:|napisy\s*:|opracowanie\s*:|translated\s+by|reviewed\s+by|subtitles\s+by|captions\s+by)"
 
 
 def without_credits(segments: DataFrame, key: str = "source_id", edge: int = 4, pattern: str = CREDITS) -> DataFrame:
-    """Segments without credits among the first and last ``edge`` of each source."""
+    """Segments without credits among the first and last ``edge`` of each source.
+
+    Tracks that were made by a machine have none: if there is a column
+    ``generated``, its rows stay where it is true.
+    """
     up, down = Window.partitionBy(key).orderBy("pos"), Window.partitionBy(key).orderBy(F.desc("pos"))
+    made_by_hand = ~F.coalesce("generated", F.lit(False)) if "generated" in segments.columns else F.lit(True)
     at_edge = (F.row_number().over(up) <= edge) | (F.row_number().over(down) <= edge)
-    return segments.withColumn("_gone", at_edge & F.col("text").rlike(pattern)).where("not _gone").drop("_gone")
+    return segments.withColumn("_gone", at_edge & made_by_hand & F.coalesce(F.col("text").rlike(pattern), F.lit(False))).where("not _gone").drop("_gone")
 
 
 def quality(segments: DataFrame, key: str = "source_id", repeats: int = 3, share: float = 0.3, least: int = 3) -> DataFrame:

@@ -140,6 +140,12 @@ def possible_duplicates(spark, sf_dir):
     return report.possible_duplicate_members(dedup.deduplicate(_t(spark, sf_dir, "documents")))
 
 
+@_query()
+def possible_duplicate_list(spark, sf_dir):
+    found = report.possible_duplicates(dedup.deduplicate(_t(spark, sf_dir, "documents")))
+    return found.select("doc_id", "cases", F.array_join("descriptions", "\n").alias("descriptions"))
+
+
 @_query(f"""WITH k AS (SELECT doc_id, source, sha256({_COSMETIC.format('text')}) AS c FROM documents),
   b AS (SELECT c, min(doc_id) AS m FROM k WHERE source < 'src3' GROUP BY c), n AS (SELECT doc_id, c, min(doc_id) OVER (PARTITION BY c) AS first FROM k WHERE source >= 'src3')
   SELECT doc_id, CASE WHEN m IS NULL AND doc_id = first THEN 'kept' ELSE 'duplicate' END AS status, CASE WHEN NOT (m IS NULL AND doc_id = first) THEN coalesce(m, first) END AS main_id FROM n LEFT JOIN b USING (c)""")
@@ -323,7 +329,7 @@ _OUTPUTS = f"""o AS (SELECT source || '.' || f AS path, f AS format, source AS s
 @_query(f"""WITH {_OUTPUTS}, s AS (SELECT stem, format = 'pdf' AS pdf, coalesce(max(n_words) FILTER (format = 'txt'), max(n_words)) AS words FROM o GROUP BY ALL)
   SELECT count(*) AS files, count(*) FILTER (format = 'txt') AS files_txt, count(*) FILTER (format = 'md') AS files_md, count(*) FILTER (format = 'pdf') AS files_pdf,
   (SELECT count(*) FROM s) AS used_slots, round_even((SELECT count(*) FROM s) * 100.0 / 90, 0)::BIGINT AS limit_percent, (SELECT sum(words) FROM s)::BIGINT AS n_words,
-  arg_max(path, (n_bytes, path)) AS largest_file, max(n_bytes)::BIGINT AS largest_bytes FROM o""")
+  arg_min(path, (-n_bytes, path)) AS largest_file, max(n_bytes)::BIGINT AS largest_bytes FROM o""")
 def report_metrics(spark, sf_dir):
     return report.metrics(_outputs(spark, sf_dir), 90)
 

@@ -37,10 +37,11 @@ def stream_settle(stream: DataFrame, decisions_path: str, checkpoint: str, key:
     spark = stream.sparkSession
 
     def run(batch: DataFrame, number: int) -> None:
-        try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(decisions_path)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
             earlier = spark.read.parquet(decisions_path).where(F.col("batch") != number)
             base = earlier.where("status = 'kept'").select("cosmetic_key", F.col(key).alias("main_id"))
-        except Exception:  # the first batch finds no table
+        else:  # the first batch
             base = batch.limit(0).select(F.lit("").alias("cosmetic_key"), F.col(key).alias("main_id"))
         settle_batch(batch, base, key, text).write.mode("overwrite").parquet(f"{decisions_path}/batch={number}")
 

@@ -1,5 +1,6 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from corpusloom.operators import packing as P
 
@@ -52,3 +53,21 @@ def test_small_operators(spark):
     assert {r["name"]: r["group"] for r in P.default_image_group(images).collect()} == {"x": "Images 4", "y": "Images 5", "z": "Images 5"}
     scans = spark.createDataFrame([("s10", "g", 5, 5), ("s2", "g", 5, 5), ("s1", "g", 5, 5)], "name string, group string, n_words long, n_bytes long")
     assert {r["name"]: r["bin"] for r in P.plan_in_order(scans, "group", "name", 10, 100).collect()} == {"s1": 1, "s2": 1, "s10": 2}
+
+
+def test_routes_of_kinds(spark):
+    rows = [(1, "g", "a b", "document", None), (2, "g", "c", "music", None), (3, "g", "d", "music", None), (4, None, "e f", "image", 50), (5, " ", "g", "image", 60), (6, "p", "", "image", 500), (7, "p", "x", "image", 10), (8, "g", "y z", "document", None)]
+    sources = spark.createDataFrame(rows, "doc_id long, source string, text string, kind string, image_bytes long")
+    files = {r["doc_id"]: (r["file_id"], r["route"]) for r in P.plan_kinds(sources, 6, 100).collect()}
+    assert files == {
+        1: ("group-g-1", "texts"), 8: ("group-g-1", "texts"), 2: ("single-2-1", "music"), 3: ("single-3-1", "music"),
+        4: ("images-Images 1-1", "images"), 5: ("images-Images 1-2", "images"), 6: ("images-p-1", "images"), 7: ("images-p-2", "images"),
+    }
+    admitted = {r["doc_id"]: r["admitted"] for r in P.admit(sources.withColumn("status", F.when(F.col("doc_id") == 1, "error").otherwise("pending")), 3).collect()}
+    assert admitted == {1: None, 2: True, 3: True, 4: True, 5: False, 6: False, 7: False, 8: False}
+
+
+def test_split_orders_units_and_notes():
+    assert P.split_text("a b c d. e f\n\ng h i j k\nl m", 3, 100) == (["a b c", "d. e f", "g h i", "j k\nl"[:3], "l m"], [P.CUT_IN_SENTENCE])
+    assert P.split_text("a\n\n" + "x" * 9 + "\n\nb c", 2, 5) == (["a", "x" * 9, "b c"], [P.TOKEN_OVER_LIMIT])
+    assert P.split_text("   " * 5, 1, 4) == (["   " * 5], [P.TOKEN_OVER_LIMIT])

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import Config, from_session
 from corpusloom.functions import quality as Q
+from corpusloom.functions import text as T
 from corpusloom.operators import boilerplate, extract, render, report, subtitles
 from corpusloom.sources import files
 
@@ -132,8 +133,16 @@ def test_render_and_report(spark, tmp_path):
     row = report.metrics(outputs, 4).first()
     assert (row["files"], row["used_slots"], row["limit_percent"], row["n_words"], row["largest_file"]) == (3, 2, 50, 15, "b.pdf")
     assert "used slots: 2" in report.report_lines(report.metrics(outputs, 4), spark.createDataFrame([("packed", 2)], "status string, n long"))
-    decisions = spark.createDataFrame([(2, "review", 1, 0.8), (3, "duplicate", 1, 1.0), (4, "review", 1, 0.76)], "doc_id long, status string, main_id long, score double")
-    assert tuple(report.possible_duplicates(decisions).first()) == (1, 2, 2, 0.8)
+    twins = spark.createDataFrame([("b.txt", "txt", 1, 9), ("a.txt", "txt", 1, 9)], "path string, format string, n_words long, n_bytes long")
+    assert report.metrics(twins, 4).first()["largest_file"] == "a.txt"
+    decisions = spark.createDataFrame([(2, "review", 1, 0.8, "simhash"), (3, "duplicate", 1, 1.0, "hash"), (4, "review", 1, 0.76, "simhash"), (2, "review", 9, 0.755, "ratio")], "doc_id long, status string, main_id long, score double, method string")
+    listed = {r["doc_id"]: (r["cases"], r["descriptions"]) for r in report.possible_duplicates(decisions).collect()}
+    assert listed == {
+        2: (2, ["Możliwy duplikat źródła 1: podobieństwo 0.80, metoda simhash.", "Możliwy duplikat źródła 9: podobieństwo 0.76, metoda ratio."]),
+        4: (1, ["Możliwy duplikat źródła 1: podobieństwo 0.76, metoda simhash."]),
+    }
+    entries = spark.createDataFrame([("a", "taken", "accepted"), ("a", "taken", "skipped"), ("a", "taken", "error"), ("b", "skipped", "skipped"), ("b", "skipped", "skipped"), ("c", "skipped", None)], "archive string, archive_status string, status string")
+    assert report.skipped_in_archives(entries).first()[0] == 4 and report.skipped_in_archives(entries.limit(0)).first()[0] == 0
     scans = spark.createDataFrame([("b", 80.0, False), ("a", 50.0, False), ("c", None, True)], "name string, confidence double, unreadable boolean")
     assert [r["name"] for r in report.weak_scans(scans).collect()] == ["c", "a"]
 
@@ -147,3 +156,27 @@ def test_config(spark):
     except ValueError:
         return
     raise AssertionError("a review threshold above the duplicate threshold must be refused")
+
+
+def test_credits_go_from_the_edges_of_tracks_made_by_hand(spark):
+    texts = ["  Tłumaczenie: A", "Napisy : B", "said subtitles by hand", "Opracowanie: C", "Translated by D", *["line"] * 3, "subtitles:", "REVIEWED BY E", "Captions by F", None]
+    rows = [(s, i, t, s == "auto") for s in ("hand", "auto") for i, t in enumerate(texts)]
+    left = subtitles.without_credits(spark.createDataFrame(rows, "source_id string, pos int, text string, generated boolean")).collect()
+    assert sorted(r["pos"] for r in left if r["source_id"] == "hand") == [2, 4, 5, 6, 7, 8, 11] and sum(r["source_id"] == "auto" for r in left) == len(texts)
+
+
+def test_scored_kinds(spark):
+    rows = [("web", None, True), ("youtube", "vtt", True), ("document", "PDF", True), ("document", "csv", False), ("document", None, False), ("image", "png", False)]
+    assert all(r["got"] == r["want"] for r in spark.createDataFrame(rows, "kind string, form string, want boolean").select("want", Q.is_scored("kind", "form").alias("got")).collect())
+
+
+def test_markdown_escapes(spark):
+    cases = {
+        "# a": r"\# a", "a # b": "a # b", "#a": "#a", "  ## a": r"  \## a", "- a": r"\- a", "+ a": r"\+ a", "* a": r"\* a", "-a": "-a", "1. a": r"1\. a", "12) a": r"12\) a", "1.a": "1.a", "> a": r"\> a",
+        "```": r"\`\`\`", "~~~": r"\~\~~", "---": r"\---", "- - -": r"\- - -", "===": r"\===", "| a": r"\| a", "[a]: b": r"\[a]: b", "snake_case _it_": r"snake_case \_it\_", "<b> < 3": r"\<b> < 3",
+        "a](b)": r"a\](b)", "&amp; & x": r"\&amp; & x", "back\\slash \\* end\\": r"back\slash \\\* end\\", "a\n# b\n\n- c": "a\n\\# b\n\n\\- c", "": "",
+    }
+    rows = spark.createDataFrame([*cases.items(), (None, None)], "text string, want string").select("text", "want", T.escaped_markdown("text").alias("got")).collect()
+    assert [(r["text"], r["got"]) for r in rows if r["got"] != r["want"]] == []
+    one = spark.createDataFrame([("T # ##  ", "a ``` b ````")], "h string, c string").select(T.escaped_heading("h"), T.fence_length("c")).first()
+    assert tuple(one) == ("T # \\##", 5)

@@ -77,6 +77,10 @@ def test_times_and_dates(spark):
     assert one(spark, "nonsense", T.subtitle_seconds) is None
     assert str(one(spark, "03.02.2024 10:00", T.parse_date)) == "2024-02-03"
     assert one(spark, "soon", T.parse_date) is None
+    for given, want in (("2024-02-03T10:00:00Z", "2024-02-03"), ("20240203", "2024-02-03"), ("20240203T1015", "2024-02-03"), ("2024-2-3", "2024-02-03"), ("3.2.2024", "2024-02-03"), ("3/2/2024", "2024-02-03"), ("2024/12/31 x", "2024-12-31")):
+        assert str(one(spark, given, T.parse_date)) == want
+    for given in ("03-02-2024", "31.02.2024", "3.2.24", "2024", "202402033"):
+        assert one(spark, given, T.parse_date) is None
     assert one(spark, "abcdef", lambda v: T.shorten(v, 4)) == "abc…"
     assert one(spark, "\n  Title here \nrest", T.first_line_title) == "Title here"
     assert one(spark, 0.1 + 0.2, lambda v: T.cell_text(v, "double"), "double") == "0.3"
