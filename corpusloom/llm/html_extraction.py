@@ -256,7 +256,7 @@ def _keys(streams: list[np.ndarray], page: np.ndarray, at: np.ndarray, run: int)
     return key.view(np.int64)
 
 
-_PARSED = "row long, page_id long, url string, host string, kinds array<byte>, texts array<string>, words array<long>, sizes array<int>, marks array<long>, content long"
+_PARSED = "row long, page_id long, url string, host string, kinds array<byte>, texts array<string>, words array<long>, sizes array<int>, marks array<long>, content long, usual array<boolean>"
 
 
 def _signed(value: int) -> int:
@@ -266,7 +266,7 @@ def _signed(value: int) -> int:
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     digest = xxhash.xxh3_64_intdigest
     names = [c.split()[0] for c in _PARSED.split(", ")]
-    kinds = (pa.list_(pa.int8()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64())
+    kinds = (pa.list_(pa.int8()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.bool_()))
     for batch in batches:
         rows = []
         for page in batch["html"]:
@@ -274,7 +274,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             outside = [t.split() for k, t in parsed if k != ARTICLE]
             rows.append((
                 [k for k, _ in parsed], [t for _, t in parsed], [_signed(digest(w)) for words in outside for w in words], [len(t.split()) for _, t in parsed],
-                [_signed(digest(t, 1)) for k, t in parsed if k == ARTICLE], _signed(digest("\n".join(t for _, t in parsed), 2)),
+                [_signed(digest(t, 1)) for k, t in parsed if k == ARTICLE], _signed(digest("\n".join(t for _, t in parsed), 2)), markup_alone(parsed),
             ))
         columns = list(zip(*rows)) or [()] * len(kinds)
         yield pa.RecordBatch.from_arrays([batch["row"], batch["page_id"], batch["url"], batch["host"], *(pa.array(c, k) for c, k in zip(columns, kinds))], names)
@@ -287,29 +287,34 @@ def _lists(table: pa.Table, name: str) -> list[np.ndarray]:
     return np.split(flat, np.cumsum(ends)[:-1])
 
 
-_RUNS = "host string, lot int, key long, pages long, low long, high long, n long"
+_RUNS = "host string, lot int, key long, content long, article boolean"
+
+
+def _nearly_all(n: np.ndarray, pages: int) -> np.ndarray:
+    return 10 * n >= 9 * pages
 
 
 def _lot_runs(table: pa.Table, run: int) -> pa.Table:
-    """What a lot of a host with several tells the others: its runs outside articles, and its articles' blocks (``n`` pages have it)."""
-    names = [c.split()[0] for c in _RUNS.split(", ")]
-    kinds = [pa.string(), pa.int32(), *[pa.int64()] * 5]
-    if not table.num_rows or table["lots"][0].as_py() < 2:
-        return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
+    """What a lot of a host with several tells the others.
+
+    Its runs outside articles, with the content of the pages that have them
+    (null: several), and the blocks that nearly all its articles have: what
+    nearly all of a host's pages have is such a block of some lot.
+    """
+    names, kinds = [c.split()[0] for c in _RUNS.split(", ")], [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
     streams, contents = _lists(table, "words"), table["content"].to_numpy()
     classes, page, at = runs(streams, run)
     one, low, high, _ = _extremes(classes, contents[page])
     keys = _keys(streams, page[one], at[one], run) if len(one) else np.empty(0, np.int64)
     marks, counts = np.unique(np.concatenate([np.unique(m) for m in _lists(table, "marks")]), return_counts=True)
-    size, none = len(keys) + len(marks), np.zeros(len(marks), np.int64)
-    columns = [
-        [table["host"][0].as_py()] * size, [table["lot"][0].as_py()] * size, np.concatenate((keys, marks)), np.full(size, table["pages"][0].as_py()),
-        np.concatenate((low, none)), np.concatenate((high, none)), np.concatenate((np.zeros(len(keys), np.int64), counts)),
-    ]
+    marks = marks[_nearly_all(counts, table.num_rows)] if table["pages"][0].as_py() >= SITE_WIDE else marks[:0]
+    size = len(keys) + len(marks)
+    content = pa.array(np.concatenate((low, np.zeros(len(marks), np.int64))), mask=np.concatenate((low != high, np.ones(len(marks), bool))))
+    columns = [[table["host"][0].as_py()] * size, [table["lot"][0].as_py()] * size, np.concatenate((keys, marks)), content, np.arange(size) >= len(keys)]
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
-_DECIDED = "decided long, stays array<boolean>, n_repeated long"
+_DECIDED = "decided long, stays array<boolean>"
 
 
 def decide(kinds: list[int], sizes: list[int], covered: np.ndarray, site_wide: list[bool]) -> list[bool]:
@@ -327,45 +332,61 @@ def decide(kinds: list[int], sizes: list[int], covered: np.ndarray, site_wide: l
     return [once and kind != MARKED and not (kind == OPEN and give_way) for kind, once in zip(kinds, unique)]
 
 
+def markup_alone(parsed: list[tuple[int, str]]) -> list[bool]:
+    """The verdict on a page of which nothing is repeated."""
+    kinds, sizes = [k for k, _ in parsed], [len(t.split()) for _, t in parsed]
+    outside = sum(size for kind, size in zip(kinds, sizes) if kind != ARTICLE)
+    return decide(kinds, sizes, np.zeros(outside, bool), [False] * kinds.count(ARTICLE))
+
+
 def _decide(table: pa.Table, known: pa.Table, run: int) -> pa.Table:
-    """The verdicts on the pages of a lot; ``known`` are the host's repeated runs and site-wide blocks, if it has several lots."""
+    """The verdicts on those pages of a lot for which repetition matters; ``known`` are the host's repeated runs and site-wide blocks, if it has several lots."""
     streams, marks, contents = _lists(table, "words"), _lists(table, "marks"), table["content"].to_numpy()
     if table["lots"][0].as_py() < 2:
         covered = repeated(streams, contents, run)
         every, counts = np.unique(np.concatenate([np.unique(m) for m in marks]), return_counts=True)
-        wide = every[(10 * counts >= 9 * table.num_rows) & (table.num_rows >= SITE_WIDE)]
+        wide = every[_nearly_all(counts, table.num_rows)] if table.num_rows >= SITE_WIDE else every[:0]
     else:
         keys = known["key"].to_numpy()
         classes, page, at = runs(streams, run)
         twice = np.isin(_keys(streams, page, at, run), keys) if len(at) else np.empty(0, bool)
         covered, wide = _covered(streams, page[twice], at[twice], run), keys
     rows = []
-    for row, kinds, sizes, mark, cover in zip(table["row"].to_pylist(), table["kinds"].to_pylist(), table["sizes"].to_pylist(), marks, covered):
-        rows.append((row, decide(kinds, sizes, cover, np.isin(mark, wide).tolist()), int(cover.sum())))
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.list_(pa.bool_()), pa.int64()))], names=["decided", "stays", "n_repeated"])
+    for row, kinds, sizes, usual, mark, cover in zip(*(table[c].to_pylist() for c in ("row", "kinds", "sizes", "usual")), marks, covered):
+        stays = decide(kinds, sizes, cover, np.isin(mark, wide).tolist())
+        if stays != usual:
+            rows.append((row, stays))
+    columns = list(zip(*rows)) or [(), ()]
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.list_(pa.bool_())))], names=["decided", "stays"])
 
 
 def extract(pages: DataFrame, run: int = RUN, lot: int = LOT) -> DataFrame:
-    """One row for each row of ``pages``: ``page_id, url, text, n_chars, n_repeated``.
+    """One row for each row of ``pages``: ``page_id, url, text, n_chars``.
 
     The whole html is read; null counts as empty.  White space inside a block
-    becomes one space, blocks are joined by line feeds.  ``n_repeated`` are the
-    words outside articles that runs shared with other pages of the host cover.
-    Pages of null or bad urls form one host.  Repeated rows are pages of their
-    own and equal ones have equal results; other columns are not read.
+    becomes one space, blocks are joined by line feeds.  Pages of null or bad
+    urls form one host.  Repeated rows are pages of their own and equal ones
+    have equal results; other columns are not read.
     """
     host, _ = host_and_path()
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html")
     parsed = stash(rows.mapInArrow(_parse, _PARSED), "parsed")
+    # tables that are written have known sizes: Spark broadcasts them only where they are small
     sizes = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.size("words")).alias("tokens"))
-    sizes = sizes.select("host", "pages", F.greatest(F.ceil(F.col("pages") / lot), F.ceil(F.col("tokens") / LOT_TOKENS), F.lit(1)).cast("int").alias("lots"))
-    dealt = parsed.select("row", "host", "kinds", "sizes", "words", "marks", "content", F.xxhash64("page_id", "url").alias("spread")).join(sizes, "host")
+    lots = F.greatest(F.ceil(F.col("pages") / lot), F.ceil(F.col("tokens") / LOT_TOKENS), F.lit(1)).cast("int")
+    sizes = stash(sizes.select("host", "pages", lots.alias("lots")), "hosts")
+    dealt = parsed.select("row", "host", "kinds", "sizes", "words", "marks", "content", "usual", F.xxhash64("page_id", "url").alias("spread")).join(sizes, "host")
     dealt = dealt.withColumn("lot", F.pmod("spread", "lots").cast("int")).drop("spread")
-    own = stash(dealt.where("lots > 1").groupBy("host", "lot").applyInArrow(lambda t: _lot_runs(t, run), _RUNS), "runs")
-    every = own.groupBy("host", "key").agg(F.max("pages").alias("pages"), F.min(F.when(F.col("n") == 0, F.col("low"))).alias("low"), F.max(F.when(F.col("n") == 0, F.col("high"))).alias("high"), F.sum("n").alias("n"))
-    every = stash(every.where((F.col("low") != F.col("high")) | (F.col("n") > 0) & (10 * F.col("n") >= 9 * F.col("pages")) & (F.col("pages") >= SITE_WIDE)).select("host", "key"), "shared")
-    known = own.select("host", "lot", "key").join(every, ["host", "key"])
+    several = dealt.where("lots > 1").select("host", "lot", "words", "marks", "content", "pages")
+    own = stash(several.groupBy("host", "lot").applyInArrow(lambda t: _lot_runs(t, run), _RUNS), "runs")
+    shared = own.where("not article").groupBy("host", "key").agg(F.min("content").alias("low"), F.max("content").alias("high"), F.bool_or(F.col("content").isNull()).alias("twice"))
+    shared = shared.where("twice or low <> high").select("host", "key")
+    likely = stash(own.where("article").select("host", "key").distinct(), "likely")
+    having = parsed.select("host", F.explode(F.array_distinct("marks")).alias("key")).join(likely, ["host", "key"], "left_semi").groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
+    wide = having.join(sizes, "host").where(10 * F.col("n") >= 9 * F.col("pages")).select("host", "key")
+    known = dealt.where("lots > 1").select("host", "lot").distinct().join(stash(wide, "wide"), "host")
+    known = known.unionByName(own.where("not article").select("host", "lot", "key").join(stash(shared, "shared"), ["host", "key"]))
     decided = dealt.groupBy("host", "lot").cogroup(known.groupBy("host", "lot")).applyInArrow(lambda a, b: _decide(a, b, run), _DECIDED)
-    out = parsed.select("row", "page_id", "url", "texts").join(decided, F.col("row") == F.col("decided"))
-    text = F.array_join(F.filter("texts", lambda t, i: F.element_at("stays", i + 1)), "\n")
-    return out.select("page_id", "url", text.alias("text"), "n_repeated").withColumn("n_chars", F.length("text").cast("long")).select("page_id", "url", "text", "n_chars", "n_repeated")
+    out = parsed.select("row", "page_id", "url", "texts", "usual").join(stash(decided, "decided"), F.col("row") == F.col("decided"), "left")
+    text = F.array_join(F.filter("texts", lambda t, i: F.element_at(F.coalesce("stays", "usual"), i + 1)), "\n")
+    return out.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
