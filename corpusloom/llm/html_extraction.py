@@ -386,7 +386,8 @@ def extract(pages: DataFrame, run: int = RUN, lot: int = LOT) -> DataFrame:
     wide = having.join(sizes, "host").where(10 * F.col("n") >= 9 * F.col("pages")).select("host", "key")
     known = dealt.where("lots > 1").select("host", "lot").distinct().join(stash(wide, "wide"), "host")
     known = known.unionByName(own.where("not article").select("host", "lot", "key").join(stash(shared, "shared"), ["host", "key"]))
-    decided = dealt.groupBy("host", "lot").cogroup(known.groupBy("host", "lot")).applyInArrow(lambda a, b: _decide(a, b, run), _DECIDED)
+    known = known.select(F.col("host").alias("of_host"), F.col("lot").alias("of_lot"), "key")
+    decided = dealt.groupBy("host", "lot").cogroup(known.groupBy("of_host", "of_lot")).applyInArrow(lambda a, b: _decide(a, b, run), _DECIDED)
     out = parsed.select("row", "page_id", "url", "texts", "usual").join(stash(decided, "decided"), F.col("row") == F.col("decided"), "left")
     text = F.array_join(F.filter("texts", lambda t, i: F.element_at(F.coalesce("stays", "usual"), i + 1)), "\n")
     return out.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
