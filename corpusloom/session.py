@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
+#: Folders of the tables that ``stash`` has written and nothing has discarded.
+_stashed: dict[str, None] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -54,12 +59,40 @@ def shared_dir(spark: SparkSession) -> str:
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 
-    The files survive lost executors and stay until the folder is cleared.
+    The files survive lost executors and stay until they are discarded or the
+    folder is cleared.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _stashed[path] = None
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stashed_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``stash`` returned and that nothing will read again."""
+    for table in tables:
+        _delete(table.sparkSession, table.stashed_at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _stashed.pop(path, None)
+
+
+@contextmanager
+def leftovers(spark: SparkSession, of: list[str]) -> Iterator[None]:
+    """Deletes the tables ``of`` an earlier step, whose result is written elsewhere by now, and names there those of this step."""
+    for path in of:
+        _delete(spark, path)
+    gc.collect()
+    spark._jvm.System.gc()  # lets Spark clear the shuffle files of plans that are gone
+    before = set(_stashed)
+    yield
+    of[:] = [path for path in _stashed if path not in before]
 
 
 def spread(df: DataFrame) -> DataFrame:
