@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import ascii_lower, stash
+from corpusloom.llm.common import ascii_lower, discard, stash
 
 BLOCK = 4096
 ROW = "corpusloom_row"
@@ -56,7 +56,9 @@ def name_documents(rows: DataFrame) -> DataFrame:
         few = blocks.select("h", "block").join(several, "h", "left_semi").distinct()
         few = stash(few.withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy("block"))), "few")
         level = blocks.join(few, ["h", "block"], "left").drop("block").withColumn("rank", F.coalesce("rank", F.lit(1)))
-    return _pair_up(_named(level, ["h", "rank"], 0))
+    first = _named(level, ["h", "rank"], 0)
+    discard(blocks)
+    return _pair_up(first)
 
 
 def _named(level: DataFrame, keys: list[str], depth: int) -> DataFrame:
@@ -101,5 +103,6 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group of equal texts, with all their columns."""
     rows = stash(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
-    kept = _groups(rows.select(ROW, "doc_id", "text")).where("kept").select(F.col("row").alias(ROW))
+    # a written table has a known size: Spark broadcasts it only where it is small
+    kept = stash(_groups(rows.select(ROW, "doc_id", "text")).where("kept").select(F.col("row").alias(ROW)), "kept")
     return rows.join(kept, ROW, "left_semi").drop(ROW)

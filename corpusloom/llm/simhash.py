@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import components, stash
+from corpusloom.llm.common import components, discard, stash
 
 SEGMENTS = 4
 BITS = 64 // SEGMENTS
@@ -210,7 +210,9 @@ def _alike(pairs: DataFrame, docs: DataFrame, prints: DataFrame, words: int, sim
                 right.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(right, pa.bool_()))
 
-    return stash(both.select("a", "b", "first", "second").mapInArrow(run, "a long, b long"), "alike")
+    alike = stash(both.select("a", "b", "first", "second").mapInArrow(run, "a long, b long"), "alike")
+    discard(pairs, texts)
+    return alike
 
 
 def similar_pairs(docs: DataFrame, rows: DataFrame, prints: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -231,7 +233,9 @@ def similar_pairs(docs: DataFrame, rows: DataFrame, prints: DataFrame, words: in
         if found.isEmpty() or large.isEmpty():
             return links
         later = components(links, "so-far").where("node <> component").select("node")
-        keys, turn = stash(large.join(later, "node", "left_anti").select("key", "node"), "bands"), turn + 1
+        left, turn = stash(large.join(later, "node", "left_anti").select("key", "node"), "bands"), turn + 1
+        discard(keys, groups)
+        keys = left
 
 
 def keep_unlike(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
