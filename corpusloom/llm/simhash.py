@@ -34,6 +34,8 @@ _CHUNK = 1 << 16
 MINIMA, BANDS = 6, 24
 #: Groups of one band up to this size are compared pair by pair.
 GROUP = 16
+#: Larger groups are dealt anew to parts of so many, turn by turn.
+DEALT = 4
 #: Fingerprints further apart (five standard deviations at similarity 0.8) are of texts that are less alike; from so many shingles on.
 FAR, MANY = 24, 64
 _FACTORS = np.array([xxhash.xxh64_intdigest(b"%d" % i, SEED) | 1 for i in range(MINIMA * BANDS)], dtype=np.uint64)
@@ -182,9 +184,9 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _candidates(groups: DataFrame, turn: int) -> DataFrame:
-    """Pairs ``a < b`` of ``groups(key, node, n, low)``: all of a small group, of a larger one those with its least node and those dealt together."""
-    part = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / GROUP))
-    dealt = groups.select("key", "node", part.alias("part"))
+    """Pairs ``a < b`` of ``groups(key, node, n, low)``: all of a small group, of a larger one those with its least node and, after the first turn, those dealt together."""
+    part = F.when(F.col("n") <= GROUP, F.lit(0)).otherwise(F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / DEALT)))
+    dealt = groups.where((F.col("n") <= GROUP) | F.lit(turn > 0)).select("key", "node", part.alias("part"))
     near = dealt.join(dealt.withColumnRenamed("node", "b"), ["key", "part"]).where(F.col("node") < F.col("b")).select(F.col("node").alias("a"), "b")
     return near.unionByName(groups.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))).distinct()
 
@@ -218,19 +220,20 @@ def _alike(pairs: DataFrame, docs: DataFrame, prints: DataFrame, words: int, sim
 def similar_pairs(docs: DataFrame, rows: DataFrame, prints: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links ``a, b`` between the distinct ``prints.fp``.
 
-    Groups of a band with over ``GROUP`` members are not paired in full: of the
-    classes found so far one member stays, and such groups are dealt anew until
-    a turn brings no more links.
+    Groups of a band with over ``GROUP`` members are not paired in full: they
+    are compared with their least member first.  Of the classes found so far one
+    member stays; groups that are small by then are paired, larger ones dealt
+    anew until a turn brings no more links.
     """
     keys = stash(rows.select(F.explode("bands").alias("key"), F.col("fp").alias("node")).distinct(), "bands")
     links, turn = None, 0
     while True:
         sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"))
-        groups = stash(keys.join(sizes.where(f"n > {1 if not turn else GROUP}"), "key"), "groups")
+        groups = stash(keys.join(sizes.where("n > 1"), "key"), "groups")
         found = _alike(_candidates(groups, turn), docs, prints, words, similarity)
         links = found if links is None else links.unionByName(found)
         large = groups.where(F.col("n") > GROUP)
-        if found.isEmpty() or large.isEmpty():
+        if large.isEmpty() or turn and found.isEmpty():
             return links
         later = components(links, "so-far").where("node <> component").select("node")
         left, turn = stash(large.join(later, "node", "left_anti").select("key", "node"), "bands"), turn + 1
