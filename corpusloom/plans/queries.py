@@ -64,7 +64,14 @@ def source_ids(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", T.source_id("text", "text").alias("source_id"), T.input_id("text", "text").alias("input_id"), T.first_line_title("text").alias("title"))
 
 
-@_query()
+_STEM = r"""t AS (SELECT doc_id, text, regexp_extract_all(lower(coalesce(substr(trim(regexp_extract(text, '(?m)^.*\S.*$')), 1, 80), '')), '[\p{L}\p{M}\p{N}\p{Pc}]+') AS w FROM documents),
+  k AS (SELECT *, list_max(list_transform(range(0, len(w) + 1), lambda k: CASE WHEN length(array_to_string(w[1:k], '_')) <= 60 THEN k END)) AS k FROM t),
+  s AS (SELECT *, trim(regexp_replace(CASE WHEN k = 0 AND len(w) > 0 THEN substr(w[1], 1, 60) ELSE array_to_string(w[1:k], '_') END, '_{2,}', '_', 'g'), '_') AS stem FROM k)"""
+_SAFE = "CASE WHEN {0} = '' OR upper({0}) IN (" + ", ".join(f"'{r}'" for r in T.RESERVED) + ") THEN '{1}' ELSE {0} END"
+
+
+@_query(f"""WITH {_STEM}, n AS (SELECT doc_id, regexp_replace({_SAFE.format('stem', 'text')} || '_' || substr(sha256(text), 1, 8), '_{{2,}}', '_', 'g') AS name, substr(regexp_replace(array_to_string(w[1:8], '_'), '_{{2,}}', '_', 'g'), 1, 100) AS base FROM s)
+  SELECT doc_id, trim(name, '_') AS name, trim(name, '_') || '_part_02_of_11' AS part, {_SAFE.format('base', 'project')} AS project FROM n""")
 def output_names(spark, sf_dir):
     named = _t(spark, sf_dir, "documents").select("doc_id", T.first_line_title("text").alias("title"), T.source_id("text", "text").alias("source_id"))
     return named.select("doc_id", T.output_name("title", "source_id").alias("name"), T.part_name(T.output_name("title", "source_id"), F.lit(2), F.lit(11)).alias("part"), T.project_name("title").alias("project"))
@@ -197,12 +204,14 @@ _PHRASES = " OR ".join("contains(lower(text), '" + p.replace("'", "''") + "')" f
 
 
 @_query(f"""WITH l AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS parts, len({_WORDS}) AS words FROM documents),
+  m AS (SELECT *, list_transform(parts, lambda x: starts_with(x, '#')) AS marks, len(list_filter(parts, lambda x: starts_with(x, '#'))) AS heads FROM l),
   r AS (SELECT doc_id, max(n) AS most FROM (SELECT doc_id, p, count(*) AS n FROM (SELECT doc_id, unnest(parts) AS p FROM l) GROUP BY doc_id, p) GROUP BY doc_id)
-  SELECT doc_id, array_to_string(list_filter([CASE WHEN words < 50 THEN 'few_words' END, CASE WHEN len(parts) < 2 THEN 'no_paragraphs' END, CASE WHEN {_PHRASES} THEN 'phrase' END,
-  CASE WHEN most >= 3 THEN 'repeated' END], lambda x: x IS NOT NULL), ',') AS reasons FROM l LEFT JOIN r USING (doc_id)""")
+  SELECT doc_id, array_to_string(list_filter([CASE WHEN words < 50 THEN 'few_words' END, CASE WHEN len(parts) = 0 THEN 'no_title' END, CASE WHEN len(parts) < 2 THEN 'no_paragraphs' END, CASE WHEN {_PHRASES} THEN 'phrase' END,
+  CASE WHEN most >= 3 THEN 'repeated' END, CASE WHEN heads >= 2 AND heads > len(parts) - heads THEN 'headings' END,
+  CASE WHEN len(list_filter(range(1, len(marks) + 1), lambda i: marks[i] AND coalesce(marks[i + 1], true))) >= 2 THEN 'empty_sections' END], lambda x: x IS NOT NULL), ',') AS reasons FROM m LEFT JOIN r USING (doc_id)""")
 def quality_flags(spark, sf_dir):
     reasons = Q.extraction_reasons("text", T.first_line_title("text"), separator="\n")
-    return _t(spark, sf_dir, "documents").select("doc_id", F.array_join(F.filter(reasons, lambda r: ~r.isin("no_title", "headings", "empty_sections")), ",").alias("reasons"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.array_join(reasons, ",").alias("reasons"))
 
 
 @_query(f"SELECT doc_id, len({_WORDS}) < 50 AND ({_PHRASES}) AS block_page FROM documents")
@@ -227,12 +236,25 @@ def _segments(spark, sf_dir) -> DataFrame:
     return _t(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), (F.col("turn") * 10.0).alias("start_s"), "text")
 
 
-@_query()
+# each step takes one segment: what repeats the open paragraph's end is left out, and a paragraph that is long enough closes
+_PARAGRAPHS = r"""RECURSIVE c AS (SELECT conv_id, turn * 10.0::DOUBLE AS at_s, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]*>', ' ', 'g'),
+    '\[\s*(?:[^\]\s\d.!?…]+\s*){0,3}\]|\(\s*(?:[^)\s\d.!?…]+\s*){0,3}\)|^\s*\[[^\]\d]*\]\s*$|^\s*\([^)\d]*\)\s*$|[♪♫]', ' ', 'g'), '\s+'), lambda x: x <> '') AS new FROM conversations),
+  f AS (SELECT conv_id, 0::BIGINT AS nth, []::VARCHAR[] AS words, 0.0::DOUBLE AS start, 1 AS no, NULL::VARCHAR AS done FROM (SELECT DISTINCT conv_id FROM c) UNION ALL
+    SELECT conv_id, nth, CASE WHEN closes THEN [] ELSE every END, first, CASE WHEN closes THEN no + 1 ELSE no END, CASE WHEN closes THEN line END FROM (
+      SELECT *, len(fresh) > 0 AND (length(line) >= 1200 OR length(line) >= 350 AND regexp_matches(line, '[.!?…:]$')) AS closes FROM (
+        SELECT *, words || fresh AS every, array_to_string(words || fresh, ' ') AS line, CASE WHEN len(words) = 0 AND len(fresh) > 0 THEN at_s ELSE start END AS first FROM (
+          SELECT f.conv_id, c.nth, f.words, f.start, f.no, c.at_s, c.new[1 + coalesce(list_max(list_filter(range(1, least(len(f.words), len(c.new)) + 1), lambda n: f.words[len(f.words) - n + 1:] = c.new[1:n])), 0):] AS fresh FROM f JOIN c ON c.conv_id = f.conv_id AND c.nth = f.nth + 1)))),
+  o AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY nth DESC) = 1),
+  p AS (SELECT conv_id, (no - 1)::INT AS no, start AS start_s, done AS text FROM f WHERE done IS NOT NULL UNION ALL SELECT conv_id, no::INT, start, array_to_string(words, ' ') FROM o WHERE len(words) > 0)"""
+
+
+@_query(f"WITH {_PARAGRAPHS} SELECT conv_id, no, start_s, text FROM p")
 def transcript_paragraphs(spark, sf_dir):
     return subtitles.paragraphs(_segments(spark, sf_dir), "conv_id")
 
 
-@_query()
+@_query(f"""WITH {_PARAGRAPHS}, m AS (SELECT *, floor(start_s)::BIGINT AS s, max(start_s) OVER (PARTITION BY conv_id) >= 3600 AS hours FROM p)
+  SELECT conv_id, string_agg(CASE WHEN hours THEN format('[{{}}:{{:02d}}:{{:02d}}]', s // 3600, s % 3600 // 60, s % 60) ELSE format('[{{:02d}}:{{:02d}}]', s // 60, s % 60) END || ' ' || text, chr(10) || chr(10) ORDER BY no) AS text FROM m GROUP BY conv_id""")
 def transcript_texts(spark, sf_dir):
     return subtitles.written(subtitles.paragraphs(_segments(spark, sf_dir), "conv_id"), "conv_id", marks=True)
 
@@ -362,9 +384,19 @@ def metadata_headers(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", render.header(title=T.first_line_title("text"), type=render.type_name(F.lit("text")), language=F.col("lang")).alias("header"))
 
 
-@_query()
+_FILE_W, _FILE_B = 20_000, 200_000
+
+
+@_query(f"""WITH RECURSIVE d AS (SELECT doc_id, source, w, b, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM (SELECT doc_id, trim(source) AS source, len({_WORDS})::BIGINT AS w, strlen(text)::BIGINT AS b FROM documents) WHERE source <> '' AND w <= {_FILE_W} AND b <= {_FILE_B}),
+  f AS (SELECT doc_id, source, nth, w, b, 1 AS bin FROM d WHERE nth = 1 UNION ALL
+    SELECT doc_id, source, nth, CASE WHEN opens THEN w ELSE held_w + w END, CASE WHEN opens THEN b ELSE held_b + 2 + b END, CASE WHEN opens THEN bin + 1 ELSE bin END FROM (
+      SELECT d.doc_id, d.source, d.nth, d.w, d.b, f.w AS held_w, f.b AS held_b, f.bin, f.w + d.w > {_FILE_W} OR f.b + 2 + d.b > {_FILE_B} AS opens FROM f JOIN d ON d.source = f.source AND d.nth = f.nth + 1)),
+  h AS (SELECT doc_id, text, concat_ws(chr(10), 'Tytuł: ' || nullif(trim(substr(trim(regexp_extract(text, '(?m)^.*\\S.*$')), 1, 80)), ''), 'Język: ' || nullif(trim(lang), '')) AS header FROM documents),
+  c AS (SELECT 'group-' || source || '-' || bin AS file_id, string_agg(CASE WHEN header = '' THEN text WHEN text = '' THEN header ELSE header || chr(10) || chr(10) || text END, chr(10) || chr(10) || repeat('-', 40) || chr(10) || chr(10) ORDER BY doc_id) AS text FROM f JOIN h USING (doc_id) GROUP BY source, bin),
+  e AS (SELECT file_id, CASE WHEN ends_with(text, chr(10)) THEN text ELSE text || chr(10) END AS text FROM c)
+  SELECT file_id, len({_WORDS})::BIGINT AS n_words, length(text)::BIGINT AS n_chars, strlen(text)::BIGINT AS n_bytes, sha256(text) AS checksum FROM e""")
 def composed_files(spark, sf_dir):
-    plan = packing.plan(_t(spark, sf_dir, "documents"), 20_000, 200_000).where("is_group")
+    plan = packing.plan(_t(spark, sf_dir, "documents"), _FILE_W, _FILE_B).where("is_group")
     docs = _t(spark, sf_dir, "documents").select("doc_id", "text", render.header(title=T.first_line_title("text"), language=F.col("lang")).alias("header"))
     return render.described(render.compose(plan.join(docs, "doc_id"), order=["doc_id"])).select("file_id", "n_words", "n_chars", "n_bytes", "checksum")
 
