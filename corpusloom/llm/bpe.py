@@ -32,6 +32,8 @@ from corpusloom.llm.common import shared_dir, stash
 
 #: Characters of text in a chunk, and pre-tokens after which a long document is cut from the next.
 CHUNK = 16 << 20
+#: Word buckets, at most: a chunk makes so many blocks whatever the input's size.  A bucket's blocks stream through its task.
+BUCKETS = 4096
 
 
 class _Numbers(dict):
@@ -88,26 +90,29 @@ def _blocks(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
         yield flush()
 
 
-def _encode_bucket(table: pa.Table, path: str) -> pa.Table:
-    """The ids of one bucket's words, block by block; each distinct word is encoded once."""
+def _encode_bucket(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """The ids of one bucket's words, block by block as they stream in; each distinct word is encoded once."""
     known: dict[bytes, list[int]] = {}
     coder = tokenizers.byte_bpe(path)
-    decompress, out = zstandard.ZstdDecompressor().decompress, []
-    for chunk, sizes, body in zip(table["chunk"].to_pylist(), table["sizes"].to_pylist(), table["body"].to_pylist()):
-        lengths, ranks = np.split(_unplaned(sizes), 2)
-        words, at, found = decompress(body), 0, []
-        for n in lengths.tolist():
-            word = words[at : at + n]
-            at += n
-            ids = known.get(word)
-            if ids is None:
-                ids = known[word] = coder._encode_single_piece(word)
-            found.append(ids)
-        counts = np.array([len(i) for i in found], np.uint32)
-        flat = np.array([i for ids in found for i in ids], np.uint32)
-        out.append((chunk, _planes(np.concatenate((np.array([len(ranks)], np.uint32), ranks, counts))), _planes(flat)))
-    columns = list(zip(*out)) or [(), (), ()]
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.binary()))], names=["chunk", "ranks", "ids"])
+    decompress = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        chunks, heads, bodies = [], [], []
+        for chunk, sizes, body in zip(batch["chunk"], batch["sizes"], batch["body"]):
+            lengths, ranks = np.split(_unplaned(sizes.as_py()), 2)
+            words, at, found = decompress(body.as_py()), 0, []
+            for n in lengths.tolist():
+                word = words[at : at + n]
+                at += n
+                ids = known.get(word)
+                if ids is None:
+                    ids = known[word] = coder._encode_single_piece(word)
+                found.append(ids)
+            counts = np.array([len(i) for i in found], np.uint32)
+            chunks.append(chunk.as_py())
+            heads.append(_planes(np.concatenate((np.array([len(ranks)], np.uint32), ranks, counts))))
+            bodies.append(_planes(np.array([i for ids in found for i in ids], np.uint32)))
+        columns = [pa.array(chunks, pa.int64()), pa.array(heads, pa.binary()), pa.array(bodies, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["chunk", "ranks", "ids"])
 
 
 _ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>"
@@ -158,10 +163,15 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = True) -> DataFr
     spark, path = docs.sparkSession, path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = rows.rdd.getNumPartitions()
-    blocks = rows.mapInArrow(lambda b: _blocks(b, max(32, parts)), "chunk long, bucket int, docs array<long>, sizes binary, body binary")
+    buckets = min(BUCKETS, max(32, parts))
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _encode_bucket(batches, path)
+
+    blocks = rows.mapInArrow(lambda b: _blocks(b, buckets), "chunk long, bucket int, docs array<long>, sizes binary, body binary")
     numbered = _bucketed(blocks, max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     words = numbered.where("bucket >= 0").select("bucket", "chunk", "sizes", "body")
-    answers = words.groupBy("bucket").applyInArrow(lambda table: _encode_bucket(table, path), "chunk long, ranks binary, ids binary")
+    answers = words.groupBy("bucket").applyInArrow(encoded, "chunk long, ranks binary, ids binary")
     documents = numbered.where("bucket < 0").select("chunk", "docs", "sizes", "body")
     out = documents.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda a, b: _reassemble(a, b, path, ids), _ENCODED)
     return out if ids else out.drop("ids")
