@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import batched, groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.functions.text import cosmetic_form, subtitle_seconds, timecode
 
@@ -58,9 +60,9 @@ def clean_segment(text: str) -> str:
     return " ".join(re.sub("[♪♫]", " ", plain).split())
 
 
-def fold_paragraphs(segments) -> list[tuple[float, str]]:
+def fold_paragraphs(segments: Iterable[tuple[float, str]]) -> Iterator[tuple[float, str]]:
     """Paragraphs (start, text) of ordered segments; words that repeat a paragraph's end are left out."""
-    done, words, start = [], [], 0.0
+    words, start = [], 0.0
     for at, text in segments:
         new = clean_segment(text or "").split()
         overlap = next((n for n in range(min(len(words), len(new)), 0, -1) if words[-n:] == new[:n]), 0)
@@ -71,9 +73,10 @@ def fold_paragraphs(segments) -> list[tuple[float, str]]:
         words += new
         size = sum(map(len, words)) + len(words) - 1
         if size >= MUST_CLOSE or size >= CLOSE and words[-1][-1] in ".!?…:":
-            done.append((start, " ".join(words)))
+            yield start, " ".join(words)
             words = []
-    return done + [(start, " ".join(words))] if words else done
+    if words:
+        yield start, " ".join(words)
 
 
 def paragraphs(segments: DataFrame, key: str = "source_id") -> DataFrame:
@@ -82,31 +85,17 @@ def paragraphs(segments: DataFrame, key: str = "source_id") -> DataFrame:
     A source's segments are folded in order as they stream by, one open
     paragraph at a time.
     """
-    kind = segments.schema[key].dataType.simpleString()
+    kinds = (to_arrow_type(segments.schema[key].dataType), pa.int32(), pa.float64(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last, out = [], None, []
-
-        def settle():
-            out.extend((last, n, start, text) for n, (start, text) in enumerate(fold_paragraphs(held), 1))
-            held.clear()
-
-        for batch in batches:
-            for k, at, text in zip(*(batch[c].to_pylist() for c in (key, "start_s", "text"))):
-                if held and k != last:
-                    settle()
-                last = k
-                held.append((at, text))
-            columns = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(key).type), *(pa.array(c, t) for c, t in zip(columns[1:], (pa.int32(), pa.float64(), pa.string())))], [key, "no", "start_s", "text"])
-            out.clear()
-        if held:
-            settle()
-            columns = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.field(key).type), *(pa.array(c, t) for c, t in zip(columns[1:], (pa.int32(), pa.float64(), pa.string())))], [key, "no", "start_s", "text"])
+        rows = (row for batch in batches for row in zip(*(batch[c].to_pylist() for c in (key, "start_s", "text"))))
+        of_source = ((k, fold_paragraphs((at, text) for _, at, text in held)) for k, held in groupby(rows, itemgetter(0)))
+        found = ((k, no, start, text) for k, folded in of_source for no, (start, text) in enumerate(folded, 1))
+        for some in batched(found, 1000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), kinds)], [key, "no", "start_s", "text"])
 
     ordered = segments.select(key, "pos", F.col("start_s").cast("double").alias("start_s"), "text").repartition(key).sortWithinPartitions(key, "pos")
-    return ordered.mapInArrow(run, f"{key} {kind}, no int, start_s double, text string")
+    return ordered.mapInArrow(run, f"{key} {segments.schema[key].dataType.simpleString()}, no int, start_s double, text string")
 
 
 def written(paras: DataFrame, key: str = "source_id", marks: bool = False, lengths: DataFrame | None = None) -> DataFrame:
@@ -152,5 +141,3 @@ def quality(segments: DataFrame, key: str = "source_id", repeats: int = 3, share
 def uncertain(logprob: Column, no_speech: Column, least: float = -1.0, most: float = 0.6) -> Column:
     """Whether a recognised segment is uncertain."""
     return (logprob < least) | (no_speech > most)
-
-

@@ -47,8 +47,8 @@ def test_subtitles(spark):
     assert subtitles.skipped_blocks(rows).first()["skipped"] == 1
     assert [subtitles.clean_segment(t) for t in ("[muzyka rockowa gra w tle]", "Wojna (1939-1945) trwała", "Tak (śmiech) tak", "♪ la ♪", "On (to jest cały długi komentarz) mówi")] == ["", "Wojna (1939-1945) trwała", "Tak tak", "la", "On (to jest cały długi komentarz) mówi"]
     text = " ".join(f"word{i}" for i in range(60)) + "."
-    assert subtitles.fold_paragraphs([(0.0, "a b c"), (1.0, "b c d"), (2.0, text), (9.0, "Tak."), (10.0, "x")]) == [(0.0, "a b c d " + text), (9.0, "Tak. x")]
-    assert len(subtitles.fold_paragraphs([(float(i), f"w{i} " + "y" * 100) for i in range(20)])) == 2
+    assert list(subtitles.fold_paragraphs([(0.0, "a b c"), (1.0, "b c d"), (2.0, text), (9.0, "Tak."), (10.0, "x")])) == [(0.0, "a b c d " + text), (9.0, "Tak. x")]
+    assert len(list(subtitles.fold_paragraphs([(float(i), f"w{i} " + "y" * 100) for i in range(20)]))) == 2
     segments = subtitles.cues(rows).select(F.col("doc_id").alias("source_id"), "pos", "start_s", "text")
     paras = subtitles.paragraphs(segments)
     assert [tuple(r) for r in paras.collect()] == [(1, 1, 1.0, "Hello world again.")]
