@@ -70,13 +70,13 @@ def encode(path: str, text: str) -> np.ndarray:
     """
     ids, names = added(path)
     if not any(name in text for name in ids):
-        return _encode(path, text)
-    parts = [np.array([ids[part]], np.uint32) if i % 2 else _encode(path, part) for i, part in enumerate(names.split(text))]
+        return encode_plain(path, text)
+    parts = [np.array([ids[part]], np.uint32) if i % 2 else encode_plain(path, part) for i, part in enumerate(names.split(text))]
     return np.concatenate(parts).astype(np.uint32)
 
 
-def _encode(path: str, text: str) -> np.ndarray:
-    """Ids of ordinary text; piece by piece where it is too much for the library's own splitting."""
+def encode_plain(path: str, text: str) -> np.ndarray:
+    """Ids of a text in which names of added tokens are ordinary text; piece by piece where it is too much for the library's own splitting."""
     coder = byte_bpe(path)
     try:
         return coder.encode_to_numpy(text, disallowed_special=())
