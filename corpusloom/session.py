@@ -6,16 +6,17 @@ import gc
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
-#: Folders of the tables that ``stash`` has written and nothing has discarded.
-_stashed: dict[str, None] = {}
+#: Folders of the tables that ``stash`` has written in the innermost ``scratch`` of this thread.
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def ship(spark: SparkSession) -> None:
@@ -59,13 +60,14 @@ def shared_dir(spark: SparkSession) -> str:
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 
-    The files survive lost executors and stay until they are discarded or the
-    folder is cleared.
+    The files survive lost executors and stay until they are discarded, the
+    ``scratch`` they were written in ends, or the folder is cleared.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _stashed[path] = None
+    if (own := _scratch.get()) is not None:
+        own.append(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.stashed_at = path
     return table
@@ -80,19 +82,37 @@ def discard(*tables: DataFrame) -> None:
 def _delete(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    _stashed.pop(path, None)
 
 
 @contextmanager
-def leftovers(spark: SparkSession, of: list[str]) -> Iterator[None]:
-    """Deletes the tables ``of`` an earlier step, whose result is written elsewhere by now, and names there those of this step."""
-    for path in of:
-        _delete(spark, path)
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """The tables that ``stash`` writes inside go at the end, but for those handed to what this yields.
+
+    What a result still reads must be kept: lazy results are written and kept,
+    or rest on kept tables alone.  Scratches nest: kept tables belong to the outer one.
+    """
+    outer, own, kept = _scratch.get(), [], set()
+    token = _scratch.set(own)
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table.stashed_at)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _scratch.reset(token)
+        for path in own:
+            if path not in kept:
+                _delete(spark, path)
+            elif outer is not None:
+                outer.append(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Lets Spark clear the shuffle files of plans that are gone."""
     gc.collect()
-    spark._jvm.System.gc()  # lets Spark clear the shuffle files of plans that are gone
-    before = set(_stashed)
-    yield
-    of[:] = [path for path in _stashed if path not in before]
+    spark._jvm.System.gc()
 
 
 def spread(df: DataFrame) -> DataFrame:
