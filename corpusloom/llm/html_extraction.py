@@ -5,7 +5,8 @@ concatenated and their suffixes ranked by prefix doubling.  A token is covered
 by a repeated substring of ``RUN`` tokens or more exactly if one of ``RUN``
 tokens that is repeated covers it, so ranking to that depth finds all long
 substrings that distinct pages share, whatever their length.  Pages of equal
-content are one page here: copies of a page do not make it boilerplate.
+content are one page here: copies of a page do not make it boilerplate, and one
+of them stands for all in everything that is counted or ranked.
 
 * Blocks outside articles that are mostly covered go; unique runs stay.
 * Blocks of an article go where nine tenths of the host's pages (of
@@ -36,7 +37,7 @@ from corpusloom.llm.url_filters import host_and_path
 
 #: Tokens of a run that counts as repeated (a power of two); pages and tokens of a lot.
 RUN, LOT, LOT_TOKENS = 8, 128, 1 << 18
-#: Pages of a host from which on what nine tenths of them have in their articles is boilerplate.
+#: Distinct contents of a host from which on what nine tenths of them have in their articles is boilerplate, unless told otherwise.
 SITE_WIDE = 20
 
 #: Elements whose content is text and no markup, in the end tag's pattern.
@@ -64,6 +65,8 @@ _NAMES = frozenset(
 )
 _TOP_NAMES = frozenset("header topbar".split())
 _ARTICLE_NAMES = frozenset("ad ads advert sponsored promo comment comments related".split())
+#: What may stand beside these in a name inside an article; other words (``comments-policy``) tell of the article's subject.
+_BESIDE = frozenset("area articles bar block body bottom box button buttons center container content count desktop entries feed field footer form header icons inner item items left link links list lists main meta mobile outer page panel post posts region replies reply right row section slot small stories thread title top unit widget widgets wrap wrapper zone".split())
 #: Names such as ``has-sidebar`` tell of a page's layout.
 _LAYOUT = frozenset("has no not with without".split())
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
@@ -82,7 +85,7 @@ def _mark(name: str, values: dict[str, str], inside: bool) -> int:
             names = _ARTICLE_NAMES if name in ("article", "main") else _NAMES if inside else _NAMES | _TOP_NAMES
             for given in f"{values.get('class', '')} {values.get('id', '')}".split():
                 parts = set(re.split("[-_]+", _HUMP.sub(r"\1-\2", given).lower()))
-                if parts & names and not parts & _LAYOUT:
+                if parts & names and not parts & _LAYOUT and (not inside or all(p in names or p in _BESIDE or p.isdigit() for p in parts)):
                     return _HARD
             if values.get("role", "").lower() in _ROLES or "hidden" in values or "display:none" in re.sub(r"\s", "", values.get("style", "")).lower():
                 return _HARD
@@ -256,7 +259,7 @@ def _keys(streams: list[np.ndarray], page: np.ndarray, at: np.ndarray, run: int)
     return key.view(np.int64)
 
 
-_PARSED = "row long, page_id long, url string, host string, kinds array<byte>, texts array<string>, words array<long>, sizes array<int>, marks array<long>, content long, usual array<boolean>"
+_PARSED = "row long, page_id long, url string, host string, kinds array<byte>, texts array<string>, words array<long>, sizes array<int>, marks array<long>, content long, shape long, usual array<boolean>"
 
 
 def _signed(value: int) -> int:
@@ -266,7 +269,7 @@ def _signed(value: int) -> int:
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     digest = xxhash.xxh3_64_intdigest
     names = [c.split()[0] for c in _PARSED.split(", ")]
-    kinds = (pa.list_(pa.int8()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.bool_()))
+    kinds = (pa.list_(pa.int8()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.list_(pa.bool_()))
     for batch in batches:
         rows = []
         for page in batch["html"]:
@@ -274,7 +277,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             outside = [t.split() for k, t in parsed if k != ARTICLE]
             rows.append((
                 [k for k, _ in parsed], [t for _, t in parsed], [_signed(digest(w)) for words in outside for w in words], [len(t.split()) for _, t in parsed],
-                [_signed(digest(t, 1)) for k, t in parsed if k == ARTICLE], _signed(digest("\n".join(t for _, t in parsed), 2)), markup_alone(parsed),
+                [_signed(digest(t, 1)) for k, t in parsed if k == ARTICLE], _signed(digest("\n".join(t for _, t in parsed), 2)), _signed(digest(bytes(k for k, _ in parsed), 3)), markup_alone(parsed),
             ))
         columns = list(zip(*rows)) or [()] * len(kinds)
         yield pa.RecordBatch.from_arrays([batch["row"], batch["page_id"], batch["url"], batch["host"], *(pa.array(c, k) for c, k in zip(columns, kinds))], names)
@@ -294,7 +297,14 @@ def _nearly_all(n: np.ndarray, pages: int) -> np.ndarray:
     return 10 * n >= 9 * pages
 
 
-def _lot_runs(table: pa.Table, run: int) -> pa.Table:
+def _usual_marks(marks: list[np.ndarray], contents: np.ndarray) -> np.ndarray:
+    """The blocks that nearly all different contents have."""
+    pairs = np.unique(np.stack((np.concatenate(marks), np.repeat(contents, [len(m) for m in marks]))), axis=1)
+    every, counts = np.unique(pairs[0], return_counts=True)
+    return every[_nearly_all(counts, len(np.unique(contents)))]
+
+
+def _lot_runs(table: pa.Table, run: int, site_wide: int) -> pa.Table:
     """What a lot of a host with several tells the others.
 
     Its runs outside articles, with the content of the pages that have them
@@ -306,15 +316,14 @@ def _lot_runs(table: pa.Table, run: int) -> pa.Table:
     classes, page, at = runs(streams, run)
     one, low, high, _ = _extremes(classes, contents[page])
     keys = _keys(streams, page[one], at[one], run) if len(one) else np.empty(0, np.int64)
-    marks, counts = np.unique(np.concatenate([np.unique(m) for m in _lists(table, "marks")]), return_counts=True)
-    marks = marks[_nearly_all(counts, table.num_rows)] if table["pages"][0].as_py() >= SITE_WIDE else marks[:0]
+    marks = _usual_marks(_lists(table, "marks"), contents) if table["pages"][0].as_py() >= site_wide else np.empty(0, np.int64)
     size = len(keys) + len(marks)
     content = pa.array(np.concatenate((low, np.zeros(len(marks), np.int64))), mask=np.concatenate((low != high, np.ones(len(marks), bool))))
     columns = [[table["host"][0].as_py()] * size, [table["lot"][0].as_py()] * size, np.concatenate((keys, marks)), content, np.arange(size) >= len(keys)]
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
-_DECIDED = "decided long, stays array<boolean>"
+_DECIDED = "of_host string, of_content long, of_shape long, stays array<boolean>"
 
 
 def decide(kinds: list[int], sizes: list[int], covered: np.ndarray, site_wide: list[bool]) -> list[bool]:
@@ -339,55 +348,61 @@ def markup_alone(parsed: list[tuple[int, str]]) -> list[bool]:
     return decide(kinds, sizes, np.zeros(outside, bool), [False] * kinds.count(ARTICLE))
 
 
-def _decide(table: pa.Table, known: pa.Table, run: int) -> pa.Table:
+def _decide(table: pa.Table, known: pa.Table, run: int, site_wide: int) -> pa.Table:
     """The verdicts on those pages of a lot for which repetition matters; ``known`` are the host's repeated runs and site-wide blocks, if it has several lots."""
     streams, marks, contents = _lists(table, "words"), _lists(table, "marks"), table["content"].to_numpy()
     if table["lots"][0].as_py() < 2:
         covered = repeated(streams, contents, run)
-        every, counts = np.unique(np.concatenate([np.unique(m) for m in marks]), return_counts=True)
-        wide = every[_nearly_all(counts, table.num_rows)] if table.num_rows >= SITE_WIDE else every[:0]
+        wide = _usual_marks(marks, contents) if table["pages"][0].as_py() >= site_wide else np.empty(0, np.int64)
     else:
         keys = known["key"].to_numpy()
         classes, page, at = runs(streams, run)
         twice = np.isin(_keys(streams, page, at, run), keys) if len(at) else np.empty(0, bool)
         covered, wide = _covered(streams, page[twice], at[twice], run), keys
     rows = []
-    for row, kinds, sizes, usual, mark, cover in zip(*(table[c].to_pylist() for c in ("row", "kinds", "sizes", "usual")), marks, covered):
+    for host, content, shape, kinds, sizes, usual, mark, cover in zip(*(table[c].to_pylist() for c in ("host", "content", "shape", "kinds", "sizes", "usual")), marks, covered):
         stays = decide(kinds, sizes, cover, np.isin(mark, wide).tolist())
         if stays != usual:
-            rows.append((row, stays))
-    columns = list(zip(*rows)) or [(), ()]
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.list_(pa.bool_())))], names=["decided", "stays"])
+            rows.append((host, content, shape, stays))
+    columns = list(zip(*rows)) or [()] * 4
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.bool_()))
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in _DECIDED.split(", ")])
 
 
-def extract(pages: DataFrame, run: int = RUN, lot: int = LOT) -> DataFrame:
+def extract(pages: DataFrame, run: int = RUN, lot: int = LOT, site_wide: int = SITE_WIDE) -> DataFrame:
     """One row for each row of ``pages``: ``page_id, url, text, n_chars``.
 
     The whole html is read; null counts as empty.  White space inside a block
     becomes one space, blocks are joined by line feeds.  Pages of null or bad
     urls form one host.  Repeated rows are pages of their own and equal ones
-    have equal results; other columns are not read.
+    have equal results; copies count once in what a host's pages share.  What
+    nine tenths of a host's different contents have in their articles goes from
+    ``site_wide`` contents on; a host with fewer says too little about that.
+    Other columns are not read.
     """
     host, _ = host_and_path()
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html")
     parsed = stash(rows.mapInArrow(_parse, _PARSED), "parsed")
     # tables that are written have known sizes: Spark broadcasts them only where they are small
-    sizes = parsed.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.size("words")).alias("tokens"))
+    first = stash(parsed.groupBy("host", "content", "shape").agg(F.min("row").alias("row"), F.max(F.size("words")).alias("tokens")), "first")
+    sizes = first.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).join(first.groupBy("host").agg(F.sum("tokens").alias("tokens")), "host")
     lots = F.greatest(F.ceil(F.col("pages") / lot), F.ceil(F.col("tokens") / LOT_TOKENS), F.lit(1)).cast("int")
     sizes = stash(sizes.select("host", "pages", lots.alias("lots")), "hosts")
-    dealt = parsed.select("row", "host", "kinds", "sizes", "words", "marks", "content", "usual", F.xxhash64("page_id", "url").alias("spread")).join(sizes, "host")
-    dealt = dealt.withColumn("lot", F.pmod("spread", "lots").cast("int")).drop("spread")
+    once = parsed.select("row", "host", "kinds", "sizes", "words", "marks", "content", "shape", "usual").join(first.select("row"), "row", "left_semi")
+    dealt = once.join(sizes, "host").withColumn("lot", F.pmod("content", "lots").cast("int"))
     several = dealt.where("lots > 1").select("host", "lot", "words", "marks", "content", "pages")
-    own = stash(several.groupBy("host", "lot").applyInArrow(lambda t: _lot_runs(t, run), _RUNS), "runs")
+    own = stash(several.groupBy("host", "lot").applyInArrow(lambda t: _lot_runs(t, run, site_wide), _RUNS), "runs")
     shared = own.where("not article").groupBy("host", "key").agg(F.min("content").alias("low"), F.max("content").alias("high"), F.bool_or(F.col("content").isNull()).alias("twice"))
     shared = shared.where("twice or low <> high").select("host", "key")
     likely = stash(own.where("article").select("host", "key").distinct(), "likely")
-    having = parsed.select("host", F.explode(F.array_distinct("marks")).alias("key")).join(likely, ["host", "key"], "left_semi").groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
+    having = once.select("host", "content", F.explode(F.array_distinct("marks")).alias("key")).join(likely, ["host", "key"], "left_semi").distinct()
+    having = having.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
     wide = having.join(sizes, "host").where(10 * F.col("n") >= 9 * F.col("pages")).select("host", "key")
     known = dealt.where("lots > 1").select("host", "lot").distinct().join(stash(wide, "wide"), "host")
     known = known.unionByName(own.where("not article").select("host", "lot", "key").join(stash(shared, "shared"), ["host", "key"]))
     known = known.select(F.col("host").alias("of_host"), F.col("lot").alias("of_lot"), "key")
-    decided = dealt.groupBy("host", "lot").cogroup(known.groupBy("of_host", "of_lot")).applyInArrow(lambda a, b: _decide(a, b, run), _DECIDED)
-    out = parsed.select("row", "page_id", "url", "texts", "usual").join(stash(decided, "decided"), F.col("row") == F.col("decided"), "left")
+    decided = dealt.groupBy("host", "lot").cogroup(known.groupBy("of_host", "of_lot")).applyInArrow(lambda a, b: _decide(a, b, run, site_wide), _DECIDED)
+    same = (F.col("host") == F.col("of_host")) & (F.col("content") == F.col("of_content")) & (F.col("shape") == F.col("of_shape"))
+    out = parsed.select("page_id", "url", "host", "content", "shape", "texts", "usual").join(stash(decided, "decided"), same, "left")
     text = F.array_join(F.filter("texts", lambda t, i: F.element_at(F.coalesce("stays", "usual"), i + 1)), "\n")
     return out.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -142,6 +142,8 @@ def test_html_blocks():
       <p class="ad">buy<p>five <span class="sponsored">by <span>X</span></span> six<ul><li class="cookie">c<li>seven</ul><table><tr><td class="sidebar">no<td>eight</table>
       <div class="adjacent has-sidebar">ok</div><p hidden>no</p><article class="comment"><p>me too</p></article></article><footer>f</footer>"""
     assert [t for k, t in html_extraction.blocks(page) if k == html_extraction.ARTICLE] == ["A & B", "One two", "Three four", "five six", "seven", "eight", "ok"]
+    named = "".join(f'<section id="{n}">{n}</section>' for n in ("comments-policy", "comments", "user-adverts", "related_posts", "ad-slot-2", "shareholders", "relatedWords"))
+    assert [t for _, t in html_extraction.blocks(f"<article>{named}</article>") if _ == html_extraction.ARTICLE] == ["comments-policy", "user-adverts", "shareholders", "relatedWords"]
     assert html_extraction.blocks(None) == html_extraction.blocks("") == []
     assert html_extraction.blocks("<form><div><article><p>a<p>b</article></div></form>") == [(html_extraction.ARTICLE, "a"), (html_extraction.ARTICLE, "b")]
 
@@ -174,17 +176,19 @@ def test_repeated_runs_agree_with_counting():
 
 def extracted(pages):
     """The operator's rules by counting runs of words in dictionaries."""
-    from collections import Counter, defaultdict
+    from collections import defaultdict
 
     hosts = defaultdict(list)
     for page_id, url, page in pages:
         hosts[re.match("[^/?#]*", (url or "").partition("://")[2])[0].lower()].append((page_id, html_extraction.blocks(page)))
     out = {}
     for rows in hosts.values():
-        seen, having = defaultdict(set), Counter()
+        seen, having = defaultdict(set), defaultdict(set)
+        different = len({tuple(t for _, t in parsed) for _, parsed in rows})
         streams = [[w for k, t in parsed if k != html_extraction.ARTICLE for w in t.split()] for _, parsed in rows]
         for (_, parsed), words in zip(rows, streams):
-            having.update({t for k, t in parsed if k == html_extraction.ARTICLE})
+            for text in {t for k, t in parsed if k == html_extraction.ARTICLE}:
+                having[text].add(tuple(t for _, t in parsed))
             for i in range(len(words) - 7):
                 seen[tuple(words[i : i + 8])].add(tuple(t for _, t in parsed))
         for (page_id, parsed), words in zip(rows, streams):
@@ -193,7 +197,7 @@ def extracted(pages):
             for kind, text in parsed:
                 size = len(text.split())
                 if kind == html_extraction.ARTICLE:
-                    once.append(len(rows) < html_extraction.SITE_WIDE or having[text] < 0.9 * len(rows))
+                    once.append(different < html_extraction.SITE_WIDE or len(having[text]) < 0.9 * different)
                 else:
                     once.append(2 * len(covered & set(range(at, at + size))) < size)
                     at += size
@@ -214,12 +218,16 @@ def test_html_extraction(spark):
     for i in range(300, 400):  # the site's letter stands in every article, a passage in a third of them
         rows.append((i, f"http://mid.example.com/{i}", f"<nav>{words(3)}</nav><article><p>{words(15)}</p>{letter}{'<p>' + passage + '</p>' if i % 3 else ''}</article><div>{words(5)}</div><footer>{passage}</footer>"))
     rows += [(i, f"http://small.org/{i % 3}", f"<div>{passage}</div>") for i in range(400, 404)]  # copies of one page are no boilerplate
+    for i in range(600, 725):  # a page and its copies, between pages of their own, in one lot and in several
+        rows.append((i, "http://copies.org/", f"<article><p>{passage}</p></article>") if i < 690 else (i, "http://copies.org/x", f"<article><p>{words(8)}</p></article>"))
+    rows += [(i, "http://mere.copies.org/", f"<article><p>{passage}</p><p>{words(9) if i == 730 else 'end'}</p></article>") for i in range(730, 760)]
     rows += [(500, None, "<article><p>x &lt; y</p></article>"), (501, "http://big.example.com/4", None), (502, "http://other.org", rows[1][2]), (503, "http://wrong.org", f"<article>teaser</article><div>{words(20)}</div>"), (504, "x://", "")]
     pages = spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, kinds string")
     want = extracted(rows)
     got = html_extraction.extract(pages, lot=16).collect()
     assert {r["page_id"]: r["text"] for r in got} == want and all(r["n_chars"] == len(r["text"]) for r in got)
     assert {r["page_id"]: r["text"] for r in html_extraction.extract(pages).collect()} == want
+    assert all(want[i] for i in (*range(600, 725), *range(730, 760)))
     assert len(want[1].split()) == 20 and want[301].count("\n") == 1 and want[302].endswith(passage) or want[303].endswith(passage)
     # without the ranking the results differ
     markup = {r["page_id"]: r["text"] for r in html_extraction.extract(pages, run=1 << 20).collect()}
