@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import discard, shared_dir, stash
+from corpusloom.session import discard, scratch, shared_dir, stash
 
-__all__ = ["UPPER", "ascii_lower", "components", "discard", "shared_dir", "stash"]
+__all__ = ["UPPER", "ascii_lower", "components", "discard", "scratch", "shared_dir", "stash"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 

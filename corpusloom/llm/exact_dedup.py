@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import ascii_lower, discard, stash
+from corpusloom.llm.common import ascii_lower, discard, scratch, stash
 
 BLOCK = 4096
 ROW = "corpusloom_row"
@@ -101,8 +101,16 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each group of equal texts, with all their columns."""
-    rows = stash(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
-    # a written table has a known size: Spark broadcasts it only where it is small
-    kept = stash(_groups(rows.select(ROW, "doc_id", "text")).where("kept").select(F.col("row").alias(ROW)), "kept")
-    return rows.join(kept, ROW, "left_semi").drop(ROW)
+    """The rows of ``docs`` that stay, one of each group of equal texts, with all their columns.
+
+    Rows of equal id and text, of which one stays, are the same to this; what
+    their other columns hold decides nothing.
+    """
+    mark = F.xxhash64("text")
+    with scratch(docs.sparkSession) as keep:
+        found = _groups(docs.select(F.monotonically_increasing_id().alias(ROW), F.struct("doc_id", mark.alias("mark")).alias("doc_id"), "text"))
+        # a written table has a known size: Spark broadcasts it only where it is small
+        best = keep(stash(found.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id.*", "kept"), "kept"))
+    once = best.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("mark").alias("kept_mark"))
+    out = docs.join(once, docs["doc_id"].eqNullSafe(once["kept_id"]) & (F.xxhash64(docs["text"]) == once["kept_mark"]), "left_semi")
+    return out if best.where("not kept").isEmpty() else out.dropDuplicates(["doc_id", "text"])

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import html_extraction
-from corpusloom.llm.common import stash
+from corpusloom.llm.common import scratch, stash
 from corpusloom.llm.url_filters import host_and_path
 
 #: Bound of the labelled sample that the trigram model is fitted on.
@@ -204,12 +204,13 @@ def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     What is too short to tell, has no letters or declares a language that is
     not modelled stays.
     """
-    model = fit(docs, sample)
-    if not model.languages:
-        return docs
-    mark = F.xxhash64("text").alias("mark")
-    rows = docs.select("doc_id", mark, "text", F.lower("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"))
-    contradicts = F.col("declared").isin(model.languages) & (F.col("text_lang") != F.col("declared")) & (F.col("margin") >= MARGIN)
-    found = identify(rows, model, ["doc_id", "mark"]).where(contradicts | (F.col("declared") == "") & (F.col("lang") == UNDETERMINED))
-    bad = stash(found.select(F.col("doc_id").alias("bad_id"), F.col("mark").alias("bad_mark")).distinct(), "undetermined")
+    with scratch(docs.sparkSession) as keep:
+        model = fit(docs, sample)
+        if not model.languages:
+            return docs
+        mark = F.xxhash64("text").alias("mark")
+        rows = docs.select("doc_id", mark, "text", F.lower("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"))
+        contradicts = F.col("declared").isin(model.languages) & (F.col("text_lang") != F.col("declared")) & (F.col("margin") >= MARGIN)
+        found = identify(rows, model, ["doc_id", "mark"]).where(contradicts | (F.col("declared") == "") & (F.col("lang") == UNDETERMINED))
+        bad = keep(stash(found.select(F.col("doc_id").alias("bad_id"), F.col("mark").alias("bad_mark")).distinct(), "undetermined"))
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs["text"]) == bad["bad_mark"]), "left_anti")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import components, discard, stash
+from corpusloom.llm.common import components, discard, scratch, stash
 
 SEGMENTS = 4
 BITS = 64 // SEGMENTS
@@ -34,8 +34,8 @@ _CHUNK = 1 << 16
 MINIMA, BANDS = 6, 24
 #: Groups of one band up to this size are compared pair by pair.
 GROUP = 16
-#: Larger groups are dealt anew to parts of so many, turn by turn.
-DEALT = 4
+#: Sets and bytes of a block in which members of larger groups are compared.
+ROWS, BYTES = 512, 8 << 20
 #: Fingerprints further apart (five standard deviations at similarity 0.8) are of texts that are less alike; from so many shingles on.
 FAR, MANY = 24, 64
 _FACTORS = np.array([xxhash.xxh64_intdigest(b"%d" % i, SEED) | 1 for i in range(MINIMA * BANDS)], dtype=np.uint64)
@@ -147,12 +147,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3) -> DataF
 
 def keep_one(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group of near-duplicates, with all their columns."""
-    return _kept(docs, _linked_by_bits(docs, words, distance))
+    with scratch(docs.sparkSession) as keep:
+        kept = keep(_kept_marks(_linked_by_bits(docs, words, distance)))
+    return _kept(docs, kept)
 
 
-def _kept(docs: DataFrame, linked: DataFrame) -> DataFrame:
-    kept = linked.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("mark").alias("kept_mark"))
-    kept = stash(kept, "kept")
+def _kept_marks(linked: DataFrame) -> DataFrame:
+    return stash(linked.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("mark").alias("kept_mark")), "kept")
+
+
+def _kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
     once = kept.distinct()
     out = docs.join(once, docs["doc_id"].eqNullSafe(once["kept_id"]) & (F.xxhash64(docs["text"]) == once["kept_mark"]), "left_semi")
     repeated = not kept.groupBy("kept_id", "kept_mark").count().where("count > 1").isEmpty()
@@ -183,12 +187,11 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "doc_id long, mark long, fp long, bits long, n long, bands array<long>")
 
 
-def _candidates(groups: DataFrame, turn: int) -> DataFrame:
-    """Pairs ``a < b`` of ``groups(key, node, n, low)``: all of a small group, of a larger one those with its least node and, after the first turn, those dealt together."""
-    part = F.when(F.col("n") <= GROUP, F.lit(0)).otherwise(F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / DEALT)))
-    dealt = groups.where((F.col("n") <= GROUP) | F.lit(turn > 0)).select("key", "node", part.alias("part"))
-    near = dealt.join(dealt.withColumnRenamed("node", "b"), ["key", "part"]).where(F.col("node") < F.col("b")).select(F.col("node").alias("a"), "b")
-    return near.unionByName(groups.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))).distinct()
+def _candidates(groups: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of ``groups(key, node, n, low)``: all of a small group, of a larger one those with its least node."""
+    small = groups.where(F.col("n") <= GROUP).select("key", "node")
+    near = small.join(small.withColumnRenamed("node", "b"), "key").where(F.col("node") < F.col("b")).select(F.col("node").alias("a"), "b")
+    return near.unionByName(groups.where((F.col("n") > GROUP) & (F.col("node") != F.col("low"))).select(F.col("low").alias("a"), F.col("node").alias("b"))).distinct()
 
 
 def _alike(pairs: DataFrame, docs: DataFrame, prints: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -197,10 +200,7 @@ def _alike(pairs: DataFrame, docs: DataFrame, prints: DataFrame, words: int, sim
     sizes = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-9
     close = (F.least("n_a", "n_b") < MANY) | (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= FAR)
     pairs = stash(pairs.join(of("a"), "a").join(of("b"), "b").where(sizes & close).select("a", "b"), "candidates")
-    needed = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    marks = prints.join(needed, "fp").select("fp", F.col("first.doc_id").alias("id"), F.col("first.mark").alias("of"))
-    texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").join(marks, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("of")))
-    texts = stash(texts.select("fp", "text").dropDuplicates(["fp"]), "texts")
+    texts = stash(_texts(docs, prints, pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()), "texts")
     both = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("first")), "a").join(texts.select(F.col("fp").alias("b"), F.col("text").alias("second")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,32 +217,106 @@ def _alike(pairs: DataFrame, docs: DataFrame, prints: DataFrame, words: int, sim
     return alike
 
 
+def _texts(docs: DataFrame, prints: DataFrame, needed: DataFrame) -> DataFrame:
+    """``fp, text`` of the ``needed`` sets of shingles, one text for each."""
+    marks = prints.join(needed, "fp").select("fp", F.col("first.doc_id").alias("id"), F.col("first.mark").alias("of"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").join(marks, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("of")))
+    return texts.select("fp", "text").dropDuplicates(["fp"])
+
+
+def linked_sets(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places ``i, j`` of the sets (ascending hashes) whose Jaccard similarity is ``similarity`` at least; exact."""
+    flat, sizes = np.concatenate(right), np.array([len(s) for s in right])
+    vocabulary, number = np.unique(flat, return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    marked, i, j = np.zeros(len(vocabulary) + 1, np.int64), [], []
+    for at, own in enumerate(left):
+        places = np.searchsorted(vocabulary, own)
+        places = places[(vocabulary[np.minimum(places, len(vocabulary) - 1)] == own)]
+        marked[places] = 1
+        shared = np.add.reduceat(marked[number], starts)
+        marked[places] = 0
+        hits = np.flatnonzero(shared >= similarity * (len(own) + sizes - shared) - 1e-9)
+        i.append(np.full(len(hits), at))
+        j.append(hits)
+    return np.concatenate(i), np.concatenate(j)
+
+
+def links_in_groups(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links ``a, b`` inside groups of any size: ``members(key, node, probe)``, ``sets(node, hashes)``.
+
+    A group's probes are compared with all its members, block by block, exactly
+    and inside tasks; only links leave them.  Blocks hold ``ROWS`` sets and
+    ``BYTES`` of hashes, or one longer set.
+    """
+    rows = stash(members.join(sets, "node"), "members")
+
+    def blocks(which: Column) -> Column:
+        size = F.sum(F.when(which, F.octet_length("hashes")))
+        return F.greatest(F.ceil(F.count_if(which) / ROWS), F.ceil(size / BYTES), F.lit(1)).cast("int")
+
+    sizes = stash(rows.groupBy("key").agg(blocks(F.col("probe")).alias("probes"), blocks(F.lit(True)).alias("all")), "sizes")
+    dealt = rows.join(sizes, "key").withColumn("h", F.xxhash64("node"))
+    span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = F.pmod("h", F.col("all")).cast("int")
+    as_member = F.transform(span("probes"), lambda i: F.struct(i.alias("i"), own.alias("j"), F.lit(False).alias("asks")))
+    as_probe = F.transform(span("all"), lambda j: F.struct(F.pmod("h", F.col("probes")).cast("int").alias("i"), j.alias("j"), F.lit(True).alias("asks")))
+    sent = dealt.select("key", "node", "hashes", F.inline(F.when(F.col("probe"), F.concat(as_member, as_probe)).otherwise(as_member)))
+
+    def run(table: pa.Table) -> pa.Table:
+        asks = table["asks"].to_numpy(zero_copy_only=False)
+        nodes = table["node"].to_numpy()
+        hashes = [np.frombuffer(h, "<u8") for h in table["hashes"].to_pylist()]
+        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+        if not len(left) or not len(right):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        i, j = linked_sets([hashes[k] for k in left], [hashes[k] for k in right], similarity)
+        a, b = nodes[left[i]], nodes[right[j]]
+        return pa.table({"a": np.minimum(a, b)[a != b], "b": np.maximum(a, b)[a != b]})
+
+    return sent.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """``node, hashes``: the ascending hashes of a text's distinct shingles, 8 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["fp"], pa.array(hashes, pa.binary())], ["node", "hashes"])
+
+    return texts.mapInArrow(run, "node long, hashes binary")
+
+
 def similar_pairs(docs: DataFrame, rows: DataFrame, prints: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Links ``a, b`` between the distinct ``prints.fp``.
+    """Links ``a, b`` between the distinct ``prints.fp``; those of one class so far may be left out.
 
-    Groups of a band with over ``GROUP`` members are not paired in full: they
-    are compared with their least member first.  Of the classes found so far one
-    member stays; groups that are small by then are paired, larger ones dealt
-    anew until a turn brings no more links.
+    Groups of a band with over ``GROUP`` members are compared with their least
+    member first.  What that does not join to it asks all other members of its
+    group then, so that no pair of two classes is left out.
     """
     keys = stash(rows.select(F.explode("bands").alias("key"), F.col("fp").alias("node")).distinct(), "bands")
-    links, turn = None, 0
-    while True:
-        sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"))
-        groups = stash(keys.join(sizes.where("n > 1"), "key"), "groups")
-        found = _alike(_candidates(groups, turn), docs, prints, words, similarity)
-        links = found if links is None else links.unionByName(found)
-        large = groups.where(F.col("n") > GROUP)
-        if large.isEmpty() or turn and found.isEmpty():
-            return links
-        later = components(links, "so-far").where("node <> component").select("node")
-        left, turn = stash(large.join(later, "node", "left_anti").select("key", "node"), "bands"), turn + 1
-        discard(keys, groups)
-        keys = left
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"))
+    groups = stash(keys.join(sizes.where("n > 1"), "key"), "groups")
+    discard(keys)
+    links = _alike(_candidates(groups), docs, prints, words, similarity)
+    large = groups.where(F.col("n") > GROUP).select("key", "node", "low")
+    if large.isEmpty():
+        return links
+    classes = components(links, "so-far")
+    of_low = classes.select(F.col("node").alias("low"), F.col("component").alias("low_class"))
+    asked = large.join(classes, "node", "left").join(of_low, "low", "left")
+    asked = stash(asked.select("key", "node", (F.coalesce("component", "node") != F.coalesce("low_class", "low")).alias("probe")), "asked")
+    open_keys = stash(asked.where("probe").select("key").distinct(), "open")
+    members = stash(asked.join(open_keys, "key", "left_semi"), "open-members")
+    sets = stash(_sets(_texts(docs, prints, members.select(F.col("node").alias("fp")).distinct()), words), "sets")
+    return links.unionByName(stash(links_in_groups(members, sets, similarity), "more-links"))
 
 
 def keep_unlike(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group linked by Jaccard similarities of word shingles, with all their columns."""
-    rows = stash(sketches(docs, words), "sketches")
-    prints = _prints(rows, "bits", "n")
-    return _kept(docs, _linked(rows, similar_pairs(docs, rows, prints, words, similarity), prints))
+    with scratch(docs.sparkSession) as keep:
+        rows = stash(sketches(docs, words), "sketches")
+        prints = _prints(rows, "bits", "n")
+        kept = keep(_kept_marks(_linked(rows, similar_pairs(docs, rows, prints, words, similarity), prints)))
+    return _kept(docs, kept)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm import deep_shallow
-from corpusloom.llm.common import stash
+from corpusloom.llm.common import scratch, stash
 
 LENGTH = 200
 GRAM = 48
@@ -366,7 +366,8 @@ def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
     """``docs``, whose texts are not null, with the columns ``SPANS`` and ``MARK``."""
     rows = docs.withColumn(MARK, F.xxhash64("text"))
-    spans = repeated_spans(rows, length)
+    with scratch(docs.sparkSession) as keep:
+        spans = keep(stash(repeated_spans(rows, length), "spans"))
     spans = spans.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "end")).alias(SPANS)).select(F.col("doc_id").alias(f"{SPANS}_id"), F.col("mark").alias(f"{SPANS}_mark"), SPANS)
     return rows.join(spans, F.col("doc_id").eqNullSafe(F.col(f"{SPANS}_id")) & (F.col(MARK) == F.col(f"{SPANS}_mark")), "left").drop(f"{SPANS}_id", f"{SPANS}_mark")
 

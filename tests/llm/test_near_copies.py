@@ -29,3 +29,41 @@ def test_stage_drops_near_copies(spark):
         for i, j in pairs:
             label[i] = label[j] = min(label[i], label[j])
     assert got == sorted(set(label)) + [1000, 1002]
+
+
+def test_stage_keeps_links_inside_a_family_below_the_threshold(spark):
+    """Four hundred texts that are all somewhat alike, and sixty pairs among them that are near copies."""
+    import corpus_pipeline
+
+    random.seed(9)
+    fresh = (f"u{i}" for i in range(100_000)).__next__
+    shared = " ".join(f"s{i}" for i in range(300))
+    texts = [f"{shared} {' '.join(fresh() for _ in range(40))}" for _ in range(340)]
+    planted = {}
+    for i in range(60):
+        words = texts[i].split()
+        planted[len(texts)] = i
+        texts.append(" ".join(words[:-31] + [fresh() for _ in range(31)]))
+    sets = [shingles(t) for t in texts]
+    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert all(alike(i, j) > 0.82 for j, i in planted.items()) and alike(100, 200) < 0.79
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert got == set(range(len(texts))) - set(planted)
+
+
+def test_links_in_groups_are_all(spark, monkeypatch):
+    """Blocks of any size give the links between probes and members that brute force gives."""
+    import numpy as np
+
+    from corpusloom.llm import simhash
+
+    rng = random.Random(3)
+    sets = {n: sorted(rng.sample(range(30), rng.randint(1, 12))) for n in range(40)}
+    rows = [(n, np.array(s, "<u8").tobytes()) for n, s in sets.items()]
+    members = [(k, n, rng.random() < 0.4) for k in (1, 2) for n in range(40) if rng.random() < 0.8]
+    want = {(min(n, m), max(n, m)) for k, n, asks in members for q, m, _ in members if asks and k == q and n != m and len(set(sets[n]) & set(sets[m])) >= 0.5 * len(set(sets[n]) | set(sets[m]))}
+    for size in (3, 512):
+        monkeypatch.setattr(simhash, "ROWS", size)
+        found = simhash.links_in_groups(spark.createDataFrame(members, "key long, node long, probe boolean"), spark.createDataFrame([(n, bytearray(h)) for n, h in rows], "node long, hashes binary"), 0.5)
+        assert {tuple(r) for r in found.collect()} == want
