@@ -5,30 +5,30 @@ its duplicate, all others become leaders.  The sequential rule is computed in
 rounds over tables: whoever has a leader among its earlier certain neighbours
 is a duplicate; whoever has no undecided one left is a leader.
 
-Equal texts and equal cosmetic keys are never paired: a class of equals acts
-through its first leader and its first undecided member.  Similar long texts
-are found by a ring of eight 8-bit segments (within six bits one segment is
-equal and the next differs by one bit at most); only true pairs leave the join.
+Equal texts, equal cosmetic keys and equal fingerprints of long texts are never
+paired: a class of equals acts through its first leader and its first undecided
+member, and so do classes of fingerprints that are near each other.  A pair of
+classes is one row, whatever their sizes.
 """
 
 from __future__ import annotations
 
-import difflib
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.config import Config
 from corpusloom.functions.text import content_hash, cosmetic_key, word_count, word_list
+from corpusloom.operators.similarity import blocked_pairs, hamming, ratio, review_pairs, ring_pairs, short_pairs
 from corpusloom.session import stash
 
-BLOCK = 2048
+__all__ = ["blocked_pairs", "deduplicate", "exact_and_cosmetic", "hamming", "ratio", "review_pairs", "ring_pairs", "short_pairs", "shingles", "simhash"]
 
 
 def shingles(text: str | Column, size: int = 3) -> Column:
@@ -64,160 +64,42 @@ def simhash(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     return docs.select(key, F.col(text).alias("text")).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, simhash long")
 
 
-def hamming(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
-
-
-def ring_pairs(prints: DataFrame, distance: int = 6, value: str = "simhash") -> DataFrame:
-    """Pairs ``a < b`` of distinct fingerprints within ``distance`` bits (7 at most); a pair may repeat."""
-    if not 0 <= distance < 8:
-        raise ValueError("the ring of eight segments serves distances of 0 to 7")
-    fp = F.col(value)
-    segment = lambda i: F.shiftrightunsigned(fp, 8 * (i % 8)).bitwiseAND(F.lit(255).cast("long"))
-    key = lambda i, near: F.lit(i << 16).cast("long").bitwiseOR(F.shiftleft(segment(i), 8)).bitwiseOR(near)
-    flips = [0, *(1 << b for b in range(8))] if 2 * distance >= 8 else [0]
-    left = prints.select(fp.alias("a"), F.explode(F.array(*[key(i, segment(i + 1)) for i in range(8)])).alias("key"))
-    right = prints.select(fp.alias("b"), F.explode(F.array(*[key(i, segment(i + 1).bitwiseXOR(F.lit(f).cast("long"))) for i in range(8) for f in flips])).alias("key"))
-    return left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= distance)).select("a", "b")
-
-
-def blocked_pairs(rows: DataFrame, part: Column, found, schema: str, block: int = BLOCK) -> DataFrame:
-    """Compares all rows of a part in blocks: ``found(left, right, same)`` returns the hits of two blocks as an Arrow table."""
-    dealt = rows.withColumn("part", part).withColumn("h", F.xxhash64(*rows.columns))
-    blocks = dealt.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = dealt.join(blocks, "part").withColumn("block", F.pmod("h", F.col("blocks")).cast("int"))
-    one = F.lit(1)
-    span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
-    up = F.transform(span(F.col("block"), F.col("blocks") - one), lambda x: F.struct(F.col("block").alias("i"), x.alias("j"), F.lit(True).alias("left")))
-    down = F.transform(span(F.lit(0), F.col("block")), lambda x: F.struct(x.alias("i"), F.col("block").alias("j"), F.lit(False).alias("left")))
-    sent = dealt.select("*", F.inline(F.concat(up, down)))
-
-    def run(table: pa.Table) -> pa.Table:
-        mask = table["left"]
-        return found(table.filter(mask), table.filter(pa.compute.invert(mask)), table["i"][0].as_py() == table["j"][0].as_py())
-
-    return sent.groupBy("part", "i", "j").applyInArrow(run, schema)
-
-
-def review_pairs(prints: DataFrame, distance: int = 16, value: str = "simhash") -> DataFrame:
-    """All pairs ``a < b`` of distinct fingerprints within ``distance`` bits, compared in blocks.
-
-    So wide a band leaves nothing to block on: the work is quadratic in the
-    number of fingerprints (8 bytes each), though only hits are returned.
-    """
-
-    def found(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
-        a, b = left["fp"].to_numpy(), right["fp"].to_numpy()
-        hits = np.bitwise_count(a.view(np.uint64)[:, None] ^ b.view(np.uint64)[None, :]) <= distance
-        i, j = np.nonzero(np.triu(hits, 0) if not same else hits)
-        i, j = (i, j) if same else np.nonzero(hits)
-        x, y = a[i], b[j]
-        keep = x < y if same else x != y
-        return pa.table({"a": np.minimum(x, y)[keep], "b": np.maximum(x, y)[keep]})
-
-    return blocked_pairs(prints.select(F.col(value).alias("fp")).distinct(), F.lit(0), found, "a long, b long")
-
-
-def ratio(first: str, second: str, at_least: float) -> float:
-    """Similarity of two sequences of characters; 0 where a bound shows it to be under ``at_least``."""
-    size = len(first) + len(second)
-    if not size:
-        return 1.0
-    if 2 * min(len(first), len(second)) / size < at_least:
-        return 0.0
-    matcher = difflib.SequenceMatcher(None, first, second, autojunk=False)
-    return matcher.ratio() if matcher.quick_ratio() >= at_least else 0.0
-
-
-def short_pairs(docs: DataFrame, at_least: float, short_words: int) -> DataFrame:
-    """``a, b, score`` of places ``a < b``: pairs with a short text, by sequence matching.
-
-    Lengths bound the ratio, so texts meet only in a band of lengths, once.
-    """
-    step = math.log(2 / at_least - 1)  # ln of the greatest quotient of lengths
-    band = F.floor(F.log(F.greatest(F.length("text"), F.lit(1))) / step).cast("int")
-    # a longer text also visits the band below; pairs meet in the band of the shorter one
-    rows = docs.select("place", "text", F.size(word_list("text")).alias("words"), band.alias("band"))
-    most = rows.where(F.col("words") < short_words).agg(F.max(F.length("text")).alias("n")).first()["n"]
-    if most is None:
-        return docs.sparkSession.createDataFrame([], "a long, b long, score double")
-    rows = rows.where(F.length("text") <= int(most * (2 / at_least - 1)) + 1)
-    rows = rows.select("place", "text", "words", "band", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("at"))
-
-    def found(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
-        out = []
-        rights = list(zip(*(right[c].to_pylist() for c in ("place", "text", "words", "band"))))
-        for p, t, w, b in zip(*(left[c].to_pylist() for c in ("place", "text", "words", "band"))):
-            at = left["at"][0].as_py()
-            for q, u, v, c in rights:
-                if (p < q if same else p != q) and min(w, v) < short_words and min(b, c) == at:
-                    (x, s), (y, o) = ((p, t), (q, u)) if p < q else ((q, u), (p, t))
-                    score = ratio(s, o, at_least)
-                    if score >= at_least:
-                        out.append((x, y, score))
-        a, b, s = zip(*out) if out else ((), (), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "score": pa.array(s, pa.float64())})
-
-    return blocked_pairs(rows, F.col("at"), found, "a long, b long, score double", 512)
-
-
-def profiles(docs: DataFrame, config: Config, key: str = "doc_id", text: str = "text") -> DataFrame:
+def profiles(docs: DataFrame, config: Config, key: str = "doc_id", text: str = "text", digest: str = "blake2b") -> DataFrame:
     """``key, text, n_words, content_hash, cosmetic_key, simhash`` of each source."""
     rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
     out = rows.select(key, "text", word_count("text").alias("n_words"), content_hash("text").alias("content_hash"), cosmetic_key("text").alias("cosmetic_key"))
     if not config.stage_similarity:
         return out.withColumn("simhash", F.lit(0).cast("long"))
-    return out.join(simhash(rows, key, "text", config.shingle), key)
+    return out.join(simhash(rows, key, "text", config.shingle, digest), key)
 
 
-def deduplicate(docs: DataFrame, config: Config | None = None, base: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, config: Config | None = None, base: DataFrame | None = None, key: str = "doc_id", text: str = "text", digest: str = "blake2b") -> DataFrame:
     """Decisions ``key, status, main_id, method, score`` for each source of ``docs``; keys are unique.
 
     ``status`` is kept, duplicate or review.  Sources of ``base`` are leaders
     from the start, come first and are never duplicates.  A duplicate's
     ``main_id`` is the first leader it is certainly like; a review case's is
-    its most similar earlier leader (ties: the earliest).
+    its most similar earlier leader (ties: the earliest).  ``digest`` makes the
+    fingerprints.
     """
     config = config or Config()
-    both = profiles(docs, config, key, text).withColumn("new", F.lit(True))
+    both = profiles(docs, config, key, text, digest).withColumn("new", F.lit(True))
     if base is not None:
-        both = both.unionByName(profiles(base, config, key, text).withColumn("new", F.lit(False)))
+        both = both.unionByName(profiles(base, config, key, text, digest).withColumn("new", F.lit(False)))
     # the place: base before new, then by key; ranges of a sort give consecutive numbers without one big task
     ordered = both.repartitionByRange("new", key).sortWithinPartitions("new", key).withColumn("place", F.monotonically_increasing_id())
     every = stash(ordered, "profiles")
     # equal texts have equal neighbours: only the first new one and the first base one are settled, the others follow
     head = every.groupBy("content_hash", "new").agg(F.min("place").alias("head")) if config.stage_hash else None
     every = stash(every.join(head, ["content_hash", "new"]), "heads") if config.stage_hash else every.withColumn("head", F.col("place"))
-    rows = every.where("place = head").drop("head")
-    classes = ["content_hash"] * config.stage_hash + ["cosmetic_key"] * config.stage_cosmetic
-    pairs = _pairs(rows, config)
-    certain = stash(pairs.where("certain").select("a", "b"), "certain")
+    fingerprint = F.when(F.col("n_words") >= config.short_words, F.col("simhash")).alias("print")
+    rows = every.where("place = head").select("place", key, "new", "text", "n_words", "content_hash", "cosmetic_key", fingerprint if config.stage_similarity else F.lit(None).cast("long").alias("print"))
+    near, short = _near(rows, config), _short(rows, config)
+    classes = ["content_hash"] * config.stage_hash + ["cosmetic_key"] * config.stage_cosmetic + ["print"] * config.stage_similarity
     state = stash(rows.select("place", *classes, F.when(F.col("new"), "open").otherwise("leader").alias("status")), "state")
     while not state.where("status = 'open'").isEmpty():
-        state = stash(_round(state, certain, classes), "state")
-    leaders = state.where("status = 'leader'").select("place", *classes)
-    duplicates = state.where("status = 'duplicate'").select("place", *classes)
-    # the first leader that each duplicate is certainly like
-    hits = duplicates.select("place").join(certain.withColumnRenamed("b", "place"), "place").join(leaders.select(F.col("place").alias("a")), "a").groupBy("place").agg(F.min("a").alias("leader"))
-    for c in classes:
-        first = leaders.groupBy(c).agg(F.min("place").alias("leader"))
-        hits = hits.unionByName(duplicates.join(first, c).where("leader < place").select("place", "leader"))
-    main = hits.groupBy("place").agg(F.min("leader").alias("leader"))
-    scores = pairs.select(F.col("a").alias("leader"), F.col("b").alias("place"), "score", "method")
-    keys = rows.select("place", *classes)
-    sure = main.join(keys, "place").join(keys.select(F.col("place").alias("leader"), *[F.col(c).alias(f"main_{c}") for c in classes]), "leader").join(scores, ["leader", "place"], "left")
-    method, score = F.col("method"), F.col("score")
-    for c in reversed(classes):
-        equal = F.col(c) == F.col(f"main_{c}")
-        method, score = F.when(equal, {"content_hash": "hash", "cosmetic_key": "cosmetic"}[c]).otherwise(method), F.when(equal, 1.0).otherwise(score)
-    sure = sure.select("place", F.lit("duplicate").alias("status"), "leader", method.alias("method"), score.alias("score"))
-    # the best weak hit of each leader among earlier ones
-    weak = pairs.where("not certain").join(leaders.select(F.col("place").alias("a")), "a")
-    best = weak.groupBy("b").agg(F.max(F.struct("score", (-F.col("a")).alias("first"), "method")).alias("best"))
-    best = best.select(F.col("b").alias("place"), (-F.col("best.first")).alias("leader"), "best.score", "best.method")
-    rest = leaders.select("place").join(best, "place", "left")
-    rest = rest.select("place", F.when(F.col("leader").isNull(), "kept").otherwise("review").alias("status"), "leader", "method", "score")
-    settled = stash(sure.unionByName(rest), "settled")
+        state = stash(_round(state, near.where("certain"), short.where("certain"), classes), "state")
+    settled = stash(_settled(rows, state, near, short, classes), "settled")
     own = every.where("new and place = head").select("place", key).join(settled, "place")
     copies = every.where("new and place <> head").select(key, F.col("head").alias("place")).join(settled, "place")
     led = F.col("status") == "duplicate"
@@ -230,41 +112,84 @@ def deduplicate(docs: DataFrame, config: Config | None = None, base: DataFrame |
     return found.select(key, "status", "main_id", "method", F.bround("score", 4).alias("score"))
 
 
-def _pairs(rows: DataFrame, config: Config) -> DataFrame:
-    """Similar pairs ``a < b`` (places) with ``score, method, certain``; pairs of two base sources do not count."""
-    empty = rows.sparkSession.createDataFrame([], "a long, b long, score double, method string, certain boolean")
+def _near(rows: DataFrame, config: Config) -> DataFrame:
+    """``print, other, score, certain``: different fingerprints of long texts that are similar, in both directions."""
     if not config.stage_similarity:
-        return empty
+        return rows.sparkSession.createDataFrame([], "print long, other long, score double, certain boolean")
     far = math.floor(64 * (1 - config.review) + 1e-9)
-    long = rows.where(F.col("n_words") >= config.short_words).select("place", "simhash")
-    prints = long.select("simhash").distinct()
+    prints = rows.where("print is not null").select(F.col("print").alias("simhash")).distinct()
     pairs = (ring_pairs(prints, far) if far < 8 else review_pairs(prints, far)).distinct()
-    ends = long.select("place", F.col("simhash").alias("a")), long.select(F.col("place").alias("other"), F.col("simhash").alias("b"))
-    apart = pairs.join(ends[0], "a").join(ends[1], "b").select(F.least("place", "other").alias("x"), F.greatest("place", "other").alias("y"), hamming(F.col("a"), F.col("b")).alias("d"))
-    # different texts of one fingerprint
-    twins = long.join(long.select(F.col("place").alias("other"), "simhash"), "simhash").where("place < other").select(F.col("place").alias("x"), F.col("other").alias("y"), F.lit(0).alias("d"))
-    similar = apart.unionByName(twins).select(F.col("x").alias("a"), F.col("y").alias("b"), (1 - F.col("d") / 64).alias("score"), F.lit("simhash").alias("method"))
-    short = short_pairs(rows.select("place", "text"), config.review, config.short_words).select("a", "b", "score", F.lit("sequence").alias("method"))
-    new = rows.select(F.col("place").alias("b"), "new")
-    out = similar.unionByName(short).join(new, "b").where("new").select("a", "b", "score", "method", (F.col("score") >= config.duplicate).alias("certain"))
-    return stash(out, "pairs")
-
-
-def _round(state: DataFrame, certain: DataFrame, classes: list[str]) -> DataFrame:
+    both = pairs.select(F.col("a").alias("print"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("print"), F.col("a").alias("other")))
+    score = 1 - hamming(F.col("print"), F.col("other")) / 64
+    return stash(both.select("print", "other", score.alias("score"), (score >= config.duplicate).alias("certain")), "near")
+
+
+def _short(rows: DataFrame, config: Config) -> DataFrame:
+    """``a, b, score, certain``: places ``a < b`` of similar texts, one of them short; pairs of two base sources do not count."""
+    if not config.stage_similarity:
+        return rows.sparkSession.createDataFrame([], "a long, b long, score double, certain boolean")
+    found = short_pairs(rows.select("place", "text"), config.review, config.short_words)
+    new = rows.where("new").select(F.col("place").alias("b"))
+    return stash(found.join(new, "b", "left_semi").select("a", "b", "score", (F.col("score") >= config.duplicate).alias("certain")), "short")
+
+
+def _firsts(state: DataFrame, column: str) -> DataFrame:
+    """The first leader and the first undecided member of each class."""
+    first = lambda status: F.min(F.when(F.col("status") == status, F.col("place")))
+    return state.where(F.col(column).isNotNull()).groupBy(column).agg(first("leader").alias("leader"), first("open").alias("open"))
+
+
+def _round(state: DataFrame, near: DataFrame, short: DataFrame, classes: list[str]) -> DataFrame:
     """One round: open sources with an earlier leader become duplicates, those without an earlier open neighbour leaders."""
-    around = certain.join(state.select(F.col("place").alias("a"), F.col("status").alias("of")), "a")
-    by_pair = around.groupBy(F.col("b").alias("place")).agg(F.max((F.col("of") == "leader").cast("int")).alias("led"), F.max((F.col("of") == "open").cast("int")).alias("waits"))
-    out = state.join(by_pair, "place", "left")
-    led, waits = F.coalesce("led", F.lit(0)) == 1, F.coalesce("waits", F.lit(0)) == 1
-    for i, c in enumerate(classes):
-        first = state.groupBy(c).agg(F.min(F.when(F.col("status") == "leader", F.col("place"))).alias(f"leader{i}"), F.min(F.when(F.col("status") == "open", F.col("place"))).alias(f"open{i}"))
-        out = out.join(first, c)
+    of = short.join(state.select(F.col("place").alias("a"), F.col("status").alias("of")), "a")
+    first = lambda status: F.min(F.when(F.col("of") == status, F.col("a")))
+    tables = [("place", of.groupBy(F.col("b").alias("place")).agg(first("leader").alias("leader"), first("open").alias("open")))]
+    tables += [(c, _firsts(state, c)) for c in classes]
+    if "print" in classes:
+        around = near.join(_firsts(state, "print").withColumnRenamed("print", "other"), "other")
+        tables.append(("print", around.groupBy("print").agg(F.min("leader").alias("leader"), F.min("open").alias("open"))))
+    out, led, waits = state, F.lit(False), F.lit(False)
+    for i, (c, table) in enumerate(tables):
+        out = out.join(table.withColumnsRenamed({"leader": f"leader{i}", "open": f"open{i}"}), c, "left")
         led = led | F.coalesce(F.col(f"leader{i}") < F.col("place"), F.lit(False))
         waits = waits | F.coalesce(F.col(f"open{i}") < F.col("place"), F.lit(False))
     status = F.when(F.col("status") != "open", F.col("status")).when(led, "duplicate").when(waits, "open").otherwise("leader")
     return out.select("place", *classes, status.alias("status"))
 
 
+def _settled(rows: DataFrame, state: DataFrame, near: DataFrame, short: DataFrame, classes: list[str]) -> DataFrame:
+    """``place, status, leader, method, score`` of what is decided."""
+    leaders, duplicates = state.where("status = 'leader'"), state.where("status = 'duplicate'")
+    firsts = {c: leaders.groupBy(c).agg(F.min("place").alias("leader")).where(F.col(c).isNotNull()) for c in classes}
+    # the first leader that each duplicate is certainly like
+    hits = [short.where("certain").select("a", F.col("b").alias("place")).join(duplicates.select("place"), "place").join(leaders.select(F.col("place").alias("a")), "a").select("place", F.col("a").alias("leader"))]
+    hits += [duplicates.join(firsts[c], c).select("place", "leader") for c in classes]
+    if "print" in classes:
+        around = near.join(firsts["print"].withColumnRenamed("print", "other"), "other").select("print", "leader", "score", "certain")
+        around = stash(around, "around")
+        hits.append(duplicates.join(around.where("certain").groupBy("print").agg(F.min("leader").alias("leader")), "print").select("place", "leader"))
+    main = reduce(DataFrame.unionByName, hits).where("leader < place").groupBy("place").agg(F.min("leader").alias("leader"))
+    keys = rows.select("place", "print", "content_hash", "cosmetic_key")
+    of_leader = keys.select(F.col("place").alias("leader"), *[F.col(c).alias(f"main_{c}") for c in ("print", "content_hash", "cosmetic_key")])
+    sure = main.join(keys, "place").join(of_leader, "leader").join(short.select(F.col("a").alias("leader"), F.col("b").alias("place"), "score"), ["leader", "place"], "left")
+    long = F.col("print").isNotNull() & F.col("main_print").isNotNull()
+    method, score = F.when(long, "simhash").otherwise("sequence"), F.when(long, 1 - hamming(F.col("print"), F.col("main_print")) / 64).otherwise(F.col("score"))
+    for c in ("cosmetic_key", "content_hash"):
+        if c in classes:
+            equal = F.col(c) == F.col(f"main_{c}")
+            method, score = F.when(equal, {"content_hash": "hash", "cosmetic_key": "cosmetic"}[c]).otherwise(method), F.when(equal, 1.0).otherwise(score)
+    sure = sure.select("place", F.lit("duplicate").alias("status"), "leader", method.alias("method"), score.alias("score"))
+    # the best weak hit of each leader among earlier ones
+    weak = [short.where("not certain").join(leaders.select(F.col("place").alias("a")), "a").select(F.col("b").alias("place"), F.col("a").alias("leader"), "score", F.lit("sequence").alias("method"))]
+    if "print" in classes:
+        weak.append(leaders.select("place", "print").join(around.where("not certain"), "print").where("leader < place").select("place", "leader", "score", F.lit("simhash").alias("method")))
+    best = reduce(DataFrame.unionByName, weak).groupBy("place").agg(F.max(F.struct("score", (-F.col("leader")).alias("first"), "method")).alias("best"))
+    best = best.select("place", (-F.col("best.first")).alias("leader"), "best.score", "best.method")
+    rest = leaders.select("place").join(best, "place", "left")
+    rest = rest.select("place", F.when(F.col("leader").isNull(), "kept").otherwise("review").alias("status"), "leader", "method", "score")
+    return sure.unionByName(rest)
+
+
 def exact_and_cosmetic(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, status, main_id, method`` by hash and cosmetic key only; the first of equal keys leads.
 

@@ -5,14 +5,19 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import byte_count, col, natural_key, word_count
+from corpusloom.operators.chunks import CHUNK, NTH, chunked, listed, schema_of
 from corpusloom.session import stash
 
 JOINER = "\n\n"
+#: Items of a group that a task packs at once.
+ITEMS = 1 << 16
 CUT_IN_SENTENCE, TOKEN_OVER_LIMIT = "cut_in_sentence", "token_over_limit"
 #: Units from coarse to fine: pattern to split at and what joins them again.
 LEVELS = ((r"\n\n", "\n\n"), (r"\n", "\n"), (r"(?<=[.!?…])\s+", " "), (None, " "))
@@ -85,30 +90,104 @@ def split(docs: DataFrame, max_words: int, max_bytes: int, key: str = "doc_id",
     return whole.unionByName(large)
 
 
-def next_fit(items: DataFrame, group: str, order: list[str], max_words: int, max_bytes: int, joiner_bytes: int = len(JOINER)) -> DataFrame:
+def next_fit(items: DataFrame, group: str, order: list[str], max_words: int, max_bytes: int, joiner_bytes: int = len(JOINER), chunk: int = ITEMS) -> DataFrame:
     """``items`` (with ``n_words``, ``n_bytes``) and ``bin``: only the last bin of a group is ever open.
 
-    The rule is sequential within a group, so a group is read in order by one
-    task; sizes alone travel, and nothing is gathered.
+    ``order`` is unique within a group.  The rule is sequential, but what a
+    chunk of ``chunk`` items makes of an open bin depends only on where its own
+    first bin begins, and most beginnings lead to the same last bin.  So each
+    chunk tells for ranges of beginnings how it ends, these short tables are
+    followed through a group's chunks in order, and the chunks then number
+    their items from what they were handed.  No task reads a group.
     """
-    names = items.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, number, words, size = object(), 0, 0, 0
-        for batch in batches:
-            bins = []
-            for g, n, b in zip(*(batch[c].to_pylist() for c in (group, "n_words", "n_bytes"))):
-                if g != last:
-                    last, number, words, size = g, 1, n, b
-                elif words + n > max_words or size + joiner_bytes + b > max_bytes:
-                    number, words, size = number + 1, n, b
-                else:
-                    words, size = words + n, size + joiner_bytes + b
-                bins.append(number)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(bins, pa.int32())], [*names, "bin"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
-    return items.repartition(group).sortWithinPartitions(group, *order).mapInArrow(run, f"{schema}, bin int")
+    names, caps = items.columns, (max_words, max_bytes + joiner_bytes)
+    rows = chunked(items, group, order, chunk, "items")
+    whole = listed(rows, group, words=F.sum("n_words"), size=F.sum(F.col("n_bytes") + joiner_bytes))
+    before = Window.partitionBy("of").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.withColumns({c: F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("words", "size")}).withColumn("chunks", F.count(F.lit(1)).over(Window.partitionBy("of")))
+    whole = stash(whole, "chunks")
+    several = whole.where("chunks > 1")
+    if several.isEmpty():
+        handed = whole.select("chunk", F.lit(0).cast("long").alias("words"), F.lit(0).cast("long").alias("size"), F.lit(None).cast("long").alias("open_words"), F.lit(None).cast("long").alias("open_size"), F.lit(0).cast("long").alias("bin"))
+    else:
+        sizes = rows.select(F.col(CHUNK), F.col(NTH), "n_words", "n_bytes").join(several.select(F.col("chunk").alias(CHUNK)), CHUNK, "left_semi")
+        tables = sizes.groupBy(CHUNK).cogroup(several.groupBy("chunk")).applyInArrow(lambda a, b: _outcomes(a, b, caps, joiner_bytes), "chunk long, no int, fits_words long, fits_size long, to_words long, to_size long, bins long")
+        tables = tables.join(several.select("chunk", "of"), "chunk").repartition("of").sortWithinPartitions("of", "chunk", "no")
+        entries = tables.select("of", "chunk", "fits_words", "fits_size", "to_words", "to_size", "bins").mapInArrow(lambda b: _followed(b, caps), "chunk long, open_words long, open_size long, bin long")
+        handed = whole.select("chunk", "words", "size").join(stash(entries, "entries"), "chunk", "left").fillna({"bin": 0})
+    return rows.groupBy(CHUNK).cogroup(handed.groupBy("chunk")).applyInArrow(lambda a, b: _binned(a, b, caps, joiner_bytes, names), f"{schema_of(items)}, bin int")
+
+
+def _sums(items: pa.Table, start: pa.Table, joiner: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of words and of bytes (each item with a joiner) up to and with each item, from the group's beginning; one place ahead."""
+    sums = []
+    for column, first, more in (("n_words", "words", 0), ("n_bytes", "size", joiner)):
+        own = items[column].to_numpy().astype(np.int64) + more
+        sums.append(np.concatenate(([0], np.cumsum(own))) + start[first][0].as_py())
+    return sums[0], sums[1]
+
+
+def _beginnings(words: np.ndarray, size: np.ndarray, caps: tuple[int, int], bases_words: np.ndarray, bases_size: np.ndarray) -> np.ndarray:
+    """The first item that does not fit into a bin whose items begin behind these sums."""
+    return np.minimum(np.searchsorted(words[1:], bases_words + caps[0], side="right"), np.searchsorted(size[1:], bases_size + caps[1], side="right"))
+
+
+def _outcomes(items: pa.Table, start: pa.Table, caps: tuple[int, int], joiner: int) -> pa.Table:
+    """For ranges of the item that begins a chunk's first bin: what must fit to get there, where its last bin begins, and how many begin.
+
+    A range begins where the items before it fit; without a bin of its own the
+    chunk hands on the bin that it was handed (``to_words`` null).
+    """
+    words, size = _sums(items.sort_by(NTH), start, joiner)
+    n = len(words) - 1
+    after = np.maximum(_beginnings(words, size, caps, words[:-1], size[:-1]), np.arange(n) + 1)
+    last, bins = np.arange(n + 1), np.ones(n + 1, np.int64)
+    last[n], bins[n] = n, 0
+    for i, j in zip(range(n - 1, -1, -1), after[::-1].tolist()):
+        if j < n:
+            last[i], bins[i] = last[j], bins[j] + 1
+    most = int(_beginnings(words, size, caps, words[:1], size[:1])[0])
+    new = np.flatnonzero(np.concatenate(([True], (last[1 : most + 1] != last[:most]) | (bins[1 : most + 1] != bins[:most]))))
+    ends = last[new]
+    handed_on = pa.array(ends == n)
+    to = [pa.compute.if_else(handed_on, pa.scalar(None, pa.int64()), pa.array(s[np.minimum(ends, n)])) for s in (words, size)]
+    columns = [pa.array(np.full(len(new), start["chunk"][0].as_py())), pa.array(np.arange(len(new), dtype=np.int32)), pa.array(words[new]), pa.array(size[new]), *to, pa.array(bins[new])]
+    return pa.Table.from_arrays(columns, ["chunk", "no", "fits_words", "fits_size", "to_words", "to_size", "bins"])
+
+
+def _followed(batches: Iterator[pa.RecordBatch], caps: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """What each chunk of a group is handed: where its open bin begins and that bin's number; rows come in order."""
+    group: object = CHUNK  # no group yet
+    chunk, handed, number, then = None, None, 0, None
+    for batch in batches:
+        out = []
+        for of, at, *row in zip(*(batch[c].to_pylist() for c in ("of", "chunk", "fits_words", "fits_size", "to_words", "to_size", "bins"))):
+            if at != chunk:
+                if then is not None and of == group:
+                    handed, number = (handed if then[0] is None else then[:2]), number + then[2]
+                elif then is None or of != group:
+                    handed, number = None, 0
+                group, chunk, then = of, at, None
+                out.append((at, *(handed or (None, None)), number))
+            if then is None or (handed is not None and row[0] <= handed[0] + caps[0] and row[1] <= handed[1] + caps[1]):
+                then = row[2], row[3], row[4]
+        columns = list(zip(*out)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["chunk", "open_words", "open_size", "bin"])
+
+
+def _binned(items: pa.Table, start: pa.Table, caps: tuple[int, int], joiner: int, names: list[str]) -> pa.Table:
+    """The items of a chunk with the numbers of their bins."""
+    items = items.sort_by(NTH)
+    words, size = _sums(items, start, joiner)
+    n, number, at = len(words) - 1, start["bin"][0].as_py(), 0
+    after = np.maximum(_beginnings(words, size, caps, words[:-1], size[:-1]), np.arange(n) + 1).tolist()
+    if start["open_words"][0].as_py() is not None:
+        at = int(_beginnings(words, size, caps, start["open_words"].to_numpy(), start["open_size"].to_numpy())[0])
+    begins = np.zeros(n, np.int32)
+    while at < n:
+        begins[at] = 1
+        at = after[at]
+    return pa.Table.from_arrays([*(items[c] for c in names), pa.array(np.cumsum(begins, dtype=np.int32) + np.int32(number))], [*names, "bin"])
 
 
 def plan(docs: DataFrame, max_words: int, max_bytes: int, key: str = "doc_id", group: str = "source", text: str = "text") -> DataFrame:
@@ -204,8 +283,6 @@ def within_remaining(parts: DataFrame, remaining: int, key: str = "file_no") ->
     what it makes of every state, the ranges' tables are composed in order, and
     the ranges then run once from the state that they begin with.
     """
-    import numpy as np
-
     ranged = stash(parts.select(key, "part_count").repartitionByRange(key).withColumn("range", F.spark_partition_id()), "ranges")
 
     def table(group: pa.Table) -> pa.Table:

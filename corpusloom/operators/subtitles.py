@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from itertools import batched, groupby
-from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -13,9 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.functions.text import cosmetic_form, subtitle_seconds, timecode
+from corpusloom.operators.chunks import CHUNK, NTH, chunked, listed
+from corpusloom.session import stash
 
 #: Lengths at which a paragraph may and must end, words of a sound label.
 CLOSE, MUST_CLOSE, LABEL_WORDS = 350, 1200, 3
+#: Segments of a source that a task folds at once.
+SEGMENTS = 4096
 _BRACKET = re.compile(r"\[[^\]]*\]|\([^)]*\)")
 _CUE = "^((?:\\d+:)?\\d{1,2}:\\d{2}[.,]\\d{1,3})[ \\t]*-->"
 
@@ -60,42 +62,100 @@ def clean_segment(text: str) -> str:
     return " ".join(re.sub("[♪♫]", " ", plain).split())
 
 
-def fold_paragraphs(segments: Iterable[tuple[float, str]]) -> Iterator[tuple[float, str]]:
-    """Paragraphs (start, text) of ordered segments; words that repeat a paragraph's end are left out."""
-    words, start = [], 0.0
-    for at, text in segments:
+class Fold:
+    """The open paragraph of ordered segments: its words, where it starts, and the segment that closes it."""
+
+    def __init__(self, text: str | None = None, start: float = 0.0):
+        self.words, self.start = text.split(" ") if text else [], start
+
+    def add(self, at: float, text: str | None) -> tuple[float, str] | None:
+        """The paragraph that this segment closes, if it does; words that repeat the paragraph's end are left out."""
         new = clean_segment(text or "").split()
-        overlap = next((n for n in range(min(len(words), len(new)), 0, -1) if words[-n:] == new[:n]), 0)
+        overlap = next((n for n in range(min(len(self.words), len(new)), 0, -1) if self.words[-n:] == new[:n]), 0)
         new = new[overlap:]
         if not new:
-            continue
-        start = start if words else at
-        words += new
-        size = sum(map(len, words)) + len(words) - 1
-        if size >= MUST_CLOSE or size >= CLOSE and words[-1][-1] in ".!?…:":
-            yield start, " ".join(words)
-            words = []
-    if words:
-        yield start, " ".join(words)
-
-
-def paragraphs(segments: DataFrame, key: str = "source_id") -> DataFrame:
-    """``key, no, start_s, text``: paragraphs of each source's segments ``(key, pos, start_s, text)``.
-
-    A source's segments are folded in order as they stream by, one open
-    paragraph at a time.
+            return None
+        self.start = self.start if self.words else at
+        self.words += new
+        size = sum(map(len, self.words)) + len(self.words) - 1
+        if size >= MUST_CLOSE or size >= CLOSE and self.words[-1][-1] in ".!?…:":
+            return self.close()
+        return None
+
+    def close(self) -> tuple[float, str] | None:
+        found = (self.start, " ".join(self.words)) if self.words else None
+        self.words, self.start = [], 0.0
+        return found
+
+
+def fold_paragraphs(segments: Iterable[tuple[float, str]]) -> Iterator[tuple[float, str]]:
+    """Paragraphs (start, text) of ordered segments."""
+    fold = Fold()
+    for at, text in segments:
+        if closed := fold.add(at, text):
+            yield closed
+    if closed := fold.close():
+        yield closed
+
+
+def _folded(rows: pa.Table, handed: pa.Table) -> tuple[list[tuple[float, str]], Fold]:
+    """The paragraphs that close in a chunk, and what stays open at its end."""
+    fold = Fold(handed["open"][0].as_py(), handed["open_start"][0].as_py() or 0.0)
+    rows = rows.sort_by(NTH)
+    closed = [fold.add(at, text) for at, text in zip(rows["start_s"].to_pylist(), rows["text"].to_pylist())]
+    return [c for c in closed if c], fold
+
+
+def _ends(rows: pa.Table, handed: pa.Table) -> pa.Table:
+    closed, fold = _folded(rows, handed)
+    left = " ".join(fold.words) or None
+    columns = [handed["chunk"], handed["open"], handed["open_start"], pa.array([left], pa.string()), pa.array([fold.start if left else None], pa.float64()), pa.array([len(closed)], pa.int64())]
+    return pa.Table.from_arrays(columns, ["chunk", "open", "open_start", "left", "left_start", "closed"])
+
+
+_ENDS = "chunk long, open string, open_start double, left string, left_start double, closed long"
+
+
+def paragraphs(segments: DataFrame, key: str = "source_id", chunk: int = SEGMENTS) -> DataFrame:
+    """``key, no, start_s, text``: paragraphs of each source's segments ``(key, pos, start_s, text)``; ``pos`` is unique in a source.
+
+    Long sources are folded in chunks of ``chunk`` segments, each as if a
+    paragraph began there.  A chunk that is handed an open paragraph is folded
+    again; as paragraphs soon end at the same segment whatever came before, what
+    it leaves open rarely changes, and the rounds end when nothing does.  No task
+    reads a source.
     """
+    rows = chunked(segments.select(key, "pos", F.col("start_s").cast("double").alias("start_s"), "text"), key, ["pos"], chunk, "segments")
+    chunks = stash(listed(rows, key), "listed")
+    nothing = chunks.select("chunk", F.lit(None).cast("string").alias("open"), F.lit(None).cast("double").alias("open_start"))
+    ahead = Window.partitionBy("of").orderBy("chunk")
+    if chunks.groupBy("of").count().where("count > 1").isEmpty():
+        handed = nothing.withColumns({"done": F.lit(0).cast("long"), "ends": F.lit(True)})
+    else:
+        fold = lambda some, given: some.groupBy(CHUNK).cogroup(given.groupBy("chunk")).applyInArrow(_ends, _ENDS)
+        ends = stash(fold(rows, nothing), "ends")
+        while True:
+            before = ends.join(chunks, "chunk").withColumns({"given": F.lag("left").over(ahead), "given_start": F.lag("left_start").over(ahead)})
+            changed = before.where(~F.col("given").eqNullSafe(F.col("open")) | ~F.col("given_start").eqNullSafe(F.col("open_start")))
+            changed = stash(changed.select("chunk", F.col("given").alias("open"), F.col("given_start").alias("open_start")), "changed")
+            if changed.isEmpty():
+                break
+            again = fold(rows.join(changed.select(F.col("chunk").alias(CHUNK)), CHUNK, "left_semi"), changed)
+            ends = stash(ends.join(changed.select("chunk"), "chunk", "left_anti").unionByName(again), "ends")
+        done = F.coalesce(F.sum("closed").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        handed = ends.join(chunks, "chunk").select("chunk", "open", "open_start", done.alias("done"), F.lead("chunk").over(ahead).isNull().alias("ends"))
+        handed = stash(handed, "handed")
     kinds = (to_arrow_type(segments.schema[key].dataType), pa.int32(), pa.float64(), pa.string())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in zip(*(batch[c].to_pylist() for c in (key, "start_s", "text"))))
-        of_source = ((k, fold_paragraphs((at, text) for _, at, text in held)) for k, held in groupby(rows, itemgetter(0)))
-        found = ((k, no, start, text) for k, folded in of_source for no, (start, text) in enumerate(folded, 1))
-        for some in batched(found, 1000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), kinds)], [key, "no", "start_s", "text"])
+    def run(some: pa.Table, given: pa.Table) -> pa.Table:
+        found, open_one = _folded(some, given)
+        if given["ends"][0].as_py() and (last := open_one.close()):
+            found.append(last)
+        of, first = some[key][0].as_py(), given["done"][0].as_py() + 1
+        columns = list(zip(*((of, first + i, start, text) for i, (start, text) in enumerate(found)))) or [()] * 4
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [key, "no", "start_s", "text"])
 
-    ordered = segments.select(key, "pos", F.col("start_s").cast("double").alias("start_s"), "text").repartition(key).sortWithinPartitions(key, "pos")
-    return ordered.mapInArrow(run, f"{key} {segments.schema[key].dataType.simpleString()}, no int, start_s double, text string")
+    return rows.groupBy(CHUNK).cogroup(handed.groupBy("chunk")).applyInArrow(run, f"{key} {segments.schema[key].dataType.simpleString()}, no int, start_s double, text string")
 
 
 def written(paras: DataFrame, key: str = "source_id", marks: bool = False, lengths: DataFrame | None = None) -> DataFrame:
