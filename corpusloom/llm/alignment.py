@@ -66,50 +66,63 @@ def tokens(text: str | None, path_a: str, path_b: str) -> tuple[np.ndarray, np.n
     own, b = (" " + text).encode(), model.encode(text)
     if b"".join(map(spelled.__getitem__, b)) != own:
         return none
-    a = tokenizers.encode_plain(path_a, " " + text).tolist()
-    if b"".join(map(_bytes_of_ranks(path_a).__getitem__, a)) != own:
+    a = tokenizers.encode_plain(path_a, " " + text).astype(np.int64)
+    if int(_sizes(path_a, False)[a].sum()) != len(own):  # its tokens are bytes of the text in order, so lengths tell
         return none
-    return np.array(a, np.int64), np.array(b, np.int64)
+    return a, np.array(b, np.int64)
+
+
+@lru_cache(maxsize=2)
+def _spelled(size_a: int, size_b: int) -> np.ndarray:
+    """Each id of A with a comma and with a bar behind it, then those of B with a comma and with a semicolon."""
+    return np.array([f"{i}{end}".encode() for size, ends in ((size_a, ",|"), (size_b, ",;")) for i in range(size) for end in ends], object)
 
 
 def _placed(ids: list[np.ndarray], sizes: np.ndarray) -> pd.DataFrame:
-    """Tokens of documents that follow each other: ``start, end`` in bytes, ``doc``, ``id``."""
+    """Tokens of documents that follow each other: ``start, end`` in bytes, which name the document too, ``doc``, ``id``."""
     every = np.concatenate(ids)
     ends = np.cumsum(sizes[every])
-    return pd.DataFrame({"start": ends - sizes[every], "end": ends, "doc": np.repeat(np.arange(len(ids)), [len(i) for i in ids]), "id": every})
+    return pd.DataFrame({"start": ends - sizes[every], "end": ends, "doc": np.repeat(np.arange(len(ids)), [len(i) for i in ids]), "id": every}, copy=False)
 
 
-def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of tokens ``at_a, at_b`` (row numbers) whose bytes overlap, by document, in order.
+def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of tokens (row numbers of A and B) whose bytes overlap.
 
     Each token start is covered by one token of the other side: either A's
-    token starts inside B's, or B's inside A's.
+    token starts inside B's, or B's inside A's; the second direction leaves out
+    what starts together.  Documents follow each other on both sides with equal
+    lengths, so no token is covered by one of another document.
     """
-    left = a[["start", "doc"]].assign(at_a=np.arange(len(a)))
-    right = b[["start", "doc"]].assign(at_b=np.arange(len(b)))
-    found = pd.concat([pd.merge_asof(left, right, on="start", by="doc"), pd.merge_asof(right, left, on="start", by="doc")])
-    return found[["at_a", "at_b"]].drop_duplicates().sort_values(["at_a", "at_b"], ignore_index=True)
+    left = pd.DataFrame({"start": a["start"], "at_a": np.arange(len(a))}, copy=False)
+    right = pd.DataFrame({"start": b["start"], "at_b": np.arange(len(b))}, copy=False)
+    inside_b = pd.merge_asof(left, right, on="start")
+    inside_a = pd.merge_asof(right, left, on="start", allow_exact_matches=False)
+    strictly = ~np.isin(right["start"].to_numpy(), left["start"].to_numpy(), assume_unique=True)
+    inside_a = inside_a[strictly]
+    return np.concatenate((inside_b["at_a"], inside_a["at_a"])).astype(np.int64), np.concatenate((inside_b["at_b"], inside_a["at_b"])).astype(np.int64)
 
 
 def align(ids_a: list[np.ndarray], ids_b: list[np.ndarray], sizes_a: np.ndarray, sizes_b: np.ndarray) -> tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame]:
-    """Tokens of both sides with their ``group``, numbered through, and the links ``doc, a, b`` (ids)."""
+    """Tokens of both sides with their ``group``, numbered through, and whether they are its ``last``; and the links ``doc, a, b`` (ids)."""
     a, b = _placed(ids_a, sizes_a), _placed(ids_b, sizes_b)
-    found = overlaps(a, b)
-    at_a, at_b = found["at_a"].to_numpy(), found["at_b"].to_numpy()
+    at_a, at_b = overlaps(a, b)
     together = a["end"].to_numpy()[at_a] == b["end"].to_numpy()[at_b]
-    at_a, at_b = at_a[together], at_b[together]
+    at_a, at_b = np.sort(at_a[together]), np.sort(at_b[together])  # ends ascend on both sides
     for side, at in ((a, at_a), (b, at_b)):
-        last = np.zeros(len(side) + 1, np.int64)
-        last[at + 1] = 1
-        side["group"] = np.cumsum(last[:-1])
-    links = pd.DataFrame({"doc": a["doc"].to_numpy()[at_a], "a": a["id"].to_numpy()[at_a], "b": b["id"].to_numpy()[at_b]})
+        last = np.zeros(len(side), np.int64)
+        last[at] = 1
+        side["last"], side["group"] = last, np.cumsum(last) - last
+    links = pd.DataFrame({"doc": a["doc"].to_numpy()[at_a], "a": a["id"].to_numpy()[at_a], "b": b["id"].to_numpy()[at_b]}, copy=False)
     return a, b, links
 
 
-def _lines(side: pd.DataFrame, groups: int) -> list[str]:
-    """The ids of each group, joined by commas."""
-    ids, ends = [str(i) for i in side["id"].tolist()], np.cumsum(np.bincount(side["group"], minlength=groups)).tolist()
-    return [",".join(ids[i:j]) for i, j in zip([0, *ends[:-1]], ends)]
+def written(a: pd.DataFrame, b: pd.DataFrame, documents: int, sizes: tuple[int, int]) -> list[bytes]:
+    """Each document's groups as ``a1,a2|b1;a3|b2,b3``."""
+    codes = np.concatenate((2 * a["id"].to_numpy() + a["last"].to_numpy(), 2 * (sizes[0] + b["id"].to_numpy()) + b["last"].to_numpy()))
+    order = np.argsort(np.concatenate((2 * a["group"].to_numpy(), 2 * b["group"].to_numpy() + 1)), kind="stable")
+    parts = _spelled(*sizes)[codes[order]].tolist()
+    ends = np.cumsum(np.bincount(a["doc"], minlength=documents) + np.bincount(b["doc"], minlength=documents)).tolist()
+    return [b"".join(parts[i:j])[:-1] for i, j in zip([0, *ends[:-1]], ends)]
 
 
 _CHUNKS = "chunk long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, pairs array<int>, times array<int>, names array<long>, counts array<long>, groups string"
@@ -127,8 +140,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str, keep: b
     def documents() -> list[tuple]:
         nonlocal waiting, bytes_waiting
         a, b, links = align([d[1] for d in waiting], [d[2] for d in waiting], *sizes)
-        groups = int(a["group"].iloc[-1]) + 1 if len(a) else 0
-        lines = [f"{x}|{y}" for x, y in zip(_lines(a, groups), _lines(b, groups))]
+        lines = written(a, b, len(waiting), (len(sizes[0]), len(sizes[1])))
         names, local = np.unique(links["a"].to_numpy() << 32 | links["b"].to_numpy(), return_inverse=True)
         chunk_wide = np.array([numbers.setdefault(n, len(numbers)) for n in names.tolist()], np.int64)
         counts.extend([0] * (len(numbers) - len(counts)))
@@ -136,10 +148,9 @@ def _chunks(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str, keep: b
             counts[n] += more
         ends = np.cumsum(np.bincount(links["doc"], minlength=len(waiting))).tolist()
         rows = []
-        for (doc_id, ids_a, ids_b), i, j in zip(waiting, [0, *ends[:-1]], ends):
-            own, times = np.unique(chunk_wide[local[i:j]], return_counts=True) if j > i else ([], [])
-            line = ";".join(lines[i:j])  # a group has one link
-            rows.append((chunk, doc_id, len(ids_a), len(ids_b), j - i, hashlib.sha256(line.encode()).hexdigest() if j > i else "", own, times, None, None, line if keep else None))
+        for (doc_id, ids_a, ids_b), line, i, j in zip(waiting, lines, [0, *ends[:-1]], ends):
+            own, times = np.unique(chunk_wide[local[i:j]], return_counts=True) if j > i else ([], [])  # a group has one link
+            rows.append((chunk, doc_id, len(ids_a), len(ids_b), j - i, hashlib.sha256(line).hexdigest() if j > i else "", own, times, None, None, line.decode() if keep else None))
         waiting, bytes_waiting = [], 0
         return rows
 
