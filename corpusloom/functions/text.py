@@ -230,19 +230,33 @@ def first_line_title(text: str | Column, most: int = 80) -> Column:
     return F.nullif(F.substring(F.trim(F.regexp_extract(col(text), "(?m)^.*\\S.*$", 0)), 1, most), F.lit(""))
 
 
-def cell_text(value: str | Column, kind: str) -> Column:
-    """A table cell as text: words for booleans, ISO dates, numbers of 15 significant digits at most."""
+#: How a table's cells write booleans.
+TRUE, FALSE = "prawda", "fałsz"
+
+
+def cell_text(value: str | Column, kind: str, number_format: str | Column | None = None) -> Column:
+    """A table cell as text: words for booleans, ISO dates, numbers of 15 significant digits at most.
+
+    Where ``number_format`` (of a spreadsheet's cell) has a percent sign, the number
+    is written as per cent.
+    """
     v = col(value)
     if kind == "boolean":
-        return F.when(v, "true").otherwise(F.when(~v, "false"))
+        return F.when(v, TRUE).otherwise(F.when(~v, FALSE))
     if kind in ("date", "timestamp"):
         return F.regexp_replace(F.date_format(v, "yyyy-MM-dd HH:mm:ss"), " 00:00:00$", "")
     if kind == "double":
-        whole = (v == F.floor(v)) & (F.abs(v) < 1e15)
-        return F.when(whole, F.floor(v).cast("string")).otherwise(F.regexp_replace(F.format_string("%.15g", v), "(\\.\\d*?)0+$", "$1"))
+        if number_format is None:
+            return _number(v)
+        return F.when(F.coalesce(F.contains(col(number_format), F.lit("%")), F.lit(False)), F.concat(_number(v * 100), F.lit("%"))).otherwise(_number(v))
     return v.cast("string")
 
 
+def _number(v: Column) -> Column:
+    whole = (v == F.floor(v)) & (F.abs(v) < 1e15)
+    return F.when(whole, F.floor(v).cast("string")).when(v.isNotNull(), F.regexp_replace(F.format_string("%.15g", v), "(\\.\\d*?)0+$", "$1"))
+
+
 _INLINE_SYNTAX = (
     r"(?U)\\(?=$|\n|[!-/:-@\[-`{-~])|[*`]|(?<![\p{L}\p{N}])_|_(?![\p{L}\p{N}])|<(?=[A-Za-z/!?])|~(?=~)|\](?=\()|&(?=#[0-9]+;|#[xX][0-9a-fA-F]+;|\w+;)"
 )

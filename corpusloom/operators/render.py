@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import byte_count, char_count, col, word_count
+from corpusloom.functions.markdown import plain_markdown
+from corpusloom.functions.text import byte_count, char_count, col, escaped_heading, escaped_inline, word_count
 
 #: Labels of the header in their order, by field.
 LABELS = {
@@ -70,25 +71,45 @@ def shift_headings(text: str | Column, least: int = 3) -> Column:
     return F.aggregate(lines, start, step, lambda s: F.array_join(s["out"], "\n"))
 
 
+#: The heading of a page's list of links, a position in it, and the title of a source without one.
+LINKS_HEADING, LINK_LINE, UNTITLED = "Odnośniki wymienione w artykule", r"^\d+\. ", "Źródło bez tytułu"
+
+
+def source_title(head: str | Column) -> Column:
+    """The title of a source by its header: its title, else its file, address or identifier."""
+    lines = F.split(F.coalesce(col(head), F.lit("")), "\n")
+    value = lambda field: F.nullif(F.trim(F.replace(F.get(F.filter(lines, lambda x: x.rlike(f"^{LABELS[field]}: *\\S")), F.lit(0)), F.lit(f"{LABELS[field]}: "), F.lit(""))), F.lit(""))
+    return F.coalesce(*[value(f) for f in ("title", "file", "url", "source_id")], F.lit(UNTITLED))
+
+
+def without_links(text: str | Column) -> tuple[Column, Column]:
+    """Markdown and its closing list of links, if there is nothing but numbered positions under the list's heading."""
+    text = F.coalesce(col(text), F.lit(""))
+    mark = f"\n## {LINKS_HEADING}\n"
+    parts = F.split(F.concat(F.lit("\n"), text), mark)
+    listed = F.element_at(parts, -1)
+    sound = (F.size(parts) > 1) & F.forall(F.split(listed, "\n"), lambda x: (F.trim(x) == "") | x.rlike(LINK_LINE))
+    before = F.substring(F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(1))), mark), 2, F.length(text))
+    return F.when(sound, F.regexp_replace(before, "\\n+$", "")).otherwise(text), F.when(sound, listed).otherwise("")
+
+
 def group_markdown(fragments: DataFrame, file: str = "file_id", group: str = "group", order: list[str] | None = None) -> DataFrame:
-    """``file, body``: H1 for the group, H2 for each source, its metadata as a list, its headings below."""
+    """``file, body``: H1 for the group, H2 for each source, its metadata as a list, its headings below.
+
+    Titles and metadata are escaped.  The list of links that closes a page stays
+    at the third level, however deep the page's own headings go.
+    """
     order = order or ["pos"]
-    meta = F.when(F.coalesce("header", F.lit("")) != "", F.concat(F.lit("- "), F.replace("header", F.lit("\n"), F.lit("\n- ")), F.lit("\n\n"))).otherwise("")
-    part = F.concat(F.lit("## "), F.coalesce("title", F.lit("")), F.lit("\n\n"), meta, shift_headings(F.coalesce("text", F.lit(""))))
+    head = F.coalesce("header", F.lit(""))
+    given = F.nullif(F.trim("title"), F.lit("")) if "title" in fragments.columns else F.lit(None).cast("string")
+    lines = F.filter(F.split(head, "\n"), lambda x: F.trim(x) != "")
+    meta = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("- "), escaped_inline(x))), "\n")
+    content, links = without_links("text")
+    pinned = F.when(links != "", F.concat(F.lit(f"### {LINKS_HEADING}\n"), links))
+    body = F.concat_ws("\n\n", *[F.nullif(c, F.lit("")) for c in (meta, shift_headings(content), pinned)])
+    part = F.concat_ws("\n\n", F.concat(F.lit("## "), escaped_heading(F.coalesce(given, source_title(head)))), F.nullif(body, F.lit("")))
     parts = fragments.groupBy(file, group).agg(F.array_sort(F.collect_list(F.struct(*order, part.alias("part")))).alias("parts"))
-    return parts.select(file, F.concat(F.lit("# "), F.col(group), F.lit("\n\n"), F.array_join(F.transform("parts", lambda p: p["part"]), "\n\n")).alias("body"))
-
-
-def plain_markdown(text: str | Column) -> Column:
-    """Markdown as plain text: no marks of headings, emphasis, code or quotes; links as ``text (address)``, table rows by cells."""
-    t = col(text)
-    for pattern, by in (
-        ("(?m)^(?:```|~~~).*\\n?", ""), ("(?m)^#{1,6}\\s+", ""), ("(?m)^> ?", ""), ("(?m)^\\s*\\|?(?:\\s*:?-{3,}:?\\s*\\|)+\\s*:?-*:?\\s*\\|?\\s*\\n?", ""),
-        ("!\\[([^\\]]*)\\]\\([^)]*\\)", "$1"), ("\\[([^\\]]*)\\]\\(([^)\\s]*)[^)]*\\)", "$1 ($2)"), ("(?m)^\\|\\s*|\\s*\\|$", ""), ("(?m)(?<=\\S) \\| (?=\\S)", ", "),
-        ("(\\*\\*|__)(?=\\S)(.+?)(?<=\\S)\\1", "$2"), ("(?<![\\w*])\\*(?=\\S)([^*\\n]+?)(?<=\\S)\\*", "$1"), ("`([^`\\n]*)`", "$1"), ("(?m)^(\\s*)[*+] ", "$1- "),
-    ):
-        t = F.regexp_replace(t, pattern, by)
-    return t
+    return parts.select(file, F.concat(F.lit("# "), escaped_heading(group), F.lit("\n\n"), F.array_join(F.transform("parts", lambda p: p["part"]), "\n\n")).alias("body"))
 
 
 def markdown_words(text: str | Column) -> Column:

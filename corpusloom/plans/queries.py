@@ -14,7 +14,8 @@ from corpusloom.functions import urls as U
 from corpusloom.operators import boilerplate, dedup, extract, packing, recognition, render, report, subtitles, url_lists
 from corpusloom.plans import corpus
 from corpusloom.session import shared_dir, spread
-from corpusloom.streaming import incremental
+from corpusloom.sources import text_sink
+from corpusloom.streaming import admission, incremental, store
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -136,6 +137,26 @@ def dedup_leaders(spark, sf_dir):
     return dedup.deduplicate(_t(spark, sf_dir, "documents"))
 
 
+# sources in order: the first earlier leader that is certainly like one, else it leads; lists hold the leaders' numbers
+_LEADERS = f"""RECURSIVE {_FINGERPRINT}, k AS (SELECT doc_id, sha256(text) AS h, sha256({_COSMETIC.format('text')}) AS c FROM documents),
+  d AS (SELECT k.*, fp, row_number() OVER (ORDER BY doc_id) AS n FROM k JOIN fp USING (doc_id)),
+  p AS (SELECT x.n AS a, y.n AS b, bit_count(xor(x.fp, y.fp)::BIT) AS apart, x.c = y.c OR bit_count(xor(x.fp, y.fp)::BIT) <= 6 AS certain FROM d x JOIN d y ON x.n < y.n WHERE x.c = y.c OR bit_count(xor(x.fp, y.fp)::BIT) <= 16),
+  f AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS leaders, NULL::BIGINT AS main UNION ALL
+    SELECT n, CASE WHEN main IS NULL THEN list_append(leaders, n) ELSE leaders END, main FROM (
+      SELECT f.n + 1 AS n, f.leaders, min(p.a) FILTER (p.certain AND list_contains(f.leaders, p.a)) AS main FROM f LEFT JOIN p ON p.b = f.n + 1 WHERE f.n < (SELECT count(*) FROM d) GROUP BY f.n, f.leaders)),
+  l AS (SELECT n AS a FROM f WHERE n > 0 AND main IS NULL),
+  w AS (SELECT b AS n, arg_min(a, apart * 1000000000 + a) AS best FROM p JOIN l USING (a) WHERE NOT certain AND b IN (SELECT a FROM l) GROUP BY b)"""
+
+
+@_query(f"""WITH {_LEADERS}, o AS (SELECT d.doc_id, d.h, d.c, d.fp, main, coalesce(main, best) AS m FROM d JOIN f USING (n) LEFT JOIN w USING (n))
+  SELECT o.doc_id, CASE WHEN main IS NOT NULL THEN 'duplicate' WHEN m IS NOT NULL THEN 'review' ELSE 'kept' END AS status, d.doc_id AS main_id,
+    CASE WHEN m IS NULL THEN NULL WHEN o.h = d.h THEN 'hash' WHEN o.c = d.c THEN 'cosmetic' ELSE 'simhash' END AS method,
+    CASE WHEN m IS NULL THEN NULL WHEN o.c = d.c THEN 1.0 ELSE round_even(1 - bit_count(xor(o.fp, d.fp)::BIT) / 64, 4) END::DOUBLE AS score FROM o LEFT JOIN d ON d.n = o.m""")
+def dedup_by_fingerprint(spark, sf_dir):
+    """Leader clustering as ``dedup_leaders`` has it, with fingerprints for short texts too, which SQL can check."""
+    return dedup.deduplicate(_t(spark, sf_dir, "documents"), Config(short_words=0), digest="md5")
+
+
 @_query()
 def dedup_new_against_base(spark, sf_dir):
     docs = _t(spark, sf_dir, "documents")
@@ -143,12 +164,12 @@ def dedup_new_against_base(spark, sf_dir):
 
 
 @_query()
-def possible_duplicates(spark, sf_dir):
+def possible_duplicate_list(spark, sf_dir):
     return report.possible_duplicate_members(dedup.deduplicate(_t(spark, sf_dir, "documents")))
 
 
 @_query()
-def possible_duplicate_list(spark, sf_dir):
+def possible_duplicates(spark, sf_dir):
     found = report.possible_duplicates(dedup.deduplicate(_t(spark, sf_dir, "documents")))
     return found.select("doc_id", "cases", F.array_join("descriptions", "\n").alias("descriptions"))
 
@@ -165,24 +186,33 @@ def incremental_settle(spark, sf_dir):
 _URL = """regexp_extract(url, '^([^:]+)://([^/?#]*)([^?#]*)(?:\\?([^#]*))?(?:#(.*))?$', ['s', 'h', 'p', 'q', 'f'])"""
 _CANONICAL = """(lower(u.s) || '://' || lower(u.h) || CASE WHEN u.p = '' THEN '/' ELSE u.p END
   || CASE WHEN q = '' THEN '' ELSE '?' || q END || CASE WHEN u.f LIKE '/%' OR u.f LIKE '!%' THEN '#' || u.f ELSE '' END)"""
-_URLS = f"""u AS (SELECT page_id, url, {_URL} AS u FROM pages),
+_URLS = f"""u AS (SELECT page_id, url, {_URL} AS u FROM listed),
   p AS (SELECT *, array_to_string(list_sort(list_filter(string_split(u.q, '&'), lambda x: x <> '' AND NOT starts_with(lower(x), 'utm_'))), '&') AS q FROM u), c AS (SELECT page_id, url, {_CANONICAL} AS canonical FROM p)"""
 
 
-@_query(f"WITH {_URLS} SELECT page_id, canonical, canonical AS fetch FROM c")
+@_query(f"WITH listed AS (FROM pages), {_URLS} SELECT page_id, canonical, canonical AS fetch FROM c")
 def url_canonical(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", U.canonical("url").alias("canonical"), U.fetch_form(U.without_login("url")).alias("fetch"))
 
 
-@_query(f"WITH {_URLS}, f AS (SELECT *, min(page_id) OVER (PARTITION BY canonical) AS first FROM c) SELECT page_id, canonical, CASE WHEN page_id = first THEN 'accepted' ELSE 'duplicate' END AS verdict FROM f")
+# each page's address, and once more with a mark of where the reader came from
+@_query(f"""WITH listed AS (SELECT page_id, url FROM pages UNION ALL SELECT -page_id - 1, CASE WHEN url SIMILAR TO '.*[?#].*' THEN url ELSE url || '?utm_source=list' END FROM pages),
+  {_URLS}, f AS (SELECT *, min(page_id) OVER (PARTITION BY canonical) AS first FROM c) SELECT page_id, canonical, CASE WHEN page_id = first THEN 'accepted' ELSE 'duplicate' END AS verdict FROM f""")
 def url_verdicts(spark, sf_dir):
-    return url_lists.verdicts(_t(spark, sf_dir, "pages").select("page_id", "url"), "url", ["page_id"]).select("page_id", "canonical", "verdict")
+    pages = _t(spark, sf_dir, "pages").select("page_id", "url")
+    marked = F.when(F.col("url").rlike("[?#]"), F.col("url")).otherwise(F.concat("url", F.lit("?utm_source=list")))
+    return url_lists.verdicts(pages.unionByName(pages.select((-F.col("page_id") - 1).alias("page_id"), marked.alias("url"))), "url", ["page_id"]).select("page_id", "canonical", "verdict")
 
 
-@_query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*) AS entries, count(*) AS rejected FROM l WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#') GROUP BY doc_id""")
+# documents hold no addresses; lists made of the pages' do, beside comments, repeats and other lines
+@_query("""WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT -page_id - 1, url || chr(10) || '# ' || url || chr(10) || 'no address' || chr(10) || url FROM pages),
+  l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM t), e AS (SELECT doc_id, line, regexp_matches(line, '^https?://\\S+$') AS ok FROM l WHERE line <> '' AND NOT starts_with(line, '#'))
+  SELECT doc_id, count(*) AS entries, count(*) FILTER (NOT ok) AS rejected, count(DISTINCT line) FILTER (ok) AS accepted FROM e GROUP BY doc_id""")
 def url_entries(spark, sf_dir):
-    found = url_lists.collect(_t(spark, sf_dir, "documents"))
-    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("entries"), F.count_if(F.col("verdict") == "rejected").alias("rejected"))
+    listed = F.concat_ws("\n", F.col("url"), F.concat(F.lit("# "), "url"), F.lit("no address"), F.col("url"))
+    lists = _t(spark, sf_dir, "documents").select("doc_id", "text").unionByName(_t(spark, sf_dir, "pages").select((-F.col("page_id") - 1).alias("doc_id"), listed.alias("text")))
+    found = url_lists.collect(lists)
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("entries"), *[F.count_if(F.col("verdict") == v).alias(v) for v in ("rejected", "accepted")])
 
 
 @_query("SELECT page_id, regexp_replace(x, '[.,;:!?)\\]}]+$', '') AS url FROM (SELECT page_id, unnest(regexp_extract_all(html || ' ' || url, 'https?://[^\\s<>\"]+')) AS x FROM pages)")
@@ -214,9 +244,13 @@ def quality_flags(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.array_join(reasons, ",").alias("reasons"))
 
 
-@_query(f"SELECT doc_id, len({_WORDS}) < 50 AND ({_PHRASES}) AS block_page FROM documents")
+# each document, and a page that says so much and no more in its place
+@_query(f"""WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT -doc_id - 1, 'Error. Please ENABLE JavaScript to read ' || source || CASE WHEN lang = 'en' THEN '' ELSE ' ' || text END FROM documents)
+  SELECT doc_id, len({_WORDS}) < 50 AND ({_PHRASES}) AS block_page FROM t""")
 def block_pages(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", Q.is_block_page("text").alias("block_page"))
+    docs = _t(spark, sf_dir, "documents")
+    told = F.concat(F.lit("Error. Please ENABLE JavaScript to read "), "source", F.when(F.col("lang") == "en", "").otherwise(F.concat(F.lit(" "), "text")))
+    return docs.select("doc_id", "text").unionByName(docs.select((-F.col("doc_id") - 1).alias("doc_id"), told.alias("text"))).select("doc_id", Q.is_block_page("text").alias("block_page"))
 
 
 @_query(f"""WITH w AS (SELECT doc_id, regexp_replace(text, '\\s', '', 'g') AS solid, list_filter({_WORDS}, lambda x: regexp_matches(x, '\\p{{L}}')) AS lettered FROM documents),
@@ -226,10 +260,15 @@ def ocr_text_quality(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.array_join(Q.recognised_reasons("text"), ",").alias("reasons"))
 
 
-@_query(f"""WITH s AS (SELECT conv_id, {_COSMETIC.format('text')} AS phrase FROM conversations), n AS (SELECT conv_id, phrase, count(*) AS n FROM s GROUP BY conv_id, phrase)
-  SELECT conv_id, sum(n)::BIGINT AS n_segments, coalesce(max(n) FILTER (phrase <> ''), 0)::BIGINT AS most_repeated FROM n GROUP BY conv_id""")
+# each turn, and its role as a segment: what is said over and over; long turns count as uncertain
+@_query(f"""WITH t AS (SELECT conv_id, text, length(text) > 200 AS unsure FROM conversations UNION ALL SELECT conv_id, role || '!', false FROM conversations),
+  s AS (SELECT conv_id, {_COSMETIC.format('text')} AS phrase, unsure FROM t), n AS (SELECT conv_id, phrase, count(*) AS n, count(*) FILTER (unsure) AS u FROM s GROUP BY conv_id, phrase),
+  q AS (SELECT conv_id, sum(n)::BIGINT AS n_segments, coalesce(max(n) FILTER (phrase <> ''), 0)::BIGINT AS most_repeated, sum(u) / sum(n) AS share FROM n GROUP BY conv_id)
+  SELECT conv_id, n_segments, most_repeated, round(share, 6) AS uncertain_share, array_to_string(list_filter([CASE WHEN most_repeated >= 3 THEN 'repeated' END, CASE WHEN n_segments >= 3 AND share > 0.3 THEN 'uncertain' END], lambda x: x IS NOT NULL), ',') AS reasons FROM q""")
 def transcript_quality(spark, sf_dir):
-    return subtitles.quality(_t(spark, sf_dir, "conversations"), "conv_id").select("conv_id", "n_segments", "most_repeated")
+    turns = _t(spark, sf_dir, "conversations")
+    said = turns.select("conv_id", "text", (F.length("text") > 200).alias("uncertain")).unionByName(turns.select("conv_id", F.concat("role", F.lit("!")).alias("text"), F.lit(False).alias("uncertain")))
+    return subtitles.quality(said, "conv_id").select("conv_id", "n_segments", "most_repeated", F.round("uncertain_share", 6).alias("uncertain_share"), F.array_join("reasons", ",").alias("reasons"))
 
 
 def _segments(spark, sf_dir) -> DataFrame:
@@ -283,9 +322,14 @@ def link_list(spark, sf_dir):
     return extract.links(_t(spark, sf_dir, "pages"), absolute=False)
 
 
-@_query("SELECT page_id, length(regexp_replace(html, '<[^>]*>', '', 'g')) <= 200 AND length(html) >= 2000 AND contains(lower(html), '<script') AS scripts_only FROM pages")
+# each page, and its text as a script's
+@_query("""WITH p AS (SELECT page_id, html FROM pages UNION ALL SELECT -page_id - 1, '<script data-page="' || replace(html, '>', ' ') || '"></script>' FROM pages)
+  SELECT page_id, length(regexp_replace(html, '<[^>]*>', '', 'g')) <= 200 AND length(html) >= 2000 AND contains(lower(html), '<script') AS scripts_only FROM p""")
 def scripts_only_pages(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", extract.scripts_only(F.regexp_replace("html", "<[^>]*>", ""), F.col("html")).alias("scripts_only"))
+    pages = _t(spark, sf_dir, "pages").select("page_id", "html")
+    scripts = F.concat(F.lit('<script data-page="'), F.replace("html", F.lit(">"), F.lit(" ")), F.lit('"></script>'))
+    pages = pages.unionByName(pages.select((-F.col("page_id") - 1).alias("page_id"), scripts.alias("html")))
+    return pages.select("page_id", extract.scripts_only(F.regexp_replace("html", "<[^>]*>", ""), F.col("html")).alias("scripts_only"))
 
 
 @_query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
@@ -366,6 +410,27 @@ def corpus_sources(spark, sf_dir):
     return corpus.run(_t(spark, sf_dir, "documents"), Config(slots=100, words_per_file=20_000, bytes_per_file=200_000))["sources"].select("doc_id", "source_id", "title", "n_words", "status", "reason")
 
 
+@_query(f"""WITH RECURSIVE n AS (SELECT doc_id, trim(source) AS source, {_NORMAL} AS text FROM documents), k AS (SELECT doc_id, source, sha256(text) AS h, sha256({_COSMETIC.format('text')}) AS c, len({_WORDS})::BIGINT AS w, strlen(text)::BIGINT AS b, len({_WORDS}) < 50 AND ({_PHRASES}) AS blocked FROM n),
+  u AS (SELECT *, min(doc_id) OVER (PARTITION BY c) AS first FROM k WHERE w > 0 AND NOT blocked), o AS (SELECT * FROM u WHERE doc_id = first),
+  g AS (SELECT source, row_number() OVER (ORDER BY min(doc_id), source) AS slot FROM o GROUP BY source), a AS (SELECT o.*, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM o JOIN g USING (source) WHERE slot <= 12),
+  p AS (SELECT doc_id, source, nth, w, b, 1 AS bin FROM a WHERE nth = 1 UNION ALL
+    SELECT doc_id, source, nth, CASE WHEN opens THEN w ELSE held_w + w END, CASE WHEN opens THEN b ELSE held_b + 2 + b END, CASE WHEN opens THEN bin + 1 ELSE bin END FROM (
+      SELECT a.doc_id, a.source, a.nth, a.w, a.b, p.w AS held_w, p.b AS held_b, p.bin, p.w + a.w > 20000 OR p.b + 2 + a.b > 200000 AS opens FROM p JOIN a ON a.source = p.source AND a.nth = p.nth + 1))
+  SELECT k.doc_id, CASE WHEN p.doc_id IS NOT NULL THEN 'packed' WHEN u.doc_id <> u.first THEN 'duplicate' ELSE 'skipped' END AS status, CASE WHEN k.w = 0 THEN 'empty' WHEN k.blocked THEN 'block_page' WHEN u.doc_id = u.first AND p.doc_id IS NULL THEN 'no_slot' END AS reason,
+    CASE WHEN u.doc_id <> u.first THEN u.first END AS main_id, CASE WHEN p.doc_id IS NOT NULL THEN 'group-' || k.source || '-' || p.bin END AS file_id FROM k LEFT JOIN u USING (doc_id) LEFT JOIN p ON p.doc_id = k.doc_id""")
+def corpus_statuses(spark, sf_dir):
+    """The whole flow with exact and cosmetic deduplication and twelve slots: where each source ends, and why."""
+    tables = corpus.run(_t(spark, sf_dir, "documents"), Config(slots=12, words_per_file=20_000, bytes_per_file=200_000, stage_similarity=False))
+    return tables["sources"].join(tables["plan"].select("doc_id", "file_id"), "doc_id", "left").select("doc_id", "status", "reason", "main_id", "file_id")
+
+
+@_query()
+def corpus_events(spark, sf_dir):
+    """What each phase of the flow wrote, counted by the pass that wrote it."""
+    tables = corpus.run(_t(spark, sf_dir, "documents"), Config(slots=12, words_per_file=20_000, bytes_per_file=200_000, stage_similarity=False))
+    return tables["events"].select("nth", "phase", "n_rows", F.to_json("counts").alias("counts"), "error")
+
+
 @_query()
 def corpus_manifest(spark, sf_dir):
     return corpus.run(_t(spark, sf_dir, "documents"), Config(words_per_file=20_000, bytes_per_file=200_000))["manifest"]
@@ -387,18 +452,51 @@ def metadata_headers(spark, sf_dir):
 _FILE_W, _FILE_B = 20_000, 200_000
 
 
-@_query(f"""WITH RECURSIVE d AS (SELECT doc_id, source, w, b, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM (SELECT doc_id, trim(source) AS source, len({_WORDS})::BIGINT AS w, strlen(text)::BIGINT AS b FROM documents) WHERE source <> '' AND w <= {_FILE_W} AND b <= {_FILE_B}),
+_COMPOSED = f"""RECURSIVE d AS (SELECT doc_id, source, w, b, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM (SELECT doc_id, trim(source) AS source, len({_WORDS})::BIGINT AS w, strlen(text)::BIGINT AS b FROM documents) WHERE source <> '' AND w <= {_FILE_W} AND b <= {_FILE_B}),
   f AS (SELECT doc_id, source, nth, w, b, 1 AS bin FROM d WHERE nth = 1 UNION ALL
     SELECT doc_id, source, nth, CASE WHEN opens THEN w ELSE held_w + w END, CASE WHEN opens THEN b ELSE held_b + 2 + b END, CASE WHEN opens THEN bin + 1 ELSE bin END FROM (
       SELECT d.doc_id, d.source, d.nth, d.w, d.b, f.w AS held_w, f.b AS held_b, f.bin, f.w + d.w > {_FILE_W} OR f.b + 2 + d.b > {_FILE_B} AS opens FROM f JOIN d ON d.source = f.source AND d.nth = f.nth + 1)),
   h AS (SELECT doc_id, text, concat_ws(chr(10), 'Tytuł: ' || nullif(trim(substr(trim(regexp_extract(text, '(?m)^.*\\S.*$')), 1, 80)), ''), 'Język: ' || nullif(trim(lang), '')) AS header FROM documents),
   c AS (SELECT 'group-' || source || '-' || bin AS file_id, string_agg(CASE WHEN header = '' THEN text WHEN text = '' THEN header ELSE header || chr(10) || chr(10) || text END, chr(10) || chr(10) || repeat('-', 40) || chr(10) || chr(10) ORDER BY doc_id) AS text FROM f JOIN h USING (doc_id) GROUP BY source, bin),
-  e AS (SELECT file_id, CASE WHEN ends_with(text, chr(10)) THEN text ELSE text || chr(10) END AS text FROM c)
-  SELECT file_id, len({_WORDS})::BIGINT AS n_words, length(text)::BIGINT AS n_chars, strlen(text)::BIGINT AS n_bytes, sha256(text) AS checksum FROM e""")
-def composed_files(spark, sf_dir):
-    plan = packing.plan(_t(spark, sf_dir, "documents"), _FILE_W, _FILE_B).where("is_group")
+  e AS (SELECT file_id, CASE WHEN ends_with(text, chr(10)) THEN text ELSE text || chr(10) END AS text FROM c)"""
+
+
+def _composed(spark, sf_dir) -> DataFrame:
+    plan = packing.plan(_t(spark, sf_dir, "documents"), _FILE_W, _FILE_B)
     docs = _t(spark, sf_dir, "documents").select("doc_id", "text", render.header(title=T.first_line_title("text"), language=F.col("lang")).alias("header"))
-    return render.described(render.compose(plan.join(docs, "doc_id"), order=["doc_id"])).select("file_id", "n_words", "n_chars", "n_bytes", "checksum")
+    return render.described(render.compose(plan.join(docs, "doc_id"), order=["doc_id"]))
+
+
+@_query(f"WITH {_COMPOSED} SELECT file_id, len({_WORDS})::BIGINT AS n_words, length(text)::BIGINT AS n_chars, strlen(text)::BIGINT AS n_bytes, sha256(text) AS checksum FROM e")
+def composed_files(spark, sf_dir):
+    return _composed(spark, sf_dir).select("file_id", "n_words", "n_chars", "n_bytes", "checksum")
+
+
+@_query(f"WITH {_COMPOSED} SELECT file_id || '.txt' AS file, strlen(text)::BIGINT AS n_bytes, sha256(text) AS checksum FROM e")
+def written_files(spark, sf_dir):
+    """The composed files as text files, written in two phases; the sizes and checksums that the tasks told."""
+    files = _composed(spark, sf_dir).select(F.concat("file_id", F.lit(".txt")).alias("file_id"), "body")
+    return text_sink.write_text_files(files, f"{shared_dir(spark)}/files/{uuid.uuid4().hex}")
+
+
+@_query(f"""WITH {_COMPOSED} SELECT doc_id, source, bin::INT AS bin FROM f""")
+def stream_repacked_groups(spark, sf_dir):
+    """The plan of merged files, repacked by group as documents stream in."""
+    at = _sink(spark)
+    store.stream_repack(_stream(spark, sf_dir, "documents"), f"{at}/sources", f"{at}/plan", f"{at}/state", _FILE_W, _FILE_B).awaitTermination()
+    plan = spark.read.schema("file_id string, doc_id long, group string, is_group boolean, bin int, part_no int, part_count int, n_words long, n_bytes long, of string, lot long").parquet(f"{at}/plan")
+    return plan.where("is_group").select("doc_id", F.col("group").alias("source"), "bin")
+
+
+@_query("""WITH f AS (SELECT lang, source, min(doc_id) AS first FROM documents GROUP BY lang, source), r AS (SELECT lang, source, row_number() OVER (PARTITION BY lang ORDER BY first) AS slot FROM f)
+  SELECT lang AS project, doc_id::VARCHAR AS source_id, CASE WHEN slot <= 12 THEN slot::INT END AS slot, CASE WHEN slot <= 12 THEN 'admitted' ELSE 'waits' END AS event FROM documents JOIN r USING (lang, source)""")
+def stream_slot_admission(spark, sf_dir):
+    """Each language as a project of twelve slots that its documents ask for in order."""
+    at = _sink(spark)
+    asked = _stream(spark, sf_dir, "documents").select(F.col("lang").alias("project"), F.col("doc_id").alias("no"), F.col("doc_id").cast("string").alias("source_id"), F.col("source").alias("group"), F.lit(admission.ASKS).alias("event"))
+    told = admission.stream_slots(asked, 12)
+    told.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(told.schema).parquet(f"{at}/rows")
 
 
 @_query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -126,7 +126,7 @@ def test_render_and_report(spark, tmp_path):
     md = render.group_markdown(parts).first()["body"]
     assert md == "# g\n\n## A\n\n- h: 1\n\n### X\n#### Y\n```\n# no\n```\n\n## B\n\ntext"
     flat = spark.createDataFrame([("# H\n**b** [t](http://u) `c`\n| a | b |\n|---|---|\n| 1 | 2 |",)], "t string").select(render.plain_markdown("t")).first()[0]
-    assert flat == "H\nb t (http://u) c\na, b\n1, 2"
+    assert flat == "H\n\nb t (http://u) c\n\na: 1\nb: 2"
     done = render.write_files(render.compose(parts), str(tmp_path / "out")).first()
     assert done["n_bytes"] == len(body.encode()) + 1 and done["file_id"] == "f"
     outputs = spark.createDataFrame([("a.txt", "txt", 10, 100), ("a.md", "md", 12, 120), ("b.pdf", "pdf", 5, 300), ("a.txt", "txt", 10, 100)], "path string, format string, n_words long, n_bytes long")
