@@ -140,15 +140,15 @@ def dedup_leaders(spark, sf_dir):
 # sources in order: the first earlier leader that is certainly like one, else it leads; lists hold the leaders' numbers
 _LEADERS = f"""RECURSIVE {_FINGERPRINT}, k AS (SELECT doc_id, sha256(text) AS h, sha256({_COSMETIC.format('text')}) AS c FROM documents),
   d AS (SELECT k.*, fp, row_number() OVER (ORDER BY doc_id) AS n FROM k JOIN fp USING (doc_id)),
-  p AS (SELECT x.n AS a, y.n AS b, bit_count(xor(x.fp, y.fp)::BIT) AS apart, x.c = y.c OR bit_count(xor(x.fp, y.fp)::BIT) <= 6 AS certain FROM d x JOIN d y ON x.n < y.n WHERE x.c = y.c OR bit_count(xor(x.fp, y.fp)::BIT) <= 16),
+  near AS (SELECT x.n AS a, y.n AS b, bit_count(xor(x.fp, y.fp)::BIT) AS apart, x.c = y.c OR bit_count(xor(x.fp, y.fp)::BIT) <= 6 AS certain FROM d x JOIN d y ON x.n < y.n WHERE x.c = y.c OR bit_count(xor(x.fp, y.fp)::BIT) <= 16),
   f AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS leaders, NULL::BIGINT AS main UNION ALL
     SELECT n, CASE WHEN main IS NULL THEN list_append(leaders, n) ELSE leaders END, main FROM (
-      SELECT f.n + 1 AS n, f.leaders, min(p.a) FILTER (p.certain AND list_contains(f.leaders, p.a)) AS main FROM f LEFT JOIN p ON p.b = f.n + 1 WHERE f.n < (SELECT count(*) FROM d) GROUP BY f.n, f.leaders)),
+      SELECT f.n + 1 AS n, f.leaders, min(near.a) FILTER (near.certain AND list_contains(f.leaders, near.a)) AS main FROM f LEFT JOIN near ON near.b = f.n + 1 WHERE f.n < (SELECT count(*) FROM d) GROUP BY f.n, f.leaders)),
   l AS (SELECT n AS a FROM f WHERE n > 0 AND main IS NULL),
-  w AS (SELECT b AS n, arg_min(a, apart * 1000000000 + a) AS best FROM p JOIN l USING (a) WHERE NOT certain AND b IN (SELECT a FROM l) GROUP BY b)"""
+  weak AS (SELECT b AS n, arg_min(a, apart::BIGINT * 1000000000 + a) AS best FROM near JOIN l USING (a) WHERE NOT certain AND b IN (SELECT a FROM l) GROUP BY b)"""
 
 
-@_query(f"""WITH {_LEADERS}, o AS (SELECT d.doc_id, d.h, d.c, d.fp, main, coalesce(main, best) AS m FROM d JOIN f USING (n) LEFT JOIN w USING (n))
+@_query(f"""WITH {_LEADERS}, o AS (SELECT d.doc_id, d.h, d.c, d.fp, main, coalesce(main, best) AS m FROM d JOIN f USING (n) LEFT JOIN weak USING (n))
   SELECT o.doc_id, CASE WHEN main IS NOT NULL THEN 'duplicate' WHEN m IS NOT NULL THEN 'review' ELSE 'kept' END AS status, d.doc_id AS main_id,
     CASE WHEN m IS NULL THEN NULL WHEN o.h = d.h THEN 'hash' WHEN o.c = d.c THEN 'cosmetic' ELSE 'simhash' END AS method,
     CASE WHEN m IS NULL THEN NULL WHEN o.c = d.c THEN 1.0 ELSE round_even(1 - bit_count(xor(o.fp, d.fp)::BIT) / 64, 4) END::DOUBLE AS score FROM o LEFT JOIN d ON d.n = o.m""")
