@@ -242,11 +242,29 @@ def linked_sets(left: list[np.ndarray], right: list[np.ndarray], similarity: flo
     return np.concatenate(i), np.concatenate(j)
 
 
+def hubs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between nodes as one link for each node: to the least node that it is connected with here."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    least = np.arange(len(nodes))
+    while True:
+        lower = least.copy()
+        np.minimum.at(lower, i, least[j])
+        np.minimum.at(lower, j, least[i])
+        lower = lower[lower]
+        if (lower == least).all():
+            break
+        least = lower
+    other = least != np.arange(len(nodes))
+    return nodes[least[other]], nodes[other]
+
+
 def links_in_groups(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links ``a, b`` inside groups of any size: ``members(key, node, probe)``, ``sets(node, hashes)``.
+    """Links ``a, b`` that connect what is linked inside groups of any size: ``members(key, node, probe)``, ``sets(node, hashes)``.
 
     A group's probes are compared with all its members, block by block, exactly
-    and inside tasks; only links leave them.  Blocks hold ``ROWS`` sets and
+    and inside tasks.  Of the links of two blocks one for each node leaves the
+    task, so groups of near copies make no pairs.  Blocks hold ``ROWS`` sets and
     ``BYTES`` of hashes, or one longer set.
     """
     rows = stash(members.join(sets, "node"), "members")
@@ -271,10 +289,10 @@ def links_in_groups(members: DataFrame, sets: DataFrame, similarity: float) -> D
         if not len(left) or not len(right):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         i, j = linked_sets([hashes[k] for k in left], [hashes[k] for k in right], similarity)
-        a, b = nodes[left[i]], nodes[right[j]]
-        return pa.table({"a": np.minimum(a, b)[a != b], "b": np.maximum(a, b)[a != b]})
+        a, b = hubs(nodes[left[i]], nodes[right[j]])
+        return pa.table({"a": a, "b": b})
 
-    return sent.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    return sent.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:

@@ -53,7 +53,7 @@ def test_stage_keeps_links_inside_a_family_below_the_threshold(spark):
 
 
 def test_links_in_groups_are_all(spark, monkeypatch):
-    """Blocks of any size give the links between probes and members that brute force gives."""
+    """Blocks of any size connect what links between probes and members connect by brute force."""
     import numpy as np
 
     from corpusloom.llm import simhash
@@ -66,4 +66,15 @@ def test_links_in_groups_are_all(spark, monkeypatch):
     for size in (3, 512):
         monkeypatch.setattr(simhash, "ROWS", size)
         found = simhash.links_in_groups(spark.createDataFrame(members, "key long, node long, probe boolean"), spark.createDataFrame([(n, bytearray(h)) for n, h in rows], "node long, hashes binary"), 0.5)
-        assert {tuple(r) for r in found.collect()} == want
+        got = [tuple(r) for r in found.collect()]
+        assert classes(got) == classes(want) and all(a < b for a, b in got)
+        if size == 512:
+            assert len(got) <= 80  # one link for each node of a group
+
+
+def classes(links):
+    label = {}
+    for _ in range(50):
+        for a, b in links:
+            label[a] = label[b] = min(label.get(a, a), label.get(b, b))
+    return label
