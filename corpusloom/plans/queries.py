@@ -164,12 +164,14 @@ def dedup_new_against_base(spark, sf_dir):
 
 
 @_query()
-def possible_duplicate_list(spark, sf_dir):
+def possible_duplicates(spark, sf_dir):
+    """A row for each review case."""
     return report.possible_duplicate_members(dedup.deduplicate(_t(spark, sf_dir, "documents")))
 
 
 @_query()
-def possible_duplicates(spark, sf_dir):
+def possible_duplicate_list(spark, sf_dir):
+    """A row for each source with its review cases described."""
     found = report.possible_duplicates(dedup.deduplicate(_t(spark, sf_dir, "documents")))
     return found.select("doc_id", "cases", F.array_join("descriptions", "\n").alias("descriptions"))
 
