@@ -109,7 +109,8 @@ def near_pairs(prints: DataFrame, distance: int = 3) -> DataFrame:
     chain = F.lit(True)
     for i in range(SEGMENTS):
         chain = F.when(F.col("at") == i, F.bit_count(differ.bitwiseAND(F.lit(_mask(i, 3)).cast("long"))) <= 3 * distance // SEGMENTS).otherwise(chain)
-    return left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & chain & (F.bit_count(differ) <= distance)).select("a", "b")
+    # Spark takes keyed sides for as small as the fingerprints, and would broadcast up to 68 rows of each through the driver
+    return left.hint("merge").join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & chain & (F.bit_count(differ) <= distance)).select("a", "b")
 
 
 def _linked(rows: DataFrame, pairs: DataFrame, prints: DataFrame) -> DataFrame:

@@ -48,7 +48,8 @@ def ring_pairs(prints: DataFrame, distance: int = 6, value: str = "simhash") ->
     flips = [0, *(1 << b for b in range(8))] if 2 * distance >= 8 else [0]
     left = prints.select(fp.alias("a"), F.explode(F.array(*[key(i, segment(i + 1)) for i in range(8)])).alias("key"))
     right = prints.select(fp.alias("b"), F.explode(F.array(*[key(i, segment(i + 1).bitwiseXOR(F.lit(f).cast("long"))) for i in range(8) for f in flips])).alias("key"))
-    return left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= distance)).select("a", "b")
+    # Spark takes keyed sides for as small as the fingerprints, and would broadcast up to 72 rows of each through the driver
+    return left.hint("merge").join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= distance)).select("a", "b")
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -80,7 +81,7 @@ def masked_pairs(prints: DataFrame, distance: int = 16, value: str = "simhash")
 
     keyed = prints.select(fp.alias("a"), F.explode(F.concat(keys(mine, 0, 0), keys(other, len(mine), 32))).alias("key"))
     right = keyed.select(F.col("a").alias("b"), F.col("key").alias("other"))
-    return keyed.join(right, (F.col("key") == F.col("other")) & (F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= distance)).select("a", "b")
+    return keyed.hint("merge").join(right, (F.col("key") == F.col("other")) & (F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= distance)).select("a", "b")
 
 
 def blocked_pairs(rows: DataFrame, part: Column, found, schema: str, block: int = BLOCK) -> DataFrame:
