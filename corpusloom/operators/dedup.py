@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import Config
 from corpusloom.functions.text import content_hash, cosmetic_key, word_count, word_list
-from corpusloom.operators.similarity import blocked_pairs, hamming, ratio, review_pairs, ring_pairs, short_pairs
-from corpusloom.session import stash
+from corpusloom.operators.similarity import blocked_pairs, hamming, ratio, reach, review_pairs, ring_pairs, short_pairs
+from corpusloom.session import discard, forget, scratch, stash
 
 __all__ = ["blocked_pairs", "deduplicate", "exact_and_cosmetic", "hamming", "ratio", "review_pairs", "ring_pairs", "short_pairs", "shingles", "simhash"]
 
@@ -39,8 +39,8 @@ def shingles(text: str | Column, size: int = 3) -> Column:
     return F.when(n == 0, F.array().cast("array<string>")).otherwise(many)
 
 
-def simhash(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, digest: str = "blake2b") -> DataFrame:
-    """``key, simhash`` (64 bits as a signed number): a bit is set where its weight is above zero; 0 for no words.
+def simhash(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, digest: str = "blake2b", more: tuple[str, ...] = ()) -> DataFrame:
+    """``key, simhash`` (64 bits as a signed number), and columns ``more``: a bit is set where its weight is above zero; 0 for no words.
 
     ``digest`` is blake2b (8 bytes) or md5 (its first 8 bytes, which SQL can check).
     """
@@ -59,18 +59,18 @@ def simhash(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
                     part = np.frombuffer(b"".join(map(hashed, lines[i : i + 65536])), np.uint8).reshape(-1, 8)
                     weights += 2 * np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64) - len(part)
                 out.append(int(np.packbits(weights > 0).view(">i8")[0]))
-            yield pa.RecordBatch.from_arrays([batch[key], pa.array(out, pa.int64())], [key, "simhash"])
+            yield pa.RecordBatch.from_arrays([batch[key], pa.array(out, pa.int64()), *(batch[c] for c in more)], [key, "simhash", *more])
 
-    return docs.select(key, F.col(text).alias("text")).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, simhash long")
+    schema = ", ".join([f"{key} {docs.schema[key].dataType.simpleString()}", "simhash long", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in more)])
+    return docs.select(key, F.col(text).alias("text"), *more).mapInArrow(run, schema)
 
 
 def profiles(docs: DataFrame, config: Config, key: str = "doc_id", text: str = "text", digest: str = "blake2b") -> DataFrame:
-    """``key, text, n_words, content_hash, cosmetic_key, simhash`` of each source."""
+    """``key, n_words, n_chars, content_hash, cosmetic_key, simhash`` of each source; hash and key are binary."""
     rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
-    out = rows.select(key, "text", word_count("text").alias("n_words"), content_hash("text").alias("content_hash"), cosmetic_key("text").alias("cosmetic_key"))
-    if not config.stage_similarity:
-        return out.withColumn("simhash", F.lit(0).cast("long"))
-    return out.join(simhash(rows, key, "text", config.shingle, digest), key)
+    out = rows.select(key, "text", word_count("text").alias("n_words"), F.length("text").cast("long").alias("n_chars"), F.unhex(content_hash("text")).alias("content_hash"), F.unhex(cosmetic_key("text")).alias("cosmetic_key"))
+    more = ("n_words", "n_chars", "content_hash", "cosmetic_key")
+    return simhash(out, key, "text", config.shingle, digest, more) if config.stage_similarity else out.select(key, F.lit(0).cast("long").alias("simhash"), *more)
 
 
 def deduplicate(docs: DataFrame, config: Config | None = None, base: DataFrame | None = None, key: str = "doc_id", text: str = "text", digest: str = "blake2b") -> DataFrame:
@@ -82,24 +82,34 @@ def deduplicate(docs: DataFrame, config: Config | None = None, base: DataFrame |
     its most similar earlier leader (ties: the earliest).  ``digest`` makes the
     fingerprints.
     """
-    config = config or Config()
-    both = profiles(docs, config, key, text, digest).withColumn("new", F.lit(True))
-    if base is not None:
-        both = both.unionByName(profiles(base, config, key, text, digest).withColumn("new", F.lit(False)))
-    # the place: base before new, then by key; ranges of a sort give consecutive numbers without one big task
-    ordered = both.repartitionByRange("new", key).sortWithinPartitions("new", key).withColumn("place", F.monotonically_increasing_id())
-    every = stash(ordered, "profiles")
-    # equal texts have equal neighbours: only the first new one and the first base one are settled, the others follow
-    head = every.groupBy("content_hash", "new").agg(F.min("place").alias("head")) if config.stage_hash else None
-    every = stash(every.join(head, ["content_hash", "new"]), "heads") if config.stage_hash else every.withColumn("head", F.col("place"))
-    fingerprint = F.when(F.col("n_words") >= config.short_words, F.col("simhash")).alias("print")
-    rows = every.where("place = head").select("place", key, "new", "text", "n_words", "content_hash", "cosmetic_key", fingerprint if config.stage_similarity else F.lit(None).cast("long").alias("print"))
-    near, short = _near(rows, config), _short(rows, config)
-    classes = ["content_hash"] * config.stage_hash + ["cosmetic_key"] * config.stage_cosmetic + ["print"] * config.stage_similarity
-    state = stash(rows.select("place", *classes, F.when(F.col("new"), "open").otherwise("leader").alias("status")), "state")
-    while not state.where("status = 'open'").isEmpty():
-        state = stash(_round(state, near.where("certain"), short.where("certain"), classes), "state")
-    settled = stash(_settled(rows, state, near, short, classes), "settled")
+    config, spark = config or Config(), docs.sparkSession
+    with scratch(spark) as keep:
+        both, texts = profiles(docs, config, key, text, digest).withColumn("new", F.lit(True)), docs.select(key, F.col(text).alias("text"), F.lit(True).alias("new"))
+        if base is not None:
+            both = both.unionByName(profiles(base, config, key, text, digest).withColumn("new", F.lit(False)))
+            texts = texts.unionByName(base.select(key, F.col(text).alias("text"), F.lit(False).alias("new")))
+        # the place: base before new, then by key; ranges of a sort give consecutive numbers without one big task
+        made = stash(both, "profiles")
+        ordered = made.repartitionByRange("new", key).sortWithinPartitions("new", key).withColumn("place", F.monotonically_increasing_id())
+        every = placed = stash(ordered, "places")
+        discard(made)
+        if config.stage_hash:
+            # equal texts have equal neighbours: only the first new one and the first base one are settled, the others follow
+            head = placed.groupBy("content_hash", "new").agg(F.min("place").alias("head"))
+            every = stash(placed.join(head, ["content_hash", "new"]), "heads")
+            discard(placed)
+        every = keep(every) if config.stage_hash else keep(placed).withColumn("head", F.col("place"))
+        fingerprint = F.when(F.col("n_words") >= config.short_words, F.col("simhash")).alias("print")
+        rows = every.where("place = head").select("place", key, "new", "n_words", "n_chars", "content_hash", "cosmetic_key", fingerprint if config.stage_similarity else F.lit(None).cast("long").alias("print"))
+        near, short = _near(rows, config), _short(rows, texts, config, key)
+        forget(spark)
+        classes = ["content_hash"] * config.stage_hash + ["cosmetic_key"] * config.stage_cosmetic + ["print"] * config.stage_similarity
+        state = stash(rows.select("place", *classes, F.when(F.col("new"), "open").otherwise("leader").alias("status")), "state")
+        while not state.where("status = 'open'").isEmpty():
+            before, state = state, stash(_round(state, near.where("certain"), short.where("certain"), classes), "state")
+            discard(before)
+            forget(spark)
+        settled = keep(stash(_settled(rows, state, near, short, classes), "settled"))
     own = every.where("new and place = head").select("place", key).join(settled, "place")
     copies = every.where("new and place <> head").select(key, F.col("head").alias("place")).join(settled, "place")
     led = F.col("status") == "duplicate"
@@ -118,17 +128,22 @@ def _near(rows: DataFrame, config: Config) -> DataFrame:
         return rows.sparkSession.createDataFrame([], "print long, other long, score double, certain boolean")
     far = math.floor(64 * (1 - config.review) + 1e-9)
     prints = rows.where("print is not null").select(F.col("print").alias("simhash")).distinct()
-    pairs = (ring_pairs(prints, far) if far < 8 else review_pairs(prints, far)).distinct()
+    pairs = ring_pairs(prints, far).distinct() if far < 8 else review_pairs(prints, far)
     both = pairs.select(F.col("a").alias("print"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("print"), F.col("a").alias("other")))
     score = 1 - hamming(F.col("print"), F.col("other")) / 64
     return stash(both.select("print", "other", score.alias("score"), (score >= config.duplicate).alias("certain")), "near")
 
 
-def _short(rows: DataFrame, config: Config) -> DataFrame:
+def _short(rows: DataFrame, texts: DataFrame, config: Config, key: str) -> DataFrame:
     """``a, b, score, certain``: places ``a < b`` of similar texts, one of them short; pairs of two base sources do not count."""
     if not config.stage_similarity:
         return rows.sparkSession.createDataFrame([], "a long, b long, score double, certain boolean")
-    found = short_pairs(rows.select("place", "text"), config.review, config.short_words)
+    # few texts are in reach of a short one; only these are joined and compared
+    most = rows.where(F.col("n_words") < config.short_words).agg(F.max("n_chars").alias("n")).first()["n"]
+    limit = -1 if most is None else reach(most, config.review)
+    near = rows.where(F.col("n_chars") <= limit).select("place", key, "new")
+    own = texts.withColumn("text", F.coalesce("text", F.lit(""))).where(F.length("text") <= limit)
+    found = short_pairs(stash(near.join(own, [key, "new"]).select("place", "text"), "short-texts"), config.review, config.short_words)
     new = rows.where("new").select(F.col("place").alias("b"))
     return stash(found.join(new, "b", "left_semi").select("a", "b", "score", (F.col("score") >= config.duplicate).alias("certain")), "short")
 

@@ -5,8 +5,9 @@ Those up to 16 bits apart are found by covering masks: a pair within ``r`` bits
 agrees on all bits of at least one mask of a linear code of dimension ``r + 1``
 (some word of the code is zero wherever the two differ).  The halves of a
 fingerprint take masks of their own, so each fingerprint makes a fixed number
-of rows, whatever their number; up to some hundred thousand fingerprints fewer
-rows travel if blocks of them are compared outright, with the same result.
+of rows, whatever their number.  Blocks of fingerprints that are compared
+outright give the same result; there are ``BLOCKS`` of them at most, so a
+fingerprint travels ``BLOCKS + 1`` times at most, far less often.
 
 Short texts are compared by sequence matching.  The characters that two texts
 have in common, and then their longest common subsequence, bound its ratio from
@@ -30,6 +31,10 @@ from corpusloom.session import stash
 BLOCK = 2048
 #: Short texts in a block: comparing two blocks takes a second or so.
 TEXTS = 256
+#: Blocks of a part at most; larger parts have larger blocks, so what is sent grows with the rows.
+BLOCKS = 32
+#: Fingerprints that are compared with one at once; they stay in a core's cache.
+TILE = 1 << 14
 #: Generator of a cyclic code of length 31 and dimension 11 (octal, from tables of such codes); with a parity bit its words have 12 ones at least.
 _CODE = 0o5423325
 
@@ -85,15 +90,18 @@ def masked_pairs(prints: DataFrame, distance: int = 16, value: str = "simhash")
 
 
 def blocked_pairs(rows: DataFrame, part: Column, found, schema: str, block: int = BLOCK) -> DataFrame:
-    """Compares all rows of a part in blocks: ``found(left, right, same)`` returns the hits of two blocks as an Arrow table."""
+    """Compares all rows of a part in blocks: ``found(left, right, same)`` returns the hits of two blocks as an Arrow table.
+
+    A block holds ``block`` rows, or a share of ``BLOCKS`` of its part if that is more.
+    """
     dealt = rows.withColumn("part", part).withColumn("h", F.xxhash64(*rows.columns))
-    blocks = dealt.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    blocks = dealt.groupBy("part").agg(F.least(F.ceil(F.count(F.lit(1)) / block), F.lit(BLOCKS)).cast("int").alias("blocks"))
     dealt = dealt.join(blocks, "part").withColumn("block", F.pmod("h", F.col("blocks")).cast("int"))
     one = F.lit(1)
     span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
     up = F.transform(span(F.col("block"), F.col("blocks") - one), lambda x: F.struct(F.col("block").alias("i"), x.alias("j"), F.lit(True).alias("left")))
     down = F.transform(span(F.lit(0), F.col("block")), lambda x: F.struct(x.alias("i"), F.col("block").alias("j"), F.lit(False).alias("left")))
-    sent = dealt.select("*", F.inline(F.concat(up, down)))
+    sent = dealt.select("part", *rows.columns, F.inline(F.concat(up, down)))
 
     def run(table: pa.Table) -> pa.Table:
         mask = table["left"]
@@ -103,12 +111,20 @@ def blocked_pairs(rows: DataFrame, part: Column, found, schema: str, block: int
 
 
 def compared_pairs(prints: DataFrame, distance: int = 16, value: str = "simhash") -> DataFrame:
-    """All pairs ``a < b`` of the distinct ``prints`` within ``distance`` bits, compared in blocks; only hits leave them."""
+    """All pairs ``a < b`` of the distinct ``prints`` within ``distance`` bits, each once, compared in blocks; only hits leave them."""
 
     def found(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
         a, b = left["fp"].to_numpy(), right["fp"].to_numpy()
-        i, j = np.nonzero(np.bitwise_count(a.view(np.uint64)[:, None] ^ b.view(np.uint64)[None, :]) <= distance)
-        x, y = a[i], b[j]
+        hits = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for at in range(0, len(b), TILE):
+            tile = b[at : at + TILE]
+            bits, apart, close = np.empty(len(tile), np.int64), np.empty(len(tile), np.uint8), np.empty(len(tile), bool)
+            for x in a:
+                np.bitwise_count(np.bitwise_xor(tile, x, out=bits).view(np.uint64), out=apart)
+                y = tile[np.less_equal(apart, distance, out=close)]
+                if len(y):
+                    hits.append((np.full(len(y), x), y))
+        x, y = (np.concatenate(side) for side in zip(*hits))
         keep = x < y if same else x != y
         return pa.table({"a": np.minimum(x, y)[keep], "b": np.maximum(x, y)[keep]})
 
@@ -116,14 +132,8 @@ def compared_pairs(prints: DataFrame, distance: int = 16, value: str = "simhash"
 
 
 def review_pairs(prints: DataFrame, distance: int = 16, value: str = "simhash") -> DataFrame:
-    """All pairs ``a < b`` of distinct fingerprints within ``distance`` bits, by whichever way sends fewer rows.
-
-    Blocks send a fingerprint once for each ``BLOCK`` others, masks once for each mask.
-    """
-    distinct = stash(prints.select(value).distinct(), "prints")
-    low = distance // 2
-    masks = 2 ** (low + 1) + 2 ** (distance - low) - 2 if low <= 10 else math.inf
-    return compared_pairs(distinct, distance, value) if distinct.count() <= masks * BLOCK else masked_pairs(distinct, distance, value)
+    """All pairs ``a < b`` of distinct fingerprints within ``distance`` bits, each once, compared in blocks."""
+    return compared_pairs(stash(prints.select(value).distinct(), "prints"), distance, value)
 
 
 def letter_counts(texts: list[str], bins: int = 64) -> np.ndarray:
@@ -155,6 +165,11 @@ def ratio(first: str, second: str) -> float:
     return difflib.SequenceMatcher(None, first, second, autojunk=False).ratio() if first or second else 1.0
 
 
+def reach(most: int, at_least: float) -> int:
+    """The greatest length of a text that has a ``ratio`` of ``at_least`` with one of ``most`` characters."""
+    return int(most * (2 / at_least - 1)) + 1
+
+
 def short_pairs(docs: DataFrame, at_least: float, short_words: int) -> DataFrame:
     """``a, b, score`` of places ``a < b``: pairs with a text of under ``short_words`` words and a ``ratio`` of ``at_least``.
 
@@ -169,7 +184,7 @@ def short_pairs(docs: DataFrame, at_least: float, short_words: int) -> DataFrame
     most = rows.where(F.col("words") < short_words).agg(F.max(F.length("text")).alias("n")).first()["n"]
     if most is None:
         return docs.sparkSession.createDataFrame([], "a long, b long, score double")
-    rows = rows.where(F.length("text") <= int(most * (2 / at_least - 1)) + 1)
+    rows = rows.where(F.length("text") <= reach(most, at_least))
     rows = rows.select("place", "text", "words", "band", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("at"))
 
     def found(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
@@ -177,10 +192,10 @@ def short_pairs(docs: DataFrame, at_least: float, short_words: int) -> DataFrame
         if left.num_rows and right.num_rows:
             at, others = left["at"][0].as_py(), right["text"].to_pylist()
             places, words, bands = (right[c].to_numpy() for c in ("place", "words", "band"))
-            sizes, counts = np.array([len(t) for t in others]), letter_counts(others)
+            sizes, counts = np.array([len(t) for t in others]), np.ascontiguousarray(letter_counts(others).T)
             for p, text, w, b, own in zip(left["place"].to_pylist(), left["text"].to_pylist(), left["words"].to_pylist(), left["band"].to_pylist(), letter_counts(left["text"].to_pylist())):
                 needed = at_least * (len(text) + sizes) / 2 - 1e-9
-                able = (np.minimum(counts, own).sum(axis=1) >= needed) & (np.minimum(words, w) < short_words) & (np.minimum(bands, b) == at) & (places > p if same else places != p)
+                able = (np.minimum(counts, own[:, None]).sum(axis=0) >= needed) & (np.minimum(words, w) < short_words) & (np.minimum(bands, b) == at) & (places > p if same else places != p)
                 masks = character_masks(text) if able.any() else {}
                 for k in np.flatnonzero(able).tolist():
                     if common_subsequence(masks, len(text), others[k]) >= needed[k]:

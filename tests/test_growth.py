@@ -11,3 +11,35 @@ def test_keyed_fingerprints_are_never_broadcast(spark, tmp_path, pairs):
     spark.range(50).selectExpr("xxhash64(id) AS simhash").write.parquet(str(tmp_path / "prints"))
     plan = pairs(spark.read.parquet(str(tmp_path / "prints")))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_rows_are_sent_a_bounded_number_of_times(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    rows = spark.range(2000).select("id")
+    told = similarity.blocked_pairs(rows, F.lit(0), lambda a, b, same: pa.table({"n": pa.array([len(a) + len(b)], pa.int64())}), "n long", block=10)
+    assert told.agg(F.sum("n")).first()[0] <= 2000 * (similarity.BLOCKS + 1)  # 402,000 with a block for each ten rows
+
+
+def test_tiles_and_bounded_blocks_find_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "TILE", 7)
+    monkeypatch.setattr(similarity, "BLOCKS", 3)
+    values = [r[0] for r in spark.range(120).selectExpr("xxhash64(id % 90) ^ (id * 3)").collect()]
+    prints = spark.createDataFrame([(v,) for v in values], "simhash long")
+    got = sorted((r["a"], r["b"]) for r in similarity.review_pairs(prints, 16).collect())
+    distinct = sorted(set(values))
+    assert got == [(a, b) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if ((a ^ b) & 2**64 - 1).bit_count() <= 16]
+
+
+def test_deduplicate_leaves_only_what_its_result_reads(spark):
+    from pathlib import Path
+
+    from corpusloom.operators.dedup import deduplicate
+    from corpusloom.session import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "stash"
+    before = set(folder.glob("*")) if folder.exists() else set()
+    docs = spark.createDataFrame([(i, f"text {i % 5} of some words that is like the others") for i in range(20)], "doc_id long, text string")
+    assert deduplicate(docs).count() == 20
+    assert len(set(folder.glob("*")) - before) == 2
