@@ -8,6 +8,7 @@ the source that has waited longest.
 
 from __future__ import annotations
 
+import heapq
 import sys
 from collections.abc import Iterator
 
@@ -25,85 +26,131 @@ _TURN = "project string, source_id string, slot int, event string"
 
 
 class Slots(StatefulProcessor):
-    """State of one project: for each slot what holds it and since when, the sources in it, and who waits."""
+    """State of one project: for each slot what holds it and how many sources are in it, and for each source its slot or its place in the queue.
+
+    Sources are looked up, never searched for; each event costs two calls to the
+    state or three.  The queue is read at most once a batch, when a slot is freed.
+    """
 
     def __init__(self, limit: int, patience_ms: int | None = None):
         self.limit, self.patience = limit, patience_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.holders = handle.getMapState("holders", "slot int", "name string")
-        self.inside = handle.getMapState("inside", "source_id string", "slot int, done boolean, until long")
-        self.waiting = handle.getMapState("waiting", "nth long", "source_id string, name string")
+        self.holders = handle.getMapState("holders", "slot int", "name string, sources long")
+        # in a slot, or without one and waiting as the ``nth``
+        self.known = handle.getMapState("known", "source_id string", "slot int, nth long, name string, done boolean, until long")
         self.counter = handle.getValueState("counter", "nth long")
 
-    def _slot_of(self, name: str) -> int | None:
-        taken = {}
-        for (slot,), (holder,) in self.holders.iterator():
-            if holder == name:
-                return slot
-            taken[slot] = holder
-        return next((i for i in range(1, self.limit + 1) if i not in taken), None)
-
-    def _let_in(self, source: str, name: str, slot: int, now: int, out: list[tuple]) -> None:
-        self.holders.updateValue((slot,), (name,))
+    def _begin(self) -> None:
+        """What a call keeps at hand: the slots (``limit`` at most), and the queue once it is needed."""
+        self.slots = {slot: [name, n] for (slot,), (name, n) in self.holders.iterator()}
+        self.slot_of = {name: slot for slot, (name, _) in self.slots.items()}
+        self.free = [i for i in range(1, self.limit + 1) if i not in self.slots]  # ascending, so a heap
+        self.touched: set[int] = set()
+        self.nth = self.counter.get()[0] if self.counter.exists() else 0
+        self.first_nth = self.nth
+        self.queue: list[int] | None = None
+        self.lines: dict[str, dict[int, str]] = {}
+
+    def _end(self) -> None:
+        for slot in self.touched:
+            if slot in self.slots:
+                self.holders.updateValue((slot,), tuple(self.slots[slot]))
+            else:
+                self.holders.removeKey((slot,))
+        if self.nth != self.first_nth:
+            self.counter.update((self.nth,))
+
+    def _let_in(self, source: str, name: str, now: int, out: list[tuple]) -> bool:
+        """A source enters its group's slot or the least free one, if there is one."""
+        slot = self.slot_of.get(name)
+        if slot is None:
+            if not self.free:
+                return False
+            slot = self.slot_of[name] = heapq.heappop(self.free)
+            self.slots[slot] = [name, 0]
+        self.slots[slot][1] += 1
+        self.touched.add(slot)
         until = now + self.patience if self.patience else 0
-        self.inside.updateValue((source,), (slot, False, until))
+        self.known.updateValue((source,), (slot, None, name, False, until))
         if until:
             self.handle.registerTimer(until)
         out.append((source, slot, "admitted"))
+        return True
+
+    def _wait(self, source: str, name: str, out: list[tuple]) -> None:
+        self.nth += 1
+        self.known.updateValue((source,), (None, self.nth, name, False, 0))
+        if self.queue is not None:
+            heapq.heappush(self.queue, self.nth)
+            self.names[self.nth] = name
+            self.lines.setdefault(name, {})[self.nth] = source
+        out.append((source, None, "waits"))
 
     def _leave(self, source: str, now: int, out: list[tuple]) -> None:
         """A source that failed leaves; the last one of a slot frees it for who waits."""
-        if not self.inside.containsKey((source,)):
-            for key, (waiter, _) in list(self.waiting.iterator()):
-                if waiter == source:
-                    self.waiting.removeKey(key)
+        if not self.known.containsKey((source,)):
+            return
+        slot, nth, name, _, _ = self.known.getValue((source,))
+        self.known.removeKey((source,))
+        if slot is None:
+            if self.queue is not None:
+                self.names.pop(nth)
+                self.lines[name].pop(nth)
             return
-        slot = self.inside.getValue((source,))[0]
-        self.inside.removeKey((source,))
         out.append((source, slot, "left"))
-        if any(place == slot for _, (place, _, _) in self.inside.iterator()):
+        self.slots[slot][1] -= 1
+        self.touched.add(slot)
+        if self.slots[slot][1]:
             return
-        self.holders.removeKey((slot,))
-        for key, (waiter, name) in sorted(self.waiting.iterator(), key=lambda kv: kv[0][0]):
-            free = self._slot_of(name)
-            if free is None:
-                continue
-            self.waiting.removeKey(key)
-            self._let_in(waiter, name, free, now, out)
+        del self.slot_of[self.slots.pop(slot)[0]]
+        heapq.heappush(self.free, slot)
+        self._let_in_next(now, out)
+
+    def _let_in_next(self, now: int, out: list[tuple]) -> None:
+        """Free slots go to who has waited longest, and to all who wait in the same group; nobody waits whose group has a slot."""
+        if self.queue is None:
+            waiters = sorted((nth, source, name) for (source,), (slot, nth, name, _, _) in self.known.iterator() if slot is None)
+            self.queue, self.names = [nth for nth, _, _ in waiters], {nth: name for nth, _, name in waiters}
+            for nth, source, name in waiters:
+                self.lines.setdefault(name, {})[nth] = source
+        while self.free and self.queue:
+            name = self.names.get(heapq.heappop(self.queue))  # none: that one has left the queue
+            if name is not None:
+                for nth, waiter in list(self.lines.pop(name).items()):
+                    self.names.pop(nth)
+                    self._let_in(waiter, name, now, out)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
         now = timerValues.getCurrentProcessingTimeInMs() if self.patience else 0
         events = sorted((r for frame in rows for r in frame.itertuples(index=False)), key=lambda r: r.no)
+        self._begin()
         for r in events:
             if r.event == ASKS:
-                known = self.inside.containsKey((r.source_id,)) or any(w == r.source_id for _, (w, _) in self.waiting.iterator())
-                if known:
+                if self.known.containsKey((r.source_id,)):
                     continue
                 name = f"g:{r.group.strip()}" if isinstance(r.group, str) and r.group.strip() else f"s:{r.source_id}"
-                slot = self._slot_of(name)
-                if slot is not None:
-                    self._let_in(r.source_id, name, slot, now, out)
-                else:
-                    nth = self.counter.get()[0] + 1 if self.counter.exists() else 1
-                    self.counter.update((nth,))
-                    self.waiting.updateValue((nth,), (r.source_id, name))
-                    out.append((r.source_id, None, "waits"))
+                if not self._let_in(r.source_id, name, now, out):
+                    self._wait(r.source_id, name, out)
             elif r.event == FAILS:
                 self._leave(r.source_id, now, out)
-            elif r.event == ENDS and self.inside.containsKey((r.source_id,)):
-                slot, _, _ = self.inside.getValue((r.source_id,))
-                self.inside.updateValue((r.source_id,), (slot, True, 0))
-                out.append((r.source_id, slot, "done"))
+            elif r.event == ENDS and self.known.containsKey((r.source_id,)):
+                slot, _, name, _, _ = self.known.getValue((r.source_id,))
+                if slot is not None:
+                    self.known.updateValue((r.source_id,), (slot, None, name, True, 0))
+                    out.append((r.source_id, slot, "done"))
+        self._end()
         yield self._frame(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now, out = expiredTimerInfo.getExpiryTimeInMs(), []
-        for (source,), (_, done, until) in list(self.inside.iterator()):
-            if not done and until and until <= now:
+        self._begin()
+        for (source,), (slot, _, _, done, until) in list(self.known.iterator()):
+            if slot is not None and not done and until and until <= now:
                 self._leave(source, now, out)
+        self._end()
         yield self._frame(key, out)
 
     def _frame(self, key, out: list[tuple]) -> pd.DataFrame:

@@ -61,3 +61,60 @@ def test_one_project_at_a_time(spark, tmp_path):
     ]
     got = fed(spark, tmp_path, schema, batches, admission.stream_queue)
     assert got == [[("q", "x", "1", 1)], [], [("q", "y", "1", 1), ("q", "y", "2", 2)], [], [("q", "z", "1", 1), ("q", "x", "2", 1)]]
+
+
+def test_the_queue_is_not_searched_for_each_request(spark, tmp_path, monkeypatch):
+    calls = []
+
+    class Map:
+        def __init__(self):
+            self.rows = {}
+
+        def containsKey(self, key):
+            return key in self.rows
+
+        def getValue(self, key):
+            return self.rows[key]
+
+        def updateValue(self, key, value):
+            self.rows[key] = value
+
+        def removeKey(self, key):
+            del self.rows[key]
+
+        def iterator(self):
+            for row in list(self.rows.items()):
+                calls.append(row)
+                yield row
+
+    class Value:
+        row = None
+
+        def exists(self):
+            return self.row is not None
+
+        def get(self):
+            return self.row
+
+        def update(self, row):
+            self.row = row
+
+    class Handle:
+        def getMapState(self, *_):
+            return Map()
+
+        def getValueState(self, *_):
+            return Value()
+
+    import pandas as pd
+
+    asks = [(i, f"s{i}", f"g{i % 40}", "asks") for i in range(400)]
+    # a freed slot goes to the first of the queue that is still there, and to its whole group
+    late = [(400, "s2", None, "fails"), *((401 + k, f"s{40 * k}", None, "fails") for k in range(10))]
+    slots = admission.Slots(2)
+    slots.init(Handle())
+    told = pd.concat(list(slots.handleInputRows(("p",), iter([pd.DataFrame(asks, columns=["no", "source_id", "group", "event"])]), None)))
+    assert list(told["event"]).count("admitted") == 20 and list(told["event"]).count("waits") == 380
+    assert len(calls) < 400  # 75,000 and more when each request went through the queue
+    told = pd.concat(list(slots.handleInputRows(("p",), iter([pd.DataFrame(late, columns=["no", "source_id", "group", "event"])]), None)))
+    assert [r for r in told[told["event"] == "admitted"][["source_id", "slot"]].itertuples(index=False, name=None)] == [(f"s{40 * k + 3}", 1) for k in range(10)]
