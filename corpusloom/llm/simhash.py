@@ -8,10 +8,11 @@ differs by one bit at most.  One side carries the key, the other its 17
 variants; longer chains and the full distance are checked inside the join.
 Each document makes a fixed number of rows whatever the input's size.
 
-Texts that share four fifths of their shingles lie about ten bits apart, too
-far for a ring of 64 bits.  ``keep_unlike`` therefore looks for candidates by
-bands of minima of the shingles' hashes, drops those whose fingerprints are
-far apart, and compares the shingles of the rest.
+Texts that share four fifths of their shingles lie up to ten bits apart and
+more, many of them too far for a ring of 64 bits.  ``keep_unlike`` takes the
+ring's pairs as candidates and, beside them, those that share a band of minima
+of the shingles' hashes, drops those whose fingerprints are far apart, and
+compares the shingles of the rest.
 """
 
 from __future__ import annotations
@@ -192,7 +193,17 @@ def _candidates(groups: DataFrame) -> DataFrame:
     """Pairs ``a < b`` of ``groups(key, node, n, low)``: all of a small group, of a larger one those with its least node."""
     small = groups.where(F.col("n") <= GROUP).select("key", "node")
     near = small.join(small.withColumnRenamed("node", "b"), "key").where(F.col("node") < F.col("b")).select(F.col("node").alias("a"), "b")
-    return near.unionByName(groups.where((F.col("n") > GROUP) & (F.col("node") != F.col("low"))).select(F.col("low").alias("a"), F.col("node").alias("b"))).distinct()
+    return near.unionByName(groups.where((F.col("n") > GROUP) & (F.col("node") != F.col("low"))).select(F.col("low").alias("a"), F.col("node").alias("b")))
+
+
+def _ring_candidates(prints: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of ``prints(fp, bits, n)`` by the pigeonring: one set of shingles stands for each fingerprint, and others of the same one meet it."""
+    sets = prints.where("n > 0").select("fp", "bits")
+    heads = stash(sets.groupBy("bits").agg(F.min("fp").alias("head")), "heads")
+    of = lambda side: heads.select(F.col("bits").alias(side), F.col("head").alias(f"head_{side}"))
+    ring = near_pairs(heads.select(F.col("bits").alias("fp"))).distinct().join(of("a"), "a").join(of("b"), "b")
+    apart = ring.select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b"))
+    return apart.unionByName(sets.join(heads, "bits").where("fp <> head").select(F.col("head").alias("a"), F.col("fp").alias("b")))
 
 
 def _alike(pairs: DataFrame, docs: DataFrame, prints: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -310,6 +321,7 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
 def similar_pairs(docs: DataFrame, rows: DataFrame, prints: DataFrame, words: int, similarity: float) -> DataFrame:
     """Links ``a, b`` between the distinct ``prints.fp``; those of one class so far may be left out.
 
+    Candidates come from the pigeonring over fingerprints and from bands of minima.
     Groups of a band with over ``GROUP`` members are compared with their least
     member first.  What that does not join to it asks all other members of its
     group then, so that no pair of two classes is left out.
@@ -318,7 +330,7 @@ def similar_pairs(docs: DataFrame, rows: DataFrame, prints: DataFrame, words: in
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"))
     groups = stash(keys.join(sizes.where("n > 1"), "key"), "groups")
     discard(keys)
-    links = _alike(_candidates(groups), docs, prints, words, similarity)
+    links = _alike(_candidates(groups).unionByName(_ring_candidates(prints)).distinct(), docs, prints, words, similarity)
     large = groups.where(F.col("n") > GROUP).select("key", "node", "low")
     if large.isEmpty():
         return links

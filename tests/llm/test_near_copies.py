@@ -78,3 +78,17 @@ def classes(links):
         for a, b in links:
             label[a] = label[b] = min(label.get(a, a), label.get(b, b))
     return label
+
+
+def test_the_ring_gives_candidates_of_its_own(spark, monkeypatch):
+    """Without any band in common the pigeonring still links what is near, and the exact check still keeps apart what is not alike."""
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm import simhash
+
+    own = simhash.sketches
+    monkeypatch.setattr(simhash, "sketches", lambda docs, words: own(docs, words).withColumn("bands", F.array(F.xxhash64("doc_id"))))
+    words = [f"w{i}" for i in range(3000)]
+    docs = [(1, " ".join(words)), (2, " ".join([*words[:-1], "end"])), (3, " ".join(f"v{i}" for i in range(3000))), (4, "a short one"), (5, "another short one of six words")]
+    kept = simhash.keep_unlike(spark.createDataFrame(docs, "doc_id long, text string"), 5, 0.8)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4, 5]
