@@ -26,6 +26,8 @@ from pyspark.sql.types import StructType
 FORMAT = "corpusloom_files"
 #: The list of what was written, beside the files; no file may have its name.
 LISTING = "written_files.json"
+#: Files in a batch at most: a batch is in a worker's memory whole.
+FILES = 32
 _NAME = re.compile(r"[^/\x00]+(?:/[^/\x00]+)*")
 
 
@@ -51,7 +53,8 @@ class Writer(DataSourceArrowWriter):
         store, at = _open(folder)
         store.create_dir(at, recursive=True)
         for batch in iterator:
-            for name, body in zip(batch[self.name].to_pylist(), batch[self.body].to_pylist()):
+            for name, body in zip(batch[self.name], batch[self.body]):  # one body at a time leaves Arrow
+                name, body = name.as_py(), body.as_py()
                 if not name or name == LISTING or not _NAME.fullmatch(name) or any(p in (".", "..") or p.startswith("_") for p in name.split("/")):
                     raise ValueError(f"no name for a file: {name!r}")
                 raw = (body or "").encode()
@@ -112,5 +115,10 @@ def write_text_files(files: DataFrame, path: str, name: str = "file_id", body: s
     """
     spark: SparkSession = files.sparkSession
     spark.dataSource.register(TextFiles)
-    files.select(name, body).write.format(FORMAT).option("name", name).option("body", body).mode("append").save(path)
+    rows, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(rows, FILES)
+    try:
+        files.select(name, body).write.format(FORMAT).option("name", name).option("body", body).mode("append").save(path)
+    finally:
+        spark.conf.set(rows, before)
     return spark.read.schema("file string, n_bytes long, checksum string").json(f"{path}/{LISTING}")

@@ -43,3 +43,32 @@ def test_deduplicate_leaves_only_what_its_result_reads(spark):
     docs = spark.createDataFrame([(i, f"text {i % 5} of some words that is like the others") for i in range(20)], "doc_id long, text string")
     assert deduplicate(docs).count() == 20
     assert len(set(folder.glob("*")) - before) == 2
+
+
+def test_the_file_sink_gets_few_bodies_at_once(spark, tmp_path, monkeypatch):
+    from corpusloom.sources import text_sink
+
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    own = text_sink.Writer.write
+
+    def write(self, iterator, folder=str(seen), own=own):
+        def counted():
+            for batch in iterator:
+                open(f"{folder}/{batch.num_rows}", "w").close()
+                yield batch
+
+        return own(self, counted())
+
+    class Counted(text_sink.TextFiles):
+        def writer(self, schema, overwrite):
+            made = super().writer(schema, overwrite)
+            made.__class__ = type("W", (text_sink.Writer,), {"write": write})
+            return made
+
+    monkeypatch.setattr(text_sink, "TextFiles", Counted)
+    rows = spark.range(0, 500, 1, 1).selectExpr("concat('f', id, '.txt') AS file_id", "repeat('x', 100) AS body")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert text_sink.write_text_files(rows, f"file://{tmp_path}/out").count() == 500
+    assert max(int(p.name) for p in seen.iterdir()) <= text_sink.FILES
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
