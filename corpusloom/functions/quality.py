@@ -50,7 +50,9 @@ def headings(text: str | Column) -> tuple[Column, Column]:
     lines = F.filter(F.transform(F.split(col(text), "\\R"), lambda p: F.regexp_replace(p, "(?U)^\\s+|\\s+$", "")), lambda p: p != "")
     marks = F.transform(lines, lambda p: p.startswith("#"))
     count = F.size(F.filter(marks, lambda m: m))
-    empty = F.size(F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.size(marks) - 1, F.lit(0))), lambda i: F.coalesce(F.get(marks, i), F.lit(False)) & F.coalesce(F.get(marks, i + 1), F.lit(True))), lambda m: m))
+    # an index inside a lambda would make the whole array anew for each line
+    following = F.concat(F.slice(marks, F.lit(2), F.size(marks)), F.array(F.lit(True)))
+    empty = F.size(F.filter(F.zip_with(marks, following, lambda a, b: F.coalesce(a, F.lit(False)) & F.coalesce(b, F.lit(True))), lambda m: m))
     return count, F.when(F.size(marks) == 0, 0).otherwise(empty)
 
 

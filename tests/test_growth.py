@@ -72,3 +72,17 @@ def test_the_file_sink_gets_few_bodies_at_once(spark, tmp_path, monkeypatch):
     assert text_sink.write_text_files(rows, f"file://{tmp_path}/out").count() == 500
     assert max(int(p.name) for p in seen.iterdir()) <= text_sink.FILES
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_headings_take_time_by_lines_not_by_their_square(spark):
+    import time
+
+    from corpusloom.functions import quality
+
+    texts = ["", "# a", "# a\n# b\ntext", "text\n# a\n\n# b", "# a\nx\n# b\ny"]
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [tuple(r) for r in table.select(*quality.headings("text")).collect()] == [(0, 0), (1, 1), (2, 1), (2, 2), (2, 0)]
+    long = spark.range(1).selectExpr("repeat('# a\\nb\\n', 8000) AS text")
+    began = time.time()
+    assert tuple(long.select(*quality.headings("text")).first()) == (8000, 0)
+    assert time.time() - began < 15
