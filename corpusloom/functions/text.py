@@ -2,48 +2,67 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import unicodedata
+from collections.abc import Callable
+from functools import cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: What normalisation deletes.
-INVISIBLE = "[\\u200B\\u2060\\uFEFF\\u00AD]"
-CONTROL = "[\\x00-\\x08\\x0e-\\x1f\\x7f]"
+#: What normalisation deletes (invisible and control characters), and what it takes for a space.
+_DELETED = re.compile("[\u200B\u2060\uFEFF\u00AD\x00-\x08\x0e-\x1f\x7f]")
+_SPACES = re.compile("[\t\x0b\x0c\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]")
 #: White space as Unicode knows it.
 SPACE = "(?U)\\s"
-#: Characters that composition (NFC) may change; everything else is in that form already.
-_COMPOSABLE = "[\\p{M}\\u1100-\\u11FF\\u2126\\u212A\\u212B\\u2000\\u2001\\u2329\\u232A\\u2ADC\\uF900-\\uFAFF\\uFB1D-\\uFB4E\\x{2F800}-\\x{2FA1F}\\u0340-\\u0344\\u0374\\u037E\\u0387\\u1F71-\\u1FFD\\u0958-\\u095F\\u09DC-\\u09DF\\u0A33-\\u0A5E\\u0B5C\\u0B5D\\x{1D15E}-\\x{1D1C0}]"
-#: Characters whose case folding is not their lower case, but for the sharp s.
-_FOLDS_APART = "[\\u0130\\u0149\\u017F\\u01F0\\u0345\\u0390\\u03A3\\u03B0\\u03C2\\u03D0\\u03D1\\u03D5\\u03D6\\u03F0\\u03F1\\u03F5\\u0587\\u13F8-\\u13FD\\u1C80-\\u1C88\\u1E96-\\u1E9E\\u1F50-\\u1FFC\\uAB70-\\uABBF\\uFB00-\\uFB17]"
-_APART = _COMPOSABLE[:-1] + _FOLDS_APART[1:]
 
 
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@F.pandas_udf(StringType())
-def _nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
+def normal(text: str, nfc: bool = True) -> str:
+    """One text in canonical form; no step takes more than linear time."""
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    text = unicodedata.normalize("NFC", text) if nfc else text
+    text = _SPACES.sub(" ", _DELETED.sub("", text))
+    if "  " in text:  # spaces after a line's first character
+        text = re.sub(" (?<=[^ \n] ) +", " ", text)
+    if " \n" in text:
+        text = "\n".join([line.rstrip(" ") for line in text.split("\n")])
+    if "\n\n\n" in text:
+        text = re.sub("\n{3,}", "\n\n", text)
+    return text.strip(" \n")
 
 
-@F.pandas_udf(StringType())
-def _folded(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t.casefold()))
+@cache
+def _apart() -> np.ndarray:
+    """Whether each code point is punctuation, a symbol or white space; the last entry is for all beyond."""
+    points = map(chr, range(0x20000))
+    return np.array([unicodedata.category(c)[0] in "PS" or c == " " or _SPACES.match(c) is not None or c in "\n\r" for c in points] + [False])
 
 
-def is_ascii(text: str | Column) -> Column:
-    return F.octet_length(col(text)) == F.length(col(text))
+def cosmetic(text: str) -> str:
+    """One text's cosmetic form."""
+    folded = unicodedata.normalize("NFC", text.casefold())
+    points = np.frombuffer(folded.encode("utf-32-le"), np.uint32)
+    apart = _apart().take(points, mode="clip")
+    stays = ~apart
+    stays[1:] |= ~apart[:-1]
+    return np.where(apart, np.uint32(32), points)[stays].tobytes().decode("utf-32-le").strip(" ")
 
 
-def compose(text: str | Column) -> Column:
-    """NFC; Python sees only the texts that may change."""
-    text = col(text)
-    need = ~is_ascii(text) & text.rlike(_COMPOSABLE)
-    return F.when(need, _nfc(F.when(need, text))).otherwise(text)
+def _each(function: Callable[[str], str]) -> Callable[[Column], Column]:
+    """``function`` of each text, which Python sees in Arrow batches, one at a time; null stays null."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array((None if t is None else function(t) for t in (t.as_py() for t in texts)), pa.string(), size=len(texts))
+
+    return F.arrow_udf(run, StringType())
 
 
 def normalize(text: str | Column, nfc: bool = True) -> Column:
@@ -51,11 +70,7 @@ def normalize(text: str | Column, nfc: bool = True) -> Column:
 
     Indentation keeps its width.  Normalising twice changes nothing.  Null stays null.
     """
-    t = F.regexp_replace(col(text), "\\r\\n?", "\n")
-    t = compose(t) if nfc else t
-    for pattern, by in ((INVISIBLE, ""), (CONTROL, ""), ("(?U)[\\s&&[^\\n ]]", " "), ("(?m)(?<=[^ \\n]) {2,}", " "), ("(?m) +$", ""), ("\\n{3,}", "\n\n"), ("^[ \\n]+|[ \\n]+$", "")):
-        t = F.regexp_replace(t, pattern, by)
-    return t
+    return _each(lambda t: normal(t, nfc))(col(text))
 
 
 def word_list(text: str | Column) -> Column:
@@ -81,15 +96,12 @@ def content_hash(text: str | Column) -> Column:
 
 def cosmetic_form(text: str | Column) -> Column:
     """Case-folded text with punctuation, symbols and white space as single spaces; diacritics stay."""
-    t = col(text)
-    apart = ~is_ascii(t) & t.rlike(_APART)
-    folded = F.when(apart, _folded(F.when(apart, t))).otherwise(F.replace(F.lower(t), F.lit("ß"), F.lit("ss")))
-    simple = F.regexp_replace(F.lower(t), "[\\t-\\r !-/:-@\\[-`{-~]+", " ")
-    return F.trim(F.when(is_ascii(t), simple).otherwise(F.regexp_replace(folded, "(?U)[\\p{P}\\p{S}\\s]+", " ")))
+    return _each(cosmetic)(col(text))
 
 
 def cosmetic_key(text: str | Column) -> Column:
-    return F.sha2(cosmetic_form(text), 256)
+    """SHA-256 of the cosmetic form."""
+    return _each(lambda t: hashlib.sha256(cosmetic(t).encode()).hexdigest())(col(text))
 
 
 def source_id(kind: str | Column, content: str | Column) -> Column:
