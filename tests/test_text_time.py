@@ -7,6 +7,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.streaming import incremental
 
 
 def test_long_indentation_takes_linear_time(spark):
@@ -17,6 +18,17 @@ def test_long_indentation_takes_linear_time(spark):
     assert time.time() - began < 20
 
 
+def test_a_batch_is_settled_with_texts_evaluated_once(spark):
+    # the folded text stood in several places of the plan before, and each of them evaluated it anew
+    docs = spark.createDataFrame([(1, "Żółw!"), (2, "żółw"), (3, None)], "doc_id long, text string")
+    plan = docs.select("doc_id", T.cosmetic_key("text").alias("cosmetic_key"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and plan.count("ArrowEvalPython") == 1
+    base = docs.where("doc_id = 1").select(T.cosmetic_key("text").alias("cosmetic_key"), F.col("doc_id").alias("main_id"))
+    got = incremental.settle_batch(docs.where("doc_id > 1"), base).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["status"], r["main_id"]) for r in got] == [(2, "duplicate", 1), (3, "kept", None)]
+    assert got[1]["cosmetic_key"] == hashlib.sha256(b"").hexdigest() and docs.where("doc_id = 3").select(T.cosmetic_key("text")).first()[0] is None
+
+
 def test_every_character_is_treated_as_the_patterns_did(spark):
     # what Java's and Python's tables both know; classes of Java, as the pattern of the cosmetic form had them
     known = [c for c in map(chr, range(1, 0x30000)) if unicodedata.category(c) not in ("Cn", "Cs", "Co") and len(unicodedata.normalize("NFC", c.casefold())) == 1]
