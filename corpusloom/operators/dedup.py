@@ -23,6 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+try:
+    from _md5 import md5  # Python's own takes a third of OpenSSL's time for a few words
+except ImportError:
+    from hashlib import md5
+
 from corpusloom.config import Config
 from corpusloom.functions.text import content_hash, cosmetic_key, word_count, word_list
 from corpusloom.operators.similarity import blocked_pairs, hamming, ratio, reach, review_pairs, ring_pairs, short_pairs
@@ -47,13 +52,13 @@ def simhash(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blake = lambda s: hashlib.blake2b(s, digest_size=8).digest()
-        md5 = lambda s: hashlib.md5(s, usedforsecurity=False).digest()[:8]
-        hashed = blake if digest == "blake2b" else md5
+        first8 = lambda s: md5(s, usedforsecurity=False).digest()[:8]
+        hashed = blake if digest == "blake2b" else first8
         for batch in batches:
             out = []
             for value in batch["text"]:
-                words = (value.as_py() or "").split()
-                lines = [" ".join(words[i : i + size]).encode() for i in range(max(1, len(words) - size + 1))] if words else []
+                words = [w for w in "\n".join((value.as_py() or "").split()).encode().split(b"\n") if w]
+                lines = list(map(b" ".join, zip(*(words[i:] for i in range(size))))) if len(words) > size else [b" ".join(words)] * bool(words)
                 weights = np.zeros(64, np.int64)
                 for i in range(0, len(lines), 65536):
                     part = np.frombuffer(b"".join(map(hashed, lines[i : i + 65536])), np.uint8).reshape(-1, 8)
@@ -102,11 +107,12 @@ def deduplicate(docs: DataFrame, config: Config | None = None, base: DataFrame |
         fingerprint = F.when(F.col("n_words") >= config.short_words, F.col("simhash")).alias("print")
         rows = every.where("place = head").select("place", key, "new", "n_words", "n_chars", "content_hash", "cosmetic_key", fingerprint if config.stage_similarity else F.lit(None).cast("long").alias("print"))
         near, short = _near(rows, config), _short(rows, texts, config, key)
+        sure = stash(near.where("certain"), "near-certain")  # each round reads these, and not the many others
         forget(spark)
         classes = ["content_hash"] * config.stage_hash + ["cosmetic_key"] * config.stage_cosmetic + ["print"] * config.stage_similarity
         state = stash(rows.select("place", *classes, F.when(F.col("new"), "open").otherwise("leader").alias("status")), "state")
         while not state.where("status = 'open'").isEmpty():
-            before, state = state, stash(_round(state, near.where("certain"), short.where("certain"), classes), "state")
+            before, state = state, stash(_round(state, sure, short.where("certain"), classes), "state")
             discard(before)
             forget(spark)
         settled = keep(stash(_settled(rows, state, near, short, classes), "settled"))

@@ -7,7 +7,8 @@ agrees on all bits of at least one mask of a linear code of dimension ``r + 1``
 fingerprint take masks of their own, so each fingerprint makes a fixed number
 of rows, whatever their number.  Blocks of fingerprints that are compared
 outright give the same result; there are ``BLOCKS`` of them at most, so a
-fingerprint travels ``BLOCKS + 1`` times at most, far less often.
+fingerprint travels ``BLOCKS + 1`` times at most, far less often.  Inside two
+large blocks only fingerprints meet that are near in one of a few segments.
 
 Short texts are compared by sequence matching.  The characters that two texts
 have in common, and then their longest common subsequence, bound its ratio from
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import difflib
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +31,14 @@ from corpusloom.functions.text import word_list
 from corpusloom.session import stash
 
 BLOCK = 2048
+#: Fingerprints in a block, and blocks of them at most: what their segments save grows with a block.
+PRINTS, PRINT_BLOCKS = 1 << 14, 16
 #: Short texts in a block: comparing two blocks takes a second or so.
 TEXTS = 256
 #: Blocks of a part at most; larger parts have larger blocks, so what is sent grows with the rows.
 BLOCKS = 32
 #: Fingerprints that are compared with one at once; they stay in a core's cache.
-TILE = 1 << 14
+TILE = 1 << 16
 #: Generator of a cyclic code of length 31 and dimension 11 (octal, from tables of such codes); with a parity bit its words have 12 ones at least.
 _CODE = 0o5423325
 
@@ -89,13 +93,13 @@ def masked_pairs(prints: DataFrame, distance: int = 16, value: str = "simhash")
     return keyed.hint("merge").join(right, (F.col("key") == F.col("other")) & (F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= distance)).select("a", "b")
 
 
-def blocked_pairs(rows: DataFrame, part: Column, found, schema: str, block: int = BLOCK) -> DataFrame:
+def blocked_pairs(rows: DataFrame, part: Column, found, schema: str, block: int = BLOCK, most: int | None = None) -> DataFrame:
     """Compares all rows of a part in blocks: ``found(left, right, same)`` returns the hits of two blocks as an Arrow table.
 
-    A block holds ``block`` rows, or a share of ``BLOCKS`` of its part if that is more.
+    A block holds ``block`` rows, or a share of ``BLOCKS`` (or ``most``, if that is less) of its part if that is more.
     """
     dealt = rows.withColumn("part", part).withColumn("h", F.xxhash64(*rows.columns))
-    blocks = dealt.groupBy("part").agg(F.least(F.ceil(F.count(F.lit(1)) / block), F.lit(BLOCKS)).cast("int").alias("blocks"))
+    blocks = dealt.groupBy("part").agg(F.least(F.ceil(F.count(F.lit(1)) / block), F.lit(min(most or BLOCKS, BLOCKS))).cast("int").alias("blocks"))
     dealt = dealt.join(blocks, "part").withColumn("block", F.pmod("h", F.col("blocks")).cast("int"))
     one = F.lit(1)
     span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
@@ -110,25 +114,75 @@ def blocked_pairs(rows: DataFrame, part: Column, found, schema: str, block: int
     return sent.groupBy("part", "i", "j").applyInArrow(run, schema)
 
 
+def segments(distance: int, pieces: int) -> list[tuple[int, int, int]]:
+    """``shift, width, most`` of each of ``pieces`` segments of 64 bits: a pair within ``distance`` bits is within ``most`` in one of them."""
+    wide, near = divmod(64, pieces), divmod(distance + 1 - pieces, pieces)
+    widths = [wide[0] + (i < wide[1]) for i in range(pieces)]
+    return [(sum(widths[:i]), w, near[0] + (i < near[1])) for i, w in enumerate(widths)]
+
+
+def _pieces(n: int, m: int, distance: int) -> int:
+    """How many segments serve best for ``n`` times ``m`` fingerprints, by what comparisons, values and values near them took in a trial; 1 is none."""
+
+    def cost(pieces: int) -> float:
+        balls = [(w, sum(math.comb(w, d) for d in range(most + 1))) for _, w, most in segments(distance, pieces)]
+        return sum(min(1 << w, n) * (50_000 + 600 * ball) + 2 * n * m * ball / (1 << w) for w, ball in balls)
+
+    return min((2 * n * m, 1), *((cost(p), p) for p in (4, 5, 6) if distance >= p))[1]
+
+
+class _Compared:
+    """Compares fingerprints outright, in buffers that stay in a core's cache."""
+
+    def __init__(self, distance: int):
+        self.distance, self.bits, self.apart, self.close = distance, np.empty(TILE, np.int64), np.empty(TILE, np.uint8), np.empty(TILE, bool)
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for at in range(0, len(b), TILE):
+            tile = b[at : at + TILE]
+            step = TILE // len(tile)
+            for first in range(0, len(a), step):
+                own = a[first : first + step]
+                n = len(own) * len(tile)
+                np.bitwise_xor(own[:, None], tile, out=self.bits[:n].reshape(len(own), len(tile)))
+                np.bitwise_count(self.bits[:n].view(np.uint64), out=self.apart[:n])
+                hits = np.less_equal(self.apart[:n], self.distance, out=self.close[:n]).nonzero()[0]
+                if len(hits):
+                    yield own[hits // len(tile)], tile[hits % len(tile)]
+
+
+def _near_in_segments(a: np.ndarray, b: np.ndarray, distance: int, pieces: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within ``distance`` bits, each once: the fingerprints of each value of a segment meet those near it in that segment."""
+    parts, compared = segments(distance, pieces), _Compared(distance)
+    of = lambda v, shift, width: v >> shift & (1 << width) - 1
+    dealt = lambda v, *part: np.split((v := v[np.argsort(of(v, *part), kind="stable")]), np.searchsorted(of(v, *part), np.arange(1, 1 << part[1])))
+    for i, (shift, width, most) in enumerate(parts):
+        values = np.arange(1 << width)
+        ball = values[np.bitwise_count(values) <= most]
+        right = dealt(b, shift, width)
+        hits = [(a[:0], b[:0])]
+        for value, own in enumerate(dealt(a, shift, width)):
+            if len(own):
+                hits += compared.pairs(own, np.concatenate([right[near] for near in (ball ^ value).tolist()]))
+        x, y = (np.concatenate(side) for side in zip(*hits))
+        new = np.ones(len(x), bool)
+        for earlier in parts[:i]:  # there they have met before
+            new &= np.bitwise_count(of(x ^ y, *earlier[:2])) > earlier[2]
+        yield x[new], y[new]
+
+
 def compared_pairs(prints: DataFrame, distance: int = 16, value: str = "simhash") -> DataFrame:
     """All pairs ``a < b`` of the distinct ``prints`` within ``distance`` bits, each once, compared in blocks; only hits leave them."""
 
     def found(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
         a, b = left["fp"].to_numpy(), right["fp"].to_numpy()
-        hits = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for at in range(0, len(b), TILE):
-            tile = b[at : at + TILE]
-            bits, apart, close = np.empty(len(tile), np.int64), np.empty(len(tile), np.uint8), np.empty(len(tile), bool)
-            for x in a:
-                np.bitwise_count(np.bitwise_xor(tile, x, out=bits).view(np.uint64), out=apart)
-                y = tile[np.less_equal(apart, distance, out=close)]
-                if len(y):
-                    hits.append((np.full(len(y), x), y))
+        pieces = _pieces(len(a), len(b), distance)
+        hits = [(np.zeros(0, np.int64), np.zeros(0, np.int64)), *(_near_in_segments(a, b, distance, pieces) if pieces > 1 else _Compared(distance).pairs(a, b))]
         x, y = (np.concatenate(side) for side in zip(*hits))
         keep = x < y if same else x != y
         return pa.table({"a": np.minimum(x, y)[keep], "b": np.maximum(x, y)[keep]})
 
-    return blocked_pairs(prints.select(F.col(value).alias("fp")), F.lit(0), found, "a long, b long")
+    return blocked_pairs(prints.select(F.col(value).alias("fp")), F.lit(0), found, "a long, b long", PRINTS, PRINT_BLOCKS)
 
 
 def review_pairs(prints: DataFrame, distance: int = 16, value: str = "simhash") -> DataFrame:

@@ -86,3 +86,33 @@ def test_headings_take_time_by_lines_not_by_their_square(spark):
     began = time.time()
     assert tuple(long.select(*quality.headings("text")).first()) == (8000, 0)
     assert time.time() - began < 15
+
+
+@pytest.mark.parametrize("pieces", [4, 5, 6])
+def test_segments_leave_no_pair_out_and_compare_a_fraction(pieces, monkeypatch):
+    import numpy as np
+
+    random = np.random.default_rng(7)
+    a = np.unique(random.integers(-(2**63), 2**63 - 1, 1500))
+    flips = np.bitwise_or.reduce(np.left_shift(np.int64(1), random.integers(0, 64, (len(a), 18))), axis=1)
+    b = np.unique(np.concatenate([a ^ flips, a[:9]]))
+    compared, own = [], similarity._Compared.pairs
+    monkeypatch.setattr(similarity._Compared, "pairs", lambda self, x, y: compared.append(len(x) * len(y)) or own(self, x, y))
+    for distance in (8, 16, 20):
+        compared.clear()
+        got = [(int(x), int(y)) for some in similarity._near_in_segments(a, b, distance, pieces) for x, y in zip(*some)]
+        i, j = np.nonzero(np.bitwise_count((a[:, None] ^ b).view(np.uint64)) <= distance)
+        assert sorted(got) == sorted(zip(a[i].tolist(), b[j].tolist()))
+        assert distance > 16 or sum(compared) < len(a) * len(b) / 4
+    assert similarity._pieces(175_000, 175_000, 16) > 1  # blocks of that size were compared outright before
+
+
+def test_rounds_read_certain_pairs_alone(spark, monkeypatch):
+    from corpusloom.config import Config
+    from corpusloom.operators import dedup
+
+    read, own = [], dedup._round
+    monkeypatch.setattr(dedup, "_round", lambda state, near, *more: read.append(near._jdf.queryExecution().optimizedPlan().toString()) or own(state, near, *more))
+    docs = spark.createDataFrame([(i, " ".join(f"w{j if j % (i + 5) else i}" for j in range(80))) for i in range(12)], "doc_id long, text string")
+    assert dedup.deduplicate(docs, Config(short_words=0), digest="md5").count() == 12
+    assert read and not any("Filter" in plan for plan in read)
