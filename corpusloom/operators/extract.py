@@ -30,6 +30,8 @@ Result = tuple[list[tuple], str | None, str, dict[str, str], list[str]]
 #: Elements of a page that hold no content, of which everything is left out.
 NOT_CONTENT = frozenset("script style noscript template nav header footer aside form iframe svg button select".split())
 _HEADING = re.compile("^h([1-6])$")
+#: Rows whose blocks are held as Python objects at once; a batch from Spark may have 10,000.
+ROWS = 64
 
 
 class _Page(HTMLParser):
@@ -365,10 +367,9 @@ def extract(rows: DataFrame, key: str = "path", value: str = "text", fmt: str |
         return [dict(zip(("kind", "level", "content", "link_chars"), b)) for b in blocks], title, confidence, list(meta.items()), warnings, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [one(c, n) for c, n in zip(batch["value"].to_pylist(), batch["fmt"].to_pylist())]
-            columns = list(zip(*found)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([batch[key], *(pa.array(c, k) for c, k in zip(columns, kinds))], [key, *names])
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            found = [one(c.as_py(), n.as_py()) for c, n in zip(batch["value"], batch["fmt"])]
+            yield pa.RecordBatch.from_arrays([batch[key], *(pa.array(c, k) for c, k in zip(zip(*found), kinds))], [key, *names])
 
     return rows.select(key, F.col(value).alias("value"), (F.col(fmt) if isinstance(fmt, str) else fmt).alias("fmt")).mapInArrow(run, f"{key} {kind}, {SCHEMA}")
 

@@ -116,3 +116,34 @@ def test_rounds_read_certain_pairs_alone(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(f"w{j if j % (i + 5) else i}" for j in range(80))) for i in range(12)], "doc_id long, text string")
     assert dedup.deduplicate(docs, Config(short_words=0), digest="md5").count() == 12
     assert read and not any("Filter" in plan for plan in read)
+
+
+def test_few_pages_are_held_as_objects_at_once(spark, tmp_path):
+    from corpusloom.operators import extract
+
+    seen = tmp_path / "batches"
+    seen.mkdir()
+    pages = spark.range(0, 1000, 1, 1).selectExpr("id AS page_id", "concat('<article><p>', id, '</p></article>') AS html", "'html' AS format")
+    found = extract.extract(pages, "page_id", "html")
+
+    def noted(batches, folder=str(seen)):
+        for batch in batches:
+            open(f"{folder}/{batch.num_rows}", "w").close()
+            yield batch
+
+    direct = pages.selectExpr("page_id", "html AS value", "format AS fmt")
+    monkey = []
+
+    class Rows:  # hands the operator's own function on, to see the batches that leave it
+        schema = pages.schema
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            monkey.append(lambda batches: noted(run(batches)))
+            return direct.mapInArrow(monkey[0], schema)
+
+    assert extract.extract(Rows(), "page_id", "html").count() == 1000
+    assert max(int(p.name) for p in seen.iterdir()) <= extract.ROWS
+    assert {(r["page_id"], r["blocks"][0]["content"]) for r in found.collect()} == {(i, str(i)) for i in range(1000)}
