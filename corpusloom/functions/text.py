@@ -46,8 +46,14 @@ def _apart() -> np.ndarray:
     return np.array([unicodedata.category(c)[0] in "PS" or c == " " or _SPACES.match(c) is not None or c in "\n\r" for c in points] + [False])
 
 
+#: Bytes of ASCII with punctuation and symbols as spaces.
+_ASCII = bytes(32 if i < 128 and unicodedata.category(chr(i))[0] in "PS" else i for i in range(256))
+
+
 def cosmetic(text: str) -> str:
     """One text's cosmetic form."""
+    if text.isascii():  # where bytes split at the same white space
+        return b" ".join(text.encode().lower().translate(_ASCII).split()).decode()
     folded = unicodedata.normalize("NFC", text.casefold())
     points = np.frombuffer(folded.encode("utf-32-le"), np.uint32)
     apart = _apart().take(points, mode="clip")

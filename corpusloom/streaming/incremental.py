@@ -23,10 +23,19 @@ def settle_batch(new: DataFrame, base: DataFrame, key: str = "doc_id", text: str
     The first new one of equal keys is kept if the base has none.  ``base`` has
     ``cosmetic_key, main_id``, one row for each key.
     """
-    rows = stash(new.select(key, cosmetic_key(F.coalesce(text, F.lit(""))).alias("cosmetic_key")), "batch")
+    return settle_keys(stash(new.select(key, cosmetic_key(F.coalesce(text, F.lit(""))).alias("cosmetic_key")), "batch"), base, key)
+
+
+def settle_keys(rows: DataFrame, base: DataFrame, key: str = "doc_id") -> DataFrame:
+    """What ``settle_batch`` returns, of a written table ``key, cosmetic_key``; null keys equal each other and none of the base.
+
+    Keys meet the base once each; sources then meet their key's row alone, in a
+    join that adaptive execution can split where a key is hot.
+    """
     first = rows.groupBy("cosmetic_key").agg(F.min(key).alias("first"))
     known = base.select("cosmetic_key", F.col("main_id").alias("settled"))
-    out = rows.join(first, "cosmetic_key").join(known, "cosmetic_key", "left")
+    heads = first.join(known, "cosmetic_key", "left").withColumnRenamed("cosmetic_key", "of")
+    out = rows.join(heads, F.col("cosmetic_key").eqNullSafe(F.col("of")))
     main = F.coalesce("settled", "first")
     kept = F.col("settled").isNull() & (F.col(key) == F.col("first"))
     return out.select(key, "cosmetic_key", F.when(kept, "kept").otherwise("duplicate").alias("status"), F.when(~kept, main).alias("main_id"))
