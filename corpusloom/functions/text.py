@@ -17,8 +17,10 @@ from pyspark.sql.types import StringType
 #: What normalisation deletes (invisible and control characters), and what it takes for a space.
 _DELETED = re.compile("[\u200B\u2060\uFEFF\u00AD\x00-\x08\x0e-\x1f\x7f]")
 _SPACES = re.compile("[\t\x0b\x0c\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]")
-#: White space as Unicode knows it.
-SPACE = "(?U)\\s"
+#: White space as Unicode knows it, and as SQL's patterns do.
+SPACE, PLAIN_SPACE = "(?U)\\s", "[\\t\\n\\f\\r ]"
+#: What SQL trims: the space and Unicode's other space separators.
+SEPARATORS = " \u00A0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202F\u205F\u3000"
 
 
 def col(c: str | Column) -> Column:
@@ -79,13 +81,18 @@ def normalize(text: str | Column, nfc: bool = True) -> Column:
     return _each(lambda t: normal(t, nfc))(col(text))
 
 
-def word_list(text: str | Column) -> Column:
+def trimmed(text: str | Column) -> Column:
+    """Without space separators at either end; tabs and line ends stay."""
+    return F.trim(col(text), F.lit(SEPARATORS))
+
+
+def word_list(text: str | Column, space: str = SPACE) -> Column:
     """Maximal runs without white space."""
-    return F.filter(F.split(col(text), "(?U)\\s+"), lambda w: w != "")
+    return F.filter(F.split(col(text), f"{space}+"), lambda w: w != "")
 
 
-def word_count(text: str | Column) -> Column:
-    return F.size(word_list(text)).cast("long")
+def word_count(text: str | Column, space: str = SPACE) -> Column:
+    return F.size(word_list(text, space)).cast("long")
 
 
 def char_count(text: str | Column) -> Column:
@@ -244,8 +251,8 @@ def shorten(text: str | Column, most: int) -> Column:
 
 
 def first_line_title(text: str | Column, most: int = 80) -> Column:
-    """The first line that is not blank, trimmed and cut; null if there is none."""
-    return F.nullif(F.substring(F.trim(F.regexp_extract(col(text), "(?m)^.*\\S.*$", 0)), 1, most), F.lit(""))
+    """The first line that is not blank, trimmed and cut; null if there is none.  Only line feeds end lines."""
+    return F.nullif(F.substring(trimmed(F.regexp_extract(col(text), "(?md)^.*[^\\t\\n\\f\\r ].*$", 0)), 1, most), F.lit(""))
 
 
 #: How a table's cells write booleans.

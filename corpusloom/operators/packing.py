@@ -11,7 +11,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import byte_count, col, natural_key, word_count
+from corpusloom.functions.text import SPACE, byte_count, col, natural_key, word_count
 from corpusloom.operators.chunks import CHUNK, NTH, chunked, listed, schema_of
 from corpusloom.session import stash
 
@@ -190,15 +190,16 @@ def _binned(items: pa.Table, start: pa.Table, caps: tuple[int, int], joiner: int
     return pa.Table.from_arrays([*(items[c] for c in names), pa.array(np.cumsum(begins, dtype=np.int32) + np.int32(number))], [*names, "bin"])
 
 
-def plan(docs: DataFrame, max_words: int, max_bytes: int, key: str = "doc_id", group: str = "source", text: str = "text") -> DataFrame:
+def plan(docs: DataFrame, max_words: int, max_bytes: int, key: str = "doc_id", group: str = "source", text: str = "text", space: str = SPACE) -> DataFrame:
     """``file_id, key, group, is_group, bin, part_no, part_count, n_words, n_bytes``: what goes into which file.
 
     Ungrouped (null or blank) and oversized sources become files of their own,
     in parts if need be, before a group's merged files; the rest of a group is
-    merged by next fit in the order of ``key``.
+    merged by next fit in the order of ``key``.  ``space`` parts the words of
+    what is merged.
     """
     named = docs.select(key, F.nullif(F.trim(group), F.lit("")).alias("group"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sized = named.select(key, "group", "text", word_count("text").alias("n_words"), byte_count("text").alias("n_bytes"))
+    sized = named.select(key, "group", "text", word_count("text", space).alias("n_words"), byte_count("text").alias("n_bytes"))
     alone = F.col("group").isNull() | ~fits("n_words", "n_bytes", max_words, max_bytes)
     parts = split(sized.where(alone).select(key, "text"), max_words, max_bytes, key, "text").join(sized.where(alone).select(key, "group"), key)
     single = parts.select(
