@@ -12,7 +12,9 @@ large blocks only fingerprints meet that are near in one of a few segments.
 
 Short texts are compared by sequence matching.  The characters that two texts
 have in common, and then their longest common subsequence, bound its ratio from
-above, so few pairs reach the matcher itself.
+above, so few pairs reach the matcher itself.  The subsequence is bounded for
+many pairs at once first: that of the whole texts is no longer than those of
+what each group of characters leaves of them, taken together.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ TEXTS = 256
 BLOCKS = 32
 #: Fingerprints that are compared with one at once; they stay in a core's cache.
 TILE = 1 << 16
+#: Groups of characters, the bits of a row's limbs, and pairs that are bounded at once; longer texts are not bounded by groups.
+GROUPS, LIMB, PAIRS, LONG = 2, 63, 1 << 13, 1 << 13
 #: Generator of a cyclic code of length 31 and dimension 11 (octal, from tables of such codes); with a parity bit its words have 12 ones at least.
 _CODE = 0o5423325
 
@@ -214,6 +218,66 @@ def common_subsequence(masks: dict[str, int], size: int, other: str) -> int:
     return size - row.bit_count()
 
 
+class GroupedSubsequences:
+    """Bounds for the longest common subsequences of pairs ``(texts[x], others[y])``, by bit-parallel rows of many pairs at once.
+
+    Characters, by code point modulo 256, are dealt into ``GROUPS`` of about
+    the same weight.  Inside a group rows are as long as what the group leaves
+    of a text, in limbs of ``LIMB`` bits.
+    """
+
+    def __init__(self, texts: list[str], others: list[str]):
+        sides = [(np.repeat(np.arange(len(side)), [len(t) for t in side]), np.frombuffer("".join(side).encode("utf-32-le"), np.uint32) % 256) for side in (texts, others)]
+        weights = sum(np.bincount(points, minlength=256) for _, points in sides)
+        group, number, held, ids = np.zeros(256, np.int64), np.zeros(256, np.int64), [0] * GROUPS, [0] * GROUPS
+        for c in np.argsort(-weights, kind="stable").tolist():
+            g = held.index(min(held))
+            group[c], number[c] = g, ids[g] + 1  # no character is number 0
+            held[g], ids[g] = held[g] + int(weights[c]) + 1, ids[g] + 1
+        self.groups = []
+        for g in range(GROUPS):
+            (text, place, code, size), (other, step, met, steps) = (self._left(g, group, number, *side, len(of)) for side, of in zip(sides, (texts, others)))
+            masks = np.zeros((int(size.max(initial=0)) // LIMB + 1, len(texts) * (ids[g] + 1)), np.uint64)
+            np.bitwise_or.at(masks, (place // LIMB, text * (ids[g] + 1) + code), np.uint64(1) << (place % LIMB).astype(np.uint64))
+            codes = np.zeros((int(steps.max(initial=0)), len(others)), np.int64)
+            codes[step, other] = met
+            self.groups.append((masks, ids[g] + 1, codes, steps))
+
+    @staticmethod
+    def _left(g: int, group: np.ndarray, number: np.ndarray, text: np.ndarray, points: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+        """What a group leaves of texts: text, place in it and number of each character, and the texts' sizes."""
+        own = group[points] == g
+        text = text[own]
+        sizes = np.bincount(text, minlength=n)
+        return text, np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes), number[points[own]], sizes
+
+    def bounds(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return sum(self._common(x, y, *group) for group in self.groups)
+
+    @staticmethod
+    def _common(x: np.ndarray, y: np.ndarray, masks: np.ndarray, ids: int, codes: np.ndarray, steps: np.ndarray) -> np.ndarray:
+        order = np.argsort(-steps[y], kind="stable")  # whose steps end first are last
+        base, other = x[order] * ids, y[order]
+        active = np.searchsorted(-steps[other], -np.arange(len(codes)), side="left").tolist()
+        full, shift = np.uint64((1 << LIMB) - 1), np.uint64(LIMB)
+        rows = np.full((len(masks), len(x)), full, np.uint64)
+        for code, n in zip(codes, active):
+            at, carry = base[:n] + code.take(other[:n]), None
+            for mask, row in zip(masks, rows[:, :n]):
+                met = mask.take(at)
+                met &= row
+                total = row + met
+                if carry is not None:
+                    total += carry
+                carry = total >> shift
+                row ^= met
+                row |= total
+                row &= full
+        found = np.empty(len(x), np.int64)
+        found[order] = LIMB * len(masks) - np.bitwise_count(rows).sum(axis=0, dtype=np.int64)
+        return found
+
+
 def ratio(first: str, second: str) -> float:
     """Similarity of two sequences of characters: twice the matches over both lengths."""
     return difflib.SequenceMatcher(None, first, second, autojunk=False).ratio() if first or second else 1.0
@@ -224,6 +288,54 @@ def reach(most: int, at_least: float) -> int:
     return int(most * (2 / at_least - 1)) + 1
 
 
+def _able(left: pa.Table, right: pa.Table, same: bool, at_least: float, short_words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of two blocks that are to meet here and whose characters allow a ratio of ``at_least``, about ``PAIRS`` at once."""
+    at, texts, others = left["at"][0].as_py(), left["text"].to_pylist(), right["text"].to_pylist()
+    lengths, sizes = (np.array([len(t) for t in side]) for side in (texts, others))
+    places, words, bands = (right[c].to_numpy() for c in ("place", "words", "band"))
+    counts, by_size = letter_counts(others), np.argsort(sizes, kind="stable")
+    # long texts meet short ones only; of either, those whose lengths are in reach
+    met = []
+    for order in (by_size[words[by_size] < short_words], by_size):
+        quotient = 2 / at_least - 1
+        first, last = np.searchsorted(sizes[order], np.floor(lengths / quotient) - 1), np.searchsorted(sizes[order], np.ceil(lengths * quotient) + 1, side="right")
+        met.append((order, first.tolist(), last.tolist(), np.ascontiguousarray(counts[order].T), sizes[order], words[order], bands[order], places[order]))
+    held, n = [], 0
+    for i, (p, w, b, own) in enumerate(zip(left["place"].to_pylist(), left["words"].to_pylist(), left["band"].to_pylist(), letter_counts(texts))):
+        order, first, last, *columns = met[w < short_words]
+        if first[i] < last[i]:
+            letters, size, words, bands, places = (c[..., first[i] : last[i]] for c in columns)
+            needed = at_least * (lengths[i] + size) / 2 - 1e-9
+            able = np.flatnonzero((np.minimum(letters, own[:, None]).sum(axis=0) >= needed) & (np.minimum(bands, b) == at) & (places > p if same else places != p))
+            held.append((np.full(len(able), i), order[first[i] : last[i]][able]))
+            n += len(able)
+        if held and (n >= PAIRS or i + 1 == len(texts)):
+            yield tuple(np.concatenate(side) for side in zip(*held))
+            held, n = [], 0
+
+
+def _alike(left: pa.Table, right: pa.Table, same: bool, at_least: float, short_words: int) -> Iterator[tuple[int, int, float]]:
+    """``a, b, score`` of the pairs of two blocks."""
+    texts, others, first, second = left["text"].to_pylist(), right["text"].to_pylist(), left["place"].to_pylist(), right["place"].to_pylist()
+    n, m = (np.array([len(t) for t in side]) for side in (texts, others))
+    grouped = None
+    for x, y in _able(left, right, same, at_least, short_words):
+        needed = at_least * (n[x] + m[y]) / 2 - 1e-9
+        if len(x) and max(n.max(), m.max()) <= LONG:
+            grouped = grouped or GroupedSubsequences(texts, others)
+            near = grouped.bounds(x, y) >= needed
+            x, y, needed = x[near], y[near], needed[near]
+        of, masks = None, {}
+        for i, j, least in zip(x.tolist(), y.tolist(), needed.tolist()):
+            if of != i:
+                of, masks = i, character_masks(texts[i])
+            if common_subsequence(masks, len(texts[i]), others[j]) >= least:
+                (a, s), (b, o) = sorted(((first[i], texts[i]), (second[j], others[j])))
+                score = ratio(s, o)
+                if score >= at_least:
+                    yield a, b, score
+
+
 def short_pairs(docs: DataFrame, at_least: float, short_words: int) -> DataFrame:
     """``a, b, score`` of places ``a < b``: pairs with a text of under ``short_words`` words and a ``ratio`` of ``at_least``.
 
@@ -244,19 +356,7 @@ def short_pairs(docs: DataFrame, at_least: float, short_words: int) -> DataFrame
     def found(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
         out: list[tuple[int, int, float]] = []
         if left.num_rows and right.num_rows:
-            at, others = left["at"][0].as_py(), right["text"].to_pylist()
-            places, words, bands = (right[c].to_numpy() for c in ("place", "words", "band"))
-            sizes, counts = np.array([len(t) for t in others]), np.ascontiguousarray(letter_counts(others).T)
-            for p, text, w, b, own in zip(left["place"].to_pylist(), left["text"].to_pylist(), left["words"].to_pylist(), left["band"].to_pylist(), letter_counts(left["text"].to_pylist())):
-                needed = at_least * (len(text) + sizes) / 2 - 1e-9
-                able = (np.minimum(counts, own[:, None]).sum(axis=0) >= needed) & (np.minimum(words, w) < short_words) & (np.minimum(bands, b) == at) & (places > p if same else places != p)
-                masks = character_masks(text) if able.any() else {}
-                for k in np.flatnonzero(able).tolist():
-                    if common_subsequence(masks, len(text), others[k]) >= needed[k]:
-                        (x, s), (y, o) = sorted(((p, text), (int(places[k]), others[k])))
-                        score = ratio(s, o)
-                        if score >= at_least:
-                            out.append((x, y, score))
+            out += _alike(left, right, same, at_least, short_words)
         a, b, s = zip(*out) if out else ((), (), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "score": pa.array(s, pa.float64())})
 
