@@ -35,14 +35,14 @@ from corpusloom.session import stash
 BLOCK = 2048
 #: Fingerprints in a block, and blocks of them at most: what their segments save grows with a block.
 PRINTS, PRINT_BLOCKS = 1 << 14, 16
-#: Short texts in a block: comparing two blocks takes a second or so.
-TEXTS = 256
+#: Short texts in a block, and long ones that these are compared with.
+TEXTS, LONG_TEXTS = 256, 1024
 #: Blocks of a part at most; larger parts have larger blocks, so what is sent grows with the rows.
 BLOCKS = 32
 #: Fingerprints that are compared with one at once; they stay in a core's cache.
 TILE = 1 << 16
 #: Groups of characters, the bits of a row's limbs, and pairs that are bounded at once; longer texts are not bounded by groups.
-GROUPS, LIMB, PAIRS, LONG = 2, 63, 1 << 13, 1 << 13
+GROUPS, LIMB, PAIRS, LONG = 3, 63, 1 << 12, 1 << 13
 #: Generator of a cyclic code of length 31 and dimension 11 (octal, from tables of such codes); with a parity bit its words have 12 ones at least.
 _CODE = 0o5423325
 
@@ -118,6 +118,24 @@ def blocked_pairs(rows: DataFrame, part: Column, found, schema: str, block: int
     return sent.groupBy("part", "i", "j").applyInArrow(run, schema)
 
 
+def crossed_pairs(lefts: DataFrame, rights: DataFrame, part: str, found, schema: str, block: int, other: int) -> DataFrame:
+    """Compares rows of ``lefts`` with all of ``rights`` in the same part, in blocks as ``blocked_pairs`` has them; both have the same columns.
+
+    Parts that one side has no rows in are not dealt.
+    """
+    sizes = lefts.groupBy(part).agg(F.least(F.ceil(F.count(F.lit(1)) / block), F.lit(BLOCKS)).cast("int").alias("n"))
+    sizes = sizes.join(rights.groupBy(part).agg(F.least(F.ceil(F.count(F.lit(1)) / other), F.lit(BLOCKS)).cast("int").alias("m")), part)
+    own = lambda rows, n: F.pmod(F.xxhash64(*rows.columns), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sent = lefts.join(sizes, part).select(*lefts.columns, own(lefts, "n").alias("i"), every("m").alias("j"), F.lit(True).alias("left"))
+    sent = sent.unionByName(rights.join(sizes, part).select(*lefts.columns, own(rights, "m").alias("j"), every("n").alias("i"), F.lit(False).alias("left")))
+
+    def run(table: pa.Table) -> pa.Table:
+        return found(table.filter(table["left"]), table.filter(pa.compute.invert(table["left"])), False)
+
+    return sent.groupBy(part, "i", "j").applyInArrow(run, schema)
+
+
 def segments(distance: int, pieces: int) -> list[tuple[int, int, int]]:
     """``shift, width, most`` of each of ``pieces`` segments of 64 bits: a pair within ``distance`` bits is within ``most`` in one of them."""
     wide, near = divmod(64, pieces), divmod(distance + 1 - pieces, pieces)
@@ -196,7 +214,9 @@ def review_pairs(prints: DataFrame, distance: int = 16, value: str = "simhash")
 
 def letter_counts(texts: list[str], bins: int = 64) -> np.ndarray:
     """How often characters occur in each text, by code point modulo ``bins``."""
-    return np.stack([np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) % bins, minlength=bins) for t in texts]).astype(np.int32)
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32) % bins
+    of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    return np.bincount(of * bins + points, minlength=len(texts) * bins).reshape(-1, bins).astype(np.int32)
 
 
 def character_masks(text: str) -> dict[str, int]:
@@ -241,7 +261,7 @@ class GroupedSubsequences:
             np.bitwise_or.at(masks, (place // LIMB, text * (ids[g] + 1) + code), np.uint64(1) << (place % LIMB).astype(np.uint64))
             codes = np.zeros((int(steps.max(initial=0)), len(others)), np.int64)
             codes[step, other] = met
-            self.groups.append((masks, ids[g] + 1, codes, steps))
+            self.groups.append((masks, ids[g] + 1, size, codes, steps))
 
     @staticmethod
     def _left(g: int, group: np.ndarray, number: np.ndarray, text: np.ndarray, points: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
@@ -255,7 +275,8 @@ class GroupedSubsequences:
         return sum(self._common(x, y, *group) for group in self.groups)
 
     @staticmethod
-    def _common(x: np.ndarray, y: np.ndarray, masks: np.ndarray, ids: int, codes: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    def _common(x: np.ndarray, y: np.ndarray, masks: np.ndarray, ids: int, sizes: np.ndarray, codes: np.ndarray, steps: np.ndarray) -> np.ndarray:
+        masks = masks[: int(sizes[x].max(initial=0)) // LIMB + 1]
         order = np.argsort(-steps[y], kind="stable")  # whose steps end first are last
         base, other = x[order] * ids, y[order]
         active = np.searchsorted(-steps[other], -np.arange(len(codes)), side="left").tolist()
@@ -301,7 +322,9 @@ def _able(left: pa.Table, right: pa.Table, same: bool, at_least: float, short_wo
         first, last = np.searchsorted(sizes[order], np.floor(lengths / quotient) - 1), np.searchsorted(sizes[order], np.ceil(lengths * quotient) + 1, side="right")
         met.append((order, first.tolist(), last.tolist(), np.ascontiguousarray(counts[order].T), sizes[order], words[order], bands[order], places[order]))
     held, n = [], 0
-    for i, (p, w, b, own) in enumerate(zip(left["place"].to_pylist(), left["words"].to_pylist(), left["band"].to_pylist(), letter_counts(texts))):
+    given = list(zip(left["place"].to_pylist(), left["words"].to_pylist(), left["band"].to_pylist(), letter_counts(texts)))
+    for nth, i in enumerate(np.argsort(lengths, kind="stable").tolist(), 1):  # pairs that are bounded at once have rows of about one length
+        p, w, b, own = given[i]
         order, first, last, *columns = met[w < short_words]
         if first[i] < last[i]:
             letters, size, words, bands, places = (c[..., first[i] : last[i]] for c in columns)
@@ -309,7 +332,7 @@ def _able(left: pa.Table, right: pa.Table, same: bool, at_least: float, short_wo
             able = np.flatnonzero((np.minimum(letters, own[:, None]).sum(axis=0) >= needed) & (np.minimum(bands, b) == at) & (places > p if same else places != p))
             held.append((np.full(len(able), i), order[first[i] : last[i]][able]))
             n += len(able)
-        if held and (n >= PAIRS or i + 1 == len(texts)):
+        if held and (n >= PAIRS or nth == len(texts)):
             yield tuple(np.concatenate(side) for side in zip(*held))
             held, n = [], 0
 
@@ -340,7 +363,8 @@ def short_pairs(docs: DataFrame, at_least: float, short_words: int) -> DataFrame
     """``a, b, score`` of places ``a < b``: pairs with a text of under ``short_words`` words and a ``ratio`` of ``at_least``.
 
     Lengths bound the ratio, so texts meet only in a band of lengths, once;
-    there blocks of ``TEXTS`` are compared.  No index on characters can do
+    there blocks of ``TEXTS`` are compared, with each other and with blocks of
+    long texts, which do not meet among themselves.  No index on characters can do
     better: of pairs in reach by length most share one of their rarest characters.
     """
     step = math.log(2 / at_least - 1) or 1.0  # ln of the greatest quotient of lengths
@@ -360,4 +384,5 @@ def short_pairs(docs: DataFrame, at_least: float, short_words: int) -> DataFrame
         a, b, s = zip(*out) if out else ((), (), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    return blocked_pairs(rows, F.col("at"), found, "a long, b long, score double", TEXTS)
+    short, schema = F.col("words") < short_words, "a long, b long, score double"
+    return blocked_pairs(rows.where(short), F.col("at"), found, schema, TEXTS).unionByName(crossed_pairs(rows.where(short), rows.where(~short), "at", found, schema, TEXTS, LONG_TEXTS))
