@@ -115,7 +115,7 @@ def blocked_pairs(rows: DataFrame, part: Column, found, schema: str, block: int
         mask = table["left"]
         return found(table.filter(mask), table.filter(pa.compute.invert(mask)), table["i"][0].as_py() == table["j"][0].as_py())
 
-    return sent.groupBy("part", "i", "j").applyInArrow(run, schema)
+    return _dealt(sent, "part").groupBy("part", "i", "j").applyInArrow(run, schema)
 
 
 def crossed_pairs(lefts: DataFrame, rights: DataFrame, part: str, found, schema: str, block: int, other: int) -> DataFrame:
@@ -133,7 +133,12 @@ def crossed_pairs(lefts: DataFrame, rights: DataFrame, part: str, found, schema:
     def run(table: pa.Table) -> pa.Table:
         return found(table.filter(table["left"]), table.filter(pa.compute.invert(table["left"])), False)
 
-    return sent.groupBy(part, "i", "j").applyInArrow(run, schema)
+    return _dealt(sent, part).groupBy(part, "i", "j").applyInArrow(run, schema)
+
+
+def _dealt(sent: DataFrame, part: str) -> DataFrame:
+    """Blocks in as many tasks as the session names: Spark would join them by their bytes, which say little of the work."""
+    return sent.repartition(int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions")), part, "i", "j")
 
 
 def segments(distance: int, pieces: int) -> list[tuple[int, int, int]]:
