@@ -155,7 +155,7 @@ def _pieces(n: int, m: int, distance: int) -> int:
         balls = [(w, sum(math.comb(w, d) for d in range(most + 1))) for _, w, most in segments(distance, pieces)]
         return sum(min(1 << w, n) * (50_000 + 600 * ball) + 2 * n * m * ball / (1 << w) for w, ball in balls)
 
-    return min((2 * n * m, 1), *((cost(p), p) for p in (4, 5, 6) if distance >= p))[1]
+    return min([(2 * n * m, 1), *((cost(p), p) for p in (4, 5, 6) if distance >= p)])[1]
 
 
 class _Compared:
